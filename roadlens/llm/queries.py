@@ -5,18 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import round_trip
 from .common import table
+from .edit_counts import cleaning_edits, edited_counts
 from .minmax_dedup import near_duplicates
+from .url_filter import judge_urls
+
+#: The rules of op1.
+RULES = (
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+)
+
+
+def op1_url_alias_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count before and after its cleaning edits."""
+    return edited_counts(cleaning_edits(table(spark, sf_dir, "documents")))
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = round_trip(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_alias_filter": op1_url_alias_filter,
         "op4_minmax_near_dedup": op4_minmax_near_dedup,
+        "op6_edit_aware_counts": op6_edit_aware_counts,
+        "op10_bpe_round_trip": op10_bpe_round_trip,
     }
 
 
