@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decision_list, factorization
 from .bpe import round_trip
 from .common import table
 from .edit_counts import cleaning_edits, edited_counts
 from .minmax_dedup import near_duplicates
+from .packing import best_fit, word_lengths
 from .url_filter import judge_urls
 
 #: The rules of op1.
@@ -27,15 +29,35 @@ def op1_url_alias_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op3_learned_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    out = decision_list.judged(docs, rules, ["doc_id"]).withColumn("base_failed", base)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+
+
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words and one separator, packed into sequences of 512 to 8192."""
+    return best_fit(word_lengths(table(spark, sf_dir, "documents")))
+
+
 def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count before and after its cleaning edits."""
     return edited_counts(cleaning_edits(table(spark, sf_dir, "documents")))
 
 
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = factorization.fit(docs, table(spark, sf_dir, "labels"), where=lambda c: ~factorization.held_out(c))
+    out = factorization.score(docs, machine, ["doc_id"])
+    return out.select("doc_id", factorization.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = round_trip(table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -45,8 +67,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_alias_filter": op1_url_alias_filter,
+        "op3_learned_decision_list": op3_learned_decision_list,
         "op4_minmax_near_dedup": op4_minmax_near_dedup,
+        "op5_variable_best_fit": op5_variable_best_fit,
         "op6_edit_aware_counts": op6_edit_aware_counts,
+        "op8_factorisation_machine": op8_factorisation_machine,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
 
