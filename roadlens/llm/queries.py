@@ -11,6 +11,7 @@ from . import decision_list, factorization
 from .bpe import round_trip
 from .common import table
 from .edit_counts import cleaning_edits, edited_counts
+from .hnsw import nearest
 from .minmax_dedup import near_duplicates
 from .packing import best_fit, word_lengths
 from .url_filter import judge_urls
@@ -29,6 +30,11 @@ def op1_url_alias_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op2_sharded_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_learned_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
@@ -67,6 +73,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_alias_filter": op1_url_alias_filter,
+        "op2_sharded_hnsw": op2_sharded_hnsw,
         "op3_learned_decision_list": op3_learned_decision_list,
         "op4_minmax_near_dedup": op4_minmax_near_dedup,
         "op5_variable_best_fit": op5_variable_best_fit,
