@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, factorization
+from . import decision_list, factorization, suffix_tree
 from .bpe import round_trip
 from .common import table
 from .edit_counts import cleaning_edits, edited_counts
@@ -64,6 +64,13 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", factorization.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tree, counts = suffix_tree.fit(docs.where(~suffix_tree.held_out()))
+    out = suffix_tree.score(docs, tree, counts)
+    return out.select("doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = round_trip(table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -79,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_variable_best_fit": op5_variable_best_fit,
         "op6_edit_aware_counts": op6_edit_aware_counts,
         "op8_factorisation_machine": op8_factorisation_machine,
+        "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
 
