@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, factorization, suffix_tree
+from . import decision_list, factorization, pii, suffix_tree
 from .bpe import round_trip
 from .common import table
 from .edit_counts import cleaning_edits, edited_counts
@@ -57,6 +57,15 @@ def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_counts(cleaning_edits(table(spark, sf_dir, "documents")))
 
 
+def op7_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are of the base spans; spans has those that the network adds too."""
+    docs = table(spark, sf_dir, "documents")
+    out = pii.detect(docs, pii.fit(docs), ["doc_id"])
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = factorization.fit(docs, table(spark, sf_dir, "labels"), where=lambda c: ~factorization.held_out(c))
@@ -85,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minmax_near_dedup": op4_minmax_near_dedup,
         "op5_variable_best_fit": op5_variable_best_fit,
         "op6_edit_aware_counts": op6_edit_aware_counts,
+        "op7_pii_bilstm_crf": op7_pii_bilstm_crf,
         "op8_factorisation_machine": op8_factorisation_machine,
         "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
         "op10_bpe_round_trip": op10_bpe_round_trip,

@@ -1,0 +1,89 @@
+import random
+
+import numpy as np
+import pytest
+
+from roadlens.llm import pii
+
+
+@pytest.fixture(scope="module")
+def net():
+    r = random.Random(2)
+    words = ["the", "of", "an", "thond", "version", "4.0", "2,", "inger", "éau"]
+    return pii.train(*pii.training_windows([" ".join(r.choice(words) for _ in range(200)) for _ in range(40)], 1500), updates=120)
+
+
+def plain_base(t):
+    out = []
+    for k in pii.KINDS:
+        out += [(k, m.start(), m.end()) for m in pii.PATTERNS[k].finditer(t) if pii._valid(k, m.group())]
+    return out
+
+
+def test_base_spans_equal_the_plain_patterns():
+    r = random.Random(9)
+    parts = ["a", "b.c", "@", "@@", ".", "-", "+", "1", "255", "256", "4111111111111111", "4111-1111 1111 1111", " ", "(", ")", "é", "%", "\n", "+1 (017) 555-7713", "0001.2.3.4"]
+    for _ in range(4000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(0, 14)))
+        assert pii.base_spans(t) == plain_base(t), t
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(0)
+    net = pii.Network.fresh()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = rng.integers(0, pii.N_CHARS, (3, 7))
+    y = np.array([[0, 1, 2, 2, 0, 3, 4], [0] * 7, [5, 6, 6, 0, 0, 7, 8]])
+    _, g = net.gradient(x, y)
+    for k in net.p:
+        flat, at = net.p[k].ravel(), int(np.abs(g[k]).ravel().argmax())
+        old, side = flat[at], []
+        for e in (1e-3, -1e-3):
+            flat[at] = old + e
+            side.append(net.gradient(x, y)[0])
+        flat[at] = old
+        assert abs((side[0] - side[1]) / 2e-3 - g[k].ravel()[at]) < 2e-2 * max(1, abs(g[k].ravel()[at])), k
+
+
+def test_decoding_equals_trying_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(1)
+    net = pii.Network.fresh(8)
+    net.p["t"] = rng.normal(size=(pii.TAGS, pii.TAGS)).astype(np.float32)
+    x = rng.integers(0, 90, (2, 3))
+    e, t = net.emissions(x), net.p["t"] + pii.allowed()
+    path, _ = net.decode(x)
+    for i in range(2):
+        best = max(itertools.product(range(pii.TAGS), repeat=3), key=lambda p: pii.allowed()[0][p[0]] + sum(e[k, i, p[k]] for k in range(3)) + t[p[0], p[1]] + t[p[1], p[2]])
+        assert tuple(path[i]) == best
+
+
+def test_windows_and_reconciling():
+    t = "x" * 500 + "7" + "y" * 500
+    starts = pii.windows(t)
+    assert starts == [s for s in range(0, 910, 32) if s <= 500 < s + 96]
+    assert pii.windows("abc") == [] and pii.windows("a@") == [0]
+    assert pii.reconcile({(0, 5, "ip"): 1.0, (4, 9, "card"): 1.5, (9, 12, "ip"): 1.0, (0, 12, "phone"): 2.2, (20, 22, "ip"): -1}) == [("card", 4, 9), ("ip", 9, 12)]
+    assert pii.reconcile({}) == []
+
+
+def test_it_adds_what_the_patterns_miss_and_leaves_clean_text(net):
+    clean = ["the version 4.0 of the thond", "token 12 inger 2024", "", "chapter 3.2.1 and 4,500 of 17"]
+    assert [s for _, s in pii.find_all(clean, net)] == [[]] * 4
+    texts = [f"inger thond of call ({a}) {b}-{c} the an of" for a, b, c in zip(range(211, 611, 20), range(301, 701, 20), range(1234, 9000, 300), strict=False)]
+    found = pii.find_all(texts, net)
+    assert all(b == [] for b, _ in found)
+    assert sum(any(k == "phone" for k, _, _ in s) for _, s in found) >= 0.7 * len(texts)
+
+
+def test_in_spark(spark, net):
+    rows = [(1, "mail a.b@c.de or 1.2.3.4", "x"), (2, None, "x"), (None, "", "x"), (3, "é" * 300 + " +1 (017) 555-7713 " + "z" * 20000, "x"), (3, "4111 1111 1111 1111", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base string")
+    got = {(x.doc_id, pii._written((s.kind, s.start, s.stop) for s in x.base)) for x in pii.detect(df, net, ["doc_id"]).collect()}
+    assert got == {(1, "email:5:13,ip:17:24"), (2, ""), (None, ""), (3, "phone:301:318"), (3, "card:0:19")}
+    red = {(x.doc_id, x.text) for x in pii.redact(df, net).collect()}
+    assert red == {(1, "mail [EMAIL] or [IP]"), (2, None), (None, ""), (3, "é" * 300 + " [PHONE] " + "z" * 20000), (3, "[CARD]")}
+    assert pii.redact(df, net).columns == df.columns
+    assert pii.detect(df.limit(0), net, ["doc_id"]).count() == 0
+    assert isinstance(pii.fit(df), pii.Network)
