@@ -101,6 +101,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("__n", n).where(100 * F.col("__n") >= percent * (F.size("su") + F.size("sv") - F.col("__n"))).select("u", "v")
 
 
+def remaining_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of ``rest`` (id, n, label) with different labels that may still be linked; none that is linked is left out.
+
+    Shingles are put in one order: those that a single label has, which can't be
+    shared, then the rarest. If the first shingle that two sets share stands at
+    positions i and j, they share min(n - i, m - j) at most. Pairs meet at such
+    shingles only where this suffices, which limits each set to its first few.
+    """
+    ids = checkpoint(rest.select("id", "n", "label").distinct())
+    each = sets.join(ids, "id").select("id", "n", "label", F.explode("__set").alias("s"))
+    info = each.groupBy("s").agg(F.count("*").alias("df"), (F.min("label") < F.max("label")).alias("met"))
+    order = Window.partitionBy("id").orderBy("met", "df", "s")
+    first = each.join(info, "s").withColumn("left", F.col("n") - F.row_number().over(order) + 1)
+    first = checkpoint(first.where("met").where(100 * F.col("left") >= percent * F.col("n")).select("s", "id", "n", "left", "label"))
+    other = first.select("s", *[F.col(c).alias(c + "2") for c in ("id", "n", "left", "label")])
+    near = (100 + percent) * F.least("left", "left2") >= percent * (F.col("n") + F.col("n2"))
+    return first.join(other, "s").where("label < label2").where(near).select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
+
+
+def _mixed(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rest`` with each id's label, of the keys that have more than one."""
+    rest = rest.join(labels, rest.id == labels.node, "left").select(*rest.columns, F.coalesce("label", "id").alias("label"))
+    both = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    return checkpoint(rest.join(both, "key"))
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -116,11 +142,12 @@ def near_duplicates(
     document's set holds its distinct shingles of ``width`` words. Documents with
     equal sets form a class, named by its smallest id; only classes are compared.
     Candidates share a band of min-max values. Each bucket compares its members
-    with a pivot first. A bucket whose members are then still in more than one
-    component compares them with further pivots, taken from its smallest
-    components, until every pair is either compared or connected; so no link
-    between candidates is lost and no bucket emits all its pairs while they
-    are connected. Pairs are confirmed on whole sets.
+    with a pivot first; a bucket whose members are then still in more than one
+    component, with four more pivots from its largest component, which gathers
+    most near copies by few comparisons. Documents of buckets that are mixed even
+    then are all compared across components through
+    ``remaining_pairs``, an exact filter, so no link between candidates is lost
+    and no group emits all its pairs. Pairs are confirmed on whole sets.
 
     Null or wordless text: n_shingles 0, its own component. Null id: component_id
     null, kept true. Rows that share an id are one node. Other columns of
@@ -139,27 +166,28 @@ def near_duplicates(
     ids = members.select("id").distinct()
     sets = checkpoint(shingle_sets(docs.join(ids, "id", "left_semi"), width, "id", "text"))
     pairs = members.select("id", "n", F.col("lo.id").alias("pivot"), F.col("lo.n").alias("pn")).where("id <> pivot").where(fits)
-    links = checkpoint(confirmed(pairs.select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), sets, percent))
-    labels = components(links)
-    rest, pivots = members.where("id <> lo.id").select("key", "id", "n"), 4
-    while True:
-        rest = rest.join(labels, rest.id == labels.node, "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-        mixed = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        rest = checkpoint(rest.join(mixed, "key"))
-        if rest.isEmpty():
-            break
+
+    def _linked(pairs: DataFrame, links: DataFrame | None = None, labels: DataFrame | None = None):
+        more = checkpoint(confirmed(pairs, sets, percent))
+        if links is not None:
+            if more.isEmpty():
+                return links, labels
+            more = checkpoint(links.union(more))
+        return more, components(more)
+
+    links, labels = _linked(pairs.select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct())
+    rest = _mixed(members.where("id <> lo.id").select("key", "id", "n"), labels)
+    if not rest.isEmpty():
         sizes = rest.groupBy("key", "label").agg(F.count("*").alias("c"))
-        order = Window.partitionBy("key").orderBy("c", "label", "id")
-        first = rest.join(sizes, ["key", "label"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
+        order = Window.partitionBy("key").orderBy(F.desc("c"), "label", F.xxhash64("id"), "id")
+        first = rest.join(sizes, ["key", "label"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4)
         first = checkpoint(first.select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("plabel")))
         pairs = rest.join(first, "key").where("label <> plabel").where(fits)
-        pairs = pairs.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
-        more = checkpoint(confirmed(pairs, sets, percent))
-        if not more.isEmpty():
-            links = checkpoint(links.union(more))
-            labels = components(links)
+        links, labels = _linked(pairs.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct(), links, labels)
         rest = rest.join(first, (rest.key == first.key) & (rest.id == first.pivot), "left_anti").select("key", "id", "n")
-        pivots *= 8
+        rest = _mixed(rest, labels)
+    if not rest.isEmpty():
+        links, labels = _linked(remaining_pairs(rest, sets, percent), links, labels)
     named = classes.join(labels, classes.rep == labels.node, "left").select("__fp", F.coalesce("label", "rep").alias("component"))
     out = sig.withColumn("__fp", F.when(F.expr("n_shingles > 0 and id is not null"), F.col("__fp"))).join(named, "__fp", "left")
     component = F.coalesce("component", "id")
