@@ -347,7 +347,7 @@ def percentile_recall(spark, sf_dir):
     gt AS (SELECT DISTINCT b.item_id AS query_id, c.image_hash FROM benchmark b JOIN corpus c ON c.label = 'src' || (b.item_id % 20)),
     n AS (SELECT query_id, count(*) AS n FROM r GROUP BY ALL)
     SELECT g.query_id, top_k, least(top_k, any_value(n))::BIGINT AS candidate_count, count(*) AS gt_count, count(*) FILTER (rank <= top_k) AS recalled_gt_count, round(count(*) FILTER (rank <= top_k)::DOUBLE / count(*), 6) AS recall, 'bm25' AS backend
-    FROM gt g JOIN n USING (query_id) LEFT JOIN r ON r.query_id = g.query_id AND r.image_hash = g.image_hash, (VALUES (10), (20), (50)) k(top_k) GROUP BY ALL""")
+    FROM gt g JOIN n USING (query_id) LEFT JOIN r ON r.query_id = g.query_id AND r.image_hash = g.image_hash, (VALUES (10), (20), (50)) k(top_k) GROUP BY g.query_id, top_k""")
 def topk_hash_recall(spark, sf_dir):
     """The deduplicated flow end to end; a query's ground truth is the source numbered as its id modulo 20."""
     q = asked(spark, sf_dir)
