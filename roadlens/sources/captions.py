@@ -40,8 +40,9 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
         rows = spark.read.schema(CAPTION_ROW).json(path).select("*", F.monotonically_increasing_id().alias("corpus_pos"), F.col("_metadata.file_path").alias("file"))
         return as_corpus(rows, F.col("file"))
     files = spark.read.schema(CAPTION_FILE).option("multiLine", True).json(path).select("results", F.col("_metadata.file_path").alias("file"))
-    files = require(files, F.col("results").isNotNull(), "a caption file must have a list named results")
-    rows = files.select("file", F.posexplode("results").alias("pos", "r")).select("file", "pos", "r.*")
+    # inside the generator: a filter before it would give way to the one that the generator implies
+    results = F.coalesce("results", F.raise_error(F.lit("a caption file must have a list named results")))
+    rows = files.select("file", F.posexplode(results).alias("pos", "r")).select("file", "pos", "r.*")
     return as_corpus(rows.withColumn("corpus_pos", F.col("pos").cast("bigint")), F.col("file"))
 
 
