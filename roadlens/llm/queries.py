@@ -14,7 +14,7 @@ from .edit_counts import cleaning_edits, edited_counts
 from .hnsw import nearest
 from .minmax_dedup import near_duplicates
 from .packing import best_fit, word_lengths
-from .url_filter import judge_urls
+from .url_filter import TRACKING, judge_urls
 
 #: The rules of op1.
 RULES = (
@@ -101,5 +101,54 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Links of the same nodes both ways, and all that each node reaches.
+_REACH = """sides AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+    reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT reach.a, sides.v FROM reach JOIN sides ON sides.u = reach.b)"""
+
+
+def _address(url: str) -> dict[str, str]:
+    """SQL of the parts of a url, and of the address that names its aliases."""
+    rest = f"regexp_extract({url}, '(?s)^.*?://(.*)$', 1)"
+    host = _LOWER.format(f"regexp_extract({rest}, '(?s)^([^/?#]*)', 1)")
+    path = f"regexp_extract({rest}, '(?s)^[^/?#]*([^?#]*)', 1)"
+    asked = rf"list_sort(list_filter(string_split(regexp_extract({rest}, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^({TRACKING})=')))"
+    short = rf"regexp_replace({path}, '(/index)?(\.html?)?/*$', '')"
+    key = f"CASE WHEN {host} <> '' THEN {host} || {short} || CASE WHEN len({asked}) > 0 THEN '?' || array_to_string({asked}, '&') ELSE '' END END"
+    return {"host": host, "path": path, "key": key}
+
+
+def _op1_sql() -> str:
+    page, to = _address("url"), _address("target")
+    fits = lambda r: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+    ordered = sorted(RULES, key=lambda r: -len(r[0]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in ordered) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in ordered) + " END"
+    return rf"""WITH RECURSIVE parts AS (SELECT page_id, url, html, coalesce({page['host']}, '') AS host, coalesce({page['path']}, '') AS path, {page['key']} AS key FROM pages),
+    judged AS (SELECT *, {verdict} AS own FROM (SELECT *, {rule} AS rule FROM parts)),
+    tags AS (SELECT key AS u, url, host, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM parts),
+    named AS (SELECT u, url, host, regexp_extract(tag, '(?is)(?:href\s*=\s*|url\s*=\s*)["'']?([^"''\s>]+)', 1) AS t FROM tags
+      WHERE regexp_matches(tag, '(?i)rel\s*=\s*["'']?canonical|http-equiv\s*=\s*["'']?refresh')),
+    targets AS (SELECT u, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://)', 1) || host || t ELSE t END AS target FROM named),
+    links AS (SELECT u, {to['key']} AS v FROM targets WHERE contains(target, '://')),
+    nodes AS (SELECT DISTINCT key AS node FROM parts WHERE key IS NOT NULL UNION SELECT v FROM links), {_REACH},
+    alias AS (SELECT a AS key, min(b) AS alias FROM reach GROUP BY a),
+    ruled AS (SELECT alias, bool_or(own = 'allow') AS allowed FROM judged JOIN alias USING (key) WHERE own IS NOT NULL GROUP BY alias)
+    SELECT page_id, host, path, rule, coalesce(own, CASE WHEN allowed THEN 'allow' WHEN NOT allowed THEN 'block' END, 'allow') AS verdict, alias
+    FROM judged LEFT JOIN alias USING (key) LEFT JOIN ruled USING (alias)"""
+
+
+_OP4_SQL = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+    n AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY ALL),
+    shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT u, v FROM shared JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 85 * (a.n + b.n - i)),
+    nodes AS (SELECT doc_id AS node FROM documents), {_REACH},
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those that it can express; tests/llm holds the others against brute force."""
+    return {"op1_url_alias_filter": _op1_sql(), "op4_minmax_near_dedup": _OP4_SQL}
