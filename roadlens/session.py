@@ -1,7 +1,15 @@
-"""A session with the settings that the engine's plans count on."""
+"""Sessions with the settings that the engine's plans count on, and workers that find the package."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(app: str = "roadlens", **conf: str) -> SparkSession:
     """Adaptive execution with skew joins on, and UTC; anything else, such as master and memory, through ``conf`` or spark-submit."""
@@ -13,4 +21,22 @@ def session(app: str = "roadlens", **conf: str) -> SparkSession:
     }
     for k, v in (fixed | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the package to the workers, once a context, unless they can be expected to have it: on PYTHONPATH or in the working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped or not os.path.isdir(root) or root in map(os.path.abspath, filter(None, paths)):
+        return spark
+    out = os.path.join(tempfile.mkdtemp(prefix="spark-"), "roadlens.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "roadlens")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(out)
+    _shipped.add(sc.applicationId)
+    return spark
