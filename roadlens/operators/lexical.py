@@ -37,8 +37,24 @@ class Postings:
         return Postings(*(spark.read.parquet(f"{folder}/{n}") for n in ("corpus", "postings", "terms")))
 
 
-def _counted(corpus: DataFrame, terms: Column) -> DataFrame:
-    return corpus.select("corpus_pos", F.explode(terms).alias("term")).groupBy("corpus_pos", "term").agg(F.count("*").alias("tf"))
+#: Up to so many different (query, term) pairs are broadcast in a search.
+MOST_TERMS = 500_000
+
+
+def _dealt(corpus: DataFrame, terms: Column) -> DataFrame:
+    """(corpus_pos, toks), dealt by document before it is exploded: counts per document and term, and later sums per query and document, then stay where they are."""
+    return corpus.select("corpus_pos", terms.alias("toks")).repartition("corpus_pos")
+
+
+def _query_terms(queries: DataFrame, terms: Column) -> tuple[DataFrame, bool]:
+    """(query_id, term, qtf), and whether there are few enough to be broadcast."""
+    q = queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return q, q.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+
+
+def _scores(index: Postings, q: DataFrame, few: bool) -> DataFrame:
+    """Sums of query weight ``q`` times posting weight. Few query terms go to the postings, which then need no shuffle; more are met by term."""
+    return index.postings.join(F.broadcast(q) if few else q, "term").groupBy("query_id", "corpus_pos").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
 
 
 def bm25_index(corpus: DataFrame, text: str = "caption") -> Postings:
@@ -47,7 +63,7 @@ def bm25_index(corpus: DataFrame, text: str = "caption") -> Postings:
     Document lengths come from the token arrays, before they are exploded, and
     travel with the postings; corpus size and mean length are one small row.
     """
-    toks = corpus.select("corpus_pos", tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks"))
+    toks = _dealt(corpus, tokens(F.coalesce(F.col(text), F.lit("")))).withColumn("dl", F.size("toks"))
     tf = toks.select("corpus_pos", "dl", F.explode("toks").alias("term")).groupBy("corpus_pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     size = toks.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -59,9 +75,8 @@ def bm25_index(corpus: DataFrame, text: str = "caption") -> Postings:
 
 def bm25_scores(index: Postings, queries: DataFrame, text: str = "search_query") -> DataFrame:
     """(query_id, corpus_pos, score) of documents that share a token with the query; a query's repeats count."""
-    q = queries.select("query_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    q = q.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q"))
-    return index.postings.join(q, "term").groupBy("query_id", "corpus_pos").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+    q, few = _query_terms(queries, tokens(F.col(text)))
+    return _scores(index, q.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q")), few)
 
 
 def bm25_search(index: Postings, queries: DataFrame, k: int, text: str = "search_query") -> DataFrame:
@@ -73,7 +88,8 @@ def bm25_search(index: Postings, queries: DataFrame, k: int, text: str = "search
 
 def tfidf_index(corpus: DataFrame, text: str = "caption") -> Postings:
     """Postings of words and word pairs with smooth idf, each document's weights of length one."""
-    tf = _counted(corpus, grams(F.coalesce(F.col(text), F.lit(""))))
+    toks = _dealt(corpus, grams(F.coalesce(F.col(text), F.lit(""))))
+    tf = toks.select("corpus_pos", F.explode("toks").alias("term")).groupBy("corpus_pos", "term").agg(F.count("*").alias("tf"))
     n = corpus.agg(F.count("*").cast("double").alias("n"))
     terms = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighed = tf.join(terms, "term").select("corpus_pos", "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
@@ -82,9 +98,9 @@ def tfidf_index(corpus: DataFrame, text: str = "caption") -> Postings:
 
 
 def tfidf_search(index: Postings, queries: DataFrame, k: int, text: str = "search_query") -> DataFrame:
-    q = queries.select("query_id", F.explode(grams(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    q, few = _query_terms(queries, grams(F.col(text)))
     q = q.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     q = q.join(norm, "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("q"))
-    scores = index.postings.join(q, "term").groupBy("query_id", "corpus_pos").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+    scores = _scores(index, q, few)
     return named(with_unmatched(scores, queries, index.corpus, k), index.corpus, k)

@@ -22,18 +22,19 @@ def with_unmatched(matched: DataFrame, queries: DataFrame, corpus: DataFrame, k:
     """``matched`` (query_id, corpus_pos, score), and for queries with fewer than ``k`` positive scores the first rows that scored nothing, at 0.
 
     A search scores all of the corpus, but zeros only matter where positive scores
-    run out; then they come in corpus order. At most k plus a query's matches of the
-    first rows are needed for that, so the corpus is never crossed with the queries.
+    run out; then they come in corpus order. A query whose matches are all positive
+    has fewer than k, so the first 2 k rows hold enough others. Only where
+    matches score zero or less, as in a corpus whose words are mostly
+    everywhere, are such queries met with all of the corpus.
     """
     n = matched.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count("*").alias("n"))
     few = queries.select("query_id").join(n, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k)
-    few = few.select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
-    most = few.agg(F.max("n")).first()[0]
-    if most is None:
-        return matched
-    first = corpus.select("corpus_pos").orderBy("corpus_pos").limit(k + most)
-    zeros = few.select("query_id").crossJoin(first).join(matched.select("query_id", "corpus_pos"), ["query_id", "corpus_pos"], "left_anti")
-    return matched.unionByName(zeros.withColumn("score", F.lit(0.0)))
+    odd = F.coalesce(F.col("n") > F.col("above"), F.lit(False))
+    first = F.broadcast(corpus.select("corpus_pos").orderBy("corpus_pos").limit(2 * k))
+    near = matched.join(first, "corpus_pos", "left_semi").select("query_id", "corpus_pos")
+    usual = few.where(~odd).select("query_id").crossJoin(first).join(near, ["query_id", "corpus_pos"], "left_anti")
+    rest = few.where(odd).select("query_id").crossJoin(corpus.select("corpus_pos")).join(matched.select("query_id", "corpus_pos"), ["query_id", "corpus_pos"], "left_anti")
+    return matched.unionByName(usual.unionByName(rest).withColumn("score", F.lit(0.0)))
 
 
 def named(scored: DataFrame, corpus: DataFrame, k: int) -> DataFrame:

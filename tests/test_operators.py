@@ -100,6 +100,15 @@ def test_bm25_scores_order_and_zeros(spark):
     assert lexical.bm25_search(index, asked(spark, qs).limit(0), 3).count() == 0
 
 
+def test_bm25_where_matches_score_nothing_or_less(spark):
+    texts = ["a b", "a b c", "a", "b a", "a b d", "zz"]
+    got = lexical.bm25_search(lexical.bm25_index(corpus(spark, texts)), asked(spark, ["a b", "c"]), 6).collect()
+    for q, text in enumerate(["a b", "c"]):
+        s = plain_bm25(texts, text)
+        want = sorted(range(len(s)), key=lambda i: (-round(s[i], 9), i))
+        assert [int(x.image_id) for x in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)] == want
+
+
 def test_tfidf_of_equal_texts_is_one(spark):
     index = lexical.tfidf_index(corpus(spark, CAPTIONS))
     got = lexical.tfidf_search(index, asked(spark, ["Red bús", "zzz"]), 3).collect()
