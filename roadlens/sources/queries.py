@@ -28,6 +28,7 @@ def parse_queries(documents: DataFrame, value: str = "value", mode: str = "searc
     keep = [id_col] if id_col else []
     doc.createOrReplaceTempView("__roadlens_queries")
     items = doc.sparkSession.sql(f"select {', '.join([*(f'd.{k}' for k in keep), 'i.pos', 'i.value as item'])} from __roadlens_queries d, lateral variant_explode(variant_get(d.__v, '$.queries', 'variant')) i")
+    doc.sparkSession.catalog.dropTempView("__roadlens_queries")
     kind = F.expr("schema_of_variant(item)")
     plain = F.when(kind == "STRING", F.expr("variant_get(item, '$', 'string')"))
     if scalars:
