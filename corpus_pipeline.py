@@ -26,8 +26,11 @@ def _at(docs: DataFrame, name: str) -> str | None:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine scores at LEAST_SCORE or more; all, where labels of one class or none leave it untrained."""
-    machine = factorization.fit(docs, table(spark, sf_dir, "labels"), where=lambda c: ~factorization.held_out(c))
+    """Documents that the factorisation machine scores at LEAST_SCORE or more; all, where labels of one class or none leave it untrained.
+
+    It is fitted on the labelled rows of the raw documents, whatever ``docs`` has.
+    """
+    machine = factorization.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), where=lambda c: ~factorization.held_out(c))
     if not machine.trained:
         return docs
     own = _shielded(docs)
@@ -36,8 +39,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no learned rule rejects."""
-    rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
+    """Documents that no learned rule rejects.
+
+    The rules are learned from the labelled rows of the raw documents: those that an
+    earlier stage kept have hardly a bad one left to learn from.
+    """
+    rules = decision_list.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     own = _shielded(docs)
     return decision_list.judged(own, rules, own.columns, _at(docs, "text")).where("rule is null").select(own.columns).toDF(*docs.columns)
 
