@@ -221,7 +221,10 @@ class Encoder:
 
     def pretokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Characters and tokens of each pre-token of a text; special tokens count as ordinary text."""
-        place = self.place(self._plain(text))
+        return self.counts_of(self.place(self._plain(text)))
+
+    def counts_of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of each pre-token of the units at ``place``, in order."""
         start, n = self.pt_end[place], self.pt_end[place + 1] - self.pt_end[place]
         return gather(self.pt_len, start, n)[0], gather(self.pt_tok, start, n)[0]
 

@@ -21,9 +21,9 @@ class CountTree:
     A leaf that an edit touched may hold several pre-tokens or none.
     """
 
-    def __init__(self, text: str, encoder: Encoder):
+    def __init__(self, text: str, encoder: Encoder, counts: tuple[np.ndarray, np.ndarray] | None = None):
         self.encoder, self.text = encoder, text
-        lens, toks = encoder.pretokens(text)
+        lens, toks = counts or encoder.pretokens(text)
         self.n = len(lens)
         self.m = 1 << max(0, (self.n - 1).bit_length())
         self.chars, self.toks = np.zeros(2 * self.m, np.int64), np.zeros(2 * self.m, np.int64)
@@ -145,13 +145,20 @@ def edited_counts(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
         e = Encoder(path, special=False)
 
         def f(texts, batch):
-            e.place([u for t in texts for u in e._plain(t)])
+            edits = batch.column(1).to_pylist()
+            units = [e._plain(t) for t in texts]
+            ends = np.cumsum([len(u) for u in units])
+            place = e.place([u for each in units for u in each])
+            tokens = np.concatenate(([0], np.cumsum(e.id_end[place + 1] - e.id_end[place])))
+            tokens = np.diff(tokens[np.concatenate(([0], ends))]).tolist()
+            counts = {i: e.counts_of(place[ends[i] - len(units[i]) : ends[i]]) for i, x in enumerate(edits) if x}
+            del units
             rows = []
-            for t, edits in zip(texts, batch.column(1).to_pylist(), strict=True):
-                if edits:
-                    tree = CountTree(t, e)
-                    before, shift, upto, done = tree.tokens, 0, 0, 0
-                    for x in sorted((x for x in edits if x and x["start"] is not None and x["stop"] is not None), key=lambda x: x["start"]):
+            for i, (t, before) in enumerate(zip(texts, tokens, strict=True)):
+                if edits[i]:
+                    tree = CountTree(t, e, counts.pop(i))
+                    shift, upto, done = 0, 0, 0
+                    for x in sorted((x for x in edits[i] if x and x["start"] is not None and x["stop"] is not None), key=lambda x: x["start"]):
                         a, b = min(max(x["start"], 0), len(t)), min(x["stop"], len(t))
                         if a < upto or b < a:
                             continue
@@ -160,14 +167,13 @@ def edited_counts(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
                         shift, upto, done = shift + len(new) - (b - a), b, done + 1
                     rows.append((len(t), before, done, tree.length, tree.tokens, tree.encoded_chars))
                 else:
-                    n = int(e.pretokens(t)[1].sum())
-                    rows.append((len(t), n, 0, len(t), n, 0))
+                    rows.append((len(t), before, 0, len(t), before, 0))
             return [list(x) for x in zip(*rows, strict=True)]
 
         return f
 
     out = "n_chars long, n_tokens long, n_edits int, n_chars_after long, n_tokens_after long, n_chars_encoded long"
-    return map_text(src, [id_col, "__edits"], out, make, "__t", as_bytes=False).drop("__edits")
+    return map_text(src, [id_col, "__edits"], out, make, "__t", as_bytes=False, most=8 << 20).drop("__edits")
 
 
 def cleaning_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
