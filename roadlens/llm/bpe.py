@@ -153,6 +153,7 @@ class Encoder:
     def __init__(self, path: str, special: bool = True, most: int = 250_000):
         self.v, self.most = vocabulary(path), most
         self.special = special and self.v.split is not None
+        self.few: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -186,6 +187,16 @@ class Encoder:
             self._learn(new)
         return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
 
+    def tokens_of(self, pretokens: list[str]) -> int:
+        """Tokens of a few pre-tokens together; their counts have a table of their own, which grows in place."""
+        new = [p for p in set(pretokens) if p not in self.few]
+        if new:
+            if len(self.few) + len(new) > self.most:
+                self.few.clear()
+                new = list(set(pretokens))
+            self.few.update(zip(new, self.v.encode_words([p.encode() for p in new])[1].tolist(), strict=True))
+        return sum(map(self.few.__getitem__, pretokens))
+
     def _learn(self, new: list) -> None:
         words: dict[str, int] = {}
         lists = [() if isinstance(u, tuple) else [words.setdefault(p, len(words)) for p in self.v.find(u)] for u in new]

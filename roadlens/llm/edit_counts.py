@@ -101,12 +101,12 @@ class CountTree:
                     continue
             upto = self._leaf_end(first, old[q]) if q in old else last - 1
             break
-        counts = [int(self.encoder.pretokens(p)[1].sum()) for p in pieces]
+        tokens = self.encoder.tokens_of(pieces)
         self.encoded_chars += q
         hi = max(upto, first)
         self.chars[self.m + first : self.m + hi + 1] = 0
         self.toks[self.m + first : self.m + hi + 1] = 0
-        self.chars[self.m + first], self.toks[self.m + first] = q, sum(counts)
+        self.chars[self.m + first], self.toks[self.m + first] = q, tokens
         for i in range(first + 1, hi + 1):
             self.changed[i] = []
         self.changed[first] = pieces
