@@ -150,7 +150,7 @@ class Encoder:
     white space beside a space, its pre-tokens are the units.
     """
 
-    def __init__(self, path: str, special: bool = True, most: int = 250_000):
+    def __init__(self, path: str, special: bool = True, most: int = 600_000):
         self.v, self.most = vocabulary(path), most
         self.special = special and self.v.split is not None
         self.few: dict[str, int] = {}
