@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 RANKED = ("query_id", "rank", "image_id", "image_path", "score")
 
 
-def top_k(scored: DataFrame, k: int, tie: str = "corpus_pos", digits: int = 9) -> DataFrame:
-    """The ``k`` best rows of each query as a ranked frame, in one window that is cut before the shuffle.
+def top_k(scored: DataFrame, k: int | None, tie: str = "corpus_pos", digits: int = 9) -> DataFrame:
+    """The ``k`` best rows of each query as a ranked frame, in one window that is cut before the shuffle; all rows where ``k`` is None.
 
     Scores are compared to ``digits`` places, so that sums in another order don't
     break ties differently; those go to the smaller ``tie``.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), F.asc(tie))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*RANKED)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select(*RANKED)
 
 
 def with_unmatched(matched: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:

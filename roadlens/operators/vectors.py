@@ -40,8 +40,8 @@ def embedding_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     return both.select("query_id", "corpus_pos", "image_id", "image_path", inner_product(F.col("embedding"), F.col("vector")).alias("score"))
 
 
-def embedding_search(corpus: DataFrame, queries: DataFrame, k: int, least: float | None = None, skip_self: bool = False) -> DataFrame:
-    """Ranked frame. ``least`` drops lower scores before the cut; ``skip_self`` drops rows whose image_id is the query's id."""
+def embedding_search(corpus: DataFrame, queries: DataFrame, k: int | None, least: float | None = None, skip_self: bool = False) -> DataFrame:
+    """Ranked frame, whole where ``k`` is None. ``least`` drops lower scores before the cut; ``skip_self`` drops rows whose image_id is the query's id."""
     scored = embedding_scores(corpus, queries)
     if skip_self:
         scored = scored.where(F.col("image_id") != F.col("query_id").cast("string"))

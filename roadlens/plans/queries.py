@@ -50,7 +50,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("display_query"), F.col("text").alias("search_query"))
 
 
-def semantic(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def semantic(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
     have = e.select(F.col("vec_id").alias("corpus_pos"), F.col("vec_id").cast("string").alias("image_id"), F.concat(F.lit("v/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("image_path"), "embedding")
     q = e.join(asked(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector"))
@@ -337,7 +337,7 @@ _CUTS = "(VALUES (10), (20), (30), (50)) p(percent)"
     FROM truth t LEFT JOIN sem s ON s.query_id = t.query_id AND s.image_path = t.gt_key, c GROUP BY ALL""")
 def percentile_recall(spark, sf_dir):
     total = _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("total"))
-    r = evaluate.percentile_recall(semantic(spark, sf_dir, 10**6), truth(spark, sf_dir), (10, 20, 30, 50), total)
+    r = evaluate.percentile_recall(semantic(spark, sf_dir, None), truth(spark, sf_dir), (10, 20, 30, 50), total)
     return r.select("query_id", "percent", "candidate_count", "gt_count", "recalled_gt_count", "recall", F.md5(F.array_join("recalled", "|")).alias("recalled_md5"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.operators import compare, dedup, evaluate, fusion, lexical, sample, vectors
 from roadlens.operators.rank import top_k
+from roadlens.plans import queries as engine
 
 RANKED = "query_id bigint, rank int, image_id string, image_path string, score double"
 
@@ -195,3 +196,14 @@ def test_samples(spark):
 def test_top_k_breaks_ties_by_place(spark):
     df = spark.createDataFrame([(1, i, str(i), "", 1.0 + 1e-12 * i) for i in range(5)], "query_id bigint, corpus_pos bigint, image_id string, image_path string, score double")
     assert ids(top_k(df, 3)) == ["0", "1", "2"]
+
+
+def test_percentile_recall_ranks_past_a_million(spark, tmp_path):
+    """Vector 0 asks; scores fall with the id, so the top half of 2,100,000 ends at id 1,050,000."""
+    n = 2_100_000
+    label = F.when(F.col("id").isin(0, 5, 1_020_000, 2_000_000), 1).otherwise(0)
+    v = F.array((1 - F.col("id") / n).cast("double"))
+    spark.range(n).select(F.col("id").alias("vec_id"), v.alias("embedding"), label.alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "x")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x.percent: (x.candidate_count, x.recalled_gt_count) for x in engine.percentile_recall(spark, str(tmp_path)).collect()}
+    assert got == {10: (210_000, 1), 20: (420_000, 1), 30: (630_000, 1), 50: (1_050_000, 2)}
