@@ -79,17 +79,30 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str,
     return map_text(docs, [id_col], "n_shingles long, __fp binary, __bands array<bigint>", make, text_col)
 
 
-def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str, repeated: str | None = None) -> DataFrame:
+    """id, __fp (64 bits of the set) and __set: one row for each id and set.
+
+    ``repeated`` names a boolean column that is true in all rows of every id with
+    more than one row; only those rows are then shuffled. Without it, all are.
+    """
+
     def make():
         hashes = WordHash()
 
         def f(texts, _):
-            sets = [shingles(t.lower().split(), width, hashes).view(np.int64) for t in texts]
-            return [list_array(np.concatenate(sets), [len(s) for s in sets], pa.int64())]
+            sets = [shingles(t.lower().split(), width, hashes) for t in texts]
+            fps = [int(np.bitwise_xor.reduce(mix64(s + np.uint64(_A[0])))) if len(s) else 0 for s in sets]
+            return [np.array(fps, np.uint64).view(np.int64), list_array(np.concatenate(sets).view(np.int64), [len(s) for s in sets], pa.int64())]
 
         return f
 
-    return map_text(docs, [id_col], "__set array<bigint>", make, text_col)
+    keep = [id_col] if repeated is None else [id_col, repeated]
+    sets = map_text(docs, keep, "__fp long, __set array<bigint>", make, text_col)
+    key = [id_col, "__fp"]
+    if repeated is None:
+        return sets.dropDuplicates(key)
+    sets = checkpoint(sets)
+    return sets.where(~col(repeated)).unionByName(sets.where(col(repeated)).dropDuplicates(key)).drop(repeated)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -102,17 +115,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def remaining_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of ``rest`` (id, n, label) with different labels that may still be linked; none that is linked is left out.
+    """(u, v) of ``rest`` (id, label) with different labels that may still be linked; none that is linked is left out.
 
+    ``sets`` has one row for each id and set; an id may have several sets.
     Shingles are put in one order: those that a single label has, which can't be
     shared, then the rarest. If the first shingle that two sets share stands at
     positions i and j, they share min(n - i, m - j) at most. Pairs meet at such
     shingles only where this suffices, which limits each set to its first few.
     """
-    ids = checkpoint(rest.select("id", "n", "label").distinct())
-    each = sets.join(ids, "id").select("id", "n", "label", F.explode("__set").alias("s"))
+    ids = checkpoint(rest.select("id", "label").distinct())
+    each = sets.join(ids, "id").select("id", "__fp", F.size("__set").alias("n"), "label", F.explode("__set").alias("s"))
     info = each.groupBy("s").agg(F.count("*").alias("df"), (F.min("label") < F.max("label")).alias("met"))
-    order = Window.partitionBy("id").orderBy("met", "df", "s")
+    order = Window.partitionBy("id", "__fp").orderBy("met", "df", "s")
     first = each.join(info, "s").withColumn("left", F.col("n") - F.row_number().over(order) + 1)
     first = checkpoint(first.where("met").where(100 * F.col("left") >= percent * F.col("n")).select("s", "id", "n", "left", "label"))
     other = first.select("s", *[F.col(c).alias(c + "2") for c in ("id", "n", "left", "label")])
@@ -163,8 +177,9 @@ def near_duplicates(
     lows = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lo"), F.max("id").alias("hi")).where("lo.id < hi")
     members = checkpoint(members.join(lows, "key").select("key", "id", "n", "lo"))
     fits = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    ids = members.select("id").distinct()
-    sets = checkpoint(shingle_sets(docs.join(ids, "id", "left_semi"), width, "id", "text"))
+    many = full.groupBy("id").agg((F.count("*") > 1).alias("__many"))
+    ids = members.select("id").distinct().join(many, "id")
+    sets = checkpoint(shingle_sets(docs.join(ids, "id"), width, "id", "text", "__many"))
     pairs = members.select("id", "n", F.col("lo.id").alias("pivot"), F.col("lo.n").alias("pn")).where("id <> pivot").where(fits)
 
     def _linked(pairs: DataFrame, links: DataFrame | None = None, labels: DataFrame | None = None):
@@ -176,7 +191,7 @@ def near_duplicates(
         return more, components(more)
 
     links, labels = _linked(pairs.select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct())
-    rest = _mixed(members.where("id <> lo.id").select("key", "id", "n"), labels)
+    rest = _mixed(members.where("id <> lo.id or n <> lo.n").select("key", "id", "n"), labels)
     if not rest.isEmpty():
         sizes = rest.groupBy("key", "label").agg(F.count("*").alias("c"))
         order = Window.partitionBy("key").orderBy(F.desc("c"), "label", F.xxhash64("id"), "id")
@@ -184,7 +199,7 @@ def near_duplicates(
         first = checkpoint(first.select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("plabel")))
         pairs = rest.join(first, "key").where("label <> plabel").where(fits)
         links, labels = _linked(pairs.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct(), links, labels)
-        rest = rest.join(first, (rest.key == first.key) & (rest.id == first.pivot), "left_anti").select("key", "id", "n")
+        rest = rest.join(first, (rest.key == first.key) & (rest.id == first.pivot) & (rest.n == first.pn), "left_anti").select("key", "id", "n")
         rest = _mixed(rest, labels)
     if not rest.isEmpty():
         links, labels = _linked(remaining_pairs(rest, sets, percent), links, labels)

@@ -2,7 +2,7 @@ import random
 import re
 
 from roadlens.llm.components import components
-from roadlens.llm.minmax_dedup import near_duplicates
+from roadlens.llm.minmax_dedup import near_duplicates, remaining_pairs, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,3 +76,34 @@ def test_a_chain_behind_a_foreign_pivot_is_found(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(x) for x in near_duplicates(df, 3, 85).collect()} == brute(rows, 3, 85)
+
+
+def test_repeated_rows_and_ids_with_two_texts_stay_in_remaining_pairs(spark):
+    """Two sets of 100 shingles share 92; one comes in a repeated row, or its id has another text too."""
+    a = [f"t{i}" for i in range(100)]
+    b = a[:92] + [f"u{i}" for i in range(8)]
+    rest = spark.createDataFrame([(1, 100, 1), (2, 100, 2), (3, 100, 2)], "id long, n long, label long")
+    others = (3, " ".join([*a[8:], *(f"v{i}" for i in range(8))]))
+    for more in ((1, " ".join(a).upper()), (1, " ".join(f"{x}" for x in [*a[:40], "z1", "z2"]))):
+        rows = [(1, " ".join(a)), more, (2, " ".join(b)), others]
+        sets = shingle_sets(spark.createDataFrame(rows, "id long, text string"), 1, "id", "text")
+        got = {tuple(x) for x in remaining_pairs(rest, sets, 85).collect()}
+        assert {(u, v) for u, v, _, linked in brute_pairs(rows, 85) if linked and u == 1} <= got
+
+
+def brute_pairs(rows, percent):
+    out = []
+    for i, s in rows:
+        for j, t in rows:
+            if i < j:
+                x, y = set(s.lower().split()), set(t.lower().split())
+                out.append((i, j, len(x & y), 100 * len(x & y) >= percent * len(x | y)))
+    return out
+
+
+def test_near_copies_that_repeat_equal_brute_force(spark):
+    rows = corpus()
+    rows += [(i, t.upper() if t else t) for i, t in rows[::2]] + rows[::3]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(x) for x in near_duplicates(df, 3, 85).collect()]
+    assert len(got) == len(rows) and set(got) == brute(rows, 3, 85)
