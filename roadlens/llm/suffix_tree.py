@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, crc_mod, slices
+from .common import WordHash, col, crc_mod, ensure_checkpoint_dir, mix64, slices
 
 #: The token after the last word of every text. No word has a space.
 END = b" "
@@ -24,6 +26,14 @@ def _words(docs: DataFrame, text_col: str, keep=()) -> DataFrame:
     return docs.select(*keep, F.coalesce(col(text_col).cast("string"), F.lit("")).alias("__t"))
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder, which takes less room than a checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def word_counts(docs: DataFrame, text_col: str = "text", most: int = 300_000) -> DataFrame:
     """(word, c) over all tokens, END included; each task adds up its words before the shuffle."""
 
@@ -58,157 +68,278 @@ class Lookup:
         return np.where(self.keys[i] == k, i, -1)
 
 
-def _ids(words: dict[bytes, int], seqs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of all texts in one array (-1: rare), the number before each (END before a text) and two before (-1 at the start)."""
-    get = words.get
+def word_hashes() -> WordHash:
+    """Hashes of words as xxhash64 of SQL gives them."""
+    import xxhash
+
+    out = WordHash()
+    out.hash = functools.partial(xxhash.xxh64_intdigest, seed=42)
+    return out
+
+
+def gram(o: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Key of context ``o`` followed by ``x``; both are word hashes, or keys of the pairs that overlap in one word."""
+    return mix64(mix64(o) * np.uint64(0x9E3779B97F4A7C15) + x)
+
+
+def _grams(hashes: WordHash, seqs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts in one array: word hashes, hashes before each (END before a text), keys of these pairs, and the places that two words of a text precede (END counts)."""
     n = np.fromiter(map(len, seqs), np.int64, len(seqs))
-    flat = np.fromiter((get(w, -1) for s in seqs for w in s), np.int64, int(n.sum()))
+    w = hashes.of([x for s in seqs for x in s])
     first = np.cumsum(n) - n
-    b = np.empty_like(flat)
-    b[1:] = flat[:-1]
-    b[first] = get(END, -1)
-    a = np.empty_like(flat)
-    a[1:] = b[:-1]
-    a[first] = -1
-    return flat, b, a
+    b = np.empty_like(w)
+    b[1:] = w[:-1]
+    b[first] = np.uint64(hashes[END])
+    second = np.ones(len(w), bool)
+    second[first] = False
+    return w, b, gram(b, w), np.flatnonzero(second)
+
+
+#: Bits of the filters of keys at most, and the segments that make them at least.
+FILTER_BITS, SEGMENTS = 28, 64
+
+
+def _sizes(n: int) -> tuple[int, int]:
+    """Logarithm of the filter's bits for ``n`` tokens, and its segments."""
+    bits = min(FILTER_BITS, max(16, (4 * n).bit_length()))
+    return bits, 1 << max(SEGMENTS.bit_length() - 1, min(bits - 3, (n >> 22).bit_length()))
+
+
+def passes(bitmap: np.ndarray, k: np.ndarray) -> np.ndarray:
+    at = k >> np.uint64(65 - (8 * len(bitmap)).bit_length())
+    return (bitmap[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & 128 > 0
+
+
+def _bitmap(keys: DataFrame, bits: int, segments: int, times: int) -> np.ndarray:
+    """Bits of the places that occur ``times`` (1 or 2) in ``keys`` (s: segment; places: their sorted uint32 places in it as differences, by byte planes)."""
+    size = (1 << bits) // segments
+
+    def one(t: pa.Table) -> pa.Table:
+        seen = np.zeros(size, np.uint8)
+        for x in t.column("places").to_pylist():
+            at, n = np.unique(np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.int64), return_counts=True)
+            seen[at] = np.minimum(seen[at] + n, 2)
+        return pa.table({"s": t.column("s").slice(0, 1), "bits": pa.array([np.packbits(seen >= times).tobytes()], pa.binary())})
+
+    out = np.zeros((segments, size // 8), np.uint8)
+    for r in keys.groupBy("s").applyInArrow(lambda t: one(t), "s long, bits binary").collect():
+        out[r.s] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
 
 
-def _gram_counts(docs: DataFrame, text_col: str, key, least: int) -> DataFrame:
-    """(k, c) of the keys that ``key(sequences)`` returns, -1 left out, where c >= least."""
+def _placed(k: np.ndarray, c: np.ndarray, bits: int, segments: int) -> pa.RecordBatch:
+    """(s, places) of distinct sorted keys, those with c > 1 twice."""
+    at = np.repeat(k >> np.uint64(64 - bits), np.minimum(c, 2)).astype(np.int64)
+    size = (1 << bits) // segments
+    names, first = np.unique(at // size, return_index=True)
+    blobs = [np.diff(x % size, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for x in np.split(at, first[1:])] if len(at) else []
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["s", "places"])
+
+
+def _twice(docs: DataFrame, text_col: str, order: int, total: int) -> np.ndarray:
+    """A bitmap that has every sequence of ``order`` words seen twice, and some others by chance; a full one has all."""
+    bits, segments = _sizes(total)
+
+    def run(batches):
+        hashes, held = word_hashes(), []
+
+        def out():
+            k, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return _placed(k, c, bits, segments)
+
+        for batch in slices(batches, 0):
+            _, _, pair, at = _grams(hashes, _sequences(batch, 0))
+            held.append(pair if order == 2 else gram(pair[at - 1], pair[at]))
+            if sum(map(len, held)) > 4_000_000:
+                yield out()
+        if held:
+            yield out()
+
+    return _bitmap(_words(docs, text_col).mapInArrow(run, "s long, places binary"), bits, segments, 2)
+
+
+def _gram_counts(docs: DataFrame, text_col: str, order: int, least: int, twice) -> DataFrame:
+    """(k, o, x, c): keys of sequences of ``order`` words, context and rest as in ``gram``, and counts of ``least`` or more.
+
+    Sequences that the broadcast bitmap ``twice`` shows to occur once are left out before
+    the shuffle. It leaves out no other, and the rest is counted exactly.
+    """
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        hashes, held = word_hashes(), []
 
         def merged():
-            k = np.concatenate([x for x, _ in held]) if held else np.zeros(0, np.int64)
-            c = np.concatenate([x for _, x in held]) if held else np.zeros(0, np.int64)
-            u, at = np.unique(k, return_inverse=True)
-            held[:] = [(u, np.bincount(at, c, len(u)).astype(np.int64))]
+            k, o, x, c = (np.concatenate(y) for y in zip(*held, strict=True))
+            u, at, back = np.unique(k, return_index=True, return_inverse=True)
+            held[:] = [(u, o[at], x[at], np.bincount(back, c, len(u)).astype(np.int64))]
             return held[0]
 
-        for b in slices(batches, 0):
-            k = key(_sequences(b, 0))
-            held.append(np.unique(k[k >= 0], return_counts=True))
-            if len(held) > 8:
-                u, c = merged()
-                if len(u) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["k", "c"])
-                    held.clear()
-        u, c = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["k", "c"])
+        def out():
+            _, o, x, c = merged()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(o.view(np.int64)), pa.array(x.view(np.int64)), pa.array(c)], names=["o", "x", "c"])
+
+        for batch in slices(batches, 0):
+            w, b, pair, at = _grams(hashes, _sequences(batch, 0))
+            o, x = (b, w) if order == 2 else (pair[at - 1], pair[at])
+            k = pair if order == 2 else gram(o, x)
+            if twice is not None:
+                some = passes(twice.value, k)
+                k, o, x = k[some], o[some], x[some]
+            k, i, c = np.unique(k, return_index=True, return_counts=True)
+            held.append((k, o[i], x[i], c))
+            if len(held) > 6 and len(merged()[0]) > 2_000_000:
+                yield out()
+        if held:
+            yield out()
+
+    def keyed(batches):
+        for batch in batches:
+            o, x = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(gram(o, x).view(np.int64)), *batch.columns], names=["k", "o", "x", "c"])
 
-    return _words(docs, text_col).mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    got = _words(docs, text_col).mapInArrow(run, "o long, x long, c long").groupBy("o", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return got.mapInArrow(keyed, "k long, o long, x long, c long")
 
 
 @dataclass
 class Tree:
-    """A context state's distribution: explicit next words, and a share of its parent's for all others."""
+    """The retained states as tables.
+
+    A state's distribution has explicit next words, and a share (lam) of its parent's for all others.
+    ``pairs`` and ``triples`` have a row for each counted sequence: k, o, x, c, parent (probability
+    by the parent), lam and p (explicit part) of its context, 1 and 0 if that is no state.
+    """
 
-    words: dict[bytes, int]
-    counts: np.ndarray
     total: int
     distinct: int
     discount: float
+    share: float
+    word_table: DataFrame
+    pair_table: DataFrame
+    triple_table: DataFrame
+
+    def root(self, c):
+        """Probability of a word seen ``c`` times; all unseen words are one symbol."""
+        n = max(self.total, 1)
+        return np.where(np.asarray(c) > 0, (np.asarray(c) - self.discount) / n, self.discount * self.distinct / n if self.total else 1.0)
+
+    @functools.cached_property
+    def gathered(self) -> TreeArrays:
+        """All of the tree as arrays, to look into trees of small tables; scoring doesn't use it."""
+        t = self.word_table.where("c > 1").orderBy(F.desc("c"), "word").toPandas()
+        of = {h: i for i, h in enumerate(t.h)}
+        e2, e3 = self.pair_table.toPandas(), self.triple_table.toPandas()
+        e2["key"] = [of[o] * len(t) + of[x] for o, x in zip(e2.o, e2.x, strict=True)]
+        e2 = e2.sort_values("key").reset_index(drop=True)
+        place = {k: i for i, k in enumerate(e2.k)}
+        last = {k: of[x] for k, x in zip(e2.k, e2.x, strict=True)}
+        e3["key"] = [place[o] * len(t) + last[x] for o, x in zip(e3.o, e3.x, strict=True)]
+        e3 = e3.sort_values("key")
+        lam2 = np.ones(len(e2))
+        lam2[[place[o] for o in e3.o]] = e3.lam
+        pairs = Lookup(e2.key.to_numpy(np.int64))
+        return TreeArrays({bytes(w): i for i, w in enumerate(t.word)}, t.c.to_numpy(np.int64), t.lam.to_numpy(), pairs, e2.p.to_numpy(), pairs, lam2, Lookup(e3.key.to_numpy(np.int64)), e3.p.to_numpy())
+
+    def __getattr__(self, name: str):
+        if name in TreeArrays.__dataclass_fields__:
+            return getattr(self.gathered, name)
+        raise AttributeError(name)
+
+
+@dataclass
+class TreeArrays:
+    words: dict[bytes, int]
+    counts: np.ndarray
+    lam1: np.ndarray
     pairs: Lookup
     pair_p: np.ndarray
-    lam1: np.ndarray
     contexts: Lookup
+    lam2: np.ndarray
     triples: Lookup
     triple_p: np.ndarray
-    lam2: np.ndarray
 
-    def root(self, c):
-        """Probability of a word seen ``c`` times; all unseen words are one symbol."""
-        n = max(self.total, 1)
-        return np.where(np.asarray(c) > 0, (np.asarray(c) - self.discount) / n, self.discount * self.distinct / n if self.total else 1.0)
 
-    def log10(self, w: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-        """log10 P(w | longest retained suffix of a b); for rare words, without the root's part."""
-        size = len(self.counts)
-        p = np.ones(len(w))
-        if size:
-            p = np.where(w >= 0, self.root(self.counts)[w], 1.0)
-            known, both = b >= 0, (b >= 0) & (w >= 0)
-            lam = np.where(known, self.lam1[b], 1.0)
-            at = np.where(both, self.pairs.of(b * size + w), -1)
-            p = lam * p + np.where((at >= 0) & (lam < 1), self.pair_p[at] if len(self.pair_p) else 0.0, 0.0)
-            ctx = np.where((a >= 0) & known, self.contexts.of(a * size + b), -1)
-            lam = np.where(ctx >= 0, self.lam2[ctx] if len(self.lam2) else 1.0, 1.0)
-            at = np.where((ctx >= 0) & (w >= 0), self.triples.of(ctx * size + w), -1)
-            p = lam * p + np.where((at >= 0) & (lam < 1), self.triple_p[at] if len(self.triple_p) else 0.0, 0.0)
-        return np.log10(p)
-
-
-def _states(owner: np.ndarray, n_states: int, seen: np.ndarray, c: np.ndarray, parent: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """(share left to the parent, explicit part of each entry) of each state; share 1 where the divergence test drops it.
+def _states(entries: DataFrame, discount: float) -> DataFrame:
+    """``entries`` (k, o, x, c, seen, parent) without seen, with lam and p of their context; 1 and 0 where the divergence test drops it.
 
     A state stays if its distribution explains what followed it better than its
     parent's: the gain in log likelihood, which is its count times the divergence,
     must exceed half a logarithm of its count for each explicit entry.
     """
-    explicit = np.maximum(c - discount, 0) / seen[owner]
-    lam = np.maximum(1 - np.bincount(owner, explicit, n_states), 1e-9)
-    new = explicit + lam[owner] * parent
-    gain = np.bincount(owner, c * np.log(new / parent), n_states)
-    rest = np.maximum(seen - np.bincount(owner, c, n_states), 0)
-    gain += rest * np.log(lam)
-    cost = 0.5 * np.bincount(owner, minlength=n_states) * np.log(np.maximum(seen, 2))
-    keep = (gain > cost) & (np.bincount(owner, minlength=n_states) > 0)
-    return np.where(keep, lam, 1.0), np.where(keep[owner], explicit, 0.0)
+    explicit = F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("seen")
+    entries = saved(entries).withColumn("p", explicit)
+    sums = entries.groupBy("o").agg(F.greatest(1 - F.sum("p"), F.lit(1e-9)).alias("lam"))
+    gain = F.sum(F.col("c") * F.log((F.col("p") + F.col("lam") * F.col("parent")) / F.col("parent")))
+    rest = F.greatest(F.max("seen") - F.sum("c"), F.lit(0)) * F.log(F.max("lam"))
+    cost = 0.5 * F.count("*") * F.log(F.greatest(F.max("seen"), F.lit(2)).cast("double"))
+    kept = entries.join(sums, "o").groupBy("o").agg(F.max("lam").alias("lam"), (gain + rest > cost).alias("keep")).where("keep").select("o", "lam")
+    out = entries.join(kept, "o", "left")
+    return saved(out.select("k", "o", "x", "c", "parent", F.coalesce("lam", F.lit(1.0)).alias("lam"), F.when(F.col("lam").isNotNull(), F.col("p")).otherwise(0.0).alias("p")))
 
 
 def fit(docs: DataFrame, text_col: str = "text", share: float = 1e-6, least: int = 2) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (word, c) of all words.
-
-    A context of one or two words can become a state only if its share of all
-    tokens is ``share`` or more, and so must be each explicit entry of a state (context and next word
-    together): the tree has 1 / share entries an order at most, which bounds what
-    the driver gathers and tasks hold. All counts are over all texts. Counting goes
-    by length, since no sequence is more frequent than its parts. ``least``
-    is the fewest times that such a sequence must have been seen.
+    """The tree, and the table (word, h, c, lam) of all words.
+
+    A context of one or two words, and an explicit entry of it (context and next word
+    together), is counted in if it was seen ``least`` times, however large the
+    table is. Counts, the divergence test and states are tables; contexts are keyed by
+    64-bit hashes. ``share`` only says which words and sequences the tasks of ``score``
+    hold: those with that share of all tokens, 1 / share an order at most. All
+    others meet their values in joins, so it doesn't change results.
     """
-    counts = checkpoint(word_counts(docs, text_col))
+    counts = saved(word_counts(docs, text_col))
     t = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     total, distinct, n1, n2 = map(int, t)
     discount = min(0.9, max(0.1, n1 / max(n1 + 2 * n2, 1)))
-    floor = max(least, int(np.ceil(share * total)))
-    common = counts.where(F.col("c") >= floor).orderBy(F.desc("c"), "word").toPandas()
-    words = {bytes(w): i for i, w in enumerate(common.word)}
-    c1 = common.c.to_numpy(np.int64)
-    size = len(words)
-
-    def pair_key(seqs):
-        w, b, _ = _ids(words, seqs)
-        return np.where((w >= 0) & (b >= 0), b * size + w, -1)
-
-    def table(key):
-        got = _gram_counts(docs, text_col, key, floor).toPandas().sort_values("k")
-        return got.k.to_numpy(np.int64), got.c.to_numpy(np.int64)
-
-    k2, c2 = table(pair_key) if size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    tree = Tree(words, c1, total, distinct, discount, Lookup(k2), np.zeros(len(k2)), np.ones(size), Lookup(k2), Lookup(k2[:0]), np.zeros(0), np.ones(len(k2)))
-    if not len(k2):
-        return tree, counts
-    lookup = Lookup(k2)
-
-    def triple_key(seqs):
-        w, b, a = _ids(words, seqs)
-        ctx = np.where((a >= 0) & (b >= 0), lookup.of(a * size + b), -1)
-        ok = (ctx >= 0) & (w >= 0)
-        ok[ok] = lookup.of(b[ok] * size + w[ok]) >= 0
-        return np.where(ok, ctx * size + w, -1)
-
-    k3, c3 = table(triple_key)
-    root = tree.root(c1)
-    owner, nxt = k2 // size, k2 % size
-    tree.lam1, tree.pair_p = _states(owner, size, c1.astype(float), c2, root[nxt], discount)
-    owner3, w3 = k3 // size, k3 % size
-    b3 = k2[owner3] % size
-    at = lookup.of(b3 * size + w3)
-    parent = tree.lam1[b3] * root[w3] + tree.pair_p[at]
-    tree.triples = Lookup(k3)
-    tree.lam2, tree.triple_p = _states(owner3, len(k2), c2.astype(float), c3, parent, discount)
-    return tree, counts
+    hashed = counts.where(F.col("c") >= least).select(F.xxhash64("word").alias("h"), "c")
+    owner, nxt = hashed.select(F.col("h").alias("o"), F.col("c").alias("seen")), hashed.select(F.col("h").alias("x"), ((F.col("c") - discount) / max(total, 1)).alias("parent"))
+
+    def states(order: int) -> DataFrame:
+        twice = docs.sparkSession.sparkContext.broadcast(_twice(docs, text_col, order, total)) if least > 1 else None
+        out = _states(_gram_counts(docs, text_col, order, least, twice).join(owner, "o").join(nxt, "x"), discount)
+        if twice is not None:
+            twice.destroy()
+        return out
+
+    pairs = states(2)
+    owner = pairs.select(F.col("k").alias("o"), F.col("c").alias("seen"))
+    nxt = pairs.select(F.col("k").alias("x"), (F.col("lam") * F.col("parent") + F.col("p")).alias("parent"))
+    triples = states(3)
+    lam = saved(pairs.where("lam < 1").groupBy("o").agg(F.max("lam").alias("lam")))
+    words = counts.withColumn("h", F.xxhash64("word"))
+    words = words.join(lam, words.h == lam.o, "left").select("word", "h", "c", F.coalesce("lam", F.lit(1.0)).alias("lam"))
+    return Tree(total, distinct, discount, share, words, pairs, triples), words
+
+
+def _weights(tree: Tree) -> DataFrame:
+    """(k, c, weight): what each counted sequence adds to the log10 probability of a text, besides its parts.
+
+    A text's log probability is the sum over its words of log(root * lam of the word as a
+    context), over its pairs of log(probability / (lam * parent)) and log(lam of the pair as a
+    context), and over its triples of log(probability / (lam * parent)). Every word and
+    pair of a text is the context of one token, but for pairs with END, which are no states.
+    """
+    inner = F.col("lam") * F.col("parent")
+    own = F.log10((inner + F.col("p")) / inner)
+    context = tree.triple_table.groupBy("o").agg(F.max("lam").alias("lam2"))
+    pairs = tree.pair_table.join(context.withColumnRenamed("o", "k"), "k", "left")
+    pairs = pairs.select("k", "c", (own + F.log10(F.coalesce("lam2", F.lit(1.0)))).alias("weight"))
+    return saved(pairs.union(tree.triple_table.select("k", "c", own.alias("weight"))).where("weight <> 0"))
+
+
+def _filter(weights: DataFrame, total: int) -> np.ndarray:
+    """A bitmap that has all keys of ``weights``. It only spares rows that would find no weight; a full one spares none."""
+    bits, segments = _sizes(total)
+
+    def run(batches):
+        for batch in batches:
+            k = np.unique(batch.column(0).to_numpy().view(np.uint64))
+            yield _placed(k, np.ones(len(k), np.int64), bits, segments)
+
+    keys = weights.select("k").mapInArrow(run, "s long, places binary")
+    return _bitmap(keys, bits, segments, 1)
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,30 +348,42 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
     ``score`` is the tree's log10 probability of the words and the end, each given
     the longest suffix of two words before it that is a state; ``base_score``
     takes each token alone, with one imagined sighting of every word and of an
-    unseen one. Common words are looked up in the tasks; all others meet their
-    counts in a join, where no word has more than ``share`` of all tokens. Null text
+    unseen one. Words and sequences that have ``share`` of all tokens are looked up in
+    the tasks; all others meet their values in a join. Null text
     has the end only. Repeated rows each get their row; null ids stay null.
     """
     n, v = tree.total, tree.distinct
-    base_of = np.log10((tree.counts + 1) / (n + v + 1)) if len(tree.counts) else np.zeros(1)
-    out = "id long, h long, word binary, n long, n_tokens long, n_known long, base double, score double"
+    floor = max(2, int(np.ceil(tree.share * n)))
+    unseen = float(tree.discount * v / max(n, 1)) if n else 1.0
+    top = counts.where(F.col("c") >= floor).toPandas()
+    common = {bytes(w): i for i, w in enumerate(top.word)}
+    c1 = top.c.to_numpy(np.int64)
+    base_of = np.append(np.log10((c1 + 1) / (n + v + 1)), 0.0)
+    word_of = np.append(np.log10(tree.root(c1)) + np.log10(top.lam.to_numpy(float)), 0.0)
+    weights = _weights(tree)
+    held = weights.where(F.col("c") >= floor).select("k", "weight").toPandas().sort_values("k")
+    others = weights.where(F.col("c") < floor).select("k", "weight")
+    tables = docs.sparkSession.sparkContext.broadcast((common, base_of, word_of, held.k.to_numpy(np.int64), np.append(held.weight.to_numpy(float), 0.0), _filter(others, n)))
     src = _words(docs, text_col, [col(id_col).cast("long").alias("id")])
     src = src.select("id", F.xxhash64("__t").alias("h"), "__t")
 
-    def run(batches):
+    def words_of(batches):
+        common, base_of, word_of, keys, weight, _ = tables.value
+        hashes, lookup, get = word_hashes(), Lookup(keys), common.get
         for batch in slices(batches, 2):
             seqs = _sequences(batch, 2)
-            w, b, a = _ids(tree.words, seqs)
             sizes = np.fromiter(map(len, seqs), np.int64, len(seqs))
             first = np.cumsum(sizes) - sizes
-            common = w >= 0
-            lp = np.add.reduceat(tree.log10(w, b, a), first)
-            base = np.add.reduceat(np.where(common, base_of[w], 0.0), first)
-            known = np.add.reduceat(common.astype(np.int64), first)
+            w = np.fromiter((get(x, -1) for s in seqs for x in s), np.int64, int(sizes.sum()))
+            _, _, pair, second = _grams(hashes, seqs)
+            lp = word_of[w] + weight[lookup.of(pair.view(np.int64))]
+            lp[second] += weight[lookup.of(gram(pair[second - 1], pair[second]).view(np.int64))]
+            lp, base = np.add.reduceat(lp, first), np.add.reduceat(base_of[w], first)
+            known = np.add.reduceat((w >= 0).astype(np.int64), first)
             ids, hs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             which, words, many = [], [], []
             for i, (s, at) in enumerate(zip(seqs, first.tolist(), strict=True)):
-                rare = np.flatnonzero(~common[at : at + len(s)])
+                rare = np.flatnonzero(w[at : at + len(s)] < 0)
                 if len(rare):
                     each = Counter([s[j] for j in rare.tolist()])
                     which += [i] * len(each)
@@ -250,12 +393,12 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
             which_a = np.array(which, np.int64)
             none = [0] * r
             # a text's own row has a key of its own, so that these rows spread
-            keys = [b" %d %d" % (x or 0, y) for x, y in zip(ids, hs, strict=True)]
+            own = [b" %d %d" % (x or 0, y) for x, y in zip(ids, hs, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids + [ids[i] for i in which], pa.int64()),
                     pa.array(np.concatenate((np.array(hs, np.int64), np.array(hs, np.int64)[which_a])), pa.int64()),
-                    pa.array(keys + words, pa.binary()),
+                    pa.array(own + words, pa.binary()),
                     pa.array([0] * k + many, pa.int64()),
                     pa.array(sizes.tolist() + none, pa.int64()),
                     pa.array(known.tolist() + none, pa.int64()),
@@ -265,9 +408,22 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
                 names=["id", "h", "word", "n", "n_tokens", "n_known", "base", "score"],
             )
 
-    rows = src.mapInArrow(run, out).join(counts, "word", "left")
-    unseen = tree.discount * v / max(n, 1) if n else 1.0
-    p = F.when(F.col("c").isNull(), F.lit(float(unseen))).otherwise((F.col("c") - tree.discount) / max(n, 1))
+    def grams_of(batches):
+        _, _, _, keys, _, bits = tables.value
+        hashes, lookup = word_hashes(), Lookup(keys)
+        for batch in slices(batches, 2):
+            seqs = _sequences(batch, 2)
+            _, _, pair, second = _grams(hashes, seqs)
+            text = np.repeat(np.arange(len(seqs)), np.fromiter(map(len, seqs), np.int64, len(seqs)))
+            k = np.concatenate((pair, gram(pair[second - 1], pair[second])))
+            text = np.concatenate((text, text[second]))
+            some = np.flatnonzero(passes(bits, k))
+            some = some[lookup.of(k[some].view(np.int64)) < 0]
+            at = pa.array(text[some])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(k[some].view(np.int64))], names=["id", "h", "k"])
+
+    rows = src.mapInArrow(words_of, "id long, h long, word binary, n long, n_tokens long, n_known long, base double, score double").join(counts.drop("h"), "word", "left")
+    p = F.when(F.col("c").isNull(), F.lit(unseen)).otherwise((F.col("c") - tree.discount) / max(n, 1) * F.col("lam"))
     base = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1))
     rows = rows.select(
         "id",
@@ -278,7 +434,11 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
         (F.col("base") + F.when(F.col("n") > 0, F.col("n") * F.log10(base)).otherwise(0.0)).alias("base"),
         (F.col("score") + F.when(F.col("n") > 0, F.col("n") * F.log10(p)).otherwise(0.0)).alias("score"),
     )
-    out = rows.groupBy("id", "h").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")])
+    sums = lambda df: df.groupBy("id", "h").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")])
+    none = F.lit(0).cast("long")
+    more = src.mapInArrow(grams_of, "id long, h long, k long").join(others, "k").groupBy("id", "h").agg(F.sum("weight").alias("score"))
+    more = more.select("id", "h", F.lit(0).alias("copies"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"), "score")
+    out = sums(rows.union(more))
     out = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     per = lambda c: F.col(c) / F.col("copies")
     return out.select(

@@ -97,3 +97,14 @@ def test_empty_and_untrained(spark):
     got = st.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), tree, counts).first()
     assert (got.n_tokens, got.n_known, got.base_score, got.score) == (3, 0, 0.0, 0.0)
     assert np.isfinite(got.score)
+
+
+def test_the_least_count_stays_and_the_share_does_not_change_results(spark):
+    """Contexts under the share of all tokens are states too, and meet their weights in joins."""
+    rows = corpus(150)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    small, large = ([*st.fit(df, share=s)] for s in (1e-6, 0.01))
+    assert len(large[0].pairs.keys) == len(small[0].pairs.keys) > 100
+    got = [sorted(((x.doc_id or -1, x.n_tokens, x.n_known, x.score) for x in st.score(df, *m).collect())) for m in (small, large)]
+    for x, y in zip(*got, strict=True):
+        assert x[:3] == y[:3] and math.isclose(x[3], y[3], rel_tol=1e-9, abs_tol=1e-9)
