@@ -11,16 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, map_text
+from .common import checkpoint, col, map_text
 
 #: The kinds in order, and their base patterns.
 KINDS = ("email", "ip", "card", "phone")
+#: What the network tags: the kinds, and keys, tokens and passwords, for which there is no base pattern.
+TAGGED = (*KINDS, "secret")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The ip pattern from the start of a run of digits and without backtracking: the same matches, but long runs of digits take linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 #: No span that the checks accept lacks these.
@@ -39,7 +43,8 @@ def _valid(kind: str, s: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        parts = [p.lstrip("0") or "0" for p in s.split(".")]
+        return all(len(p) <= 3 and int(p) <= 255 for p in parts)
     digits = _NOT_DIGIT.sub("", s)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -67,7 +72,8 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start: leftmost matches that pass their check."""
     out = [("email", a, b) for a, b in _emails(t)]
     for kind in KINDS[1:]:
-        out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(t) if _valid(kind, m.group())]
+        find = _IP if kind == "ip" else PATTERNS[kind]
+        out += [(kind, m.start(), m.end()) for m in find.finditer(t) if _valid(kind, m.group())]
     return out
 
 
@@ -76,7 +82,10 @@ _ADDED = {
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9]){12,18}"),
     "phone": re.compile(r"[+(]?[0-9][\x20().0-9-]*[0-9]"),
+    "secret": re.compile(r"[A-Za-z0-9_+]{16,128}"),
 }
+#: Runs of the characters that a secret is made of.
+_RUN = re.compile(r"[A-Za-z0-9_+]+")
 
 
 def acceptable(kind: str, s: str) -> bool:
@@ -84,6 +93,9 @@ def acceptable(kind: str, s: str) -> bool:
     if not _ADDED[kind].fullmatch(s):
         return False
     digits = _NOT_DIGIT.sub("", s)
+    if kind == "secret":
+        letters = {c.lower() for c in s if c.isalpha()}
+        return len(digits) >= 2 and len(letters) >= 2 and len(set(s)) >= 7
     if kind == "ip":
         return all(int(p) <= 255 for p in s.split("."))
     if kind == "card":
@@ -93,8 +105,8 @@ def acceptable(kind: str, s: str) -> bool:
 
 # Characters: printable ASCII, white space, other letters, all else, padding.
 N_CHARS = 99
-TAGS = 1 + 2 * len(KINDS)
-WINDOW, STRIDE, HIDDEN = 96, 32, 12
+TAGS = 1 + 2 * len(TAGGED)
+WINDOW, STRIDE, HIDDEN = 128, 32, 14
 
 
 def codes(t: str) -> np.ndarray:
@@ -224,7 +236,7 @@ class Network:
         return float((z - gold).mean()), g
 
 
-def train(x: np.ndarray, y: np.ndarray, updates: int = 150, batch: int = 128, rate: float = 0.02, seed: int = 4) -> Network:
+def train(x: np.ndarray, y: np.ndarray, updates: int = 220, batch: int = 96, rate: float = 0.02, seed: int = 4) -> Network:
     """Adam on shuffled windows of codes ``x`` and tags ``y``."""
     net, rng = Network.fresh(), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -246,70 +258,124 @@ def _tags(length: int, spans: list[tuple[str, int, int]], start: int) -> np.ndar
     for kind, a, b in spans:
         a, b = max(a - start, 0), min(b - start, length)
         if a < b and not out[a:b].any():
-            out[a:b] = 2 * KINDS.index(kind) + 2
+            out[a:b] = 2 * TAGGED.index(kind) + 2
             out[a] -= 1
     return out
 
 
-def _invented(rng: np.random.Generator) -> tuple[str, str]:
-    """A random span of a random kind."""
+def _invented(rng: np.random.Generator) -> tuple[str | None, str, str]:
+    """A random span of a random kind, and what goes before it; the kind is null for what only looks like one."""
     number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
-    kind = KINDS[rng.integers(0, 4)]
+    some = lambda alphabet, n: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
+    one = lambda *x: x[rng.integers(0, len(x))]
+    kind = (*TAGGED, "secret", None)[rng.integers(0, len(TAGGED) + 2)]
     if kind == "email":
-        return kind, f"{word()}{rng.choice(['', '.', '_', '-', '+'])}{number(rng.integers(0, 3))}@{word()}{number(rng.integers(0, 2))}.{rng.choice([word() + '.com', 'org', 'net', 'co.uk', 'de'])}"
+        at = one(word(), word(), "".join(one("é", "ü", "ñ", "ø", word()) for _ in range(3)))
+        return kind, f"{at}{one('', '.', '_', '-', '+')}{number(rng.integers(0, 3))}@{word()}{number(rng.integers(0, 2))}.{one(word() + '.com', 'org', 'net', 'co.uk', 'de')}", ""
     if kind == "ip":
-        return kind, ".".join(str(n) for n in rng.integers(0, 256, 4))
+        return kind, ".".join(str(n) for n in rng.integers(0, 256, 4)), ""
     if kind == "phone":
         a, b, c = number(3), number(3), number(4)
-        return kind, rng.choice([f"+{rng.integers(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{rng.integers(1, 99)} {a} {b} {c}", f"+{rng.integers(1, 99)}-{a}-{b}-{c}", f"{a}-{b}-{c}"])
-    d = number(rng.integers(14, 19))
-    d += next(x for x in "0123456789" if luhn(d + x))
-    return kind, rng.choice([d, " ".join(d[i : i + 4] for i in range(0, len(d), 4)), "-".join(d[i : i + 4] for i in range(0, len(d), 4))])
+        return kind, one(f"+{rng.integers(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{rng.integers(1, 99)} {a} {b} {c}", f"+{rng.integers(1, 99)}-{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"), ""
+    if kind == "card":
+        d = number(rng.integers(12, 19))
+        d += next(x for x in "0123456789" if luhn(d + x))
+        return kind, one(d, " ".join(d[i : i + 4] for i in range(0, len(d), 4)), "-".join(d[i : i + 4] for i in range(0, len(d), 4))), ""
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    if kind == "secret":
+        name = one("", "", "key", "password", "token", "secret", "api_key", "pwd", "Bearer", "auth")
+        name += one("=", " = ", ": ", " ", '="', ' = "') if name else ""
+        form = rng.integers(0, 4)
+        n = int(rng.integers(16, 49))
+        s = some(digits + low[:6], n) if form == 0 else some(up + digits, n) if form == 1 else some(low + up + digits, n) if form == 2 else some(up, 4) + some(up + digits, 16)
+        return kind, s if acceptable(kind, s) else s[:-3] + "7a9", name
+    n, y = rng.integers(1, 1000), rng.integers(1900, 2100)
+    s = one(f"{y}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}", f"{rng.integers(0, 24)}:{n % 60:02}", f"{n % 9}.{n % 11}.{n % 13}", f"${n},{number(3)}.{number(2)}", number(rng.integers(1, 12)), f"{y}/{n}/{word()}-{word()}-{number(2)}", f"v{n % 20}.{n % 7}", word() + number(2), word() * 3, f"{one(*up)}{number(5)}", f"@{word()}", f"{n}%")
+    return None, s, ""
 
 
-def training_windows(texts: list[str], invented: int = 2500, length: int = 64, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the texts around digits and @, labelled with base spans, and windows with invented spans set in."""
+#: Characters of a training window.
+LENGTH = 96
+
+
+def _marked(t: str, spans, start: int) -> tuple[np.ndarray, np.ndarray]:
+    c = codes(t[start : start + LENGTH])
+    x, y = np.full(LENGTH, N_CHARS - 1, np.int16), np.zeros(LENGTH, np.int64)
+    x[: len(c)], y[: len(c)] = c, _tags(len(c), spans, start)
+    return x, y
+
+
+def labelled_windows(t: str, seed: int):
+    """(codes, tags) of windows around the digits and @ signs of a text, by its base spans.
+
+    Windows that hold what might be a secret are left out, since no base pattern says whether it is one.
+    """
+    hits = np.unique(np.fromiter((m.start() for m in _TRIGGER.finditer(t)), np.int64) // LENGTH)
+    if not len(hits):
+        return
+    spans, rng = base_spans(t), np.random.default_rng(seed)
+    for h in hits.tolist():
+        start = max(0, h * LENGTH - int(rng.integers(0, LENGTH)))
+        part = t[start : start + LENGTH]
+        if not any(acceptable("secret", m.group()) for m in _RUN.finditer(part)):
+            yield _marked(t, [s for s in spans if s[1] < start + LENGTH and s[2] > start], start)
+
+
+def invented_windows(texts: list[str], n: int, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of stretches of text with invented spans set in, each with its tags."""
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-
-    def put(t: str, spans, start: int):
-        c = codes(t[start : start + length])
-        x, y = np.full(length, N_CHARS - 1, np.int16), np.zeros(length, np.int64)
-        x[: len(c)], y[: len(c)] = c, _tags(len(c), spans, start)
-        xs.append(x)
-        ys.append(y)
-
-    for t in texts:
-        hits = [m.start() for m in _TRIGGER.finditer(t)]
-        if hits:
-            spans = base_spans(t)
-            for h in {h // length for h in hits}:
-                put(t, spans, max(0, h * length - int(rng.integers(0, length))))
-    some = [t for t in texts if t] or ["lorem ipsum dolor sit amet "]
-    for _ in range(invented):
-        t = some[rng.integers(0, len(some))]
+    texts = [t for t in texts if t] or ["lorem ipsum dolor sit amet "]
+    out = []
+    for _ in range(n):
+        t = texts[rng.integers(0, len(texts))]
         at = int(rng.integers(0, len(t) + 1))
-        kind, s = _invented(rng)
-        before, after = t[max(0, at - length) : at], t[at : at + length]
-        if rng.random() < 0.7:
-            before, after = before.rstrip() + " ", " " + after.lstrip()
+        kind, s, name = _invented(rng)
+        before, after = t[max(0, at - LENGTH) : at], t[at : at + LENGTH]
+        if rng.random() < 0.8:
+            before, after = before.rstrip() + " ", rng.choice([" ", " ", ". ", ", ", '" ']) + after.lstrip()
+        before += name
         text = before + s + after
-        put(text, [(kind, len(before), len(before) + len(s))], max(0, len(before) - int(rng.integers(1, max(2, length - len(s))))))
-    return np.stack(xs), np.stack(ys)
+        out.append(_marked(text, [(kind, len(before), len(before) + len(s))] if kind else [], max(0, len(before) - int(rng.integers(1, max(2, LENGTH - len(s)))))))
+    return tuple(map(np.stack, zip(*out, strict=True)))
+
+
+def training_windows(texts: list[str], invented: int = 5000, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the texts around digits and @, labelled with base spans, and windows with invented spans set in."""
+    real = [w for i, t in enumerate(texts) for w in labelled_windows(t, i)]
+    made = invented_windows(texts, invented, seed)
+    return tuple(np.concatenate((np.stack(a), b)) if a else b for a, b in zip(zip(*real, strict=True) if real else ((), ()), made, strict=True))
 
 
-def fit(docs: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 20_000) -> Network:
-    """A network from the base spans of at most ``max_rows`` documents, those with the smallest hash of the id, and from invented ones.
+def fit(docs: DataFrame, max_rows: int = 3000, max_windows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Network:
+    """A network from base spans in real text and from invented spans set into real text.
 
-    These rows, and of each at most ``most_chars`` characters around its digits and
-    @ signs, bound what the driver gathers for fitting; detection reads whole texts.
+    Of at most ``max_rows`` ids, those with the smallest hash, whole texts are read
+    in tasks. At most ``max_windows`` of their labelled windows and as many plain
+    stretches of 200 characters, again by hash, are gathered for fitting, however
+    many rows an id has and however long they are. Detection reads all texts.
     """
     ids = docs.select(col(id_col).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    some = docs.join(F.broadcast(ids), col(id_col) == F.col("__id")).select("__id", F.coalesce(col(text_col), F.lit("")).alias("t"))
-    near = F.regexp_extract_all("t", F.lit(r"(?s).{0,60}[0-9@].{0,100}|^.{0,200}"), F.lit(0))
-    got = some.select("__id", F.left(F.array_join(near, "\n"), F.lit(most_chars)).alias("t")).toPandas().sort_values(["__id", "t"])
-    return train(*training_windows(got.t.tolist()))
+    some = docs.join(F.broadcast(ids), col(id_col) == F.col("__id")).select(F.coalesce(col(text_col), F.lit("")).alias("t"), F.xxhash64("__id", col(text_col)).alias("h"))
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rng = np.random.default_rng(h & 0x7FFFFFFF)
+                at = int(rng.integers(0, max(1, len(t) - 200)))
+                rows.append((t[at : at + 200], None, None))
+                rows += [(None, x.tobytes(), y.astype(np.int8).tobytes()) for x, y in labelled_windows(t, h & 0x7FFFFFFF)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["t", "x", "y"])
+
+    made = checkpoint(some.mapInArrow(cut, "t string, x binary, y binary").distinct())
+    few = lambda c: made.where(f"{c} is not null").orderBy(F.xxhash64(c), "t", "x", "y").limit(max_windows)
+    real, plain = few("x").toPandas(), few("t").toPandas()
+    x, y = invented_windows(plain.t.tolist(), 5000)
+    if len(real):
+        x = np.concatenate((np.stack([np.frombuffer(b, np.int16) for b in real.x]), x))
+        y = np.concatenate((np.stack([np.frombuffer(b, np.int8) for b in real.y]).astype(np.int64), y))
+    return train(x, y)
 
 
 def windows(t: str) -> list[int]:
@@ -325,8 +391,8 @@ def windows(t: str) -> list[int]:
 
 
 def reconcile(candidates: dict[tuple[int, int, str], float]) -> list[tuple[str, int, int]]:
-    """The set of spans of greatest total weight in which none overlap."""
-    spans = sorted(((b, a, k, w) for (a, b, k), w in candidates.items() if w > 0), key=lambda x: (x[0], x[1], KINDS.index(x[2])))
+    """The set of spans of greatest total weight in which none overlap; of equal sets, the one that ends first, then starts first, then the kind listed first."""
+    spans = sorted(((b, a, k, w) for (a, b, k), w in candidates.items() if w > 0), key=lambda x: (x[0], x[1], TAGGED.index(x[2])))
     ends = [s[0] for s in spans]
     best, take = [0.0] * (len(spans) + 1), [False] * len(spans)
     for i, (b, a, _, w) in enumerate(spans):
@@ -349,8 +415,10 @@ def find_all(texts: list[str], net: Network) -> list[tuple[list, list]]:
 
     The network tags overlapping windows. Spans from all windows of a text, less
     those that a window's edge cuts, are weighed by how far their tags lead, summed over
-    windows, and reconciled over the whole text. Those that pass the exact check
-    and overlap no base span are added.
+    windows. A secret takes in the whole run of its characters. Spans that pass the exact
+    check and overlap no base span are reconciled over the whole text and added. Every
+    span of up to WINDOW - STRIDE characters lies inside some window; a longer one is
+    found only where a window's offset allows it.
     """
     base = [base_spans(t) for t in texts]
     where = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
@@ -374,17 +442,32 @@ def find_all(texts: list[str], net: Network) -> list[tuple[list, list]]:
                     q += 1
                 if (p == 0 and s > 0) or (q == WINDOW and s + q < len(texts[i])):
                     continue
-                key = (s + p, s + q, KINDS[int(tags[p]) // 2])
+                key = (s + p, s + q, TAGGED[int(tags[p] - 1) // 2])
                 votes[i][key] = votes[i].get(key, 0.0) + float(lead[r, p:q].mean())
     out = []
     for t, b, v in zip(texts, base, votes, strict=True):
-        added = []
-        if v:
-            taken = sorted((x, y) for _, x, y in b)
-            for k, x, y in reconcile(v):
-                if acceptable(k, t[x:y]) and not any(x < e and y > s for s, e in taken):
-                    added.append((k, x, y))
-        out.append((b, sorted([*b, *added], key=lambda z: (KINDS.index(z[0]), z[1], z[2]))))
+        added = reconcile(_fitting(t, b, v)) if v else []
+        out.append((b, sorted([*b, *added], key=lambda z: (TAGGED.index(z[0]), z[1], z[2]))))
+    return out
+
+
+def _fitting(t: str, base: list, votes: dict[tuple[int, int, str], float]) -> dict[tuple[int, int, str], float]:
+    """The candidates that pass the exact check and overlap no base span, secrets grown to their runs."""
+    taken = sorted((x, y) for _, x, y in base)
+    starts, upto = [x for x, _ in taken], np.maximum.accumulate([y for _, y in taken]) if taken else []
+    runs = [m.span() for m in _RUN.finditer(t)] if any(k == "secret" for _, _, k in votes) else []
+    heads = [a for a, _ in runs]
+    out: dict = {}
+    for (x, y, k), w in votes.items():
+        if k == "secret":
+            at = bisect_right(heads, (x + y) // 2) - 1
+            if at < 0 or runs[at][1] <= (x + y) // 2:
+                continue
+            x, y = runs[at]
+        before = bisect_right(starts, y - 1)
+        if (before and upto[before - 1] > x) or y - x > 2 * WINDOW or not acceptable(k, t[x:y]):
+            continue
+        out[x, y, k] = out.get((x, y, k), 0.0) + w
     return out
 
 
@@ -395,8 +478,10 @@ def _written(spans) -> str:
 def detect(docs: DataFrame, net: Network, keep: list[str], text_col: str = "text") -> DataFrame:
     """Kept columns, base (array of kind, start, stop: base spans) and spans (with those the network adds).
 
-    Positions are code points, ends exclusive; order is by kind as in KINDS, then
-    start. Null texts have none. Whole texts are read.
+    Positions are code points, ends exclusive; order is by kind as in TAGGED, then
+    start. Null and empty texts have none. Whole texts are read. Repeated rows and
+    null ids each get their row, an empty table an empty result; other columns
+    are not read.
     """
     kind = "array<struct<kind:string,start:int,stop:int>>"
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
