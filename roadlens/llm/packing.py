@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+import math
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -13,38 +15,61 @@ from pyspark.sql import types as T
 from .common import checkpoint, col, map_text
 
 
-def pack(lengths: Sequence[int], capacities: Sequence[int], overhead: float = 0.0) -> tuple[list[int], list[int], list[int], dict[int, int]]:
+def expected_fill(n: int, capacity: int, sizes: Sequence[int], left: dict[int, int]) -> int:
+    """Tokens in a bin that opens for a piece of ``n`` tokens, if it then takes the longest piece that fits, again and again.
+
+    ``sizes`` are the lengths of the pieces still to come, sorted, ``left`` how many each has.
+    """
+    room = capacity - n
+    at = bisect_right(sizes, room) - 1
+    while at >= 0:
+        room -= min(left[sizes[at]], room // sizes[at]) * sizes[at]
+        at = min(at, bisect_right(sizes, room)) - 1
+    return capacity - room
+
+
+def pack(lengths: Sequence[int], capacities: Sequence[int], overhead: float = 0.0, reach: float = math.inf) -> tuple[list[int], list[int], list[int], dict[int, int]]:
     """Bin and offset of each piece, the bins' fill, and each bin's final capacity.
 
-    Pieces go longest first into the open bin with least room left (ties: the
-    bin opened first). If none has room, the bin size with the least cost for the
-    pieces still to come opens: ``overhead`` and capacity, shared over the tokens
-    it can be expected to hold. In the end every bin shrinks to the smallest
-    capacity that holds its contents. No piece may exceed the largest capacity.
+    Pieces go longest first (ties: the one given first) into the open bin with least
+    room left (ties: the bin opened first). If none has room, that size opens whose
+    cost for each token is least (ties: the smallest size). A sequence of length c costs
+    ``overhead`` + c + c * c / ``reach``, the last for attention, which grows with the
+    square. The tokens are those that the pieces still to come are expected to fill
+    it with, and the size is that to which it then shrinks; so a long bin opens
+    where it wastes less, a short one where it fills as well. In the end every bin
+    shrinks to the smallest capacity that holds its contents. No piece may exceed
+    the largest capacity.
     """
     caps = sorted(capacities)
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    bins, offsets, fill, size = [0] * len(lengths), [0] * len(lengths), [], []
+    bins, offsets, fill = [0] * len(lengths), [0] * len(lengths), []
     room: list[tuple[int, int]] = []
-    left = sum(lengths)
+    left = Counter(lengths)
+    sizes = sorted(left)
+    cost = {c: overhead + c + c * c / reach for c in caps}
+
+    def price(c: int, n: int) -> float:
+        full = expected_fill(n, c, sizes, left)
+        return cost[caps[bisect_left(caps, full)]] / full
+
     for i in order:
         n = lengths[i]
+        left[n] -= 1
+        if not left[n]:
+            sizes.pop()
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            # tokens that a bin of capacity c gets: what is left of all pieces, up to c
             b = len(fill)
-            c = min((c for c in caps if c >= n), key=lambda c: ((overhead + c) / max(min(c, left), 1), -c))
+            free = min((c for c in caps if c >= n), key=lambda c: (price(c, n), c))
             fill.append(0)
-            size.append(c)
-            free = c
         bins[i], offsets[i] = b, fill[b]
         fill[b] += n
-        left -= n
         if free > n:
             insort(room, (free - n, b))
-    final = {b: next(c for c in caps if c >= x) for b, x in enumerate(fill)}
+    final = {b: caps[bisect_left(caps, x)] for b, x in enumerate(fill)}
     return bins, offsets, fill, final
 
 
@@ -61,6 +86,7 @@ def best_fit(
     lengths: DataFrame,
     capacities: Sequence[int] = (512, 1024, 2048, 4096, 8192),
     overhead: float = 16.0,
+    reach: float = 32768.0,
     shard_rows: int = 20_000,
     id_col: str = "doc_id",
     length_col: str = "length",
@@ -96,7 +122,7 @@ def best_fit(
         t = t.sort_by([("id", "ascending"), ("piece", "ascending"), ("length", "ascending")])
         size = t.column("length").to_pylist()
         real = [i for i, x in enumerate(size) if x > 0]
-        bins, offsets, fill, final = pack([size[i] for i in real], caps, overhead)
+        bins, offsets, fill, final = pack([size[i] for i in real], caps, overhead, reach)
         rows = [[None] * len(size) for _ in range(4)]
         for i, b, o in zip(real, bins, offsets, strict=True):
             for x, v in zip(rows, (b, o, fill[b], final[b]), strict=True):

@@ -5,39 +5,71 @@ import pytest
 from roadlens.llm.packing import best_fit, pack, word_lengths
 
 
-def plain_best_fit(lengths, caps, overhead):
-    """The same greedy rule with plain scans."""
+def plain_best_fit(lengths, caps, overhead, reach):
+    """The same rule with plain lists."""
     bins = []
-    left = sum(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    for at, i in enumerate(order):
         n = lengths[i]
         open_ = [(c - sum(lengths[j] for j in has), k) for k, (c, has) in enumerate(bins) if c - sum(lengths[j] for j in has) >= n]
         if open_:
             bins[min(open_)[1]][1].append(i)
-        else:
-            best = min((c for c in sorted(caps) if c >= n), key=lambda c: ((overhead + c) / max(min(c, left), 1), -c))
-            bins.append((best, [i]))
-        left -= n
+            continue
+
+        def price(c):
+            full = n
+            for j in order[at + 1 :]:
+                if full + lengths[j] <= c:
+                    full += lengths[j]
+            small = min(x for x in caps if x >= full)
+            return (overhead + small + small * small / reach) / full
+
+        bins.append((min((c for c in sorted(caps) if c >= n), key=price), [i]))
     return [has for _, has in bins]
 
 
-def test_equals_plain_scans_and_shrinks():
+def test_equals_plain_lists_and_shrinks():
     r = random.Random(2)
-    for _ in range(60):
+    for _ in range(80):
         caps = sorted(r.sample(range(5, 60), r.randrange(1, 4)))
         lengths = [r.randrange(1, caps[-1] + 1) for _ in range(r.randrange(0, 50))]
-        bins, offsets, fill, final = pack(lengths, caps, 2.0)
-        want = plain_best_fit(lengths, caps, 2.0)
+        reach = r.choice([20.0, 100.0, float("inf")])
+        bins, offsets, fill, final = pack(lengths, caps, 2.0, reach)
+        want = plain_best_fit(lengths, caps, 2.0, reach)
         assert [[i for i in has] for has in want] == [sorted((i for i, b in enumerate(bins) if b == k), key=lambda i: offsets[i]) for k in range(len(want))]
         for k, has in enumerate(want):
             assert fill[k] == sum(lengths[i] for i in has)
             assert final[k] == min(c for c in caps if c >= fill[k])
 
 
-def test_a_last_small_piece_opens_a_small_bin():
-    _, _, _, final = pack([3], [8, 64], 0.0)
-    assert final == {0: 8}
-    assert pack([60, 30, 30], [32, 64], 16.0)[3] == {0: 64, 1: 64}
+def test_the_choice_of_sizes():
+    assert pack([3], [8, 64], 0.0)[3] == {0: 8}
+    # a long bin takes all three, two short ones waste less
+    assert sorted(pack([60, 30, 30], [32, 64], 16.0)[3].values()) == [64, 64]
+    # pieces that fill short bins as well go there once attention counts
+    assert set(pack([32] * 8, [32, 64], 0.0, 100.0)[3].values()) == {32}
+    assert set(pack([32] * 8, [32, 64], 16.0)[3].values()) == {64}
+    # pieces that would leave half of a short bin empty open a long one
+    assert set(pack([17] * 15, [32, 256], 0.0, 1000.0)[3].values()) == {256}
+
+
+def test_several_sizes_beat_each_single_one():
+    import numpy as np
+
+    lengths = [int(x) for x in np.clip(np.random.default_rng(3).lognormal(5.5, 1.2, 4000), 1, 8192)]
+    caps = (512, 1024, 2048, 4096, 8192)
+    cost = lambda c: 16 + c + c * c / 32768
+
+    def total(result):
+        return sum(result[3].values()), sum(cost(c) for c in result[3].values())
+
+    opened = pack(lengths, caps, 16.0, 32768.0)
+    assert len(set(opened[3].values())) >= 4
+    room, spent = total(opened)
+    assert sum(lengths) / room > 0.97
+    _, alone = total(pack(lengths, (8192,), 16.0, 32768.0))
+    shrunk = pack(lengths, (8192,), 16.0, 32768.0)[2]
+    assert spent < alone and spent < sum(cost(min(c for c in caps if c >= x)) for x in shrunk)
 
 
 def test_in_spark_every_token_has_one_place(spark):
