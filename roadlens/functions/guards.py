@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from itertools import takewhile
 
 BACKENDS = ("bm25", "qwen3vl_embedding_faiss")
 
@@ -60,21 +61,16 @@ def one_image(image_path: str | None, image_b64: str | None) -> None:
         raise ValueError("give either an image path or base64 data")
 
 
-def split_argv(argv: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Arguments before and after the first ``--``."""
-    argv = list(argv)
-    at = argv.index("--") if "--" in argv else len(argv)
-    return argv[:at], argv[at + 1 :]
+def split_argv(argv: Sequence[str], mark: str = "--") -> tuple[list[str], list[str]]:
+    """Arguments on either side of the first ``mark``; all are before it where there is none."""
+    rest = iter(argv)
+    before = list(takewhile(lambda a: a != mark, rest))
+    return before, list(rest)
 
 
 def without_flag(argv: Sequence[str], flag: str) -> list[str]:
-    """Arguments less ``flag`` and its value, in either spelling."""
-    out, skip = [], False
-    for a in argv:
-        if skip:
-            skip = False
-        elif a == flag:
-            skip = True
-        elif not a.startswith(flag + "="):
-            out.append(a)
-    return out
+    """Arguments less every ``flag``, written as two arguments or with an equals sign."""
+    rest = iter(argv)
+    # a flag on its own draws its value from the same iterator
+    apart = (a for a in rest if a != flag or not [next(rest, None)])
+    return [a for a in apart if a.partition("=")[:2] != (flag, "=")]

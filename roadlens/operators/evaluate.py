@@ -30,7 +30,7 @@ def _cut_recall(ranked: DataFrame, truth: DataFrame, cuts: DataFrame, key: str,
 
 
 def _values(spark, name: str, values: Sequence[int]) -> DataFrame:
-    return spark.createDataFrame([(positive_int(name, v),) for v in values], f"{name} int")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(positive_int(name, v)) for v in values])).alias(name))
 
 
 def percentile_recall(ranked: DataFrame, truth: DataFrame, percents: Sequence[int], totals: DataFrame) -> DataFrame:

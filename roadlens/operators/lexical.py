@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, tokens
-from .rank import named, with_unmatched
+from ..storage import checkpoint, spread
+from .rank import ranked
 
 #: The usual parameters of Okapi BM25, and the share of the mean idf that replaces a negative one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -41,9 +42,19 @@ class Postings:
 MOST_TERMS = 500_000
 
 
-def _dealt(corpus: DataFrame, terms: Column) -> DataFrame:
-    """(corpus_pos, toks), dealt by document before it is exploded: counts per document and term, and later sums per query and document, then stay where they are."""
-    return corpus.select("corpus_pos", terms.alias("toks")).repartition("corpus_pos")
+def _vectors(corpus: DataFrame, terms: Column) -> DataFrame:
+    """(corpus_pos, dl, tf): each document's terms with their counts, in one row.
+
+    Terms are counted inside the row, as runs of its sorted tokens, so no token is
+    shuffled. The rows are then dealt by document and kept: later counts, norms and
+    sums per query and document stay where they are, and no text is read twice.
+    """
+    w = spread(corpus).select("corpus_pos", F.sort_array(terms).alias("w"))
+    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.col("w")[i] != F.col("w")[F.greatest(i - 1, F.lit(0))]))
+    at = F.when(F.size("w") > 0, first).otherwise(F.array().cast("array<int>"))
+    rows = w.withColumn("at", at).withColumn("ends", F.concat(F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.size("w"))))
+    tf = F.transform("at", lambda i, k: F.struct(F.col("w")[i].alias("term"), (F.col("ends")[k] - i).cast("bigint").alias("tf")))
+    return checkpoint(rows.select("corpus_pos", F.size("w").alias("dl"), tf.alias("tf")).repartition("corpus_pos"))
 
 
 def _query_terms(queries: DataFrame, terms: Column) -> tuple[DataFrame, bool]:
@@ -58,49 +69,47 @@ def _scores(index: Postings, q: DataFrame, few: bool) -> DataFrame:
 
 
 def bm25_index(corpus: DataFrame, text: str = "caption") -> Postings:
-    """Postings whose weight is a term's whole part of a document's score.
-
-    Document lengths come from the token arrays, before they are exploded, and
-    travel with the postings; corpus size and mean length are one small row.
-    """
-    toks = _dealt(corpus, tokens(F.coalesce(F.col(text), F.lit("")))).withColumn("dl", F.size("toks"))
-    tf = toks.select("corpus_pos", "dl", F.explode("toks").alias("term")).groupBy("corpus_pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    size = toks.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    terms = raw.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("mean")))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return Postings(corpus, tf.crossJoin(F.broadcast(size.select("avgdl"))).select("corpus_pos", "term", "tf", part.alias("weight")), terms)
-
-
-def bm25_scores(index: Postings, queries: DataFrame, text: str = "search_query") -> DataFrame:
-    """(query_id, corpus_pos, score) of documents that share a token with the query; a query's repeats count."""
-    q, few = _query_terms(queries, tokens(F.col(text)))
-    return _scores(index, q.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q")), few)
-
-
-def bm25_search(index: Postings, queries: DataFrame, k: int, text: str = "search_query") -> DataFrame:
-    """Ranked frame of all queries in one job. Queries without tokens have no rows; those without matches get the first rows at 0."""
+    """Postings whose weight is a term's whole part of a document's score; term counts and the vocabulary are kept as they are made."""
+    v = _vectors(corpus, tokens(F.coalesce(F.col(text), F.lit(""))))
+    n, mean_dl = v.agg(F.count("*").cast("double"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    df = v.select(F.explode("tf.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = checkpoint(df.select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
+    each = v.select("corpus_pos", "dl", F.inline("tf"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean_dl or 1.0)))
+    return Postings(corpus, each.select("corpus_pos", "term", "tf", part.alias("weight")), terms)
+
+
+def bm25_search(index: Postings, queries: DataFrame, k: int | None, text: str = "search_query") -> DataFrame:
+    """Ranked frame of all queries; whole where ``k`` is None. Queries without tokens have no rows; those without matches get the first rows at 0."""
     asked = queries.where(F.size(tokens(F.col(text))) > 0)
-    scores = bm25_scores(index, asked, text)
-    return named(with_unmatched(scores, asked, index.corpus, k), index.corpus, k)
+    q, few = _query_terms(asked, tokens(F.col(text)))
+    q = q.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q"))
+    return ranked(lambda only: _scores(index, only(q), few), asked, index.corpus, k)
 
 
 def tfidf_index(corpus: DataFrame, text: str = "caption") -> Postings:
-    """Postings of words and word pairs with smooth idf, each document's weights of length one."""
-    toks = _dealt(corpus, grams(F.coalesce(F.col(text), F.lit(""))))
-    tf = toks.select("corpus_pos", F.explode("toks").alias("term")).groupBy("corpus_pos", "term").agg(F.count("*").alias("tf"))
-    n = corpus.agg(F.count("*").cast("double").alias("n"))
-    terms = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(terms, "term").select("corpus_pos", "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = weighed.groupBy("corpus_pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return Postings(corpus, weighed.join(norm, "corpus_pos").select("corpus_pos", "term", "tf", (F.col("w") / F.col("norm")).alias("weight")), terms)
+    """Postings of words and word pairs with smooth idf, each document's weights of length one once they meet their term's idf.
 
-
-def tfidf_search(index: Postings, queries: DataFrame, k: int, text: str = "search_query") -> DataFrame:
+    A posting's weight is its count over its document's norm; the idf comes with the
+    query's terms, so that the postings never meet the vocabulary as a whole. Only norms
+    need that: counts go to the terms, and their squares come back.
+    """
+    v = _vectors(corpus, grams(F.coalesce(F.col(text), F.lit(""))))
+    n = v.count()
+    each = v.select("corpus_pos", F.inline("tf"))
+    terms = checkpoint(each.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    square = F.col("tf") * F.col("idf")
+    norm = each.join(terms, "term").groupBy("corpus_pos").agg(F.sqrt(F.sum(square * square)).alias("norm"))
+    kept = checkpoint(v.join(norm, "corpus_pos").select("corpus_pos", "norm", "tf"))
+    return Postings(corpus, kept.select("corpus_pos", "norm", F.inline("tf")).select("corpus_pos", "term", "tf", (F.col("tf") / F.col("norm")).alias("weight")), terms)
+
+
+def tfidf_search(index: Postings, queries: DataFrame, k: int | None, text: str = "search_query") -> DataFrame:
+    """As ``bm25_search``, by the cosine; a query without known terms has the first rows at 0."""
     q, few = _query_terms(queries, grams(F.col(text)))
-    q = q.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    q = q.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "idf")
     norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = q.join(norm, "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("q"))
-    scores = _scores(index, q, few)
-    return named(with_unmatched(scores, queries, index.corpus, k), index.corpus, k)
+    q = q.join(norm, "query_id").select("query_id", "term", (F.col("w") / F.col("norm") * F.col("idf")).alias("q"))
+    return ranked(lambda only: _scores(index, only(q), few), queries, index.corpus, k)

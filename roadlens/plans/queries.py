@@ -18,6 +18,7 @@ from ..operators.rank import at_least, top_k
 from ..sources.captions import as_corpus
 from ..sources.queries import parse_queries
 from ..sources.sinks import placed, report
+from ..storage import checkpoint
 from . import retrieval
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,12 +55,13 @@ def semantic(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
     have = e.select(F.col("vec_id").alias("corpus_pos"), F.col("vec_id").cast("string").alias("image_id"), F.concat(F.lit("v/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("image_path"), "embedding")
     q = e.join(asked(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector"))
-    return vectors.embedding_search(have, q, k, skip_self=True)
+    found = vectors.embedding_search(have, q, k, skip_self=True)
+    return found if k is None else checkpoint(found)
 
 
 def lexical_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return lexical.bm25_search(lexical.bm25_index(c), asked(spark, sf_dir), k)
+    return checkpoint(lexical.bm25_search(lexical.bm25_index(c), asked(spark, sf_dir), k))
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ _CORPUS = "corpus AS (SELECT doc_id AS corpus_pos, CAST(doc_id AS VARCHAR) AS im
 _TOKEN = r"[A-Za-z0-9]+|[\x{4e00}-\x{9fff}]+"
 
 
-def _bm25(k: int, src: str = "SELECT corpus_pos, caption FROM corpus", token: str = _TOKEN, asked_sql: str = "SELECT item_id AS query_id, text FROM benchmark") -> str:
+def _bm25(k: int | None, src: str = "SELECT corpus_pos, caption FROM corpus", token: str = _TOKEN, asked_sql: str = "SELECT item_id AS query_id, text FROM benchmark") -> str:
     return f"""{_CORPUS},
     src AS ({src}),
     toks AS (SELECT corpus_pos, unnest(regexp_extract_all(lower(coalesce(caption, '')), '{token}')) AS term FROM src),
@@ -95,13 +97,13 @@ def _bm25(k: int, src: str = "SELECT corpus_pos, caption FROM corpus", token: st
       FROM tf JOIN qt USING (term) JOIN terms USING (term) JOIN dl USING (corpus_pos), size GROUP BY ALL),
     lex AS (SELECT * FROM (SELECT q.query_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(s, 0.0), 9) DESC, c.corpus_pos)::INT AS rank,
         c.image_id, c.image_path, coalesce(s, 0.0) AS score
-      FROM (SELECT DISTINCT query_id FROM qt) q CROSS JOIN corpus c LEFT JOIN matched m ON m.query_id = q.query_id AND m.corpus_pos = c.corpus_pos) WHERE rank <= {k})"""
+      FROM (SELECT DISTINCT query_id FROM qt) q CROSS JOIN corpus c LEFT JOIN matched m ON m.query_id = q.query_id AND m.corpus_pos = c.corpus_pos){f" WHERE rank <= {k}" if k else ""})"""
 
 
-def _sem(k: int) -> str:
+def _sem(k: int | None) -> str:
     return f"""sem AS (SELECT * FROM (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id)::INT AS rank,
         CAST(e.vec_id AS VARCHAR) AS image_id, 'v/' || e.vec_id || '.jpg' AS image_path, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
-      FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id JOIN embeddings e ON e.vec_id <> q.vec_id) WHERE rank <= {k})"""
+      FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id JOIN embeddings e ON e.vec_id <> q.vec_id){f" WHERE rank <= {k}" if k else ""})"""
 
 
 _TRUTH = "truth AS (SELECT q.vec_id AS query_id, 'v/' || e.vec_id || '.jpg' AS gt_key FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id)"
@@ -238,7 +240,7 @@ def embedding_topk(spark, sf_dir):
     return shown(vectors.embedding_search(e.select(F.col("vec_id").alias("corpus_pos"), i.alias("image_id"), i.alias("image_path"), "embedding"), q, 10))
 
 
-@query(f"WITH {_sem(1000000)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank, image_id, image_path, round(score, 6) AS score FROM sem WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5")
+@query(f"WITH {_sem(None)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank, image_id, image_path, round(score, 6) AS score FROM sem WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5")
 def min_score_topk(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     have = e.select(F.col("vec_id").alias("corpus_pos"), F.col("vec_id").cast("string").alias("image_id"), F.concat(F.lit("v/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("image_path"), "embedding")
@@ -282,8 +284,8 @@ def multi_query_max(spark, sf_dir):
     """Three phrasings of each query: all of it, its first four words and its next four."""
     words = F.split("display_query", " ")
     q = asked(spark, sf_dir).select("query_id", F.posexplode(F.array(F.col("display_query"), F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 4), " "))).alias("query_pos", "search_query"))
-    found = lexical.bm25_search(lexical.bm25_index(corpus(spark, sf_dir)), q.withColumn("query_id", F.col("query_id") * 10 + F.col("query_pos")), 20)
-    split = found.withColumn("query_pos", (F.col("query_id") % 10).cast("int")).withColumn("query_id", F.expr("query_id div 10")).withColumn("score", F.round("score", 9))
+    found = lexical.bm25_search(lexical.bm25_index(corpus(spark, sf_dir)), q.select(F.struct("query_id", "query_pos").alias("query_id"), "search_query"), 20)
+    split = found.withColumn("query_pos", F.col("query_id.query_pos")).withColumn("query_id", F.col("query_id.query_id")).withColumn("score", F.round("score", 9))
     return shown(fusion.max_merge(split, 10))
 
 
@@ -315,14 +317,14 @@ def content_dedup(spark, sf_dir):
 
 @query(f"WITH {_CORPUS} SELECT image_hash, string_agg(image_path, '|' ORDER BY corpus_pos) AS duplicate_paths, (SELECT string_agg(l, '|' ORDER BY l) FROM (SELECT DISTINCT unnest(list(c.label)) AS l)) AS labels FROM corpus c GROUP BY ALL")
 def dedup_metadata(spark, sf_dir):
-    d = dedup.deduplicated(corpus(spark, sf_dir))
+    d = dedup.deduplicated(corpus(spark, sf_dir), paths=True)
     return d.select("image_hash", F.array_join("duplicate_paths", "|").alias("duplicate_paths"), F.array_join("labels", "|").alias("labels"))
 
 
 @query(f"WITH {_CORPUS} SELECT image_path, corpus_pos, image_hash FROM corpus")
 def hash_lookup(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return dedup.lookup(c.select("image_path", "corpus_pos"), dedup.hash_by_path(dedup.deduplicated(c)), "image_path", "hash")
+    return dedup.hashes_of(c.select("image_path", "corpus_pos"), c)
 
 
 # evaluation
@@ -330,7 +332,7 @@ def hash_lookup(spark, sf_dir):
 _CUTS = "(VALUES (10), (20), (30), (50)) p(percent)"
 
 
-@query(f"""WITH {_sem(1000000)}, {_TRUTH}, n AS (SELECT count(*) AS n FROM embeddings),
+@query(f"""WITH {_sem(None)}, {_TRUTH}, n AS (SELECT count(*) AS n FROM embeddings),
     c AS (SELECT percent, least(n, greatest(1, ceil(n * percent / 100.0)))::BIGINT AS candidate_count FROM n, {_CUTS})
     SELECT t.query_id, percent, candidate_count, count(*) AS gt_count, count(*) FILTER (rank <= candidate_count) AS recalled_gt_count,
       round(count(*) FILTER (rank <= candidate_count)::DOUBLE / count(*), 6) AS recall, md5(coalesce(string_agg(gt_key, '|' ORDER BY gt_key) FILTER (rank <= candidate_count), '')) AS recalled_md5
@@ -341,7 +343,7 @@ def percentile_recall(spark, sf_dir):
     return r.select("query_id", "percent", "candidate_count", "gt_count", "recalled_gt_count", "recall", F.md5(F.array_join("recalled", "|")).alias("recalled_md5"))
 
 
-@query(f"""WITH {_bm25(1000000, src="SELECT min(c.corpus_pos) AS corpus_pos, arg_min(c.caption, c.corpus_pos) AS caption FROM corpus c GROUP BY c.image_hash")},
+@query(f"""WITH {_bm25(None, src="SELECT min(c.corpus_pos) AS corpus_pos, arg_min(c.caption, c.corpus_pos) AS caption FROM corpus c GROUP BY c.image_hash")},
     first AS (SELECT c.image_hash, min(c.corpus_pos) AS corpus_pos FROM corpus c GROUP BY c.image_hash),
     r AS (SELECT * FROM (SELECT l.query_id, f.image_hash, row_number() OVER (PARTITION BY l.query_id ORDER BY round(l.score, 9) DESC, f.corpus_pos) AS rank FROM lex l JOIN first f ON f.corpus_pos = l.image_id::BIGINT) WHERE rank <= 50),
     gt AS (SELECT DISTINCT b.item_id AS query_id, c.image_hash FROM benchmark b JOIN corpus c ON c.label = 'src' || (b.item_id % 20)),

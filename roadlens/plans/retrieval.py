@@ -14,28 +14,33 @@ from ..functions.text import has_cjk, lexical_text
 from ..operators import compare, dedup, evaluate, fusion, lexical, vectors
 from ..operators.rank import RANKED
 from ..sources.captions import require
+from ..storage import checkpoint
 
 
 class Backend(Protocol):
-    """All queries (query_id, search_query, ...) to a ranked frame of at most k rows each."""
+    """All queries (query_id, search_query, ...) to a ranked frame of at most k rows each, or of the whole corpus for None."""
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame: ...
+    def search(self, queries: DataFrame, k: int | None) -> DataFrame: ...
+
+
+def _cut_at(k: int | None) -> int | None:
+    return None if k is None else positive_int("k", k)
 
 
 @dataclass
 class Bm25:
     index: lexical.Postings
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return lexical.bm25_search(self.index, queries, positive_int("k", k))
+    def search(self, queries: DataFrame, k: int | None) -> DataFrame:
+        return lexical.bm25_search(self.index, queries, _cut_at(k))
 
 
 @dataclass
 class TfIdf:
     index: lexical.Postings
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return lexical.tfidf_search(self.index, queries, positive_int("k", k))
+    def search(self, queries: DataFrame, k: int | None) -> DataFrame:
+        return lexical.tfidf_search(self.index, queries, _cut_at(k))
 
 
 @dataclass
@@ -46,9 +51,9 @@ class Embeddings:
     encode: Callable[[DataFrame], DataFrame]
     least: float | None = None
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
+    def search(self, queries: DataFrame, k: int | None) -> DataFrame:
         q = self.encode(queries).select("query_id", "vector")
-        return vectors.embedding_search(self.corpus, q, positive_int("k", k), self.least)
+        return vectors.embedding_search(self.corpus, q, _cut_at(k), self.least)
 
 
 @dataclass
@@ -57,8 +62,8 @@ class Hybrid:
     lexical: Backend
     rrf_k: int = fusion.RRF_K
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return fusion.rrf(self.semantic.search(queries, k), self.lexical.search(queries, k), k, self.rrf_k)
+    def search(self, queries: DataFrame, k: int | None) -> DataFrame:
+        return fusion.rrf(checkpoint(self.semantic.search(queries, k)), checkpoint(self.lexical.search(queries, k)), k, self.rrf_k)
 
 
 def with_embedder(corpus: DataFrame, load: Callable[[], vectors.Embedder], instruction: str = "", batch: int = 16) -> Embeddings:
@@ -84,22 +89,22 @@ def backend(name: str, corpus: DataFrame, load: Callable[[], vectors.Embedder] |
     return REGISTRY[name](corpus, load)
 
 
-def retrieve(b: Backend, queries: DataFrame, k: int, expanded: bool = False, corpus_size: int | None = None) -> DataFrame:
+def retrieve(b: Backend, queries: DataFrame, k: int, expanded: bool = False, depth: int | None = None) -> DataFrame:
     """Ranked frame of ``queries``; blank ones fail in the job.
 
     With ``expanded``, queries have an array of phrasings: each searches all of the
-    corpus (``corpus_size`` rows, if given, else 10 k) and the rankings are merged.
-    Without, search texts with CJK characters fail, since captions are English.
+    corpus, or only its ``depth`` best rows, and the rankings are merged. A phrasing
+    is keyed by its query and its place. Without, search texts with CJK
+    characters fail, since captions are English.
     """
     positive_int("k", k)
     q = require(queries, F.length(F.trim("search_query")) > 0, "the query must not be blank")
     if not expanded:
         return b.search(require(q, ~has_cjk(F.col("search_query")), "expand queries that are not English"), k)
     each = q.select("query_id", F.posexplode("expanded").alias("query_pos", "search_query")).where(F.length(F.trim("search_query")) > 0)
-    each = each.withColumn("owner", F.col("query_id")).withColumn("query_id", F.col("owner") * 1000 + F.col("query_pos"))
-    found = b.search(each, corpus_size or 10 * k)
-    split = found.withColumn("query_pos", F.pmod("query_id", F.lit(1000)).cast("int")).withColumn("query_id", F.expr("query_id div 1000"))
-    return fusion.max_merge(split, k)
+    each = each.select(F.struct("query_id", "query_pos").alias("query_id"), "search_query")
+    found = b.search(each, depth).withColumn("query_pos", F.col("query_id.query_pos")).withColumn("query_id", F.col("query_id.query_id"))
+    return fusion.max_merge(found, k)
 
 
 def lexical_view(corpus: DataFrame) -> DataFrame:
@@ -128,14 +133,14 @@ def strict_dedup_recall(corpus: DataFrame, truth: DataFrame, backends: dict[str,
 
 def frozen_hybrid(frozen: DataFrame, view: lexical.Postings, queries: DataFrame, top_k: int = 20, freeze_top_n: int = 5, lexical_top_n: int = 10) -> tuple[DataFrame, DataFrame]:
     """The frozen ranking with its tail reranked by BM25 over the lexical view, and the manifest against the frozen one."""
-    lex = lexical.bm25_search(view, queries, max(top_k, lexical_top_n))
-    hybrid = fusion.tail_rerank(frozen.select(*RANKED), lex, freeze_top_n, top_k, lexical_top_n)
+    frozen, lex = checkpoint(frozen), lexical.bm25_search(view, queries, max(top_k, lexical_top_n))
+    hybrid = checkpoint(fusion.tail_rerank(frozen.select(*RANKED), lex, freeze_top_n, top_k, lexical_top_n))
     return hybrid, compare.comparison_manifest(queries, frozen.where(F.col("rank") <= top_k), hybrid)
 
 
 def frozen_gate(frozen: DataFrame, view: lexical.Postings, queries: DataFrame, candidate_top_k: int = 20, semantic_top_n: int = 10, lexical_top_n: int = 8, output_max_k: int = 10) -> tuple[DataFrame, DataFrame]:
     """The frozen ranking's top that BM25 over the lexical view supports, and its manifest."""
     fixed_gate(candidate_top_k, semantic_top_n, lexical_top_n, output_max_k)
-    lex = lexical.bm25_search(view, queries, lexical_top_n)
+    frozen, lex = checkpoint(frozen), checkpoint(lexical.bm25_search(view, queries, lexical_top_n))
     kept = fusion.rank_gate(frozen.select(*RANKED), lex, candidate_top_k, semantic_top_n, lexical_top_n, output_max_k)
     return kept, compare.filter_manifest(queries, frozen, lex, kept, candidate_top_k, semantic_top_n, lexical_top_n)

@@ -23,12 +23,11 @@ def parse_queries(documents: DataFrame, value: str = "value", mode: str = "searc
     ``search`` and dropped otherwise. query_id is the item's place, from 0, or ``id_col``.
     """
     scalars, display, search = MODES[mode]
-    doc = require(documents.withColumn("__v", F.try_parse_json(F.col(value))), F.expr("schema_of_variant(try_variant_get(__v, '$.queries', 'variant')) like 'ARRAY%'"), "a query file must have a list named queries")
+    doc = documents.select(*([F.col(id_col).alias("__id")] if id_col else []), F.try_parse_json(F.col(value)).alias("__v"))
+    doc = require(doc, F.expr("schema_of_variant(try_variant_get(__v, '$.queries', 'variant')) like 'ARRAY%'"), "a query file must have a list named queries")
     # each item as a variant, with its place; one pass over mixed kinds
-    keep = [id_col] if id_col else []
-    doc.createOrReplaceTempView("__roadlens_queries")
-    items = doc.sparkSession.sql(f"select {', '.join([*(f'd.{k}' for k in keep), 'i.pos', 'i.value as item'])} from __roadlens_queries d, lateral variant_explode(variant_get(d.__v, '$.queries', 'variant')) i")
-    doc.sparkSession.catalog.dropTempView("__roadlens_queries")
+    doc = doc.withColumn("__q", F.expr("variant_get(__v, '$.queries', 'variant')"))
+    items = doc.lateralJoin(doc.sparkSession.tvf.variant_explode(F.col("__q").outer())).withColumnRenamed("value", "item")
     kind = F.expr("schema_of_variant(item)")
     plain = F.when(kind == "STRING", F.expr("variant_get(item, '$', 'string')"))
     if scalars:
@@ -36,7 +35,7 @@ def parse_queries(documents: DataFrame, value: str = "value", mode: str = "searc
     field = lambda names: F.coalesce(*[F.nullif(stripped(F.when(kind.like("OBJECT%"), F.expr(f"try_variant_get(item, '$.{n}', 'string')"))), F.lit("")) for n in names])
     text = F.nullif(stripped(plain), F.lit(""))
     a, b = F.coalesce(text, field(display)), F.coalesce(text, field(search))
-    out = items.select((F.col(id_col) if id_col else F.col("pos").cast("bigint")).alias("query_id"), F.coalesce(a, b).alias("display_query"), F.coalesce(b, a).alias("search_query"))
+    out = items.select((F.col("__id") if id_col else F.col("pos").cast("bigint")).alias("query_id"), F.coalesce(a, b).alias("display_query"), F.coalesce(b, a).alias("search_query"))
     return out.where("display_query is not null")
 
 

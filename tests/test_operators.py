@@ -148,11 +148,12 @@ def test_models_on_workers(spark):
 
 def test_dedup_keeps_first_and_unites_labels(spark):
     rows = [(0, "r/a/1", "one", "h1", "a"), (1, "r/b/1", "two", "h1", "b"), (2, "r/b/2", "three", "h2", None)]
-    d = dedup.deduplicated(spark.createDataFrame(rows, "corpus_pos bigint, image_path string, caption string, image_hash string, label string"))
+    records = spark.createDataFrame(rows, "corpus_pos bigint, image_path string, caption string, image_hash string, label string")
+    d = dedup.deduplicated(records, paths=True)
     got = {x.image_id: x for x in d.collect()}
     assert (got["h1"].caption, got["h1"].duplicate_paths, got["h1"].labels, got["h1"].duplicate_count) == ("one", ["r/a/1", "r/b/1"], ["a", "b"], 2)
     assert got["h2"].labels == []
-    paths = dedup.hash_by_path(d)
+    paths = dedup.hash_by_path(records)
     ask = spark.createDataFrame([("r/b/1",)], "image_path string")
     assert dedup.lookup(ask, paths, "image_path", "hash").first().image_hash == "h1"
     with pytest.raises(Exception, match="hash not found: nope"):

@@ -122,7 +122,7 @@ def test_flows(spark):
     for name in ("bm25", "tfidf_faiss", "qwen3vl_embedding_faiss", "hybrid_embedding_bm25"):
         assert retrieval.retrieve(retrieval.backend(name, c, vectors.HashEmbedder), q, 2).count() == 2
     many = q.withColumn("expanded", F.array(F.lit("bus"), F.lit(" "), F.lit("rain")))
-    got = retrieval.retrieve(retrieval.backend("bm25", c), many, 2, expanded=True, corpus_size=5)
+    got = retrieval.retrieve(retrieval.backend("bm25", c), many, 2, expanded=True)
     assert {x.image_id for x in got.collect()} == {"4", "3"}
     with pytest.raises(ValueError):
         retrieval.backend("faiss", c)
