@@ -42,19 +42,31 @@ class Postings:
 MOST_TERMS = 500_000
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of ``value``, which is evaluated once however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def counted(terms: Column) -> Column:
+    """array<struct<term, tf>> of an array of terms: the runs of the sorted array."""
+    none = F.array().cast("array<int>")
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (w[i] != w[F.greatest(i - 1, F.lit(0))]))
+        return _let(F.when(F.size(w) > 0, starts).otherwise(none), lambda at: F.transform(at, lambda i, k: F.struct(w[i].alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("bigint").alias("tf"))))
+
+    return _let(F.sort_array(terms), runs)
+
+
 def _vectors(corpus: DataFrame, terms: Column) -> DataFrame:
     """(corpus_pos, dl, tf): each document's terms with their counts, in one row.
 
-    Terms are counted inside the row, as runs of its sorted tokens, so no token is
-    shuffled. The rows are then dealt by document and kept: later counts, norms and
-    sums per query and document stay where they are, and no text is read twice.
+    Terms are counted inside the row, so no token is shuffled. The rows are then
+    dealt by document and kept: later counts, norms and sums per query and document
+    stay where they are, and no text is read twice.
     """
-    w = spread(corpus).select("corpus_pos", F.sort_array(terms).alias("w"))
-    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.col("w")[i] != F.col("w")[F.greatest(i - 1, F.lit(0))]))
-    at = F.when(F.size("w") > 0, first).otherwise(F.array().cast("array<int>"))
-    rows = w.withColumn("at", at).withColumn("ends", F.concat(F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.size("w"))))
-    tf = F.transform("at", lambda i, k: F.struct(F.col("w")[i].alias("term"), (F.col("ends")[k] - i).cast("bigint").alias("tf")))
-    return checkpoint(rows.select("corpus_pos", F.size("w").alias("dl"), tf.alias("tf")).repartition("corpus_pos"))
+    kept = checkpoint(spread(corpus).select("corpus_pos", counted(terms).alias("tf")).repartition("corpus_pos"))
+    return kept.withColumn("dl", F.aggregate("tf", F.lit(0).cast("bigint"), lambda n, x: n + x["tf"]))
 
 
 def _query_terms(queries: DataFrame, terms: Column) -> tuple[DataFrame, bool]:
