@@ -75,9 +75,10 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    tree, counts = suffix_tree.fit(docs.where(~suffix_tree.held_out()))
-    out = suffix_tree.score(docs, tree, counts)
-    return out.select("doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    train = ~suffix_tree.held_out()
+    model = suffix_tree.fit(docs, train)
+    out = suffix_tree.score(docs, model, train)
+    return out.select("doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

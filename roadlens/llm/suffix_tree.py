@@ -4,26 +4,22 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, col, crc_mod, ensure_checkpoint_dir, mix64, slices
 
-#: The token after the last word of every text. No word has a space.
+#: The token after the last word of every text; it also stands before the first. No word has a space.
 END = b" "
-
-
-def _sequences(batch: pa.RecordBatch, at: int) -> list[list[bytes]]:
-    return [t.lower().split() + [END] for t in batch.column(at).cast(pa.binary()).to_pylist()]
-
-
-def _words(docs: DataFrame, text_col: str, keep=()) -> DataFrame:
-    return docs.select(*keep, F.coalesce(col(text_col).cast("string"), F.lit("")).alias("__t"))
+#: Words in a context at most.
+DEPTH = 4
+#: Numbers of words: 0 stands for what is before a text's start, 1 for END, then those of the dictionary; words that it lacks have RARE and 46 bits of their hash.
+RARE = 1 << 46
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -34,412 +30,487 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", most: int = 300_000) -> DataFrame:
-    """(word, c) over all tokens, END included; each task adds up its words before the shuffle."""
+def pack(a: np.ndarray) -> bytes:
+    """An array's bytes by planes, compressed."""
+    import zstandard
 
-    def run(batches):
-        counts: Counter = Counter()
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
 
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return made
 
-        for b in slices(batches, 0):
-            for words in _sequences(b, 0):
-                counts.update(words)
-            if len(counts) > most:
-                yield out()
-        yield out()
+def unpack(data: bytes, kind) -> np.ndarray:
+    import zstandard
 
-    return _words(docs, text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-class Lookup:
-    """Positions of int64 keys in a sorted array, -1 for those that it lacks."""
+def _differences(sorted_keys: np.ndarray) -> bytes:
+    return pack(np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0)))
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
 
-    def of(self, k: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(k), -1, np.int64)
-        i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        return np.where(self.keys[i] == k, i, -1)
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(at, np.concatenate(counts), len(u)).astype(np.int64)
 
 
-def word_hashes() -> WordHash:
-    """Hashes of words as xxhash64 of SQL gives them."""
+def _hash(word: bytes) -> int:
     import xxhash
 
-    out = WordHash()
-    out.hash = functools.partial(xxhash.xxh64_intdigest, seed=42)
-    return out
-
-
-def gram(o: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Key of context ``o`` followed by ``x``; both are word hashes, or keys of the pairs that overlap in one word."""
-    return mix64(mix64(o) * np.uint64(0x9E3779B97F4A7C15) + x)
-
-
-def _grams(hashes: WordHash, seqs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts in one array: word hashes, hashes before each (END before a text), keys of these pairs, and the places that two words of a text precede (END counts)."""
-    n = np.fromiter(map(len, seqs), np.int64, len(seqs))
-    w = hashes.of([x for s in seqs for x in s])
-    first = np.cumsum(n) - n
-    b = np.empty_like(w)
-    b[1:] = w[:-1]
-    b[first] = np.uint64(hashes[END])
-    second = np.ones(len(w), bool)
-    second[first] = False
-    return w, b, gram(b, w), np.flatnonzero(second)
+    return xxhash.xxh64_intdigest(word)
 
 
-#: Bits of the filters of keys at most, and the segments that make them at least.
-FILTER_BITS, SEGMENTS = 28, 64
-
-
-def _sizes(n: int) -> tuple[int, int]:
-    """Logarithm of the filter's bits for ``n`` tokens, and its segments."""
-    bits = min(FILTER_BITS, max(16, (4 * n).bit_length()))
-    return bits, 1 << max(SEGMENTS.bit_length() - 1, min(bits - 3, (n >> 22).bit_length()))
+@dataclass
+class Model:
+    """What all tasks know: numbers of tokens, the dictionary, and the states of contexts too frequent for one task.
 
+    Hot contexts form a tree of their own: ``child`` maps parent * width + word to a context,
+    and ``entry`` context * width + next word to its explicit probability. Context 0
+    is the empty one.
+    """
 
-def passes(bitmap: np.ndarray, k: np.ndarray) -> np.ndarray:
-    at = k >> np.uint64(65 - (8 * len(bitmap)).bit_length())
-    return (bitmap[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & 128 > 0
+    total: int = 0
+    distinct: int = 0
+    every: int = 0
+    discount: float = 0.5
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    rare: float = 1.0
+    unseen: float = 1.0
+    segments: int = 1
+    depth: int = DEPTH
+    least: int = 2
+    p_min: float = 2e-3
+    penalty: float = 2.0
+    child: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    child_at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    entry_p: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    lam: np.ndarray = field(default_factory=lambda: np.ones(1))
+    kept: np.ndarray = field(default_factory=lambda: np.ones(1, bool))
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+
+    @property
+    def width(self) -> int:
+        return len(self.hashes) + 2
 
+    @functools.cached_property
+    def root(self) -> np.ndarray:
+        """Probability by number of the words in the dictionary."""
+        c = np.concatenate(([0], self.counts))
+        return np.where(c > 0, (c - self.discount) / max(self.total, 1), self.unseen)
+
+    def root_of(self, x: np.ndarray) -> np.ndarray:
+        """Probability of words at the root; those outside of the dictionary that were seen share theirs evenly."""
+        common = x < RARE
+        return np.where(common, self.root[np.where(common, x, 0)], self.rare)
+
+    def walk(self, words: list[np.ndarray], x: np.ndarray, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For contexts (nearest word first) and next words: the longest hot context, its order, the next word's probability by the
+        longest hot state over that at the root, and how often that state was seen."""
+        n = len(x)
+        at, order, ratio, seen = np.zeros(n, np.int64), np.zeros(n, np.int8), np.ones(n), np.full(n, self.total)
+        live = np.arange(n) if len(self.child) else np.zeros(0, np.int64)
+        for m in range(self.depth):
+            w = words[m][live]
+            live = live[(w > 0) & (w < RARE)]
+            to = find(self.child, at[live] * self.width + words[m][live])
+            live, to = live[to >= 0], to[to >= 0]
+            if not len(live):
+                break
+            at[live], order[live] = self.child_at[to], m + 1
+            state = live[self.kept[at[live]]]
+            e = find(self.entry, np.where(x[state] < RARE, at[state] * self.width + x[state], -1))
+            p = np.where(e >= 0, np.append(self.entry_p, 0.0)[e], 0.0)
+            ratio[state] = self.lam[at[state]] * ratio[state] + p / p0[state]
+            seen[state] = self.seen[at[state]]
+        return at, order, ratio, seen
+
+
+def find(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Places of ``k`` in sorted ``keys``, -1 for those that it lacks."""
+    if not len(keys):
+        return np.full(len(k), -1, np.int64)
+    i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+    return np.where(keys[i] == k, i, -1)
+
+
+class WordNumbers(dict):
+    """Numbers of byte words, kept for those seen last."""
+
+    def __init__(self, hashes: np.ndarray, most: int = 400_000):
+        self.sorted = np.argsort(hashes, kind="stable")
+        self.hashes, self.most = hashes[self.sorted], most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = np.uint64(_hash(word))
+        i = int(np.searchsorted(self.hashes, h))
+        known = i < len(self.hashes) and self.hashes[i] == h
+        n = self[word] = int(self.sorted[i]) + 1 if known else RARE | int(h) >> 18
+        return n
 
-def _bitmap(keys: DataFrame, bits: int, segments: int, times: int) -> np.ndarray:
-    """Bits of the places that occur ``times`` (1 or 2) in ``keys`` (s: segment; places: their sorted uint32 places in it as differences, by byte planes)."""
-    size = (1 << bits) // segments
 
-    def one(t: pa.Table) -> pa.Table:
-        seen = np.zeros(size, np.uint8)
-        for x in t.column("places").to_pylist():
-            at, n = np.unique(np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.int64), return_counts=True)
-            seen[at] = np.minimum(seen[at] + n, 2)
-        return pa.table({"s": t.column("s").slice(0, 1), "bits": pa.array([np.packbits(seen >= times).tobytes()], pa.binary())})
+def _sequences(batch: pa.RecordBatch, at: int) -> list[list[bytes]]:
+    return [t.lower().split() + [END] for t in batch.column(at).cast(pa.binary()).to_pylist()]
 
-    out = np.zeros((segments, size // 8), np.uint8)
-    for r in keys.groupBy("s").applyInArrow(lambda t: one(t), "s long, bits binary").collect():
-        out[r.s] = np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
 
+def _source(docs: DataFrame, train: Column | None, text_col: str, *more: Column) -> DataFrame:
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    return docs.select(*more, (F.lit(True) if train is None else F.coalesce(train, F.lit(False))).alias("__train"), text.alias("__t"))
 
-def _placed(k: np.ndarray, c: np.ndarray, bits: int, segments: int) -> pa.RecordBatch:
-    """(s, places) of distinct sorted keys, those with c > 1 twice."""
-    at = np.repeat(k >> np.uint64(64 - bits), np.minimum(c, 2)).astype(np.int64)
-    size = (1 << bits) // segments
-    names, first = np.unique(at // size, return_index=True)
-    blobs = [np.diff(x % size, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for x in np.split(at, first[1:])] if len(at) else []
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["s", "places"])
 
+def word_counts(docs: DataFrame, train: Column | None = None, text_col: str = "text", segments: int = 64, most: int = 2_000_000) -> DataFrame:
+    """A row for each segment of the 64-bit word hashes: hashes and counts of the words in training rows (END included), packed, and all rows' tokens.
 
-def _twice(docs: DataFrame, text_col: str, order: int, total: int) -> np.ndarray:
-    """A bitmap that has every sequence of ``order`` words seen twice, and some others by chance; a full one has all."""
-    bits, segments = _sizes(total)
+    Tasks and segments add up sorted arrays, so a word costs some bytes a task, and one that is everywhere no more.
+    """
 
     def run(batches):
-        hashes, held = word_hashes(), []
+        held, every = [], 0
 
         def out():
-            k, c = np.unique(np.concatenate(held), return_counts=True)
+            k, c = _summed(*zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             held.clear()
-            return _placed(k, c, bits, segments)
-
-        for batch in slices(batches, 0):
-            _, _, pair, at = _grams(hashes, _sequences(batch, 0))
-            held.append(pair if order == 2 else gram(pair[at - 1], pair[at]))
-            if sum(map(len, held)) > 4_000_000:
-                yield out()
-        if held:
-            yield out()
+            s = (k >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
+            cut = np.searchsorted(s, np.arange(segments + 1))
+            some = [i for i in range(segments) if cut[i] < cut[i + 1] or not i]
+            rows = [[i, _differences(k[cut[i] : cut[i + 1]]), pack(c[cut[i] : cut[i + 1]]), every * (i == 0)] for i in some]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["s", "keys", "counts", "every"])
+
+        hashes = WordHash()
+        for b in slices(batches, 1):
+            trained = b.column(0).to_pylist()
+            words = []
+            for seq, yes in zip(_sequences(b, 1), trained, strict=True):
+                every += len(seq)
+                if yes:
+                    words += seq
+            if words:
+                held.append(np.unique(hashes.of(words), return_counts=True))
+                if sum(len(k) for k, _ in held) > most:
+                    held[:] = [_summed(*zip(*held, strict=True))]
+                    if len(held[0][0]) > most:
+                        yield out()
+                        every = 0
+        yield out()
 
-    return _bitmap(_words(docs, text_col).mapInArrow(run, "s long, places binary"), bits, segments, 2)
+    def merge(t: pa.Table) -> pa.Table:
+        k, c = _summed([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in t.column("keys").to_pylist()], [unpack(x, np.int64) for x in t.column("counts").to_pylist()])
+        of = lambda x: pa.array([int(x)], pa.int64())
+        return pa.table({"keys": pa.array([_differences(k)], pa.binary()), "counts": pa.array([pack(c)], pa.binary()), "every": of(sum(t.column("every").to_pylist())), "total": of(c.sum()), "n": of(len(c)), "n1": of((c == 1).sum()), "n2": of((c == 2).sum())})
 
+    rows = _source(docs, train, text_col).mapInArrow(run, "s int, keys binary, counts binary, every long")
+    return saved(rows.groupBy("s").applyInArrow(lambda t: merge(t), "keys binary, counts binary, every long, total long, n long, n1 long, n2 long"))
 
-def _gram_counts(docs: DataFrame, text_col: str, order: int, least: int, twice) -> DataFrame:
-    """(k, o, x, c): keys of sequences of ``order`` words, context and rest as in ``gram``, and counts of ``least`` or more.
 
-    Sequences that the broadcast bitmap ``twice`` shows to occur once are left out before
-    the shuffle. It leaves out no other, and the rest is counted exactly.
+def _first(batch: pa.RecordBatch, at: int, numbers: WordNumbers, depth: int):
+    """Of all texts of a batch in one array: next words, contexts (nearest word first), and tokens of each text."""
+    seqs = _sequences(batch, at)
+    n = np.fromiter(map(len, seqs), np.int64, len(seqs))
+    x = np.fromiter(map(numbers.__getitem__, (w for s in seqs for w in s)), np.int64, int(n.sum()))
+    place = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+    words = []
+    for m in range(1, depth + 1):
+        w = np.zeros_like(x)
+        w[m:] = x[:-m]
+        words.append(np.where(place >= m, w, np.where(place == m - 1, numbers[END], 0)))
+    return x, words, n
+
+
+def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", depth: int = DEPTH, share: float = 4e-7, hot_rows: int = 1_000_000, segment_rows: int = 800_000, least: int = 2, p_min: float = 2e-3, penalty: float = 2.0) -> Model:
+    """Counts of the training rows' words, and the states of hot contexts.
+
+    The dictionary has the words with ``share`` of all tokens, 1 / share at most; the
+    rest share the root's probability of words seen so seldom evenly. Contexts seen in ``hot_rows`` places
+    or more, and in share / p_min of all, are counted here, order by order, and their states
+    held by all tasks: hot contexts are few, and each has 1 / ``p_min`` explicit entries
+    at most. All other contexts are counted where they are used.
     """
+    counts = word_counts(docs, train, text_col)
+    every, total, distinct, n1, n2 = (int(x or 0) for x in counts.agg(*[F.sum(c) for c in ("every", "total", "n", "n1", "n2")]).first())
+    floor = max(2, int(np.ceil(share * total)))
+
+    def top(batches):
+        for b in batches:
+            for keys, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                k, c = np.cumsum(unpack(keys, np.uint64), dtype=np.uint64), unpack(c, np.int64)
+                some = (c >= floor) | (k == np.uint64(_hash(END)))
+                yield pa.RecordBatch.from_arrays([pa.array([pack(k[some])], pa.binary()), pa.array([pack(c[some])], pa.binary())], names=["k", "c"])
+
+    got = counts.select("keys", "counts").mapInArrow(top, "k binary, c binary").collect()
+    k, c = (np.concatenate([np.zeros(0, t), *[unpack(r[i], t) for r in got]]) for i, t in ((0, np.uint64), (1, np.int64)))
+    order = np.lexsort((k, -c, k != np.uint64(_hash(END))))
+    k, c = k[order], c[order]
+    if not len(k) or k[0] != np.uint64(_hash(END)):
+        k, c = np.concatenate(([np.uint64(_hash(END))], k)), np.concatenate(([0], c))
+    discount = min(0.9, max(0.1, n1 / max(n1 + 2 * n2, 1)))
+    seldom = distinct - int((c > 0).sum())
+    rare = (total - int(c.sum()) - discount * seldom) / seldom / max(total, 1) if seldom else 1.0
+    model = Model(total, distinct, every, discount, k, c, rare, discount * distinct / total if total else 1.0, max(1, -(-every // segment_rows)), depth, least, p_min, penalty)
+    hot = max(hot_rows, int(np.ceil(share / p_min * total)))
+    new = np.flatnonzero(c >= hot) + 1
+    parent, seen = np.zeros(len(new), np.int64), c[new - 1]
+    for m in range(1, depth + 1):
+        if not len(new):
+            break
+        base = len(model.lam)
+        at = np.arange(base, base + len(new))
+        model = _grown(model, parent, new, at, seen)
+        keys, n = _hot_counts(docs, train, text_col, model, base, m, hot)
+        state, word = keys // model.width, keys % model.width
+        _settle(model, at, state, word, n)
+        deeper = (n >= hot) & (word > 1)
+        if m < depth:
+            parent, new, seen = _as_contexts(model, state[deeper], word[deeper], n[deeper])
+    return model
+
+
+def _paths(model: Model, state: np.ndarray) -> list[np.ndarray]:
+    """The words of hot contexts of one order, nearest first, and zeros up to the depth."""
+    up, last = np.zeros((2, len(model.lam)), np.int64)
+    up[model.child_at], last[model.child_at] = model.child // model.width, model.child % model.width
+    out = []
+    while len(state) and state[0]:
+        out.append(last[state])
+        state = up[state]
+    return out[::-1] + [np.zeros(len(state), np.int64)] * (model.depth - len(out))
+
+
+def _as_contexts(model: Model, state: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences of a context and what followed it, read as contexts: the hot context of all but their first word, that word, and the count."""
+    words = [word, *_paths(model, state)]
+    order = sum(bool(len(w) and w[0]) for w in words)
+    at, ok = np.zeros(len(word), np.int64), np.ones(len(word), bool)
+    for w in words[: order - 1]:
+        to = find(model.child, at * model.width + w)
+        ok &= to >= 0
+        at = np.append(model.child_at, 0)[to]
+    return at[ok], words[order - 1][ok], seen[ok]
+
+
+def _grown(model: Model, parent, word, at, seen) -> Model:
+    keys = np.concatenate((model.child, parent * model.width + word))
+    order = np.argsort(keys)
+    model.child, model.child_at = keys[order], np.concatenate((model.child_at, at))[order]
+    model.lam, model.kept, model.seen = np.concatenate((model.lam, np.ones(len(at)))), np.concatenate((model.kept, np.ones(len(at), bool))), np.concatenate((model.seen, seen))
+    return model
+
+
+def _hot_counts(docs: DataFrame, train, text_col: str, model: Model, base: int, order: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (context * width + next word) and counts of what follows the hot contexts of one order often enough for an entry."""
 
     def run(batches):
-        hashes, held = word_hashes(), []
-
-        def merged():
-            k, o, x, c = (np.concatenate(y) for y in zip(*held, strict=True))
-            u, at, back = np.unique(k, return_index=True, return_inverse=True)
-            held[:] = [(u, o[at], x[at], np.bincount(back, c, len(u)).astype(np.int64))]
-            return held[0]
+        numbers, held = WordNumbers(model.hashes), []
 
         def out():
-            _, o, x, c = merged()
+            k, c = _summed(*zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(o.view(np.int64)), pa.array(x.view(np.int64)), pa.array(c)], names=["o", "x", "c"])
-
-        for batch in slices(batches, 0):
-            w, b, pair, at = _grams(hashes, _sequences(batch, 0))
-            o, x = (b, w) if order == 2 else (pair[at - 1], pair[at])
-            k = pair if order == 2 else gram(o, x)
-            if twice is not None:
-                some = passes(twice.value, k)
-                k, o, x = k[some], o[some], x[some]
-            k, i, c = np.unique(k, return_index=True, return_counts=True)
-            held.append((k, o[i], x[i], c))
-            if len(held) > 6 and len(merged()[0]) > 2_000_000:
-                yield out()
+            names, cut = np.unique(k // model.width, return_index=True)
+            parts = list(zip(np.split(k, cut[1:]), np.split(c, cut[1:]), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([_differences(a) for a, _ in parts], pa.binary()), pa.array([pack(b) for _, b in parts], pa.binary())], names=["s", "keys", "counts"])
+
+        for b in slices(batches, 0):
+            x, words, n = _first(b, 0, numbers, model.depth)
+            at, deep, _, _ = model.walk(words, x, model.root_of(x))
+            some = (deep == order) & (x < RARE)
+            if some.any():
+                held.append(np.unique(at[some] * model.width + x[some], return_counts=True))
+            if sum(len(k) for k, _ in held) > 1_000_000:
+                held[:] = [_summed(*zip(*held, strict=True))]
+                if len(held[0][0]) > 1_000_000:
+                    yield out()
         if held:
             yield out()
 
-    def keyed(batches):
-        for batch in batches:
-            o, x = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(gram(o, x).view(np.int64)), *batch.columns], names=["k", "o", "x", "c"])
-
-    got = _words(docs, text_col).mapInArrow(run, "o long, x long, c long").groupBy("o", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return got.mapInArrow(keyed, "k long, o long, x long, c long")
-
-
-@dataclass
-class Tree:
-    """The retained states as tables.
-
-    A state's distribution has explicit next words, and a share (lam) of its parent's for all others.
-    ``pairs`` and ``triples`` have a row for each counted sequence: k, o, x, c, parent (probability
-    by the parent), lam and p (explicit part) of its context, 1 and 0 if that is no state.
-    """
-
-    total: int
-    distinct: int
-    discount: float
-    share: float
-    word_table: DataFrame
-    pair_table: DataFrame
-    triple_table: DataFrame
-
-    def root(self, c):
-        """Probability of a word seen ``c`` times; all unseen words are one symbol."""
-        n = max(self.total, 1)
-        return np.where(np.asarray(c) > 0, (np.asarray(c) - self.discount) / n, self.discount * self.distinct / n if self.total else 1.0)
-
-    @functools.cached_property
-    def gathered(self) -> TreeArrays:
-        """All of the tree as arrays, to look into trees of small tables; scoring doesn't use it."""
-        t = self.word_table.where("c > 1").orderBy(F.desc("c"), "word").toPandas()
-        of = {h: i for i, h in enumerate(t.h)}
-        e2, e3 = self.pair_table.toPandas(), self.triple_table.toPandas()
-        e2["key"] = [of[o] * len(t) + of[x] for o, x in zip(e2.o, e2.x, strict=True)]
-        e2 = e2.sort_values("key").reset_index(drop=True)
-        place = {k: i for i, k in enumerate(e2.k)}
-        last = {k: of[x] for k, x in zip(e2.k, e2.x, strict=True)}
-        e3["key"] = [place[o] * len(t) + last[x] for o, x in zip(e3.o, e3.x, strict=True)]
-        e3 = e3.sort_values("key")
-        lam2 = np.ones(len(e2))
-        lam2[[place[o] for o in e3.o]] = e3.lam
-        pairs = Lookup(e2.key.to_numpy(np.int64))
-        return TreeArrays({bytes(w): i for i, w in enumerate(t.word)}, t.c.to_numpy(np.int64), t.lam.to_numpy(), pairs, e2.p.to_numpy(), pairs, lam2, Lookup(e3.key.to_numpy(np.int64)), e3.p.to_numpy())
-
-    def __getattr__(self, name: str):
-        if name in TreeArrays.__dataclass_fields__:
-            return getattr(self.gathered, name)
-        raise AttributeError(name)
-
-
-@dataclass
-class TreeArrays:
-    words: dict[bytes, int]
-    counts: np.ndarray
-    lam1: np.ndarray
-    pairs: Lookup
-    pair_p: np.ndarray
-    contexts: Lookup
-    lam2: np.ndarray
-    triples: Lookup
-    triple_p: np.ndarray
-
-
-def _states(entries: DataFrame, discount: float) -> DataFrame:
-    """``entries`` (k, o, x, c, seen, parent) without seen, with lam and p of their context; 1 and 0 where the divergence test drops it.
-
-    A state stays if its distribution explains what followed it better than its
-    parent's: the gain in log likelihood, which is its count times the divergence,
-    must exceed half a logarithm of its count for each explicit entry.
+    def merge(t: pa.Table) -> pa.Table:
+        k, c = _summed([np.cumsum(unpack(x, np.int64)) for x in t.column("keys").to_pylist()], [unpack(x, np.int64) for x in t.column("counts").to_pylist()])
+        s = t.column("s")[0].as_py()
+        some = c >= max(model.least, min(hot, model.p_min * model.seen[s]))
+        return pa.table({"k": pa.array([pack(k[some])], pa.binary()), "c": pa.array([pack(c[some])], pa.binary())})
+
+    rows = _source(docs, train, text_col).where("__train").select("__t").mapInArrow(run, "s long, keys binary, counts binary")
+    got = rows.groupBy("s").applyInArrow(lambda t: merge(t), "k binary, c binary").collect()
+    k, c = (np.concatenate([np.zeros(0, np.int64), *[unpack(r[i], np.int64) for r in got]]) for i in (0, 1))
+    order_ = np.argsort(k)
+    return k[order_], c[order_]
+
+
+def _settle(model: Model, at: np.ndarray, state: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
+    """Tests the hot contexts ``at`` of one order by what followed them, and enters those that stay."""
+    explicit = n >= np.maximum(model.least, model.p_min * model.seen[state])
+    state, word, n = state[explicit], word[explicit], n[explicit]
+    p0 = model.root[word]
+    model.kept[at] = False  # so that a walk gives their longest suffix that is a state
+    above = model.walk(_paths(model, state), word, p0)[2] * p0
+    parent_seen = model.walk(_paths(model, at), np.ones_like(at), np.ones(len(at)))[3]
+    local = state - at[0]
+    lam, keep, p = divergence(local, n, model.seen[at], above, parent_seen, model)
+    model.lam[at], model.kept[at] = lam, keep
+    some = keep[local]
+    keys = np.concatenate((model.entry, state[some] * model.width + word[some]))
+    order = np.argsort(keys)
+    model.entry, model.entry_p = keys[order], np.concatenate((model.entry_p, p[some]))[order]
+
+
+def divergence(of: np.ndarray, n: np.ndarray, seen: np.ndarray, above: np.ndarray, parent_seen: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For contexts with explicit entries (context ``of``, count ``n``, probability ``above`` by the parent): lam, whether each stays, and the entries' explicit probabilities.
+
+    The parent is the longest suffix that is a state. A context stays if its count times
+    the divergence of what followed it from its parent's distribution exceeds half a
+    logarithm of its count for each entry, and a penalty for the state. One that was
+    seen wherever its parent was stays out.
     """
-    explicit = F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("seen")
-    entries = saved(entries).withColumn("p", explicit)
-    sums = entries.groupBy("o").agg(F.greatest(1 - F.sum("p"), F.lit(1e-9)).alias("lam"))
-    gain = F.sum(F.col("c") * F.log((F.col("p") + F.col("lam") * F.col("parent")) / F.col("parent")))
-    rest = F.greatest(F.max("seen") - F.sum("c"), F.lit(0)) * F.log(F.max("lam"))
-    cost = 0.5 * F.count("*") * F.log(F.greatest(F.max("seen"), F.lit(2)).cast("double"))
-    kept = entries.join(sums, "o").groupBy("o").agg(F.max("lam").alias("lam"), (gain + rest > cost).alias("keep")).where("keep").select("o", "lam")
-    out = entries.join(kept, "o", "left")
-    return saved(out.select("k", "o", "x", "c", "parent", F.coalesce("lam", F.lit(1.0)).alias("lam"), F.when(F.col("lam").isNotNull(), F.col("p")).otherwise(0.0).alias("p")))
-
-
-def fit(docs: DataFrame, text_col: str = "text", share: float = 1e-6, least: int = 2) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (word, h, c, lam) of all words.
-
-    A context of one or two words, and an explicit entry of it (context and next word
-    together), is counted in if it was seen ``least`` times, however large the
-    table is. Counts, the divergence test and states are tables; contexts are keyed by
-    64-bit hashes. ``share`` only says which words and sequences the tasks of ``score``
-    hold: those with that share of all tokens, 1 / share an order at most. All
-    others meet their values in joins, so it doesn't change results.
-    """
-    counts = saved(word_counts(docs, text_col))
-    t = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    total, distinct, n1, n2 = map(int, t)
-    discount = min(0.9, max(0.1, n1 / max(n1 + 2 * n2, 1)))
-    hashed = counts.where(F.col("c") >= least).select(F.xxhash64("word").alias("h"), "c")
-    owner, nxt = hashed.select(F.col("h").alias("o"), F.col("c").alias("seen")), hashed.select(F.col("h").alias("x"), ((F.col("c") - discount) / max(total, 1)).alias("parent"))
-
-    def states(order: int) -> DataFrame:
-        twice = docs.sparkSession.sparkContext.broadcast(_twice(docs, text_col, order, total)) if least > 1 else None
-        out = _states(_gram_counts(docs, text_col, order, least, twice).join(owner, "o").join(nxt, "x"), discount)
-        if twice is not None:
-            twice.destroy()
-        return out
-
-    pairs = states(2)
-    owner = pairs.select(F.col("k").alias("o"), F.col("c").alias("seen"))
-    nxt = pairs.select(F.col("k").alias("x"), (F.col("lam") * F.col("parent") + F.col("p")).alias("parent"))
-    triples = states(3)
-    lam = saved(pairs.where("lam < 1").groupBy("o").agg(F.max("lam").alias("lam")))
-    words = counts.withColumn("h", F.xxhash64("word"))
-    words = words.join(lam, words.h == lam.o, "left").select("word", "h", "c", F.coalesce("lam", F.lit(1.0)).alias("lam"))
-    return Tree(total, distinct, discount, share, words, pairs, triples), words
-
-
-def _weights(tree: Tree) -> DataFrame:
-    """(k, c, weight): what each counted sequence adds to the log10 probability of a text, besides its parts.
-
-    A text's log probability is the sum over its words of log(root * lam of the word as a
-    context), over its pairs of log(probability / (lam * parent)) and log(lam of the pair as a
-    context), and over its triples of log(probability / (lam * parent)). Every word and
-    pair of a text is the context of one token, but for pairs with END, which are no states.
+    size = len(seen)
+    each = lambda v: np.bincount(of, v, size).astype(float)
+    known, entries = each(n), each(np.ones(len(n)))
+    p = (n - model.discount) / seen[of]
+    lam = np.maximum(1 - each(p), 1e-9)
+    gain = each(n * np.log(n / seen[of] / above))
+    rest, left = seen - known, np.maximum(1 - each(above), 1e-12)
+    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(seen, 1) / left), 0.0)
+    keep = (entries > 0) & (seen >= model.least) & (seen < parent_seen) & (gain > 0.5 * entries * np.log(np.maximum(seen, 2)) + model.penalty)
+    return lam, keep, p
+
+
+def grow(model: Model, words: list[np.ndarray], x: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each next word's probability over that at the root, and how often training rows have the nearest context word.
+
+    ``words`` and ``x`` are all places of some contexts; ``train`` says which of them count. Contexts
+    grow by one word at a time for as long as they were seen ``least`` times, since one
+    that is no state may have longer ones that are.
     """
-    inner = F.col("lam") * F.col("parent")
-    own = F.log10((inner + F.col("p")) / inner)
-    context = tree.triple_table.groupBy("o").agg(F.max("lam").alias("lam2"))
-    pairs = tree.pair_table.join(context.withColumnRenamed("o", "k"), "k", "left")
-    pairs = pairs.select("k", "c", (own + F.log10(F.coalesce("lam2", F.lit(1.0)))).alias("weight"))
-    return saved(pairs.union(tree.triple_table.select("k", "c", own.alias("weight"))).where("weight <> 0"))
-
-
-def _filter(weights: DataFrame, total: int) -> np.ndarray:
-    """A bitmap that has all keys of ``weights``. It only spares rows that would find no weight; a full one spares none."""
-    bits, segments = _sizes(total)
-
-    def run(batches):
-        for batch in batches:
-            k = np.unique(batch.column(0).to_numpy().view(np.uint64))
-            yield _placed(k, np.ones(len(k), np.int64), bits, segments)
-
-    keys = weights.select("k").mapInArrow(run, "s long, places binary")
-    return _bitmap(keys, bits, segments, 1)
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    p0 = model.root_of(x)
+    _, order, ratio, above = model.walk(words, x, p0)
+    live = np.arange(len(x))
+    key = np.zeros(len(x), np.uint64)
+    nearest = np.zeros(len(x), np.int64)
+    for m in range(1, model.depth + 1):
+        key = mix64(key * _STEP + words[m - 1].astype(np.uint64))
+        here = live[(order[live] < m) & (words[m - 1][live] > 0)]
+        later = live[order[live] >= m]
+        if not len(here):
+            live = later
+            continue
+        _, context = np.unique(key[here], return_inverse=True)
+        seen = np.bincount(context, train[here]).astype(np.int64)
+        if m == 1:
+            nearest[here] = seen[context]
+        some = seen[context] >= model.least
+        here, context = here[some], context[some]
+        entry_keys, first, entry = np.unique(mix64(key[here] * _STEP + x[here].astype(np.uint64)), return_index=True, return_inverse=True)
+        n = np.bincount(entry, train[here], len(entry_keys))
+        of = context[first]
+        explicit = n >= np.maximum(model.least, model.p_min * seen[of])
+        e = np.flatnonzero(explicit)
+        parent_seen = np.zeros(len(seen), np.int64)
+        parent_seen[context] = above[here]
+        lam, keep, p = divergence(of[e], n[e], seen, (ratio[here] * p0[here])[first[e]], parent_seen, model)
+        every_p = np.zeros(len(entry_keys))
+        every_p[e] = p
+        live = np.concatenate((here, later))
+        some = keep[context]
+        here, context, entry = here[some], context[some], entry[some]
+        ratio[here] = lam[context] * ratio[here] + every_p[entry] / p0[here]
+        above[here] = seen[context]
+    return np.log10(ratio), nearest
+
+
+_PLACES = "s int, kind int, docs binary, w1 binary, w2 binary, w3 binary, w4 binary, x binary, doc binary"
+
+
+def score(docs: DataFrame, model: Model, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score and score of every row.
 
-    ``score`` is the tree's log10 probability of the words and the end, each given
-    the longest suffix of two words before it that is a state; ``base_score``
-    takes each token alone, with one imagined sighting of every word and of an
-    unseen one. Words and sequences that have ``share`` of all tokens are looked up in
-    the tasks; all others meet their values in a join. Null text
-    has the end only. Repeated rows each get their row; null ids stay null.
+    ``score`` is the tree's log10 probability of the words and the end, each given the
+    longest suffix of up to ``depth`` words before it that is a state; ``base_score``
+    takes each token alone, with one imagined sighting of every word and of an unseen
+    one. The tree is that of the rows for which ``train`` holds, which must be
+    those of ``fit``. Each place of each text, a next word with the words before
+    it, goes to the segment of its nearest context that is not hot. There, all
+    places of that context and of its longer ones meet, so a segment grows its
+    part of the tree and scores its places by it at once; sums by text come
+    back. Null text has the end only. Repeated rows each get their row; null ids
+    stay null. An empty table gives an empty result. Other columns are not read.
     """
-    n, v = tree.total, tree.distinct
-    floor = max(2, int(np.ceil(tree.share * n)))
-    unseen = float(tree.discount * v / max(n, 1)) if n else 1.0
-    top = counts.where(F.col("c") >= floor).toPandas()
-    common = {bytes(w): i for i, w in enumerate(top.word)}
-    c1 = top.c.to_numpy(np.int64)
-    base_of = np.append(np.log10((c1 + 1) / (n + v + 1)), 0.0)
-    word_of = np.append(np.log10(tree.root(c1)) + np.log10(top.lam.to_numpy(float)), 0.0)
-    weights = _weights(tree)
-    held = weights.where(F.col("c") >= floor).select("k", "weight").toPandas().sort_values("k")
-    others = weights.where(F.col("c") < floor).select("k", "weight")
-    tables = docs.sparkSession.sparkContext.broadcast((common, base_of, word_of, held.k.to_numpy(np.int64), np.append(held.weight.to_numpy(float), 0.0), _filter(others, n)))
-    src = _words(docs, text_col, [col(id_col).cast("long").alias("id")])
-    src = src.select("id", F.xxhash64("__t").alias("h"), "__t")
-
-    def words_of(batches):
-        common, base_of, word_of, keys, weight, _ = tables.value
-        hashes, lookup, get = word_hashes(), Lookup(keys), common.get
-        for batch in slices(batches, 2):
-            seqs = _sequences(batch, 2)
-            sizes = np.fromiter(map(len, seqs), np.int64, len(seqs))
-            first = np.cumsum(sizes) - sizes
-            w = np.fromiter((get(x, -1) for s in seqs for x in s), np.int64, int(sizes.sum()))
-            _, _, pair, second = _grams(hashes, seqs)
-            lp = word_of[w] + weight[lookup.of(pair.view(np.int64))]
-            lp[second] += weight[lookup.of(gram(pair[second - 1], pair[second]).view(np.int64))]
-            lp, base = np.add.reduceat(lp, first), np.add.reduceat(base_of[w], first)
-            known = np.add.reduceat((w >= 0).astype(np.int64), first)
-            ids, hs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            which, words, many = [], [], []
-            for i, (s, at) in enumerate(zip(seqs, first.tolist(), strict=True)):
-                rare = np.flatnonzero(w[at : at + len(s)] < 0)
-                if len(rare):
-                    each = Counter([s[j] for j in rare.tolist()])
-                    which += [i] * len(each)
-                    words += each
-                    many += each.values()
-            k, r = len(seqs), len(words)
-            which_a = np.array(which, np.int64)
-            none = [0] * r
-            # a text's own row has a key of its own, so that these rows spread
-            own = [b" %d %d" % (x or 0, y) for x, y in zip(ids, hs, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids + [ids[i] for i in which], pa.int64()),
-                    pa.array(np.concatenate((np.array(hs, np.int64), np.array(hs, np.int64)[which_a])), pa.int64()),
-                    pa.array(own + words, pa.binary()),
-                    pa.array([0] * k + many, pa.int64()),
-                    pa.array(sizes.tolist() + none, pa.int64()),
-                    pa.array(known.tolist() + none, pa.int64()),
-                    pa.array(np.concatenate((base, np.zeros(r))), pa.float64()),
-                    pa.array(np.concatenate((lp, np.zeros(r))), pa.float64()),
-                ],
-                names=["id", "h", "word", "n", "n_tokens", "n_known", "base", "score"],
-            )
-
-    def grams_of(batches):
-        _, _, _, keys, _, bits = tables.value
-        hashes, lookup = word_hashes(), Lookup(keys)
-        for batch in slices(batches, 2):
-            seqs = _sequences(batch, 2)
-            _, _, pair, second = _grams(hashes, seqs)
-            text = np.repeat(np.arange(len(seqs)), np.fromiter(map(len, seqs), np.int64, len(seqs)))
-            k = np.concatenate((pair, gram(pair[second - 1], pair[second])))
-            text = np.concatenate((text, text[second]))
-            some = np.flatnonzero(passes(bits, k))
-            some = some[lookup.of(k[some].view(np.int64)) < 0]
-            at = pa.array(text[some])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(k[some].view(np.int64))], names=["id", "h", "k"])
-
-    rows = src.mapInArrow(words_of, "id long, h long, word binary, n long, n_tokens long, n_known long, base double, score double").join(counts.drop("h"), "word", "left")
-    p = F.when(F.col("c").isNull(), F.lit(unseen)).otherwise((F.col("c") - tree.discount) / max(n, 1) * F.col("lam"))
-    base = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1))
-    rows = rows.select(
-        "id",
-        "h",
-        F.when(F.col("n_tokens") > 0, 1).otherwise(0).alias("copies"),
-        "n_tokens",
-        (F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.when(F.col("n") > 0, F.col("n") * F.log10(base)).otherwise(0.0)).alias("base"),
-        (F.col("score") + F.when(F.col("n") > 0, F.col("n") * F.log10(p)).otherwise(0.0)).alias("score"),
-    )
-    sums = lambda df: df.groupBy("id", "h").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")])
-    none = F.lit(0).cast("long")
-    more = src.mapInArrow(grams_of, "id long, h long, k long").join(others, "k").groupBy("id", "h").agg(F.sum("weight").alias("score"))
-    more = more.select("id", "h", F.lit(0).alias("copies"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"), "score")
-    out = sums(rows.union(more))
-    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    if model.depth > 4:
+        raise ValueError("depth is at most 4")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    total, distinct, segments = model.total, model.distinct, model.segments
+    src = _source(docs, train, text_col, col(id_col).cast("long").alias("id"), F.xxhash64(col(id_col), col(text_col).cast("string")).alias("uid"))
+
+    def run(batches):
+        m = shared.value
+        numbers = WordNumbers(m.hashes)
+        base_of = np.append(np.log10((np.concatenate(([0], m.counts)) + 1) / (total + distinct + 1)), 0.0)
+        root_of = np.append(np.log10(m.root), 0.0)
+        seen_of = np.append(np.concatenate(([0], m.counts)) > 0, False)
+        for b in slices(batches, 3, 8 << 20):
+            x, words, n = _first(b, 3, numbers, m.depth)
+            first = np.cumsum(n) - n
+            _, order, ratio, _ = m.walk(words, x, m.root_of(x))
+            beyond = np.zeros(len(x), bool)  # no context is left that is not hot
+            key = np.zeros(len(x), np.uint64)
+            dealt = np.zeros(len(x), bool)
+            seg = np.zeros(len(x), np.uint64)
+            for k in range(m.depth):
+                key = mix64(key * _STEP + words[k].astype(np.uint64))
+                now = ~dealt & ~beyond & (order == k)
+                beyond |= now & (words[k] == 0)
+                now &= words[k] > 0
+                seg[now] = key[now]
+                dealt |= now
+            lone = np.where(x < RARE, x, -1)
+            score_ = root_of[lone] + np.where(dealt, 0.0, np.log10(ratio))
+            sums = [np.add.reduceat(v, first) for v in (seen_of[lone].astype(np.int64), base_of[lone], score_)]
+            ids = b.column(0)
+            uid = b.column(1).to_numpy()
+            trained = np.array(b.column(2).to_pylist(), bool)
+            own = [uid, np.array(ids.fill_null(0)), np.array(ids.is_null()).astype(np.int8), n, *sums]
+            rows = [[int(uid[0] % segments), 1, *[pack(v) for v in own]]]
+            at = np.flatnonzero(dealt)
+            doc = np.repeat(np.arange(len(n)), n)[at]
+            s = (mix64(seg[at]) % np.uint64(segments)).astype(np.int64)
+            w = [v[at] for v in words] + [np.zeros(0, np.int64)] * (4 - m.depth)
+            perm = np.lexsort((w[1] if m.depth > 1 else doc, w[0], s))
+            at, doc, s = at[perm], doc[perm], s[perm]
+            names, cut = np.unique(s, return_index=True)
+            cut = np.append(cut, len(s))
+            for name, a, z in zip(names.tolist(), cut[:-1], cut[1:], strict=True):
+                some, where = np.unique(doc[a:z], return_inverse=True)
+                here = at[a:z]
+                who = (uid[some].view(np.uint64) & ~np.uint64(1)) | trained[some].astype(np.uint64)
+                rows.append([name, 0, pack(who), *[pack(words[k][here].astype(np.uint64)) if k < m.depth else b"" for k in range(4)], pack(x[here].astype(np.uint64)), pack(where.astype(np.uint32))])
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 7)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[p.split()[0] for p in _PLACES.split(", ")])
+
+    def grown(t: pa.Table) -> pa.Table:
+        m = shared.value
+        out = []
+        kind = np.array(t.column("kind"))
+        cols = {c: t.column(c).to_pylist() for c in t.column_names[2:]}
+        for i in np.flatnonzero(kind == 1).tolist():
+            u, ids, null, n, known, base, lp = (unpack(cols[c][i], k) for c, k in zip(("docs", "w1", "w2", "w3", "w4", "x", "doc"), (np.int64, np.int64, np.int8, np.int64, np.int64, np.float64, np.float64), strict=True))
+            out.append((u & ~1, pa.array(ids, mask=null > 0), np.ones(len(u), np.int64), n, known, base, lp))
+        some = np.flatnonzero(kind == 0).tolist()
+        if some:
+            who = [unpack(cols["docs"][i], np.uint64) for i in some]
+            start = np.cumsum([0, *map(len, who)])
+            doc = np.concatenate([unpack(cols["doc"][i], np.uint32).astype(np.int64) + a for i, a in zip(some, start, strict=False)])
+            who = np.concatenate(who)
+            x, *words = (np.concatenate([unpack(cols[c][i], np.int64) for i in some]) for c in ("x", "w1", "w2", "w3", "w4")[: m.depth + 1])
+            lp, near = grow(m, words, x, (who & np.uint64(1)).astype(np.int64)[doc])
+            lone = words[0] >= RARE
+            base = np.where(lone, np.log10((near + 1) / (total + distinct + 1)), 0.0)
+            lp += np.where(lone, np.log10(np.where(near > 0, m.rare, m.unseen)), 0.0)
+            each = lambda v: np.bincount(doc, v, len(who))
+            zero = np.zeros(len(who), np.int64)
+            out.append(((who & ~np.uint64(1)).view(np.int64), pa.nulls(len(who), pa.int64()), zero, zero, each(lone & (near > 0)).astype(np.int64), each(base), each(lp)))
+        return pa.table([pa.chunked_array([pa.array(o[i]) for o in out]) for i in range(7)], names=["uid", "id", "copies", "n_tokens", "n_known", "base", "score"])
+
+    parts = src.mapInArrow(run, _PLACES).groupBy("s").applyInArrow(lambda t: grown(t), "uid long, id long, copies long, n_tokens long, n_known long, base double, score double")
+    out = parts.groupBy("uid").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")])
+    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     per = lambda c: F.col(c) / F.col("copies")
     return out.select(
         F.col("id").alias(id_col), per("n_tokens").cast("long").alias("n_tokens"), per("n_known").cast("long").alias("n_known"), per("base").alias("base_score"), per("score").alias("score")
