@@ -17,8 +17,8 @@ from .common import WordHash, col, crc_mod, ensure_checkpoint_dir, mix64, slices
 END = b" "
 #: Words in a context at most.
 DEPTH = 4
-#: Numbers of words: 0 stands for what is before a text's start, 1 for END, then those of the dictionary; words that it lacks have RARE and 46 bits of their hash.
-RARE = 1 << 46
+#: Numbers of words: 0 stands for what is before a text's start, 1 for END, then those of the dictionary; words that it lacks have RARE and 40 bits of their hash.
+RARE = 1 << 40
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,7 +34,7 @@ def pack(a: np.ndarray) -> bytes:
     """An array's bytes by planes, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
@@ -147,7 +147,7 @@ class WordNumbers(dict):
         h = np.uint64(_hash(word))
         i = int(np.searchsorted(self.hashes, h))
         known = i < len(self.hashes) and self.hashes[i] == h
-        n = self[word] = int(self.sorted[i]) + 1 if known else RARE | int(h) >> 18
+        n = self[word] = int(self.sorted[i]) + 1 if known else RARE | int(h) >> 24
         return n
 
 
