@@ -218,7 +218,7 @@ def _first(batch: pa.RecordBatch, at: int, numbers: WordNumbers, depth: int):
     return x, words, n
 
 
-def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", depth: int = DEPTH, share: float = 4e-7, hot_rows: int = 1_000_000, segment_rows: int = 800_000, least: int = 2, p_min: float = 2e-3, penalty: float = 2.0) -> Model:
+def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", depth: int = DEPTH, share: float = 1e-7, hot_rows: int = 400_000, segment_rows: int = 400_000, least: int = 2, p_min: float = 2e-3, penalty: float = 2.0) -> Model:
     """Counts of the training rows' words, and the states of hot contexts.
 
     The dictionary has the words with ``share`` of all tokens, 1 / share at most; the
@@ -416,7 +416,18 @@ def grow(model: Model, words: list[np.ndarray], x: np.ndarray, train: np.ndarray
     return np.log10(ratio), nearest
 
 
-_PLACES = "s int, kind int, docs binary, w1 binary, w2 binary, w3 binary, w4 binary, x binary, doc binary"
+_SHORT = (1 << 32) - 1
+
+
+def _shortened(w: np.ndarray) -> np.ndarray:
+    """Numbers with 32 bits of the hashes of words that the dictionary lacks: enough to tell a context's longer forms apart."""
+    return np.where(w >= RARE, RARE | w & _SHORT, w)
+
+
+#: Sums come back in whole multiples of one over this.
+_FINE = 1 << 24
+_PLACES = "s int, slice long, own binary, w1 binary, w2 binary, w3 binary, w4 binary, x binary, doc binary"
+_SUMS = "slice long, own binary, docs binary, sums binary, rare binary, base binary, known binary"
 
 
 def score(docs: DataFrame, model: Model, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,92 +440,107 @@ def score(docs: DataFrame, model: Model, train: Column | None = None, id_col: st
     those of ``fit``. Each place of each text, a next word with the words before
     it, goes to the segment of its nearest context that is not hot. There, all
     places of that context and of its longer ones meet, so a segment grows its
-    part of the tree and scores its places by it at once; sums by text come
-    back. Null text has the end only. Repeated rows each get their row; null ids
-    stay null. An empty table gives an empty result. Other columns are not read.
+    part of the tree and scores its places by it at once. Sums go back to the slice of
+    texts that they came from, to 24 binary places for each segment; base scores are
+    in double precision.
+
+    ``docs`` should be a table or a checkpoint: a slice is known by its place in its
+    partition, which must be the same when a task runs again. Null text has the end
+    only. Repeated rows each get their row; null ids stay null. An empty table
+    gives an empty result. Other columns are not read.
     """
-    if model.depth > 4:
-        raise ValueError("depth is at most 4")
+    if not 1 <= model.depth <= 4:
+        raise ValueError("depth must be 1 to 4")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     total, distinct, segments = model.total, model.distinct, model.segments
-    src = _source(docs, train, text_col, col(id_col).cast("long").alias("id"), F.xxhash64(col(id_col), col(text_col).cast("string")).alias("uid"))
+    src = _source(docs, train, text_col, col(id_col).cast("long").alias("id"))
+    names = [p.split()[0] for p in _PLACES.split(", ")]
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 7)
 
     def run(batches):
-        m = shared.value
+        import pickle
+
+        from pyspark import TaskContext
+
+        m, number = shared.value, TaskContext.get().partitionId() << 32
         numbers = WordNumbers(m.hashes)
-        base_of = np.append(np.log10((np.concatenate(([0], m.counts)) + 1) / (total + distinct + 1)), 0.0)
+        counts = np.concatenate(([0], m.counts))
+        base_of = np.append(np.log10((counts + 1) / (total + distinct + 1)), 0.0)
         root_of = np.append(np.log10(m.root), 0.0)
-        seen_of = np.append(np.concatenate(([0], m.counts)) > 0, False)
-        for b in slices(batches, 3, 8 << 20):
-            x, words, n = _first(b, 3, numbers, m.depth)
+        seen_of = np.append(counts > 0, False)
+        for b in slices(batches, 2):
+            x, words, n = _first(b, 2, numbers, m.depth)
             first = np.cumsum(n) - n
             _, order, ratio, _ = m.walk(words, x, m.root_of(x))
-            beyond = np.zeros(len(x), bool)  # no context is left that is not hot
-            key = np.zeros(len(x), np.uint64)
-            dealt = np.zeros(len(x), bool)
-            seg = np.zeros(len(x), np.uint64)
+            dealt, key, seg = np.zeros(len(x), bool), np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)
             for k in range(m.depth):
                 key = mix64(key * _STEP + words[k].astype(np.uint64))
-                now = ~dealt & ~beyond & (order == k)
-                beyond |= now & (words[k] == 0)
-                now &= words[k] > 0
+                now = (order == k) & (words[k] > 0)  # its context of k + 1 words is not hot
                 seg[now] = key[now]
                 dealt |= now
             lone = np.where(x < RARE, x, -1)
             score_ = root_of[lone] + np.where(dealt, 0.0, np.log10(ratio))
             sums = [np.add.reduceat(v, first) for v in (seen_of[lone].astype(np.int64), base_of[lone], score_)]
-            ids = b.column(0)
-            uid = b.column(1).to_numpy()
-            trained = np.array(b.column(2).to_pylist(), bool)
-            own = [uid, np.array(ids.fill_null(0)), np.array(ids.is_null()).astype(np.int8), n, *sums]
-            rows = [[int(uid[0] % segments), 1, *[pack(v) for v in own]]]
+            trained = np.array(b.column(1).to_pylist(), np.uint32)
+            rows = [[number % segments, number, pickle.dumps((b.column(0).to_pylist(), n, *sums)), *[b""] * 6]]
             at = np.flatnonzero(dealt)
-            doc = np.repeat(np.arange(len(n)), n)[at]
-            s = (mix64(seg[at]) % np.uint64(segments)).astype(np.int64)
-            w = [v[at] for v in words] + [np.zeros(0, np.int64)] * (4 - m.depth)
-            perm = np.lexsort((w[1] if m.depth > 1 else doc, w[0], s))
-            at, doc, s = at[perm], doc[perm], s[perm]
-            names, cut = np.unique(s, return_index=True)
-            cut = np.append(cut, len(s))
-            for name, a, z in zip(names.tolist(), cut[:-1], cut[1:], strict=True):
-                some, where = np.unique(doc[a:z], return_inverse=True)
-                here = at[a:z]
-                who = (uid[some].view(np.uint64) & ~np.uint64(1)) | trained[some].astype(np.uint64)
-                rows.append([name, 0, pack(who), *[pack(words[k][here].astype(np.uint64)) if k < m.depth else b"" for k in range(4)], pack(x[here].astype(np.uint64)), pack(where.astype(np.uint32))])
-            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 7)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[p.split()[0] for p in _PLACES.split(", ")])
+            s = (mix64(seg[at]) % np.uint64(segments)).astype(np.int32)
+            perm = np.lexsort((words[min(1, m.depth - 1)][at], words[0][at], s))
+            at, s = at[perm], s[perm]
+            doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)[at]
+            doc = doc * np.uint32(2) + trained[doc]
+            sent = [words[0][at], *[_shortened(w[at]) for w in words[1:]]]
+            x = _shortened(x[at])
+            which, cut = np.unique(s, return_index=True)
+            for name, i, j in zip(which.tolist(), cut, np.append(cut[1:], len(s)), strict=True):
+                rows.append([name, number, b"", *[pack(w[i:j]) for w in sent], *[b""] * (4 - m.depth), pack(x[i:j]), pack(doc[i:j])])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            number += 1
 
     def grown(t: pa.Table) -> pa.Table:
         m = shared.value
-        out = []
-        kind = np.array(t.column("kind"))
-        cols = {c: t.column(c).to_pylist() for c in t.column_names[2:]}
-        for i in np.flatnonzero(kind == 1).tolist():
-            u, ids, null, n, known, base, lp = (unpack(cols[c][i], k) for c, k in zip(("docs", "w1", "w2", "w3", "w4", "x", "doc"), (np.int64, np.int64, np.int8, np.int64, np.int64, np.float64, np.float64), strict=True))
-            out.append((u & ~1, pa.array(ids, mask=null > 0), np.ones(len(u), np.int64), n, known, base, lp))
-        some = np.flatnonzero(kind == 0).tolist()
+        cols = {c: t.column(c).to_pylist() for c in t.column_names[1:]}
+        rows = [[cols["slice"][i], own, *[b""] * 5] for i, own in enumerate(cols["own"]) if own]
+        some = [i for i, own in enumerate(cols["own"]) if not own]
         if some:
-            who = [unpack(cols["docs"][i], np.uint64) for i in some]
-            start = np.cumsum([0, *map(len, who)])
-            doc = np.concatenate([unpack(cols["doc"][i], np.uint32).astype(np.int64) + a for i, a in zip(some, start, strict=False)])
-            who = np.concatenate(who)
             x, *words = (np.concatenate([unpack(cols[c][i], np.int64) for i in some]) for c in ("x", "w1", "w2", "w3", "w4")[: m.depth + 1])
-            lp, near = grow(m, words, x, (who & np.uint64(1)).astype(np.int64)[doc])
+            refs = [unpack(cols["doc"][i], np.uint32) for i in some]
+            trained = (np.concatenate(refs) & np.uint32(1)).astype(np.int64)
+            lp, near = grow(m, words, x, trained)
             lone = words[0] >= RARE
-            base = np.where(lone, np.log10((near + 1) / (total + distinct + 1)), 0.0)
             lp += np.where(lone, np.log10(np.where(near > 0, m.rare, m.unseen)), 0.0)
-            each = lambda v: np.bincount(doc, v, len(who))
-            zero = np.zeros(len(who), np.int64)
-            out.append(((who & ~np.uint64(1)).view(np.int64), pa.nulls(len(who), pa.int64()), zero, zero, each(lone & (near > 0)).astype(np.int64), each(base), each(lp)))
-        return pa.table([pa.chunked_array([pa.array(o[i]) for o in out]) for i in range(7)], names=["uid", "id", "copies", "n_tokens", "n_known", "base", "score"])
-
-    parts = src.mapInArrow(run, _PLACES).groupBy("s").applyInArrow(lambda t: grown(t), "uid long, id long, copies long, n_tokens long, n_known long, base double, score double")
-    out = parts.groupBy("uid").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")])
-    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    per = lambda c: F.col(c) / F.col("copies")
-    return out.select(
-        F.col("id").alias(id_col), per("n_tokens").cast("long").alias("n_tokens"), per("n_known").cast("long").alias("n_known"), per("base").alias("base_score"), per("score").alias("score")
-    )
+            base = np.log10((near + 1) / (total + distinct + 1))
+            a = 0
+            for i, ref in zip(some, refs, strict=True):
+                z, ref = a + len(ref), ref >> np.uint32(1)
+                docs_, at = np.unique(ref, return_inverse=True)
+                alone = lone[a:z]
+                rare, at2 = np.unique(ref[alone], return_inverse=True)
+                sums = np.rint(np.bincount(at, lp[a:z]) * _FINE).astype(np.int64)
+                sums = (sums << 1) ^ (sums >> 63)  # small where near zero on either side
+                more = np.bincount(at2, base[a:z][alone], len(rare)), np.bincount(at2, near[a:z][alone] > 0, len(rare)).astype(np.uint32)
+                rows.append([cols["slice"][i], b"", _differences(docs_), pack(sums), _differences(rare), pack(more[0]), pack(more[1])])
+                a = z
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 6), strict=True)], names=[p.split()[0] for p in _SUMS.split(", ")])
+
+    def joined(t: pa.Table) -> pa.Table:
+        import pickle
+
+        cols = {c: t.column(c).to_pylist() for c in t.column_names}
+        ids, n, known, base, lp = pickle.loads(next(o for o in cols["own"] if o))
+        known, base, lp = known.copy(), base.copy(), lp.copy()
+        for i in sorted((i for i, o in enumerate(cols["own"]) if not o), key=lambda i: cols["docs"][i]):
+            v = unpack(cols["sums"][i], np.int64)
+            lp[np.cumsum(unpack(cols["docs"][i], np.uint32))] += ((v >> 1) ^ -(v & 1)) / _FINE
+            rare = np.cumsum(unpack(cols["rare"][i], np.uint32))
+            base[rare] += unpack(cols["base"][i], np.float64)
+            known[rare] += unpack(cols["known"][i], np.uint32).astype(np.int64)
+        return pa.table([pa.array(ids, pa.int64()), n, known, base, lp], names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+    places = src.mapInArrow(run, _PLACES)
+    sums = places.groupBy("s").applyInArrow(lambda t: grown(t), _SUMS)
+    out = sums.groupBy("slice").applyInArrow(lambda t: joined(t), "id long, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
