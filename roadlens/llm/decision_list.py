@@ -174,9 +174,10 @@ def learn(stats: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9,
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[Condition, ...]]:
-    """Rules from at most ``max_rows`` labelled documents (the bound on what the driver gathers: their statistics)."""
+    """Rules from at most ``max_rows`` rows of as many labelled ids (the bound on what the driver gathers: their statistics), by hash of the id."""
     some = labelled_sample(docs, labels, max_rows, None, id_col, label_col)
-    got = word_stats(some.withColumn("__h", F.xxhash64(F.col(f"`{id_col}`"))), ["__label", "__h"], text_col).toPandas().sort_values(["__h", "n_words"], kind="stable")
+    got = word_stats(some.withColumn("__h", F.xxhash64(F.col(f"`{id_col}`"))), ["__label", "__h"], text_col)
+    got = got.orderBy("__h", *[c for c in got.columns if c != "__h"]).limit(max_rows).toPandas().sort_values(["__h", "n_words"], kind="stable")
     return learn({k: got[k].to_numpy() for k in got.columns if k not in ("__label", "__h")}, got["__label"].to_numpy() == 0)
 
 
@@ -195,5 +196,7 @@ def judged(docs: DataFrame, rules: list[tuple[Condition, ...]], keep: list[str],
     """Kept columns, STATS and ``rule``: the number of the rule that rejects the row, null where none does.
 
     Without rules, nothing is rejected. Null and empty texts are judged by zeros.
+    Of several rules that fit, the first counts. Repeated rows and null ids each
+    get their row, an empty table an empty result; columns that are not kept are not read.
     """
     return word_stats(docs, keep, text_col).withColumn("rule", rule_number(rules))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, col, crc_mod, map_text
+from .common import WordHash, checkpoint, col, crc_mod, map_text
 from .labelled import labelled_sample
 
 #: Words share this many buckets; each statistic has STEPS values of its own behind them.
@@ -137,8 +137,11 @@ def _inputs(docs: DataFrame, text_col: str, chars_col: str | None, keep: list[st
     return docs.select(*[col(k) for k in keep], n.alias("__n"), col(text_col).alias("__t"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, where=None, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", label_col: str = "quality") -> Machine:
-    """A machine from at most ``max_rows`` labelled documents (the bound on what the driver gathers: their feature numbers)."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, where=None, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", label_col: str = "quality", max_values: int = 20_000_000) -> Machine:
+    """A machine from at most ``max_rows`` rows of as many labelled ids, and at most ``max_values`` of their feature values.
+
+    Both bound what the driver gathers: 12 bytes a row to count its values, then 8 a value. Rows come by hash of their id.
+    """
     some = labelled_sample(docs, labels, max_rows, where, id_col, label_col)
     some = some.withColumn("__h", F.xxhash64(col(id_col)))
 
@@ -152,7 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, where=None,
 
         return f
 
-    got = map_text(_inputs(some, text_col, chars_col, ["__label", "__h"]), ["__label", "__h", "__n"], "i binary, x binary", make, "__t").drop("__n").toPandas()
+    got = map_text(_inputs(some, text_col, chars_col, ["__label", "__h"]), ["__label", "__h", "__n"], "i binary, x binary", make, "__t").drop("__n")
+    got = checkpoint(got.orderBy("__h", "i", "x", "__label").limit(max_rows))
+    sizes = got.select("__h", "i", "x", "__label", F.expr("length(i) div 4").alias("n")).orderBy("__h", "i", "x", "__label").select("n").toPandas().n.to_numpy(np.int64)
+    got = got.orderBy("__h", "i", "x", "__label").limit(int(np.searchsorted(np.cumsum(sizes), max_values, "right"))).toPandas()
     got = got.sort_values(["__h", "i"], kind="stable")
     counts = np.array([len(b) // 4 for b in got.i], np.int64)
     return train(np.frombuffer(b"".join(got.i), np.int32), np.frombuffer(b"".join(got.x), np.float32), counts, got["__label"].to_numpy(np.float64))

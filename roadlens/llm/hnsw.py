@@ -151,14 +151,19 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.where(col(id_col).isNotNull() & F.coalesce(ok, F.lit(False))).select(col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim"))
 
 
+def one_each(vectors: DataFrame) -> DataFrame:
+    """One row an id, with its smallest vector; reduced before it is shuffled, so an id that has very many rows gathers nowhere."""
+    return vectors.groupBy("id").agg(F.min(F.struct("v", "dim")).alias("s")).select("id", "s.v", "s.dim")
+
+
 def index(vectors: DataFrame, shard_rows: int = 8192, m: int = 16, copies: int = 11) -> DataFrame:
     """One row a shard and dimension: its distinct vectors, the ids behind each, and the graph as flat arrays.
 
     Rows go to shards by a hash of their id, so copies of a vector spread. In a
     shard, equal vectors are one node, which keeps its ``copies`` smallest ids:
-    searches for copies - 1 neighbours need no more. An id that comes with
-    several vectors counts with the smallest.
+    searches for copies - 1 neighbours need no more. ``vectors`` has one row an id.
     """
+    vectors = checkpoint(vectors)
     shards = max(1, -(-vectors.count() // shard_rows))
     out = "shard int, dim int, shards int, x binary, members array<bigint>, ends array<int>, sizes array<int>, nodes binary, links binary"
 
@@ -191,7 +196,7 @@ def nearest(
     ef: int = 128,
     m: int = 16,
     shard_rows: int = 8192,
-    block_rows: int = 1024,
+    block_rows: int = 16_384,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
@@ -206,11 +211,8 @@ def nearest(
     results are merged. With at most ``ef`` distinct vectors in a shard, its
     search is exhaustive. Empty tables give an empty result.
     """
-    base = usable(vectors, id_col, vec_col)
-    graph = index(base, shard_rows, m, k + 1)
-    asked = (usable(queries, id_col, vec_col) if queries is not None else base).groupBy("id", "dim").agg(F.min("v").alias("v"))
-    asked = asked.groupBy("id").agg(F.min(F.struct("v", "dim")).alias("s")).select("id", "s.v", "s.dim")
-    asked = checkpoint(asked)
+    graph = index(one_each(usable(vectors, id_col, vec_col)), shard_rows, m, k + 1)
+    asked = checkpoint(one_each(usable(vectors if queries is None else queries, id_col, vec_col)))
     blocks = max(1, -(-asked.count() // block_rows))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
     shards = graph.select(F.col("shard").alias("s"), F.col("dim").alias("d")).distinct()

@@ -14,7 +14,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, where=Non
     Labels other than 0 and 1 and null ids don't count; ids labelled both ways
     count as 0. ``where`` further limits the ids. The ids are broadcast: they are
     ``max_rows`` at most. Which ids come first does not depend on the rows' order.
+    An id may have many rows: what gathers them must limit the rows as well.
     """
+    fresh = "__label"
+    if fresh in docs.columns or "__id" in docs.columns:
+        docs = docs.drop(fresh, "__id")
     few = labels.select(col(id_col).alias("__id"), col(label_col).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)")
     if where is not None:
         few = few.where(where("__id"))

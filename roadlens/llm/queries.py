@@ -115,8 +115,10 @@ def _address(url: str) -> dict[str, str]:
     path = f"regexp_extract({rest}, '(?s)^[^/?#]*([^?#]*)', 1)"
     asked = rf"list_sort(list_filter(string_split(regexp_extract({rest}, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^({TRACKING})=')))"
     short = rf"regexp_replace({path}, '(/index)?(\.html?)?/*$', '')"
-    key = f"CASE WHEN {host} <> '' THEN {host} || {short} || CASE WHEN len({asked}) > 0 THEN '?' || array_to_string({asked}, '&') ELSE '' END END"
-    return {"host": host, "path": path, "key": key}
+    plain = f"regexp_replace({host}, '^(www|m)\\.', '')"
+    as_is = rf"CASE WHEN {host} <> '' THEN {host} || {path} || regexp_extract({rest}, '(?s)^[^?#]*(\?[^#]*)', 1) END"
+    key = f"CASE WHEN {host} <> '' THEN {plain} || {short} || CASE WHEN len({asked}) > 0 THEN '?' || array_to_string({asked}, '&') ELSE '' END END"
+    return {"host": host, "path": path, "key": key, "address": as_is}
 
 
 def _op1_sql() -> str:
@@ -125,14 +127,17 @@ def _op1_sql() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[0]))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in ordered) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in ordered) + " END"
-    return rf"""WITH RECURSIVE parts AS (SELECT page_id, url, html, coalesce({page['host']}, '') AS host, coalesce({page['path']}, '') AS path, {page['key']} AS key FROM pages),
+    return rf"""WITH RECURSIVE parts AS (SELECT page_id, url, html, coalesce({page['host']}, '') AS host, coalesce({page['path']}, '') AS path, {page['key']} AS key, {page['address']} AS address FROM pages),
     judged AS (SELECT *, {verdict} AS own FROM (SELECT *, {rule} AS rule FROM parts)),
-    tags AS (SELECT key AS u, url, host, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM parts),
-    named AS (SELECT u, url, host, regexp_extract(tag, '(?is)(?:href\s*=\s*|url\s*=\s*)["'']?([^"''\s>]+)', 1) AS t FROM tags
-      WHERE regexp_matches(tag, '(?i)rel\s*=\s*["'']?canonical|http-equiv\s*=\s*["'']?refresh')),
-    targets AS (SELECT u, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://)', 1) || host || t ELSE t END AS target FROM named),
-    links AS (SELECT u, {to['key']} AS v FROM targets WHERE contains(target, '://')),
-    nodes AS (SELECT DISTINCT key AS node FROM parts WHERE key IS NOT NULL UNION SELECT v FROM links), {_REACH},
+    tags AS (SELECT address AS u, url, host, path, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM parts),
+    named AS (SELECT u, url, host, path, regexp_extract(tag, '(?is)(?:href\s*=\s*|url\s*=\s*)["'']?([^"''\s>]+)', 1) AS t FROM tags
+      WHERE regexp_matches(tag, '(?i)rel\s*=\s*(["''][^"''>]*\bcanonical\b|canonical)|http-equiv\s*=\s*["'']?refresh')),
+    sites AS (SELECT *, regexp_extract(url, '(?s)^(.*?://)', 1) || host AS site FROM named WHERE t <> '' AND NOT starts_with(t, '#')),
+    targets AS (SELECT u, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN site || t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t
+      WHEN starts_with(t, '?') THEN site || path || t ELSE site || regexp_replace(path, '(?s)[^/]*$', '') || CASE WHEN path = '' THEN '/' ELSE '' END || t END AS target FROM sites),
+    told AS (SELECT u, {to['address']} AS v, {to['key']} AS k FROM targets WHERE contains(target, '://')),
+    links AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM told UNION ALL SELECT v, k FROM told UNION ALL SELECT address, key FROM parts) WHERE u <> v),
+    nodes AS (SELECT key AS node FROM parts WHERE key IS NOT NULL UNION SELECT u FROM links UNION SELECT v FROM links), {_REACH},
     alias AS (SELECT a AS key, min(b) AS alias FROM reach GROUP BY a),
     ruled AS (SELECT alias, bool_or(own = 'allow') AS allowed FROM judged JOIN alias USING (key) WHERE own IS NOT NULL GROUP BY alias)
     SELECT page_id, host, path, rule, coalesce(own, CASE WHEN allowed THEN 'allow' WHEN NOT allowed THEN 'block' END, 'allow') AS verdict, alias

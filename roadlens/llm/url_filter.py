@@ -43,22 +43,35 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return F.lit(None).cast("struct<rule:string,verdict:string>") if found is None else found
 
 
+def address(url: Column) -> Column:
+    """Host, path and query as they are, without scheme and fragment; null without a host."""
+    query = F.regexp_extract(_rest(url), r"(?s)^[^?#]*(\?[^#]*)", 1)
+    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
+
+
 def alias_key(url: Column) -> Column:
-    """The address that a site would name as canonical: no scheme, fragment, tracking parameters, index page, .html or last slash."""
+    """The address that a site would name as canonical: no scheme, www. or m. before the host, fragment, tracking parameters, index page, .html or last slash."""
+    host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
     query = F.regexp_extract(_rest(url), r"(?s)^[^?#]*\?([^#]*)", 1)
     kept = F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(rf"^({TRACKING})="))
     path = F.regexp_replace(path_of(url), r"(/index)?(\.html?)?/*$", "")
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise("")
-    return F.when(host_of(url) != "", F.concat(host_of(url), path, query))
+    return F.when(host_of(url) != "", F.concat(host, path, query))
 
 
 def declared_links(html: Column, base: Column) -> Column:
-    """Absolute addresses that a page names as canonical or refreshes to; those that start with / are on the page's own site."""
-    tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
+    """Addresses that a page names as canonical or refreshes to, made absolute by the page's own.
+
+    ``canonical`` may be any of rel's words. Those that start with / are on the page's own site, with ? on its path, all others
+    in its path's folder; . and .. are not resolved.
+    """
+    tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)rel\s*=\s*([\"'][^\"'>]*\bcanonical\b|canonical)|http-equiv\s*=\s*[\"']?refresh"))
     target = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)(?:href\s*=\s*|url\s*=\s*)[\"']?([^\"'\s>]+)", 1))
     site = F.concat(F.regexp_extract(base, r"(?s)^(.*?://)", 1), host_of(base))
-    full = F.transform(target, lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(site, x)).otherwise(x))
-    return F.filter(full, lambda x: x.contains("://"))
+    page = F.concat(site, path_of(base))
+    folder = F.concat(site, F.regexp_replace(path_of(base), r"(?s)[^/]*$", ""), F.when(path_of(base) == "", "/").otherwise(""))
+    full = lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(site, x)).when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), x).when(x.startswith("?"), F.concat(page, x)).otherwise(F.concat(folder, x))
+    return F.filter(F.transform(F.filter(target, lambda x: (x != "") & ~x.startswith("#")), full), lambda x: x.contains("://"))
 
 
 def judge_urls(
@@ -73,9 +86,10 @@ def judge_urls(
     """id, host, path, rule, verdict and alias: one row for each row of ``pages``.
 
     A url that a rule fits gets that rule's verdict. Any other gets the verdict of
-    its aliases: the urls connected with it by canonical links and refreshes that
-    pages declare, by ``edges`` (src, dst: urls of redirects), or by having the same
-    canonical address. An allow rule on any alias comes first, then a block rule,
+    its aliases: the urls connected with it, over any number of steps, by canonical
+    links and refreshes that pages declare, by ``edges`` (src, dst: urls of redirects),
+    or by the edge from each address to its canonical one, which a site redirects it
+    to. An allow rule on any alias comes first, then a block rule,
     then ``default``. ``alias`` names the component by its smallest address.
 
     Null urls and those without :// have empty host and path, no alias and the
@@ -88,18 +102,20 @@ def judge_urls(
     base = pages.select(col(id_col).alias("id"), url.alias("url"), *([col(html_col).cast("string").alias("html")] if html_col else []))
     judged = base.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), alias_key(F.col("url")).alias("key"))
     judged = judged.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    links = edges.select(alias_key(F.col("src")).alias("u"), alias_key(F.col("dst")).alias("v")) if edges is not None else None
+    told = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")) if edges is not None else None
     if html_col:
-        own = base.select(alias_key(F.col("url")).alias("u"), F.explode(declared_links(F.col("html"), F.col("url"))).alias("to")).select("u", alias_key(F.col("to")).alias("v"))
-        links = own if links is None else links.union(own)
+        own = base.select(F.col("url").alias("src"), F.explode(declared_links(F.col("html"), F.col("url"))).alias("dst"))
+        told = own if told is None else told.union(own)
+    urls = base.select(F.col("url"))
+    if told is not None:
+        urls = urls.union(told.select("src")).union(told.select("dst"))
+    links = urls.select(address(F.col("url")).alias("u"), alias_key(F.col("url")).alias("v"))
+    if told is not None:
+        links = links.union(told.select(address(F.col("src")), address(F.col("dst"))))
     ruled = judged.where("r is not null and key is not null").groupBy("key").agg(F.max(F.col("r.verdict") == "allow").alias("allowed"))
-    if links is not None:
-        named = components(links).withColumnRenamed("label", "alias")
-        ruled = ruled.join(named, ruled.key == named.node, "left").groupBy(F.coalesce("alias", "key").alias("alias")).agg(F.max("allowed").alias("allowed"))
-        judged = judged.join(named, judged.key == named.node, "left").withColumn("alias", F.coalesce("alias", "key"))
-    else:
-        ruled = ruled.withColumnRenamed("key", "alias")
-        judged = judged.withColumn("alias", F.col("key"))
+    named = components(links).withColumnRenamed("label", "alias")
+    ruled = ruled.join(named, ruled.key == named.node, "left").groupBy(F.coalesce("alias", "key").alias("alias")).agg(F.max("allowed").alias("allowed"))
+    judged = judged.join(named, judged.key == named.node, "left").withColumn("alias", F.coalesce("alias", "key"))
     ruled = ruled.withColumnRenamed("alias", "a")
     out = judged.join(ruled, F.col("alias") == F.col("a"), "left")
     verdict = F.coalesce("r.verdict", F.when(F.col("allowed"), "allow").when(~F.col("allowed"), "block"), F.lit(default))

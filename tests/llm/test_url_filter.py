@@ -68,3 +68,28 @@ def test_repeated_rows_and_empty_table(spark):
     assert judge_urls(spark.createDataFrame(rows, KIND), RULES).count() == 4
     assert judge_urls(spark.createDataFrame([], KIND), RULES).count() == 0
     assert judged(spark, rows, html_col=None)[1][3] == "block"
+
+
+def test_edges_from_addresses_alone_change_verdicts(spark):
+    rows = [
+        (1, "https://m.a.net/es/?utm_source=feed", None, 0),  # its path has the rule's slash
+        (2, "http://a.net/es#top", None, 0),  # these have not, but are the same page
+        (3, "http://www.a.net/es.html", None, 0),
+        (4, "http://b.a.net/es", None, 0),
+    ]
+    got = judged(spark, rows)
+    assert {k: (v[2], v[3]) for k, v in got.items()} == {1: ("net/es/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow")}
+
+
+def test_relative_links_and_lists_of_rel(spark):
+    rows = [
+        (1, "http://x.org/d/e?q=1", '<link rel="shortlink canonical" href="f">', 0),
+        (2, "http://x.org/d/f", '<meta http-equiv=refresh content="0;url=?s=2">', 0),
+        (3, "http://x.org/d/f?s=2", '<link rel=canonical href="http://y.net/fr/1">', 0),
+        (4, "http://y.net/fr/1", '<link rel=canonical href="#part"><link rel=stylesheet href="http://x.org/other">', 0),
+        (5, "http://x.org", '<link rel=canonical href="mailto:a@b.c"><link rel=canonical href="g">', 0),
+        (6, "http://x.org/g", '<link rel=canonical href="http://y.net/es/5">', 0),
+        (7, "http://y.net/es/5", "", 0),
+        (8, "http://x.org/other", "", 0),
+    ]
+    assert {k: v[3] for k, v in judged(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "allow"}
