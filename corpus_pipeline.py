@@ -51,8 +51,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates, the one with the smallest id; five-word shingles, similarity 0.8."""
-    dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+    own = _shielded(docs)
+    number, text = _at(docs, "doc_id"), _at(docs, "text")
+    dropped = near_duplicates(own, id_col=number, text_col=text).where("not kept").select(F.col(number).alias("dropped")).distinct()
+    return own.join(dropped, F.col(number) == F.col("dropped"), "left_anti").toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
