@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, default_vocabulary
-from .common import col, map_text
+from .common import col, map_text, pack, saved, unpack
 
 #: The pre-token pattern looks at most so many characters beyond the end of a match.
 AHEAD = 2
@@ -124,56 +124,112 @@ class CountTree:
         return "".join(p for i in range(self.n) for p in self._pieces(i))
 
 
-def edited_counts(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """id, n_chars, n_tokens, n_edits, n_chars_after, n_tokens_after and n_chars_encoded of each row.
+_EDITS = "array<struct<start:int,stop:int,text:string>>"
 
-    ``edits`` is array<struct<start int, stop int, text string>>: code points
-    start..stop of the row's text give way to ``text``. Positions refer to the
-    text as it comes; edits apply in order of their starts, those that overlap an
-    earlier one or have a null position are left out, and positions beyond the
-    end count as the end. Each document's pre-tokens are counted once; an edit
-    then re-encodes what it touches, with the context on which pre-token
-    boundaries depend, up to the first boundary that old and new text share.
-    n_chars_encoded sums those regions. Counts equal those of encoding the edited
-    text anew. Null text is empty, null edits are none. Special tokens count as
-    ordinary text.
+
+def stored_trees(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """The segment tree of every row, as a table in the shared folder, and the edits that wait for it.
+
+    id, n_chars, n_tokens, lens and toks (packed: characters and tokens of each
+    pre-token, from which the sums above follow), edits, and text where there are
+    edits. Each text is encoded once, here. Null text is empty, null edits are none. Special tokens count as ordinary text.
     """
     path = path or default_vocabulary()
-    src = df.select(col(id_col), F.coalesce(col(edits_col), F.array().cast("array<struct<start:int,stop:int,text:string>>")).alias("__edits"), col(text_col).alias("__t"))
+    edits = F.coalesce(col(edits_col), F.array().cast(_EDITS)).cast(_EDITS)
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    src = df.select(col(id_col).alias("id"), edits.alias("edits"), F.when(F.size(edits) > 0, text).alias("text"), text.alias("__t"))
 
     def make():
         e = Encoder(path, special=False)
 
-        def f(texts, batch):
-            edits = batch.column(1).to_pylist()
+        def f(texts, _):
             units = [e._plain(t) for t in texts]
-            ends = np.cumsum([len(u) for u in units])
             place = e.place([u for each in units for u in each])
-            tokens = np.concatenate(([0], np.cumsum(e.id_end[place + 1] - e.id_end[place])))
-            tokens = np.diff(tokens[np.concatenate(([0], ends))]).tolist()
-            counts = {i: e.counts_of(place[ends[i] - len(units[i]) : ends[i]]) for i, x in enumerate(edits) if x}
-            del units
+            ends = np.cumsum([len(u) for u in units]).tolist()
+            rows = []
+            for t, u, end in zip(texts, units, ends, strict=True):
+                lens, toks = e.counts_of(place[end - len(u) : end])
+                rows.append((len(t), int(toks.sum()), pack(_narrow(lens)), pack(_narrow(toks))))
+            return [list(x) for x in zip(*rows, strict=True)]
+
+        return f
+
+    return saved(map_text(src, ["id", "edits", "text"], "n_chars long, n_tokens long, lens binary, toks binary", make, "__t", as_bytes=False, most=8 << 20))
+
+
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """As uint8, with what is 255 or more as runs of 255 before the rest."""
+    a = np.asarray(a, np.int64)
+    if not len(a) or a.max() < 255:
+        return a.astype(np.uint8)
+    out = np.full(int((a // 255 + 1).sum()), 255, np.uint8)
+    out[np.cumsum(a // 255 + 1) - 1] = a % 255
+    return out
+
+
+def _wide(a: np.ndarray) -> np.ndarray:
+    whole = np.cumsum(a, dtype=np.int64)[a < 255]
+    return np.diff(whole, prepend=0)
+
+
+def apply_edits(trees: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of ``stored_trees`` after their edits: id, n_chars, n_tokens, n_edits, n_chars_after, n_tokens_after, n_chars_encoded, lens, toks and text.
+
+    Positions of edits refer to the stored text; edits apply in order of their starts,
+    those that overlap an earlier one or have a null position are left out, and
+    positions beyond the end count as the end. An edit re-encodes what it touches, with
+    the context on which pre-token boundaries depend, up to the first boundary that
+    old and new text share; n_chars_encoded sums those regions. lens, toks and
+    text are the tree and text after the edits, for a next batch of them; a row
+    without edits keeps its tree, and its text is not stored. Counts equal those of encoding the edited text anew.
+    """
+    path = path or default_vocabulary()
+    names = ["id", "n_chars", "n_tokens"]
+    out = "n_edits int, n_chars_after long, n_tokens_after long, n_chars_encoded long, lens binary, toks binary, after string"
+    src = trees.select(*names, "edits", F.col("lens").alias("__lens"), F.col("toks").alias("__toks"), "text")
+
+    def make():
+        e = Encoder(path, special=False)
+
+        def f(texts, batch):
             rows = []
-            for i, (t, before) in enumerate(zip(texts, tokens, strict=True)):
-                if edits[i]:
-                    tree = CountTree(t, e, counts.pop(i))
-                    shift, upto, done = 0, 0, 0
-                    for x in sorted((x for x in edits[i] if x and x["start"] is not None and x["stop"] is not None), key=lambda x: x["start"]):
-                        a, b = min(max(x["start"], 0), len(t)), min(x["stop"], len(t))
-                        if a < upto or b < a:
-                            continue
-                        new = x["text"] or ""
-                        tree.edit(a + shift, b + shift, new)
-                        shift, upto, done = shift + len(new) - (b - a), b, done + 1
-                    rows.append((len(t), before, done, tree.length, tree.tokens, tree.encoded_chars))
-                else:
-                    rows.append((len(t), before, 0, len(t), before, 0))
+            chars, tokens, edits, lens, toks = (batch.column(i) for i in range(1, 6))
+            for i, t in enumerate(texts):
+                some = edits[i].as_py()
+                if not some:
+                    rows.append((0, chars[i].as_py(), tokens[i].as_py(), 0, lens[i].as_py(), toks[i].as_py(), None))
+                    continue
+                tree = CountTree(t, e, (_wide(unpack(lens[i].as_py(), np.uint8)), _wide(unpack(toks[i].as_py(), np.uint8))))
+                shift, upto, done = 0, 0, 0
+                for x in sorted((x for x in some if x and x["start"] is not None and x["stop"] is not None), key=lambda x: x["start"]):
+                    a, b = min(max(x["start"], 0), len(t)), min(x["stop"], len(t))
+                    if a < upto or b < a:
+                        continue
+                    new = x["text"] or ""
+                    tree.edit(a + shift, b + shift, new)
+                    shift, upto, done = shift + len(new) - (b - a), b, done + 1
+                leaves = tree.chars[tree.m : tree.m + tree.n], tree.toks[tree.m : tree.m + tree.n]
+                full = leaves[0] > 0
+                rows.append((done, tree.length, tree.tokens, tree.encoded_chars, pack(_narrow(leaves[0][full])), pack(_narrow(leaves[1][full])), tree.current()))
             return [list(x) for x in zip(*rows, strict=True)]
 
         return f
 
-    out = "n_chars long, n_tokens long, n_edits int, n_chars_after long, n_tokens_after long, n_chars_encoded long"
-    return map_text(src, [id_col, "__edits"], out, make, "__t", as_bytes=False, most=8 << 20).drop("__edits")
+    got = map_text(src, [*names, "edits", "__lens", "__toks"], out, make, "text", as_bytes=False)
+    return got.drop("edits", "__lens", "__toks").withColumnRenamed("after", "text")
+
+
+def edited_counts(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """id, n_chars, n_tokens, n_edits, n_chars_after, n_tokens_after and n_chars_encoded of each row.
+
+    ``edits`` is array<struct<start int, stop int, text string>>: code points
+    start..stop of the row's text give way to ``text``. The trees of all rows are
+    stored (``stored_trees``), then the edits are applied to them (``apply_edits``).
+    Repeated rows and null ids each get their row, an empty table an empty result;
+    other columns are not read.
+    """
+    out = apply_edits(stored_trees(df, path, id_col, text_col, edits_col), path)
+    return out.drop("lens", "toks", "text").withColumnRenamed("id", id_col)
 
 
 def cleaning_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

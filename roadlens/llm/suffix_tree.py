@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, col, crc_mod, ensure_checkpoint_dir, mix64, slices
+from .common import WordHash, col, crc_mod, mix64, pack, saved, slices, unpack
 
 #: The token after the last word of every text; it also stands before the first. No word has a space.
 END = b" "
@@ -22,28 +21,6 @@ RARE = 1 << 40
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared checkpoint folder, which takes less room than a checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def pack(a: np.ndarray) -> bytes:
-    """An array's bytes by planes, compressed."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-
-
-def unpack(data: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _differences(sorted_keys: np.ndarray) -> bytes:
     return pack(np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0)))
 

@@ -59,3 +59,50 @@ def test_in_spark(spark):
     assert got[1] == (n("a b\nmail x@y.z now\na b\n\n\nend\na b"), 3, len(want), n(want))
     assert got[2] == (0, 0, 0, 0)
     assert edited_counts(cleaning_edits(docs.limit(0))).count() == 0
+
+
+def test_stored_trees_take_a_second_batch_of_edits(spark):
+    import numpy as np
+
+    from roadlens.llm import edit_counts as ec
+    from roadlens.llm.bpe import Encoder, default_vocabulary
+
+    for a in ([], [0, 1, 254], [255, 0, 256, 510, 3], [5000]):
+        assert ec._wide(ec._narrow(np.array(a))).tolist() == a
+    text = "The cats' 12 hats, " * 40 + "x" * 700 + " end"
+    one = [(4, 8, "dogs"), (300, 320, "")]
+    kind = "doc_id long, text string, edits array<struct<start:int,stop:int,text:string>>"
+    df = spark.createDataFrame([(1, text, one), (2, "no edits here", None), (1, text, one), (3, None, [(0, 0, "new text")])], kind)
+    first = ec.apply_edits(ec.stored_trees(df)).collect()
+    e = Encoder(default_vocabulary(), special=False)
+    after = text[:4] + "dogs" + text[8:300] + text[320:]
+    rows = [x for x in first if x.id == 1]
+    assert len(rows) == 2 and all(x.text == after and x.n_tokens_after == int(e.pretokens(after)[1].sum()) and 0 < x.n_chars_encoded < 80 for x in rows)
+    assert [(x.text, x.n_tokens_after) for x in first if x.id == 3] == [("new text", int(e.pretokens("new text")[1].sum()))]
+    x = rows[0]
+    again = spark.createDataFrame([(1, [(10, 12, "34 and"), (700, 701, "! ")], x.text, x.n_chars_after, x.n_tokens_after, x.lens, x.toks)], "id long, edits array<struct<start:int,stop:int,text:string>>, text string, n_chars long, n_tokens long, lens binary, toks binary")
+    y = ec.apply_edits(again).first()
+    want = after[:10] + "34 and" + after[12:700] + "! " + after[701:]
+    assert y.text == want and (y.n_tokens_after, y.n_chars_after) == (int(e.pretokens(want)[1].sum()), len(want))
+
+
+def test_the_query_against_encoding_anew(spark, sf_dir):
+    from roadlens.llm.bpe import Encoder, default_vocabulary
+    from roadlens.llm.edit_counts import cleaning_edits
+    from roadlens.llm.queries import op6_edit_aware_counts
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    e = Encoder(default_vocabulary(), special=False)
+    want = {}
+    for x in cleaning_edits(docs).collect():
+        new, at = [], 0
+        for d in x.edits:
+            new += [x.text[at : d.start], d.text]
+            at = d.stop
+        new = "".join(new) + (x.text or "")[at:]
+        count = lambda t: int(e.pretokens(t)[1].sum())
+        want[x.doc_id] = (len(x.text), count(x.text), len(x.edits), len(new), count(new))
+    got = op6_edit_aware_counts(spark, sf_dir).collect()
+    assert {x.doc_id: (x.n_chars, x.n_tokens, x.n_edits, x.n_chars_after, x.n_tokens_after) for x in got} == want
+    edited = [x for x in got if x.n_edits]
+    assert edited and sum(x.n_chars_encoded for x in edited) < 0.5 * sum(x.n_chars for x in edited)
