@@ -208,3 +208,24 @@ def test_percentile_recall_ranks_past_a_million(spark, tmp_path):
     spark.createDataFrame([(0, "x")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {x.percent: (x.candidate_count, x.recalled_gt_count) for x in engine.percentile_recall(spark, str(tmp_path)).collect()}
     assert got == {10: (210_000, 1), 20: (420_000, 1), 30: (630_000, 1), 50: (1_050_000, 2)}
+
+
+def test_hashes_by_path_as_it_is_and_resolved(spark):
+    rows = [(0, "/r/a/1.jpg", "one", "h1", "a"), (1, "/r/b/2.jpg", "two", "h2", "b")]
+    records = spark.createDataFrame(rows, "corpus_pos bigint, image_path string, caption string, image_hash string, label string")
+    ask = spark.createDataFrame([("/r/a/1.jpg",), ("/r/x/../b//./2.jpg",)], "image_path string")
+    assert {x.image_path: x.image_hash for x in dedup.hashes_of(ask, records).collect()} == {"/r/a/1.jpg": "h1", "/r/x/../b//./2.jpg": "h2"}
+    with pytest.raises(Exception, match="hash not found: /r/a/3.jpg"):
+        dedup.hashes_of(spark.createDataFrame([("/r/a/3.jpg",)], "image_path string"), records).collect()
+
+
+def test_whole_groups_are_numbered_by_ranges(spark):
+    df = spark.createDataFrame([("hot" if i % 10 else None, i * 7919 % 1000) for i in range(1000)], "g string, k int")
+    got = sample.stratified_sample(df.where("g is not null"), "g", "k", 0).collect()
+    assert [x.sample_index for x in sorted(got, key=lambda x: x.k)] == list(range(1, 901))
+    assert {x.candidate_count for x in got} == {900}
+
+
+def test_counted_terms(spark):
+    df = spark.createDataFrame([(["b", "a", "b"],), ([],), (["c"],)], "t array<string>")
+    assert [[tuple(y) for y in x.n] for x in df.select(lexical.counted(F.col("t")).alias("n")).collect()] == [[("a", 1), ("b", 2)], [], [("c", 1)]]
