@@ -12,7 +12,12 @@ from .captions import require
 DISPLAY, SEARCH = ("query", "display_query", "zh_query"), ("english_query", "search_query", "en_query")
 #: The modes of reading; which items that are neither text nor object count, and which keys.
 MODES = {"search": (True, DISPLAY, SEARCH), "eval": (False, DISPLAY, SEARCH), "demo": (False, DISPLAY[:2], SEARCH[:2])}
-DEFAULT_QUERIES = ("low-light backlighting", "oncoming vehicle", "rainy brake lights")
+#: The scenes that are searched for without a query.
+DEFAULT_QUERIES = (
+    "vehicle ahead under strong backlighting in low-light conditions",
+    "oncoming vehicle approaching in the opposite lane",
+    "rainy road scene with the brake lights of the vehicle ahead illuminated",
+)
 
 
 def parse_queries(documents: DataFrame, value: str = "value", mode: str = "search", id_col: str | None = None) -> DataFrame:
