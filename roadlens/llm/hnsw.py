@@ -11,69 +11,8 @@ from .common import checkpoint, col
 
 #: Nearest nodes from which a node's links are chosen.
 CANDIDATES = 48
-
-
-def _links(x: np.ndarray, degree: int) -> np.ndarray:
-    """[n, degree + 1] neighbours of each row of ``x`` among all rows, -1 where there are fewer.
-
-    Half of the slots take the nearest nodes that are nearer to the row than to
-    any link chosen before (so links point in different directions), then the
-    nearest others; the rest take links back. The last slot holds the next row,
-    so that every row can be reached.
-    """
-    n = len(x)
-    k = min(n - 1, CANDIDATES)
-    out = np.full((n, degree + 1), -1, np.int32)
-    out[:, degree] = (np.arange(n) + 1) % n
-    if k < 1:
-        return out
-    norm = (x * x).sum(1)
-    near, dist = np.empty((n, k), np.int32), np.empty((n, k))
-    step = max(1, (4 << 20) // n)
-    for a in range(0, n, step):
-        d = norm[a : a + step, None] + norm - 2 * (x[a : a + step] @ x.T)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        c = np.argpartition(d, k - 1, 1)[:, :k]
-        dc = np.take_along_axis(d, c, 1)
-        order = np.argsort(dc, 1, kind="stable")
-        near[a : a + step], dist[a : a + step] = np.take_along_axis(c, order, 1), np.take_along_axis(dc, order, 1)
-    most = degree // 2 if n > degree else degree
-    chosen = np.zeros((n, k), bool)
-    for a in range(0, n, 512):
-        c = near[a : a + 512]
-        v, vn = x[c], norm[c]
-        between = vn[:, :, None] + vn[:, None, :] - 2 * np.einsum("nid,njd->nij", v, v, optimize=True)
-        pick = np.zeros(c.shape, bool)
-        for j in range(k):
-            ok = ~((between[:, j, :] <= dist[a : a + 512, j, None]) & pick).any(1)
-            pick[:, j] = ok & (pick.sum(1) < most)
-        for j in range(k):
-            pick[:, j] |= pick.sum(1) < most
-        chosen[a : a + 512] = pick
-    src, slot = np.nonzero(chosen)
-    dst = near[src, slot]
-    rank = np.arange(len(src)) - np.searchsorted(src, src)
-    out[src, rank] = dst
-    back = ~np.isin(dst.astype(np.int64) * n + src, src.astype(np.int64) * n + dst)
-    s, t, d = dst[back], src[back], dist[src, slot][back]
-    order = np.lexsort((t, d, s))
-    s, t = s[order], t[order]
-    rank = np.arange(len(s)) - np.searchsorted(s, s)
-    free = degree - most if n > degree else 0
-    ok = rank < free
-    out[s[ok], most + rank[ok]] = t[ok]
-    return out
-
-
-def build(x: np.ndarray, m: int = 16, seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(nodes, neighbours) of each level, the widest first. A node is on level l with probability m ** -l."""
-    level = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(x))) / np.log(m)).astype(int)
-    out = []
-    for l in range(level.max() + 1 if len(x) else 0):
-        nodes = np.flatnonzero(level >= l).astype(np.int32)
-        links = _links(x[nodes], 2 * m if l == 0 else m)
-        out.append((nodes, np.where(links >= 0, nodes[links], -1).astype(np.int32)))
-    return out
+#: Nodes that a search keeps on the levels above the last.
+UPPER = 24
 
 
 def _beam(x: np.ndarray, norm: np.ndarray, q: np.ndarray, rows: np.ndarray, links: np.ndarray, start: np.ndarray, ef: int, wide: int = 4) -> np.ndarray:
@@ -118,6 +57,104 @@ def _beam(x: np.ndarray, norm: np.ndarray, q: np.ndarray, rows: np.ndarray, link
     return np.where(np.isfinite(dist), ids, -1)
 
 
+def _diverse(x: np.ndarray, norm: np.ndarray, near: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
+    """Which of each row's candidates become links; ``near`` is nearest first, with an infinite ``dist`` where there is none.
+
+    First those that are nearer to the row than to any chosen before, so that links
+    point in different directions, then the nearest others up to ``most``.
+    """
+    out = np.zeros(near.shape, bool)
+    for a in range(0, len(near), 512):
+        c, d, pick = near[a : a + 512], dist[a : a + 512], out[a : a + 512]
+        v, vn, there = x[c], norm[c], np.isfinite(d)
+        between = vn[:, :, None] + vn[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
+        count = np.zeros(len(c), int)
+        for j in range(c.shape[1]):
+            pick[:, j] = there[:, j] & (count < most) & ~((between[:, j, :] <= d[:, j, None]) & pick).any(1)
+            count += pick[:, j]
+        for j in range(c.shape[1]):
+            more = there[:, j] & (count < most) & ~pick[:, j]
+            pick[:, j] |= more
+            count += more
+    return out
+
+
+def _nearest_first(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(dist, 1, kind="stable")[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+
+
+def _insert(x: np.ndarray, norm: np.ndarray, rows: np.ndarray, links: np.ndarray, gaps: np.ndarray, new: np.ndarray, found: np.ndarray) -> None:
+    """Links the nodes ``new`` to those that their searches found and to each other, and these back to them.
+
+    ``links`` and ``gaps`` (the distance of each link) grow in place. A node with more
+    links than slots chooses anew among them and the new ones.
+    """
+    degree = links.shape[1]
+    to = norm[found] + norm[new, None] - 2 * np.einsum("qkd,qd->qk", x[found], x[new], optimize=True)
+    among = norm[new] + norm[new, None] - 2 * (x[new] @ x[new].T)
+    np.fill_diagonal(among, np.inf)
+    near = np.concatenate((found, np.broadcast_to(new, among.shape)), 1)
+    near, dist = _nearest_first(near, np.concatenate((np.where(found >= 0, to, np.inf), among), 1), CANDIDATES)
+    src, slot = np.nonzero(_diverse(x, norm, near, dist, degree // 2))
+    dst, gap = near[src, slot], dist[src, slot]
+    place = np.arange(len(src)) - np.searchsorted(src, src)
+    links[rows[new[src]], place], gaps[rows[new[src]], place] = dst, gap
+    back = ~(links[rows[dst]] == new[src][:, None]).any(1)
+    order = np.argsort(dst[back], kind="stable")
+    dst, src, gap = dst[back][order], new[src][back][order], gap[back][order]
+    if not len(dst):
+        return
+    target, first, count = np.unique(dst, return_index=True, return_counts=True)
+    added, far = np.full((len(target), count.max()), -1, links.dtype), np.full((len(target), count.max()), np.inf)
+    at = np.repeat(np.arange(len(target)), count), np.arange(len(dst)) - np.repeat(first, count)
+    added[at], far[at] = src, gap
+    r = rows[target]
+    ids, dist = _nearest_first(np.concatenate((links[r], added), 1), np.concatenate((gaps[r], far), 1), max(CANDIDATES, degree))
+    full = np.flatnonzero(np.isfinite(dist).sum(1) > degree)
+    pick = _diverse(x, norm, ids[full], dist[full], degree)
+    order = np.argsort(~pick, 1, kind="stable")
+    ids[full], dist[full] = np.take_along_axis(ids[full], order, 1), np.take_along_axis(dist[full], order, 1)
+    wide = min(degree, ids.shape[1])
+    links[r, :wide], gaps[r, :wide] = ids[:, :wide], dist[:, :wide]
+
+
+def build(x: np.ndarray, m: int = 16, seed: int = 1, ef: int = 64, batch: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(nodes, neighbours) of each level, the widest first. A node is on level l with probability m ** -l.
+
+    Nodes are inserted in a random order, each by a search of the graph as it has grown
+    so far, from the top level down. Searches run in step for a batch, of at most an
+    eighth of the graph and ``batch`` nodes, whose nodes also see each other. The last slot of a
+    row holds the next node of the level, so that every node can be reached.
+    """
+    if not len(x):
+        return []
+    rng = np.random.default_rng(seed)
+    level = np.floor(-np.log(1 - rng.random(len(x))) / np.log(m)).astype(int)
+    norm, grown = (x * x).sum(1), []
+    for l in range(level.max() + 1):
+        nodes = np.flatnonzero(level >= l).astype(np.int32)
+        rows = np.zeros(len(x) + 1, np.int64)
+        rows[nodes] = np.arange(len(nodes))
+        shape = len(nodes), 2 * m if l == 0 else m
+        grown.append((nodes, rows, np.full(shape, -1, np.int32), np.full(shape, np.inf)))
+    top = grown[-1][0][0]
+    order = rng.permutation(len(x)).astype(np.int32)
+    order = order[order != top]
+    done = 0
+    while done < len(order):
+        new = order[done : done + min(max(1, done // 8), batch)]
+        found = np.full((len(new), 1), top, np.int32)
+        for l in range(len(grown) - 1, -1, -1):
+            _, rows, links, gaps = grown[l]
+            found = _beam(x, norm, x[new], rows, links, found, ef if l == 0 else UPPER)
+            here = level[new] >= l
+            if here.any():
+                _insert(x, norm, rows, links, gaps, new[here], found[here])
+        done += len(new)
+    return [(nodes, np.concatenate((links, np.roll(nodes, -1)[:, None]), 1)) for nodes, _, links, _ in grown]
+
+
 def search(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, ef: int) -> np.ndarray:
     """[queries, ef] nodes found, -1 where fewer: each level's best are where the next one starts."""
     norm = (x * x).sum(1)
@@ -126,7 +163,7 @@ def search(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], q: np.nda
     for l in range(len(levels) - 1, -1, -1):
         nodes, links = levels[l]
         rows[nodes] = np.arange(len(nodes))
-        found = _beam(x, norm, q, rows, links, found, ef if l == 0 else 24)
+        found = _beam(x, norm, q, rows, links, found, ef if l == 0 else UPPER)
     return found
 
 

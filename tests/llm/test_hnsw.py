@@ -60,3 +60,34 @@ def test_odd_rows(spark):
     assert by == {1: [2, 10, 11], 2: [1, 10, 11], 10: [1, 2, 11], 11: [1, 2, 10]} or by[1] == [2, 10, 11]
     assert by.keys() == {1, 2, 10, 11}
     assert nearest(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_levels_nest_and_links_stay_on_their_level():
+    x = np.random.default_rng(2).normal(size=(700, 6))
+    levels = build(x, 6)
+    for (nodes, links), wider in zip(levels, [np.arange(700), *(n for n, _ in levels)]):
+        assert set(nodes) <= set(wider)
+        assert set(links[links >= 0]) <= set(nodes)
+        for node, row in zip(nodes, links[:, :-1]):
+            row = row[row >= 0]
+            assert len(set(row)) == len(row) and node not in row
+    assert [len(n) for n, _ in build(x[:1])] == [1] and build(x[:0]) == []
+
+
+def test_the_query_against_brute_force(spark, sf_dir):
+    from roadlens.llm.queries import op2_sharded_hnsw
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = brute(rows, 10, 100)
+    got = {}
+    for r in op2_sharded_hnsw(spark, sf_dir).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert got.keys() == want.keys()
+    exact = brute(rows, len(rows), 100)
+    hits = 0
+    for q, w in want.items():
+        dist = {i: d for d, i in exact[q]}
+        assert [r for r, _, _ in sorted(got[q])] == list(range(1, len(w) + 1))
+        assert all(abs(dist[i] - s) < 1e-9 for _, i, s in got[q])
+        hits += len({i for _, i in w} & {i for _, i, _ in got[q]})
+    assert hits >= 0.9 * sum(map(len, want.values()))
