@@ -30,29 +30,31 @@ def _manifest(queries: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def comparison_manifest(queries: DataFrame, embedding: DataFrame, hybrid: DataFrame) -> DataFrame:
-    return _manifest(
-        queries,
-        {
-            "embedding_image_ids": embedding,
-            "hybrid_image_ids": hybrid,
-            "intersection_image_ids": both(hybrid, embedding),
-            "only_embedding_image_ids": only(embedding, hybrid),
-            "only_hybrid_image_ids": only(hybrid, embedding),
-        },
-    )
+    parts = comparison_parts(embedding, hybrid)
+    order = ("embedding", "hybrid", "intersection", "only_embedding", "only_hybrid")
+    return _manifest(queries, {f"{k}_image_ids": {**parts, "intersection": both(hybrid, embedding)}[k] for k in order})
+
+
+def comparison_parts(embedding: DataFrame, hybrid: DataFrame) -> dict[str, DataFrame]:
+    """The rankings that a comparison shows in a folder each."""
+    return {"embedding": embedding, "hybrid": hybrid, "only_embedding": only(embedding, hybrid), "only_hybrid": only(hybrid, embedding)}
 
 
 def filter_manifest(queries: DataFrame, embedding: DataFrame, lexical: DataFrame, final: DataFrame, candidate_top_k: int = 20, semantic_top_n: int = 10, lexical_top_n: int = 8) -> DataFrame:
+    parts = filter_parts(embedding, lexical, final, candidate_top_k, semantic_top_n, lexical_top_n)
+    names = (f"embedding_top{candidate_top_k}", f"embedding_top{semantic_top_n}", f"bm25_top{lexical_top_n}", "final_filtered", "filtered_out")
+    out = _manifest(queries, {f"{n}_image_ids": d for n, d in zip(names, parts.values(), strict=True)})
+    return out.withColumn("final_result_count", F.size("final_filtered_image_ids"))
+
+
+def filter_parts(embedding: DataFrame, lexical: DataFrame, final: DataFrame, candidate_top_k: int = 20, semantic_top_n: int = 10, lexical_top_n: int = 8) -> dict[str, DataFrame]:
+    """The rankings that a rank gate's comparison shows in a folder each."""
     top = embedding.where(F.col("rank") <= candidate_top_k)
     head = top.where(F.col("rank") <= semantic_top_n)
-    out = _manifest(
-        queries,
-        {
-            f"embedding_top{candidate_top_k}_image_ids": top,
-            f"embedding_top{semantic_top_n}_image_ids": head,
-            f"bm25_top{lexical_top_n}_image_ids": lexical.where(F.col("rank") <= lexical_top_n),
-            "final_filtered_image_ids": final,
-            "filtered_out_image_ids": only(head, final),
-        },
-    )
-    return out.withColumn("final_result_count", F.size("final_filtered_image_ids"))
+    return {
+        f"embedding_top{candidate_top_k}": top,
+        f"embedding_top{semantic_top_n}": head,
+        f"bm25_top{lexical_top_n}_candidates": lexical.where(F.col("rank") <= lexical_top_n),
+        "final_filtered": final,
+        f"filtered_out_from_embedding_top{semantic_top_n}": only(head, final),
+    }

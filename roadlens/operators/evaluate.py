@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import positive_int
-from ..functions.text import candidate_count, file_name
+from ..functions.text import candidate_count, file_name, tokens
 
 
 def _cut_recall(ranked: DataFrame, truth: DataFrame, cuts: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
@@ -104,6 +104,31 @@ def recall_rows(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     return ranked.join(q, "query_id").select("query", "expanded_english_queries", "rank", file_name(F.col("image_path")).alias("image_filename"), "image_path", "image_id", "score")
 
 
+def recall_table(recall: DataFrame, queries: DataFrame, backend: str) -> DataFrame:
+    """``recall`` with its query's text and the back end's name, as the CSV tables have them."""
+    q = queries.select("query_id", F.col("display_query").alias("query"))
+    return recall.drop("backend").join(q, "query_id").withColumn("backend", F.lit(backend))
+
+
+def topk_table(recall: DataFrame, queries: DataFrame, backend: str, unique: DataFrame, seconds: float | None = None) -> DataFrame:
+    """As ``recall_table``, with the number of distinct contents (``unique``, a row each) and the seconds that a query took, if measured."""
+    n = unique.agg(F.count("*").alias("corpus_unique_count"))
+    return recall_table(recall, queries, backend).crossJoin(F.broadcast(n)).withColumn("query_seconds", F.lit(seconds).cast("double"))
+
+
+def keyword_coverage(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, top_k: int) -> DataFrame:
+    """query_id, keywords (distinct tokens of the query), covered (those in a caption of the ``top_k``) and their share.
+
+    Queries without tokens have no rows.
+    """
+    words = lambda c: F.explode(F.array_distinct(tokens(F.coalesce(c, F.lit(""))))).alias("term")
+    asked = queries.select("query_id", words(F.col("search_query"))).distinct()
+    top = ranked.where(F.col("rank") <= positive_int("top_k", top_k)).select("query_id", "image_path")
+    seen = top.join(corpus.select("image_path", "caption"), "image_path").select("query_id", words(F.col("caption"))).distinct().withColumn("seen", F.lit(1))
+    out = asked.join(seen, ["query_id", "term"], "left").groupBy("query_id").agg(F.count("*").alias("keywords"), F.count("seen").alias("covered"))
+    return out.withColumn("coverage", F.round(F.col("covered") / F.col("keywords"), 6))
+
+
 def score_ranges(ranked: DataFrame, label: Column) -> DataFrame:
     """Per query and label: rows, and the range of scores."""
     return ranked.groupBy("query_id", label.alias("label")).agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("min_score"), F.round(F.max("score"), 6).alias("max_score"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prompts import expansion_prompt
+from ..functions.text import expanded_queries
 from .rank import top_k
 
 #: Up to so many query vectors are broadcast; more are dealt to the corpus' buckets.
@@ -92,25 +94,52 @@ def load_embedder(script: str, model: str, dtype: str = "bfloat16", cls: str = "
 
 
 class HashEmbedder:
-    """A deterministic embedder without a model: byte sums over hashed words, of length one."""
+    """A deterministic embedder without a model: signs at places that words' md5 gives, summed, of length one.
+
+    Words are runs without ASCII white space, A-Z lower-cased.
+    """
 
     def __init__(self, dim: int = 16):
         self.dim = dim
 
     def process(self, inputs: list[dict], normalize: bool = True) -> list[list[float]]:
-        import zlib
+        import hashlib
+        import re
 
-        out = []
+        lower, out = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}), []
         for x in inputs:
             v = [0.0] * self.dim
-            for w in (x["instruction"] + " " + x["text"]).lower().split():
-                h = zlib.crc32(w.encode())
+            for w in re.findall(r"[^\x20\x09-\x0D]+", (x["instruction"] + " " + x["text"]).translate(lower)):
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                 v[h % self.dim] += 1 if h & 1024 else -1
             n = sum(a * a for a in v) ** 0.5
             out.append([a / n for a in v] if normalize and n else v)
         return out
 
 
+def expand(queries: DataFrame, load: Callable[[], Callable[[str], str]], total: int = 4) -> DataFrame:
+    """``queries`` with ``expanded``: the phrasings that a model's answer to ``expansion_prompt`` names, ``total`` of them.
+
+    ``load`` runs on each worker and gives a function from prompt to answer. A blank
+    query, or an answer without enough phrasings, is an error in the job.
+    """
+    if total < 2:
+        raise ValueError("total must be at least 2")
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        answer = load()
+        for part in parts:
+            if part.isna().any() or not part.str.strip().all():
+                raise ValueError("the query must not be blank")
+            yield part.map(lambda q: answer(expansion_prompt(q, total)))
+
+    # the answer is a frame of its own, so that the model runs once a query
+    asked = queries.withColumn("__answer", run(F.col("display_query")))
+    got = expanded_queries(F.col("__answer"), total)
+    return asked.withColumn("expanded", F.coalesce(got, F.raise_error(F.lit("the answer has too few queries")).cast("array<string>"))).drop("__answer")
+
+
 def caption(df: DataFrame, load: Callable[[], Callable[[str, str], str]], path: str = "image_path", prompt: str = "Describe the scene.") -> DataFrame:
     """image_path, success, caption, error and seconds of each row; an error stays with its row."""
 

@@ -7,6 +7,7 @@ search over ``embeddings``, with the vector of the query's id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import compare, dedup, evaluate, fusion, lexical, sample, vectors
 from ..operators.rank import at_least, top_k
-from ..sources.captions import as_corpus
+from ..sources import sinks
+from ..sources.captions import as_corpus, read_captions
 from ..sources.queries import parse_queries
-from ..sources.sinks import placed, report
-from ..storage import checkpoint
+from ..sources.sinks import placed, placed_parts, report
+from ..storage import checkpoint, ensure_checkpoint_dir
 from . import retrieval
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,15 +455,127 @@ def report_rows(spark, sf_dir):
     return r.select("query_id", "query", F.array_join(items, ",").alias("items"), "recall_count")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:
+    """``df`` written as CSV and read again."""
+    folder = _folder(df.sparkSession, name)
+    kept = df.select(*columns)
+    sinks.write_csv(kept, folder)
+    return df.sparkSession.read.schema(kept.schema).option("header", True).csv(folder)
+
+
+# the same tables as the recall queries, with the query's text (a hash of it) and back end
+def _csv(recall_sql: str, columns: str) -> str:
+    return f"SELECT md5(b.text) AS query_md5, {columns} FROM ({recall_sql}) r JOIN benchmark b ON b.item_id = r.query_id"
+
+
+@query(_csv(SQL["percentile_recall"], "'exact' AS backend, percent, candidate_count, gt_count, recalled_gt_count, recall"))
+def percentile_csv(spark, sf_dir):
+    total = _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("total"))
+    r = evaluate.percentile_recall(semantic(spark, sf_dir, None), truth(spark, sf_dir), (10, 20, 30, 50), total)
+    back = _written(evaluate.recall_table(r, asked(spark, sf_dir), "exact").withColumn("query", F.md5("query")), "percentile", sinks.PERCENTILE_COLUMNS)
+    return back.withColumnRenamed("query", "query_md5")
+
+
+@query(_csv(SQL["topk_hash_recall"], "backend, top_k, (SELECT count(DISTINCT coalesce(sha256(text), '')) FROM documents) AS corpus_unique_count, gt_count, recalled_gt_count, recall"))
+def topk_csv(spark, sf_dir):
+    """All columns of the table but query_seconds, which no SQL can repeat."""
+    unique = corpus(spark, sf_dir).select("image_hash").distinct()
+    r = evaluate.topk_table(topk_hash_recall(spark, sf_dir), asked(spark, sf_dir), "bm25", unique).withColumn("query", F.md5("query"))
+    return _written(r, "topk", sinks.TOPK_COLUMNS).drop("query_seconds").withColumnRenamed("query", "query_md5")
+
+
+@query("SELECT doc_id::VARCHAR AS image_id, source || '/' || doc_id || '.jpg' AS image_path, md5(trim(text, ' \t\n\r')) AS caption_md5 FROM documents WHERE trim(text, ' \t\n\r') <> ''")
+def caption_lines_scan(spark, sf_dir):
+    """Caption rows appended in two runs as JSON lines, and read as a corpus."""
+    folder = _folder(spark, "captions")
+    rows = corpus(spark, sf_dir).select("image_path", F.lit(True).alias("success"), "caption", "corpus_pos")
+    for part in (0, 1):
+        sinks.append_captions(rows.where(F.col("corpus_pos") % 2 == part).drop("corpus_pos"), folder)
+    return read_captions(spark, folder, lines=True).select("image_id", "image_path", F.md5("caption").alias("caption_md5"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS image_id, md5(bm25_text) AS view_md5 FROM ({_view('text', 'documents', 'doc_id')}) WHERE bm25_text <> ''")
+def lexical_view_file(spark, sf_dir):
+    """The lexical view written as caption rows and read as a corpus."""
+    folder = _folder(spark, "view")
+    sinks.write_lexical_view(retrieval.lexical_view(corpus(spark, sf_dir)), folder)
+    return read_captions(spark, folder, lines=True).select("image_id", F.md5("caption").alias("view_md5"))
+
+
+_PLACED = """d AS (SELECT item_id AS query_id, rtrim(regexp_replace(regexp_replace(trim(text, ' \t\n\r'), '[/\\\\]', '_', 'g'), '[\\r\\n\\t]+', '_', 'g'), '. ') AS query_dir FROM benchmark),
+    l AS (SELECT max(query_id) AS query_id FROM d GROUP BY query_dir)
+    SELECT query_id, part, rank, image_path AS source_path, part || '/' || lpad(rank::VARCHAR, 2, '0') || '_' || image_id || '.jpg' AS target FROM parts JOIN l USING (query_id)"""
+
+
+def _below_query(p: DataFrame) -> DataFrame:
+    return p.select("query_id", "part", "rank", "source_path", F.substring("target", F.char_length("query_dir") + 2, F.char_length("target")).alias("target"))
+
+
+@query(f"""WITH {_BOTH}, {_RERANK}, parts AS (SELECT 'embedding' AS part, query_id, rank, image_id, image_path FROM sem UNION ALL SELECT 'hybrid', query_id, rank, image_id, image_path FROM rr
+    UNION ALL SELECT 'only_embedding', query_id, rank, image_id, image_path FROM sem x WHERE {_in('rr', 'NOT')} UNION ALL SELECT 'only_hybrid', query_id, rank, image_id, image_path FROM rr x WHERE {_in('sem', 'NOT')}), {_PLACED}""")
+def comparison_folders(spark, sf_dir):
+    sem = semantic(spark, sf_dir, 20)
+    hybrid = checkpoint(fusion.tail_rerank(sem, lexical_ranked(spark, sf_dir, 20)))
+    return _below_query(placed_parts(compare.comparison_parts(sem, hybrid), asked(spark, sf_dir)))
+
+
+@query(f"""WITH {_BOTH}, {_GATED}, parts AS (SELECT 'embedding_top20' AS part, query_id, rank, image_id, image_path FROM sem UNION ALL SELECT 'embedding_top10', query_id, rank, image_id, image_path FROM sem WHERE rank <= 10
+    UNION ALL SELECT 'bm25_top8_candidates', query_id, rank, image_id, image_path FROM lex WHERE rank <= 8 UNION ALL SELECT 'final_filtered', query_id, rank, image_id, image_path FROM gated
+    UNION ALL SELECT 'filtered_out_from_embedding_top10', query_id, rank, image_id, image_path FROM sem x WHERE rank <= 10 AND {_in('gated', 'NOT')}), {_PLACED}""")
+def filter_folders(spark, sf_dir):
+    sem, lex = semantic(spark, sf_dir, 20), lexical_ranked(spark, sf_dir, 20)
+    return _below_query(placed_parts(compare.filter_parts(sem, lex, checkpoint(fusion.rank_gate(sem, lex))), asked(spark, sf_dir)))
+
+
+@query(f"""WITH {_bm25(5)}, hit AS (SELECT DISTINCT l.query_id, t.term FROM lex l JOIN tf t ON t.corpus_pos = l.image_id::BIGINT WHERE l.rank <= 5)
+    SELECT q.query_id, count(*) AS keywords, count(h.term) AS covered, round(count(h.term)::DOUBLE / count(*), 6) AS coverage FROM qt q LEFT JOIN hit h ON h.query_id = q.query_id AND h.term = q.term GROUP BY ALL""")
+def keyword_coverage(spark, sf_dir):
+    return evaluate.keyword_coverage(lexical_ranked(spark, sf_dir, 5), asked(spark, sf_dir), corpus(spark, sf_dir), 5)
+
+
+@query("""SELECT issue, count(*) AS candidate_count, least(count(*), 20) AS sampled_count, 'ok' AS status FROM (SELECT event_type AS issue FROM events) GROUP BY ALL""")
+def sample_manifest(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.col("event_type").alias("issue"), F.concat(F.lit("e/"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("image_path"))
+    issues = rows.select("issue").distinct().withColumns({"frames_dir": F.concat("issue", F.lit("/frames")), "has_frames": F.lit(True)})
+    return sinks.sample_manifest(issues, sample.stratified_sample(rows, "issue", "image_path", 20)).select("issue", "candidate_count", "sampled_count", "status")
+
+
 # model extension points, with models that need no weights
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w FROM documents),
+    h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w),
+    s AS (SELECT doc_id, h % 16 AS p, sum(CASE WHEN (h >> 10) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY ALL),
+    n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM s GROUP BY ALL)
+    SELECT d.doc_id, string_agg((round(coalesce(v / nullif(n, 0), 0)::FLOAT::DOUBLE * 1000000)::BIGINT)::VARCHAR, ',' ORDER BY i) AS millionths
+    FROM (SELECT doc_id, unnest(range(16)) AS i FROM documents) d LEFT JOIN s ON s.doc_id = d.doc_id AND s.p = d.i LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY ALL""")
 def embed_udf_fake(spark, sf_dir):
-    return vectors.embed(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", vectors.HashEmbedder).select("doc_id", "embedding")
+    v = vectors.embed(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", vectors.HashEmbedder)
+    return v.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint").cast("string")), ",").alias("millionths"))
+
+
+@query("SELECT item_id AS query_id, md5(concat_ws('|', text, 'like ' || text, 'near ' || text, 'not ' || text)) AS expanded_md5 FROM benchmark")
+def expand_udf_fake(spark, sf_dir):
+    def load():
+        import json
+
+        def answer(prompt: str) -> str:
+            q = prompt.split("Query: ", 1)[1].rsplit("\nAnswer only", 1)[0]
+            return json.dumps({"english_queries": [q, f"like {q}", f"near {q}", f"not {q}"]})
+
+        return answer
+
+    return vectors.expand(asked(spark, sf_dir), load).select("query_id", F.md5(F.array_join("expanded", "|")).alias("expanded_md5"))
 
 
-@query()
+@query("""SELECT image_path, NOT bad AS success, CASE WHEN NOT bad THEN 'Describe the scene. ' || image_path END AS caption, CASE WHEN bad THEN 'ValueError: unreadable' END AS error
+    FROM (SELECT source || '/' || doc_id || '.jpg' AS image_path, source = 'src1' AS bad FROM documents)""")
 def caption_udf_fake(spark, sf_dir):
     def load():
         def infer(path: str, prompt: str) -> str:

@@ -30,13 +30,14 @@ def as_corpus(rows: DataFrame, source: Column) -> DataFrame:
     return kept.select("corpus_pos", stem(path).alias("image_id"), path.alias("image_path"), text.alias("caption"), source.alias("source_result_file"))
 
 
-def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus of caption result files: one JSON document each with a list ``results``, or JSON lines of its elements (``.jsonl``).
+def read_captions(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """Corpus of caption result files: one JSON document each with a list ``results``, or JSON ``lines`` of its elements (default: by the name ``.jsonl``).
 
+    A document is one task's work, lines are split: large inputs should be lines.
     corpus_pos is the place in the list; lists of several files share places, which
     ties then leave to the path.
     """
-    if path.endswith(".jsonl"):
+    if path.endswith(".jsonl") if lines is None else lines:
         rows = spark.read.schema(CAPTION_ROW).json(path).select("*", F.monotonically_increasing_id().alias("corpus_pos"), F.col("_metadata.file_path").alias("file"))
         return as_corpus(rows, F.col("file"))
     files = spark.read.schema(CAPTION_FILE).option("multiLine", True).json(path).select("results", F.col("_metadata.file_path").alias("file"))
@@ -78,6 +79,24 @@ def read_images(spark: SparkSession, root: str, subdir_glob: str = "", max_image
     return out
 
 
+def issue_dirs(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """issue, frames_dir and has_frames of the first-level folders of ``root`` that match; none is an error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.globStatus(hadoop.Path(f"{root.rstrip('/')}/{glob}")) or [] if s.isDirectory()]
+    if not found:
+        raise ValueError(f"no folders {glob} under {root}")
+    rows = [(p.getName(), f"{root.rstrip('/')}/{p.getName()}/frames", fs.isDirectory(hadoop.Path(p, "frames"))) for p in found]
+    return spark.createDataFrame(sorted(rows), "issue string, frames_dir string, has_frames boolean")
+
+
+def read_frames(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(issue, image_path) of the images below the frames folder of each issue."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/{glob}/frames")
+    out = files.select(F.regexp_replace("path", "^file:/*(?=/)", "").alias("image_path")).where(F.col("image_path").rlike(IMAGES))
+    return out.select(label_of(F.col("image_path"), root).alias("issue"), "image_path")
+
+
 def read_truth(spark: SparkSession, label_root: str, labels: dict[int, str]) -> DataFrame:
     """(query_id, gt_key): the image paths under the folder of each query's label; a label without images is an error."""
     have = read_images(spark, label_root).select("label", F.col("image_path").alias("gt_key"))

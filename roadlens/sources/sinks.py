@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import dir_name, file_name
+from ..storage import checkpoint
 
 #: The columns of the recall tables.
 PERCENTILE_COLUMNS = ("query", "backend", "percent", "candidate_count", "gt_count", "recalled_gt_count", "recall")
@@ -73,3 +76,77 @@ def copy_placed(rows: DataFrame, base: str, strict: bool = False) -> DataFrame:
             yield pd.DataFrame(out, columns=["target", "status"])
 
     return rows.select("source_path", "target").mapInPandas(run, "target string, status string")
+
+
+def clear_folders(folders: DataFrame, base: str) -> None:
+    """Deletes the folders (one column, relative to ``base``) that are there, on the workers."""
+    name = folders.columns[0]
+
+    def run(parts):
+        import os
+        import shutil
+
+        for part in parts:
+            for folder in part[name]:
+                inside = os.path.normpath(folder)
+                if inside in (".", "..") or os.path.isabs(inside) or inside.startswith("../"):
+                    raise ValueError(f"not a folder below the base: {folder!r}")
+                shutil.rmtree(os.path.join(base, inside), ignore_errors=True)
+            yield part
+
+    folders.distinct().mapInPandas(run, folders.schema).write.format("noop").mode("overwrite").save()
+
+
+def placed_parts(parts: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """``placed`` for each named ranking, in one frame."""
+    out = None
+    for name, ranked in parts.items():
+        one = placed(ranked, queries, name)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def organize(parts: dict[str, DataFrame], queries: DataFrame, base: str, strict: bool = False) -> DataFrame:
+    """Writes a folder a query with a folder for each ranking of ``parts``, after clearing those that were there; returns the manifest with status.
+
+    Missing sources are left out with status missing; ``strict`` makes them an error.
+    """
+    rows = checkpoint(placed_parts(parts, queries))
+    clear_folders(queries.select(dir_name(F.col("display_query")).alias("query_dir")), base)
+    return rows.join(checkpoint(copy_placed(rows, base, strict)), "target")
+
+
+def sample_manifest(issues: DataFrame, sampled: DataFrame) -> DataFrame:
+    """One row an issue: issue, frames_dir, candidate_count, sampled_count, status (ok or missing_frames_dir) and its samples in order.
+
+    ``issues`` is of ``issue_dirs``, ``sampled`` has issue, sample_index, image_path and candidate_count. A sample's target is its
+    index and name in the issue's folder. Lists are as long as the samples drawn.
+    """
+    name = F.concat(F.when(F.col("sample_index") < 10, F.lit("0")).otherwise(F.lit("")), F.col("sample_index").cast("string"), F.lit("_"), file_name(F.col("image_path")))
+    one = F.struct(F.col("sample_index").alias("index"), F.col("image_path").alias("source_path"), F.concat_ws("/", "issue", name).alias("target"))
+    have = sampled.groupBy("issue").agg(F.max("candidate_count").alias("candidate_count"), F.array_sort(F.collect_list(one)).alias("samples"))
+    zero = F.lit(0).cast("bigint")
+    out = issues.join(have, "issue", "left").withColumn("status", F.when(F.col("has_frames"), "ok").otherwise("missing_frames_dir"))
+    count = F.when(F.col("samples").isNull(), zero).otherwise(F.size("samples").cast("bigint")).alias("sampled_count")
+    none = F.array().cast("array<struct<index:int,source_path:string,target:string>>")
+    return out.select("issue", "frames_dir", F.coalesce("candidate_count", zero).alias("candidate_count"), count, "status", F.coalesce("samples", none).alias("samples"))
+
+
+def copy_samples(manifest: DataFrame, base: str) -> DataFrame:
+    """Copies the samples of a manifest below ``base``, after clearing the folders of its issues that have frames."""
+    manifest = checkpoint(manifest)
+    clear_folders(manifest.where("status = 'ok'").select("issue"), base)
+    return checkpoint(copy_placed(manifest.select(F.explode("samples").alias("s")).select("s.source_path", "s.target"), base, strict=True))
+
+
+def write_lexical_view(view: DataFrame, folder: str) -> None:
+    """The corpus of ``lexical_view`` as JSON lines, which ``read_captions`` reads as any caption rows."""
+    view.select("image_path", F.lit(True).alias("success"), "caption", "source_caption", "source_result_file").write.mode("overwrite").json(folder)
+
+
+def write_caption(spark: SparkSession, row: dict, text_file: str | None = None, json_file: str | None = None) -> str:
+    """One caption result: its text is returned, and written to ``text_file``, or with all fields to ``json_file``, where these (folders, as Spark writes) are named."""
+    for path, body in ((text_file, row["caption"]), (json_file, json.dumps(row, ensure_ascii=False, indent=2))):
+        if path:
+            spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+    return row["caption"]

@@ -152,3 +152,59 @@ def test_stream_appends_each_caption_once(spark, tmp_path):
     run()
     assert sorted(x.caption for x in spark.read.parquet(f"{tmp_path}/out/corpus").collect()) == ["bus", "red car"]
     assert sorted(x.term for x in spark.read.parquet(f"{tmp_path}/out/postings").collect()) == ["bus", "car", "red"]
+
+
+def test_folders_are_cleared_and_written(spark, tmp_path):
+    src = put(f"{tmp_path}/a/1.jpg", "x")
+    put(f"{tmp_path}/out/rain/hybrid/old.jpg", "x")
+    put(f"{tmp_path}/out/other/keep.jpg", "x")
+    r = spark.createDataFrame([(0, 1, "1", src, 1.0), (0, 2, "2", f"{tmp_path}/a/none.jpg", 0.5)], "query_id bigint, rank int, image_id string, image_path string, score double")
+    q = spark.createDataFrame([(0, "rain", "rain")], "query_id bigint, display_query string, search_query string")
+    got = sinks.organize({"embedding": r, "hybrid": r.where("rank = 1")}, q, f"{tmp_path}/out")
+    assert {(x.part, x["rank"], x.status) for x in got.collect()} == {("embedding", 1, "copied"), ("embedding", 2, "missing"), ("hybrid", 1, "copied")}
+    assert os.listdir(f"{tmp_path}/out/rain/hybrid") == ["01_1.jpg"] and os.path.isfile(f"{tmp_path}/out/other/keep.jpg")
+    with pytest.raises(Exception, match="not a folder"):
+        sinks.clear_folders(spark.createDataFrame([("../a",)], "d string"), f"{tmp_path}/out")
+    assert os.path.isfile(src)
+
+
+def test_issue_samples(spark, tmp_path):
+    from roadlens.operators.sample import stratified_sample
+
+    root = f"{tmp_path}/src"
+    for n in range(3):
+        put(f"{root}/issue1/frames/{n}.jpg", "x")
+    put(f"{root}/issue2/readme.txt", "x")
+    put(f"{root}/other/frames/9.jpg", "x")
+    put(f"{tmp_path}/out/issue1/old.jpg", "x")
+    issues = cs.issue_dirs(spark, root, "issue*")
+    assert [tuple(x) for x in issues.collect()] == [("issue1", f"{root}/issue1/frames", True), ("issue2", f"{root}/issue2/frames", False)]
+    m = sinks.sample_manifest(issues, stratified_sample(cs.read_frames(spark, root, "issue*"), "issue", "image_path", 2))
+    got = {x.issue: x for x in m.collect()}
+    assert (got["issue1"].candidate_count, got["issue1"].sampled_count, got["issue1"].status) == (3, 2, "ok")
+    assert (got["issue2"].candidate_count, got["issue2"].status, got["issue2"].samples) == (0, "missing_frames_dir", [])
+    assert sinks.copy_samples(m, f"{tmp_path}/out").count() == 2
+    assert sorted(os.listdir(f"{tmp_path}/out/issue1")) == [s.target.split("/")[1] for s in got["issue1"].samples]
+    with pytest.raises(ValueError):
+        cs.issue_dirs(spark, root, "none*")
+
+
+def test_one_caption(spark, tmp_path):
+    assert sinks.write_caption(spark, {"caption": "a bus", "image_path": "x"}, f"{tmp_path}/t", f"{tmp_path}/j") == "a bus"
+    assert spark.read.text(f"{tmp_path}/t").first().value == "a bus"
+    assert spark.read.option("multiLine", True).json(f"{tmp_path}/j").first().image_path == "x"
+
+
+def test_prompts_and_expansion(spark):
+    from roadlens.functions.prompts import caption_messages
+
+    chat = caption_messages("img", "What?", examples=[{"role": "user", "content": "e"}])
+    assert [m["role"] for m in chat] == ["system", "user", "user"] and chat[2]["content"][1]["text"] == "What?"
+    q = qs.read_queries(spark, "rain")
+    good = lambda: lambda p: '{"english_queries": ["a", "b", "c"]}'
+    assert vectors.expand(q, good, 3).first().expanded == ["a", "b", "c"]
+    for many, text in ((4, "rain"), (3, " ")):
+        with pytest.raises(Exception):
+            vectors.expand(q.withColumn("display_query", F.lit(text)), good, many).collect()
+    with pytest.raises(ValueError):
+        vectors.expand(q, good, 1)
