@@ -219,7 +219,10 @@ def bm25_batch_topk(spark, sf_dir):
     return shown(lexical_ranked(spark, sf_dir, 20))
 
 
-@query(f"WITH {_bm25(10, src='SELECT c.corpus_pos, v.bm25_text AS caption FROM corpus c LEFT JOIN (' + _view('caption', 'corpus', 'corpus_pos') + ') v ON v.corpus_pos = c.corpus_pos')} {_SHOW} FROM lex")
+_VIEW = "SELECT c.corpus_pos, v.bm25_text AS caption FROM corpus c LEFT JOIN (" + _view("caption", "corpus", "corpus_pos") + ") v ON v.corpus_pos = c.corpus_pos"
+
+
+@query(f"WITH {_bm25(10, src=_VIEW)} {_SHOW} FROM lex")
 def bm25_lexical_view_topk(spark, sf_dir):
     view = retrieval.lexical_view(corpus(spark, sf_dir))
     return shown(lexical.bm25_search(lexical.bm25_index(view), asked(spark, sf_dir), 10))
@@ -254,7 +257,8 @@ def min_score_topk(spark, sf_dir):
 _GRAMS = r"""SELECT {id}, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT {id}, regexp_extract_all(strip_accents(lower({text})), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {frm})"""
 
 
-@query(f"""WITH {_CORPUS}, tf AS (SELECT corpus_pos, term, count(*) AS tf FROM ({_GRAMS.format(id='corpus_pos', text='caption', frm='corpus')}) GROUP BY ALL),
+def _tfidf(k: int) -> str:
+    return f"""WITH {_CORPUS}, tf AS (SELECT corpus_pos, term, count(*) AS tf FROM ({_GRAMS.format(id='corpus_pos', text='caption', frm='corpus')}) GROUP BY ALL),
     terms AS (SELECT term, ln((1 + (SELECT count(*) FROM corpus)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term),
     w AS (SELECT corpus_pos, term, tf * idf AS w FROM tf JOIN terms USING (term)),
     dn AS (SELECT corpus_pos, sqrt(sum(w * w)) AS n FROM w GROUP BY ALL),
@@ -262,7 +266,10 @@ _GRAMS = r"""SELECT {id}, unnest(list_concat(w, list_transform(range(1, greatest
     qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM q GROUP BY ALL),
     matched AS (SELECT query_id, corpus_pos, sum(q.w * w.w / any_value) AS s FROM (SELECT q.query_id, w.corpus_pos, q.w, w.w AS ww, qn.n * dn.n AS any_value FROM q JOIN w USING (term) JOIN qn USING (query_id) JOIN dn USING (corpus_pos)) x(query_id, corpus_pos, w, ww, any_value), LATERAL (SELECT x.w AS w) q, LATERAL (SELECT x.ww AS w) w GROUP BY ALL),
     lex AS (SELECT * FROM (SELECT b.item_id AS query_id, row_number() OVER (PARTITION BY b.item_id ORDER BY round(coalesce(s, 0.0), 9) DESC, c.corpus_pos)::INT AS rank, c.image_id, c.image_path, coalesce(s, 0.0) AS score
-      FROM benchmark b CROSS JOIN corpus c LEFT JOIN matched m ON m.query_id = b.item_id AND m.corpus_pos = c.corpus_pos) WHERE rank <= 10) {_SHOW} FROM lex""")
+      FROM benchmark b CROSS JOIN corpus c LEFT JOIN matched m ON m.query_id = b.item_id AND m.corpus_pos = c.corpus_pos) WHERE rank <= {k}) {_SHOW} FROM lex"""
+
+
+@query(_tfidf(10))
 def tfidf_topk(spark, sf_dir):
     return shown(lexical.tfidf_search(lexical.tfidf_index(corpus(spark, sf_dir)), asked(spark, sf_dir), 10))
 
@@ -546,6 +553,34 @@ def sample_manifest(spark, sf_dir):
     return sinks.sample_manifest(issues, sample.stratified_sample(rows, "issue", "image_path", 20)).select("issue", "candidate_count", "sampled_count", "status")
 
 
+# an earlier report's ranking of the same documents, with lexical support from the view
+
+_FROZEN = f"{_bm25(20, src=_VIEW)}, sem AS (SELECT * FROM ({_tfidf(20)}))"
+
+
+def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TF-IDF ranking of the documents, written as a report and read again."""
+    folder, q = _folder(spark, "report"), asked(spark, sf_dir)
+    ranked = lexical.tfidf_search(lexical.tfidf_index(corpus(spark, sf_dir)), q, 20)
+    sinks.write_json(report(ranked, q, {"backend": "tfidf"}), folder)
+    back = spark.read.schema("query_id bigint, items array<struct<rank:int,image_id:string,image_path:string,score:double>>").json(folder)
+    return back.select("query_id", F.inline("items"))
+
+
+@query(f"WITH {_FROZEN}, {_RERANK} {_SHOW} FROM rr")
+def frozen_hybrid(spark, sf_dir):
+    """The frozen ranking's first five, then the rest by the view's support."""
+    view = lexical.bm25_index(retrieval.lexical_view(corpus(spark, sf_dir)))
+    return shown(retrieval.frozen_hybrid(_frozen(spark, sf_dir), view, asked(spark, sf_dir))[0])
+
+
+@query(f"WITH {_FROZEN}, {_GATED} {_SHOW} FROM gated")
+def frozen_gate(spark, sf_dir):
+    """The frozen ranking's first ten that are among the view's first eight."""
+    view = lexical.bm25_index(retrieval.lexical_view(corpus(spark, sf_dir)))
+    return shown(retrieval.frozen_gate(_frozen(spark, sf_dir), view, asked(spark, sf_dir))[0])
+
+
 # model extension points, with models that need no weights
 
 
