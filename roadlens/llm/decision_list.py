@@ -139,6 +139,16 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray, steps: int) -> tuple[Conditio
     return tuple(rule)
 
 
+def tightest(rule: tuple[Condition, ...]) -> tuple[Condition, ...]:
+    """The same rule without conditions that another one of the same measure and side implies."""
+    out: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        old = out.setdefault((c.measure, c.above), c)
+        if (c.threshold > old.threshold) == c.above:
+            out[c.measure, c.above] = c
+    return tuple(out.values())
+
+
 def _worth(rule: tuple[Condition, ...], x: dict[str, np.ndarray], y: np.ndarray) -> tuple[float, int]:
     """Precision, with two imagined rows of either class, and rows covered."""
     hit = _hits(rule, x)
@@ -150,7 +160,9 @@ def learn(stats: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9,
 
     Each rule grows on two thirds of the rows that earlier ones left and is pruned
     on the rest, dropping last conditions while that doesn't lower its precision there.
-    A rule under ``precision`` ends the list, so clean documents stay.
+    A rule under ``precision`` ends the list, so clean documents stay. Of equal gains
+    the first measure and lowest cut wins, of rules equally precise when pruned the
+    shortest; which rows prune follows from ``seed`` and the rows' order.
     """
     x, y = measured(stats), bad.astype(bool)
     rng = np.random.default_rng(seed)
@@ -168,7 +180,7 @@ def learn(stats: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9,
         hit, kept_out = _hits(rule, x) & alive, _hits(rule, held)
         if hit.sum() < 3 or y[hit].mean() < precision or (kept_out.any() and y[prune][kept_out].mean() < precision):
             break
-        rules.append(rule)
+        rules.append(tightest(rule))
         alive &= ~hit
     return rules
 

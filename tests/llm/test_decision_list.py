@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from roadlens.llm import decision_list as dl
+from roadlens.llm.common import crc_mod
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,3 +69,36 @@ def test_fit_and_the_query(spark, sf_dir):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert dl.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), none) == []
     assert dl.judged(spark.createDataFrame([], "doc_id long, text string"), [], ["doc_id"]).count() == 0
+
+
+def test_implied_conditions_go():
+    c = dl.Condition
+    rule = (c("words", True, 5.0), c("upper", False, 0.6), c("words", True, 9.0), c("upper", False, 0.7), c("upper", True, 0.1))
+    short = dl.tightest(rule)
+    assert short == (c("words", True, 9.0), c("upper", False, 0.6), c("upper", True, 0.1))
+    x = {"words": np.arange(20.0), "upper": np.linspace(0, 1, 20)}
+    assert (dl._hits(rule, x) == dl._hits(short, x)).all()
+
+
+def test_held_out_labels(spark):
+    """Fitted on three quarters of 1,500 documents; bad ones repeat few words or are full of symbols."""
+    r = random.Random(8)
+    rows = []
+    for i in range(1500):
+        y, n = int(r.random() < 0.7), r.randrange(40, 200)
+        words = [f"w{r.randrange(4000)}" for _ in range(n)]
+        if not y:
+            words = [r.choice(words[:12]) for _ in words] if i % 2 else [w + r.choice(["", "##", "$|"]) for w in words]
+        rows.append((i, " ".join(words), y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    held = crc_mod("doc_id", 4) == 2
+    rules = dl.fit(df.select("doc_id", "text"), df.select("doc_id", "quality").where(~held))
+    got = dl.judged(df.where(held), rules, ["doc_id", "quality"]).toPandas()
+    bad, out = got.quality == 0, got.rule.notna()
+    assert len(got) > 300 and out[bad].mean() >= 0.95 and out[~bad].mean() <= 0.02
+
+
+def test_repeated_rows_each_get_their_verdict(spark):
+    df = spark.createDataFrame([(1, "# # #"), (1, "# # #"), (None, "a b"), (2, None)], "doc_id long, text string")
+    got = sorted(((x.doc_id, x.rule) for x in dl.judged(df, [(dl.Condition("symbols_a_word", True, 0.5),)], ["doc_id"]).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (2, None), (None, None)]
