@@ -58,12 +58,12 @@ def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts and base_sha256 are of the base spans; spans has those that the network adds too."""
+    """The counts and base_sha256 are of the base spans; spans and their number, n_spans, have those that the network adds too."""
     docs = table(spark, sf_dir, "documents")
     out = pii.detect(docs, pii.fit(docs), ["doc_id"])
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +74,12 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gain: by how much a token's log10 probability is above the base model's, on average."""
     docs = table(spark, sf_dir, "documents")
     train = ~suffix_tree.held_out()
     model = suffix_tree.fit(docs, train)
     out = suffix_tree.score(docs, model, train)
-    return out.select("doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain"))
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

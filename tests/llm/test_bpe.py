@@ -53,3 +53,16 @@ def test_in_spark(spark, theirs):
     ids = spark.createDataFrame([(1, [464, None, 262]), (2, None), (3, [99999, -4])], "doc_id long, ids array<int>")
     assert {tuple(x) for x in decode_ids(ids).collect()} == {(1, "The the"), (2, ""), (3, "")}
     assert round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_query_against_the_library(spark, sf_dir, theirs):
+    import hashlib
+
+    from roadlens.llm.queries import op10_bpe_round_trip
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = theirs.encode(x.text or "", add_special_tokens=False).ids
+        want.append((x.doc_id, len(ids), sha(",".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, op10_bpe_round_trip(spark, sf_dir).collect())) == sorted(want)

@@ -105,3 +105,22 @@ def test_lengths_and_bad_input(spark):
     assert best_fit(word_lengths(docs.limit(0))).count() == 0
     with pytest.raises(ValueError):
         best_fit(word_lengths(docs), capacities=(0, 5))
+
+
+def test_the_query_against_plain_lists(spark, sf_dir):
+    from roadlens.llm.queries import op5_variable_best_fit
+
+    caps = (512, 1024, 2048, 4096, 8192)
+    want = {}
+    for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        want[x.doc_id] = len((x.text or "").split()) + 1
+    got = sorted(op5_variable_best_fit(spark, sf_dir).collect(), key=lambda x: (x.doc_id, x.piece))
+    sums, bins = {}, {}
+    for i, x in enumerate(got):
+        assert x.start == sums.get(x.doc_id, 0) and x.shard == 0
+        sums[x.doc_id] = x.start + x.length
+        bins.setdefault(x.bin, []).append(i)
+    assert sums == want
+    plain = plain_best_fit([x.length for x in got], caps, 16.0, 32768.0)
+    assert sorted(map(sorted, plain)) == sorted(bins.values())
+    assert all(got[i].capacity == min(c for c in caps if c >= sum(got[j].length for j in has)) for has in bins.values() for i in has)

@@ -130,6 +130,7 @@ def test_the_query_against_plain_patterns(spark, sf_dir):
         assert [x[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
         assert x.base_sha256 == hashlib.sha256(pii._written(base).encode()).hexdigest()
         spans = [tuple(s.split(":")) for s in x.spans.split(",") if s]
+        assert x.n_spans == len(spans)
         assert {(k, str(a), str(b)) for k, a, b in base} <= set(spans)
         for k, a, b in set(spans) - {(k, str(a), str(b)) for k, a, b in base}:
             assert pii.acceptable(k, texts[x.doc_id][int(a) : int(b)])

@@ -170,3 +170,4 @@ def test_the_query_against_the_plain_tree(spark, sf_dir):
     got = op9_suffix_tree_scoring(spark, sf_dir).collect()
     check(got, rows, plain)
     assert all(x.held_out != trained(x.doc_id) and x.train_tokens == plain.n for x in got)
+    assert all(math.isclose(x.gain * x.n_tokens, x.score - x.base_score, rel_tol=1e-9, abs_tol=1e-9) for x in got)
