@@ -14,6 +14,7 @@ from .edit_counts import cleaning_edits, edited_counts
 from .hnsw import nearest
 from .minmax_dedup import near_duplicates
 from .packing import best_fit, word_lengths
+from .simhash_dedup import near_fingerprints
 from .url_filter import TRACKING, judge_urls
 
 #: The rules of op1.
@@ -88,6 +89,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word sequences, seed 42, linked at two differing bits or fewer."""
+    return near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_alias_filter": op1_url_alias_filter,
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_factorisation_machine": op8_factorisation_machine,
         "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op12_byte_index_simhash": op12_byte_index_simhash,
     }
 
 
