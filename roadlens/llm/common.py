@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import checkpoint, ensure_checkpoint_dir  # noqa: F401  checkpoint is used by the operators
+
 #: One slice of an Arrow batch holds about so many bytes of text, or one row that is longer.
 SLICE_BYTES = 4 << 20
 
@@ -26,25 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder in spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    sc.setCheckpointDir(folder)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def saved(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared checkpoint folder, which takes less room than a checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -67,6 +49,14 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """``name``, lengthened until no name of ``taken`` equals it, whatever the case of its letters."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the string column at index ``text`` holds at most about ``most`` bytes a slice."""
     for batch in batches:
@@ -99,7 +89,7 @@ def map_text(
     fields = T._parse_datatype_string(out).fields
     names = {f.name for f in fields}
     keep = [k for k in keep if k not in names]
-    src = df.select(*[col(k) for k in keep], F.coalesce(col(text).cast("string"), F.lit("")).alias("__text"))
+    src = df.select(*[col(k) for k in keep], F.coalesce(col(text).cast("string"), F.lit("")).alias(fresh("__text", keep)))
     schema = T.StructType([*src.schema.fields[:-1], *fields])
     n = len(keep)
 

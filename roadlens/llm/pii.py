@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, map_text
+from .common import checkpoint, col, fresh, map_text, slices
 
 #: The kinds in order, and their base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -355,11 +355,12 @@ def fit(docs: DataFrame, max_rows: int = 3000, max_windows: int = 6000, id_col:
     stretches of 200 characters, again by hash, are gathered for fitting, however
     many rows an id has and however long they are. Detection reads all texts.
     """
-    ids = docs.select(col(id_col).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    some = docs.join(F.broadcast(ids), col(id_col) == F.col("__id")).select(F.coalesce(col(text_col), F.lit("")).alias("t"), F.xxhash64("__id", col(text_col)).alias("h"))
+    own = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    ids = own.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    some = own.join(F.broadcast(ids), "id").select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64("id", "text").alias("h"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, 0):
             rows = []
             for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rng = np.random.default_rng(h & 0x7FFFFFFF)
@@ -514,8 +515,6 @@ def redact(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
 
         return f
 
-    fresh = "__redacted"
-    while fresh in names:
-        fresh += "_"
-    got = map_text(docs, names, f"{fresh} string", make, text_col, as_bytes=False)
-    return got.select(*[F.when(col(text_col).isNotNull(), F.col(fresh)).alias(c) if c == text_col else col(c) for c in names])
+    new = fresh("__redacted", names)
+    got = map_text(docs, names, f"{new} string", make, text_col, as_bytes=False)
+    return got.select(*[F.when(col(text_col).isNotNull(), F.col(new)).alias(c) if c == text_col else col(c) for c in names])
