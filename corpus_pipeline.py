@@ -59,10 +59,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text."""
-    out = pii.redact(docs, pii.fit(docs))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
-    return out
+    own, text, size = _shielded(docs), _at(docs, "text"), _at(docs, "n_chars")
+    out = pii.redact(own, pii.fit(own, id_col=_at(docs, "doc_id"), text_col=text), text_col=text)
+    if size:
+        out = out.withColumn(size, F.coalesce(F.char_length(text).cast("long"), F.col(size)))
+    return out.toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
