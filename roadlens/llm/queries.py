@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decision_list, factorization, pii, suffix_tree
 from .bpe import round_trip
 from .common import table
+from .conversations import damaged, repairs
 from .edit_counts import cleaning_edits, edited_counts
 from .hnsw import nearest
 from .minmax_dedup import near_duplicates
@@ -94,6 +95,13 @@ def op12_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by its rows' crc32, and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    out = repairs(damaged(rows), rows.select(F.col("conv_id").alias("conv")), conv="conv")
+    return out.withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_alias_filter": op1_url_alias_filter,
@@ -107,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
         "op10_bpe_round_trip": op10_bpe_round_trip,
         "op12_byte_index_simhash": op12_byte_index_simhash,
+        "op13_grammar_repair": op13_grammar_repair,
     }
 
 
