@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decision_list, factorization, pii, suffix_tree
+from .align import alignment
 from .bpe import round_trip
 from .common import table
 from .conversations import damaged, repairs
@@ -90,6 +91,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text by a byte-level and a piece vocabulary."""
+    return alignment(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word sequences, seed 42, linked at two differing bits or fewer."""
     return near_fingerprints(table(spark, sf_dir, "documents"))
@@ -114,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_factorisation_machine": op8_factorisation_machine,
         "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op11_token_alignment": op11_token_alignment,
         "op12_byte_index_simhash": op12_byte_index_simhash,
         "op13_grammar_repair": op13_grammar_repair,
     }
