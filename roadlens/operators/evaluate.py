@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import positive_int
 from ..functions.text import candidate_count, file_name, tokens
+from . import blocks
+from .dedup import resolved
 
 
 def _cut_recall(ranked: DataFrame, truth: DataFrame, cuts: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
@@ -36,12 +38,22 @@ def _values(spark, name: str, values: Sequence[int]) -> DataFrame:
 def percentile_recall(ranked: DataFrame, truth: DataFrame, percents: Sequence[int], totals: DataFrame) -> DataFrame:
     """Recall at top percentages by resolved path. ``totals`` has one row, total: the corpus size. candidate_count is nominal.
 
-    Queries without ground truth have no rows; ``require_truth`` makes that an error.
+    ``ranked`` (query_id, image_path, rank) need only have the rows of the ground truth, with their
+    ranks in the whole corpus: see ``embedding_truth_ranks``. Both sides' paths are resolved, so that other spellings of a path are one,
+    with the best of their ranks. Queries without ground truth have no rows; ``require_truth`` makes that an error.
     """
     p = _values(ranked.sparkSession, "percent", percents)
+    truth = truth.select("query_id", resolved(F.col("gt_key")).alias("gt_key")).distinct()
     cuts = truth.select("query_id").distinct().crossJoin(F.broadcast(p)).crossJoin(F.broadcast(totals))
     cuts = cuts.select("query_id", "percent", candidate_count(F.col("total"), F.col("percent")).alias("candidate_count"))
-    return _cut_recall(ranked, truth, cuts, "image_path", ["percent"])
+    return _cut_recall(ranked.withColumn("image_path", resolved(F.col("image_path"))), truth, cuts, "image_path", ["percent"])
+
+
+def embedding_truth_ranks(corpus: DataFrame, queries: DataFrame, truth: DataFrame, skip_self: bool = False) -> DataFrame:
+    """(query_id, image_path, rank) of the ground truth's rows in exact embedding search, counted without a ranking of the corpus (``blocks.ranks``)."""
+    paths = corpus.select("corpus_pos", "image_path", resolved(F.col("image_path")).alias("gt_key"))
+    wanted = truth.select("query_id", resolved(F.col("gt_key")).alias("gt_key")).distinct().join(paths, "gt_key")
+    return blocks.ranks(corpus, queries, wanted, skip_self).join(corpus.select("corpus_pos", "image_path"), "corpus_pos").select("query_id", "image_path", "rank")
 
 
 def topk_recall(ranked: DataFrame, truth: DataFrame, top_ks: Sequence[int]) -> DataFrame:

@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import expansion_prompt
 from ..functions.text import expanded_queries
+from . import blocks
 from .rank import top_k
 
-#: Up to so many query vectors are broadcast; more are dealt to the corpus' buckets.
-MOST_BROADCAST, BUCKETS = 4096, 64
-
-
 def inner_product(a: Column, b: Column) -> Column:
     """Sum of products in double precision, in order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -28,23 +25,16 @@ def normalized(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def embedding_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """All of ``corpus`` (corpus_pos, image_id, image_path, embedding) scored for each of ``queries`` (query_id, vector).
+def embedding_search(corpus: DataFrame, queries: DataFrame, k: int | None, least: float | None = None, skip_self: bool = False) -> DataFrame:
+    """Ranked frame of ``corpus`` (corpus_pos, image_id, image_path, embedding) for ``queries`` (query_id, vector), by ``blocks.nearest``.
 
-    Few queries are broadcast, after a count. More are copied to each of BUCKETS
-    buckets of the corpus and met in an equi-join, so neither side is held whole.
+    Where ``k`` is None the result is all of the corpus for each query, which are then
+    met row by row. ``least`` drops lower scores before the cut; ``skip_self`` drops rows whose image_id is the query's id.
     """
-    if queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        both = corpus.crossJoin(F.broadcast(queries))
-    else:
-        dealt = queries.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
-        both = corpus.withColumn("__b", F.pmod(F.xxhash64("corpus_pos"), F.lit(BUCKETS)).cast("int")).join(dealt, "__b")
-    return both.select("query_id", "corpus_pos", "image_id", "image_path", inner_product(F.col("embedding"), F.col("vector")).alias("score"))
-
-
-def embedding_search(corpus: DataFrame, queries: DataFrame, k: int | None, least: float | None = None, skip_self: bool = False) -> DataFrame:
-    """Ranked frame, whole where ``k`` is None. ``least`` drops lower scores before the cut; ``skip_self`` drops rows whose image_id is the query's id."""
-    scored = embedding_scores(corpus, queries)
+    if k is not None:
+        return blocks.nearest(corpus, queries, k, least, skip_self)
+    score = inner_product(F.col("embedding"), F.col("vector"))
+    scored = corpus.crossJoin(queries.select("query_id", "vector")).select("query_id", "corpus_pos", "image_id", "image_path", score.alias("score"))
     if skip_self:
         scored = scored.where(F.col("image_id") != F.col("query_id").cast("string"))
     if least is not None:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import compare, dedup, evaluate, fusion, lexical, sample, vectors
-from ..operators.rank import at_least, top_k
 from ..sources import sinks
 from ..sources.captions import as_corpus, read_captions
 from ..sources.queries import parse_queries
@@ -53,12 +52,20 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("display_query"), F.col("text").alias("search_query"))
 
 
-def semantic(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``embeddings`` as images."""
+    i = F.col("vec_id").cast("string")
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("corpus_pos"), i.alias("image_id"), F.concat(F.lit("v/"), i, F.lit(".jpg")).alias("image_path"), "embedding", "label")
+
+
+def own_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query with the vector of its id."""
     e = _t(spark, sf_dir, "embeddings")
-    have = e.select(F.col("vec_id").alias("corpus_pos"), F.col("vec_id").cast("string").alias("image_id"), F.concat(F.lit("v/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("image_path"), "embedding")
-    q = e.join(asked(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector"))
-    found = vectors.embedding_search(have, q, k, skip_self=True)
-    return found if k is None else checkpoint(found)
+    return e.join(asked(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector"))
+
+
+def semantic(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return checkpoint(vectors.embedding_search(images(spark, sf_dir), own_vectors(spark, sf_dir), k, skip_self=True))
 
 
 def lexical_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -247,11 +254,7 @@ def embedding_topk(spark, sf_dir):
 
 @query(f"WITH {_sem(None)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank, image_id, image_path, round(score, 6) AS score FROM sem WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5")
 def min_score_topk(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings")
-    have = e.select(F.col("vec_id").alias("corpus_pos"), F.col("vec_id").cast("string").alias("image_id"), F.concat(F.lit("v/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("image_path"), "embedding")
-    q = e.join(asked(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector"))
-    scored = vectors.embedding_scores(have, q).where("corpus_pos <> query_id")
-    return shown(top_k(at_least(scored, 0.2), 5))
+    return shown(vectors.embedding_search(images(spark, sf_dir), own_vectors(spark, sf_dir), 5, least=0.2, skip_self=True))
 
 
 _GRAMS = r"""SELECT {id}, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT {id}, regexp_extract_all(strip_accents(lower({text})), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {frm})"""
@@ -347,11 +350,24 @@ _CUTS = "(VALUES (10), (20), (30), (50)) p(percent)"
       round(count(*) FILTER (rank <= candidate_count)::DOUBLE / count(*), 6) AS recall, md5(coalesce(string_agg(gt_key, '|' ORDER BY gt_key) FILTER (rank <= candidate_count), '')) AS recalled_md5
     FROM truth t LEFT JOIN sem s ON s.query_id = t.query_id AND s.image_path = t.gt_key, c GROUP BY ALL""")
 def percentile_recall(spark, sf_dir):
-    total = _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("total"))
-    r = evaluate.percentile_recall(semantic(spark, sf_dir, None), truth(spark, sf_dir), (10, 20, 30, 50), total)
+    r = evaluate.percentile_recall(_truth_ranks(spark, sf_dir), _detoured(spark, sf_dir), (10, 20, 30, 50), _size(spark, sf_dir))
     return r.select("query_id", "percent", "candidate_count", "gt_count", "recalled_gt_count", "recall", F.md5(F.array_join("recalled", "|")).alias("recalled_md5"))
 
 
+def _size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("total"))
+
+
+def _detoured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ground truth with paths that are only resolved those of the images."""
+    return truth(spark, sf_dir).withColumn("gt_key", F.concat(F.lit("./v/../"), F.col("gt_key")))
+
+
+def _truth_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the ground truth in the exact ranking, counted."""
+    return evaluate.embedding_truth_ranks(images(spark, sf_dir), own_vectors(spark, sf_dir), _detoured(spark, sf_dir), skip_self=True)
+
+
 @query(f"""WITH {_bm25(None, src="SELECT min(c.corpus_pos) AS corpus_pos, arg_min(c.caption, c.corpus_pos) AS caption FROM corpus c GROUP BY c.image_hash")},
     first AS (SELECT c.image_hash, min(c.corpus_pos) AS corpus_pos FROM corpus c GROUP BY c.image_hash),
     r AS (SELECT * FROM (SELECT l.query_id, f.image_hash, row_number() OVER (PARTITION BY l.query_id ORDER BY round(l.score, 9) DESC, f.corpus_pos) AS rank FROM lex l JOIN first f ON f.corpus_pos = l.image_id::BIGINT) WHERE rank <= 50),
@@ -483,8 +499,7 @@ def _csv(recall_sql: str, columns: str) -> str:
 
 @query(_csv(SQL["percentile_recall"], "'exact' AS backend, percent, candidate_count, gt_count, recalled_gt_count, recall"))
 def percentile_csv(spark, sf_dir):
-    total = _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("total"))
-    r = evaluate.percentile_recall(semantic(spark, sf_dir, None), truth(spark, sf_dir), (10, 20, 30, 50), total)
+    r = evaluate.percentile_recall(_truth_ranks(spark, sf_dir), _detoured(spark, sf_dir), (10, 20, 30, 50), _size(spark, sf_dir))
     back = _written(evaluate.recall_table(r, asked(spark, sf_dir), "exact").withColumn("query", F.md5("query")), "percentile", sinks.PERCENTILE_COLUMNS)
     return back.withColumnRenamed("query", "query_md5")
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from roadlens.operators import compare, dedup, evaluate, fusion, lexical, sample, vectors
+from roadlens.operators import blocks, compare, dedup, evaluate, fusion, lexical, sample, vectors
 from roadlens.operators.rank import top_k
 from roadlens.plans import queries as engine
 
@@ -124,7 +124,7 @@ def test_embedding_search_and_the_many_query_path(spark, monkeypatch):
     q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id bigint, vector array<float>")
     few = vectors.embedding_search(c, q, 3).collect()
     assert [x.image_id for x in sorted(few, key=lambda x: (x.query_id, x.rank))] == ["2", "5", "8", "8", "7", "6"]
-    monkeypatch.setattr(vectors, "MOST_BROADCAST", 1)
+    monkeypatch.setattr(blocks, "MOST_BROADCAST", 1)
     assert sorted(map(tuple, vectors.embedding_search(c, q, 3).collect())) == sorted(map(tuple, few))
     assert vectors.embedding_search(c, q, 9, least=2.0).where("query_id = 0").count() == 3
 
@@ -169,6 +169,9 @@ def test_recalls(spark):
     total = spark.createDataFrame([(4,)], "total bigint")
     p = {x.percent: (x.candidate_count, x.recalled) for x in evaluate.percentile_recall(r, paths, [50, 100], total).collect()}
     assert p == {50: (2, ["d/a"]), 100: (4, ["d/a", "d/b"])}
+    odd = paths.withColumn("gt_key", F.concat(F.lit("x/.././"), "gt_key")).union(paths)
+    p = {x.percent: (x.gt_count, x.recalled) for x in evaluate.percentile_recall(r.withColumn("image_path", F.concat(F.lit(".//"), "image_path")), odd, [50, 100], total).collect()}
+    assert p == {50: (3, ["d/a"]), 100: (3, ["d/a", "d/b"])}
     j = evaluate.judged(r, paths)
     assert [x.is_gt for x in j.orderBy("rank").collect()] == [False, True, True, False]
     x = evaluate.precision_at(j, [3]).first()
