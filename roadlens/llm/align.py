@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +62,7 @@ class Aligner:
     had, whole texts would be the units). So a text's tokens and links are those of its units.
     """
 
-    def __init__(self, first: str, second: str, most: int = 200_000):
+    def __init__(self, first: str, second: str, most: int = 160_000):
         import sentencepiece
         from tokenizers import Tokenizer
         from tokenizers.processors import ByteLevel
@@ -94,18 +96,16 @@ class Aligner:
     def _first(self, text: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         got = self.a.encode(text, add_special_tokens=False)
         ids = np.array(got.ids, np.int64)
-        spans = np.array(got.offsets, np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         return ids, byte_ends(spans[:, 0], spans[:, 1], self.a_bytes[2][ids], at)
 
     def _second(self, text: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``text`` begins with a space, which this tokenizer adds by itself."""
         pieces = self.b.encode(text[1:], return_type="proto").pieces
-        ids = np.fromiter([p.id for p in pieces], np.int64, len(pieces))
+        ids, first, last = np.array([x for p in pieces for x in (p.id, p.begin, p.end)], np.int64).reshape(-1, 3).T
         # its spans are bytes of what it was given, so that they lie one before those with the space; the space itself has an empty span
-        first = np.fromiter([p.begin for p in pieces], np.int64, len(pieces)) + 1
-        last = np.fromiter([p.end for p in pieces], np.int64, len(pieces)) + 1
-        if len(first):
-            first[0] = 0
+        first, last = first + 1, last + 1
+        first[:1] = 0
         return ids, byte_ends(first, np.minimum(last, at[-1]), self.b_bytes[2][ids], np.arange(at[-1] + 1))
 
     def learn(self, new: list[str]) -> None:
@@ -167,14 +167,14 @@ class Aligner:
 
 
 class Units:
-    """For each unit: whether its bytes agree, numbers of tokens and groups, groups as text, and its links."""
+    """For each unit: whether its bytes agree, numbers of tokens, groups and links, groups as text, and its links."""
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.rows: list[np.ndarray] = []  # n_a, n_b, n_groups, n_links, ok
-        self.new_links: list[np.ndarray] = []
-        self.counts, self.links, self.start = np.zeros((0, 5), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.counts = np.zeros((0, 6), np.int32)  # n_a, n_b, n_groups, n_links, bytes of the groups' text, ok
+        self.links, self.text = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.link_start = self.text_start = np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, units: list[str], ok: np.ndarray, bounds: np.ndarray, a, a_end, b, b_end) -> None:
         """Units that lie one after the other in a text, at byte ``bounds``; tokens and their ends, which cover the same bytes."""
@@ -190,7 +190,6 @@ class Units:
         many = hi - lo + 1
         with_a = np.repeat(np.arange(len(a)), many)
         with_b = gather(np.arange(len(b)), lo, many)[0]
-        rows = np.stack([np.bincount(unit_of(x), minlength=n) for x in (a_end, b_end, cuts, a_end[with_a])] + [ok.astype(np.int64)], 1)
         # groups as text: tokens in the order of group, side, place, each followed by its separator
         in_group = np.concatenate((np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)))
         side = np.repeat([0, 1], [len(a), len(b)])
@@ -200,32 +199,34 @@ class Units:
         sep = np.where(next_group != group, 2, np.where(next_side != side, 1, 0)).tolist()
         signs = (",", "|", ";")
         written = [f"{i}{signs[s]}" for i, s in zip(ids.tolist(), sep, strict=True)]
-        ends = np.searchsorted(unit_of(np.concatenate((a_end, b_end)))[order], np.arange(n), "right").tolist()
-        at = 0
-        for u, end in zip(units, ends, strict=True):
-            self.index[u] = len(self.groups)
-            self.groups.append("".join(written[at:end]))
-            at = end
-        self.rows.append(rows)
-        self.new_links.append(a[with_a] << SHIFT | b[with_b])
+        sizes = np.bincount(unit_of(np.concatenate((a_end, b_end)))[order], np.fromiter(map(len, written), np.int64, len(written)), n)
+        rows = np.stack([np.bincount(unit_of(x), minlength=n) for x in (a_end, b_end, cuts, a_end[with_a])] + [sizes, ok], 1).astype(np.int32)
+        at = len(self.index)
+        self.index.update(zip(units, range(at, at + n), strict=True))
+        self.new.append((rows, a[with_a] << SHIFT | b[with_b], np.frombuffer("".join(written).encode(), np.uint8)))
 
     def settle(self) -> None:
         """Makes what was added usable; arrays grow once a slice."""
-        if self.rows:
-            self.counts = np.concatenate([self.counts, *self.rows])
-            self.links = np.concatenate([self.links, *self.new_links])
-            self.start = np.cumsum(self.counts[:, 3]) - self.counts[:, 3]
-            self.rows, self.new_links = [], []
+        if self.new:
+            rows, links, text = zip(*self.new, strict=True)
+            self.counts, self.links, self.text = np.concatenate([self.counts, *rows]), np.concatenate([self.links, *links]), np.concatenate([self.text, *text])
+            self.link_start, self.text_start = (np.cumsum(self.counts[:, c], dtype=np.int64) - self.counts[:, c] for c in (3, 4))
+            self.new = []
+
+    def links_of(self, at: np.ndarray) -> np.ndarray:
+        return gather(self.links, self.link_start[at], self.counts[at, 3].astype(np.int64))[0]
+
+    def text_of(self, at: np.ndarray) -> bytes:
+        """The groups of units one after the other, each followed by a semicolon."""
+        return gather(self.text, self.text_start[at], self.counts[at, 4].astype(np.int64))[0].tobytes()
 
     def copy(self, other: Units, units: list[str]) -> None:
         if not units:
             return
-        at = np.fromiter(map(other.index.__getitem__, units), np.int64, len(units))
-        for u, i in zip(units, at.tolist(), strict=True):
-            self.index[u] = len(self.groups)
-            self.groups.append(other.groups[i])
-        self.rows.append(other.counts[at])
-        self.new_links.append(gather(other.links, other.start[at], other.counts[at, 3])[0])
+        of = np.fromiter(map(other.index.__getitem__, units), np.int64, len(units))
+        at = len(self.index)
+        self.index.update(zip(units, range(at, at + len(units)), strict=True))
+        self.new.append((other.counts[of], other.links_of(of), np.frombuffer(other.text_of(of), np.uint8)))
 
 
 @lru_cache(1)
@@ -234,11 +235,12 @@ def aligner(first: str, second: str) -> Aligner:
     return Aligner(first, second)
 
 
-def aligned(docs: DataFrame, first: str | None = None, second: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def aligned(docs: DataFrame, first: str | None = None, second: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, groups (as ``a1,a2|b1;a3|b2,b3``), pairs (distinct links a << SHIFT | b, ascending) and times (of each pair).
 
     Both encode a space and the text, special tokens as plain text. Texts that are null or
     empty, or whose tokens' bytes are not those, have zeros, no pairs and an empty ``groups``.
+    ``digest``: in place of groups their SHA-256, groups_sha256; of texts without tokens ''.
     """
     paths = tuple(a or b for a, b in zip((first, second), default_paths(), strict=True)) if not (first and second) else (first, second)
 
@@ -250,25 +252,23 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
             n = np.fromiter(map(len, placed), np.int64, len(placed))
             flat = np.concatenate(placed) if placed else np.zeros(0, np.int64)
             of = np.repeat(np.arange(len(texts)), n)
-            counts = np.stack([np.bincount(of, units.counts[flat, k], len(texts)) for k in range(5)], 1).astype(np.int64)
+            counts = np.stack([np.bincount(of, units.counts[flat, k], len(texts)) for k in (0, 1, 2, 3, 5)], 1).astype(np.int64)
             ok = (counts[:, 4] == n) & (n > 0)
             counts[~ok] = 0
             used = ok[of]
             flat, of = flat[used], of[used]
-            each = units.counts[flat, 3]
-            codes = gather(units.links, units.start[flat], each)[0]
-            owner = np.repeat(of, each)
-            keys = np.sort(owner << 2 * SHIFT | codes)
+            keys = np.sort(np.repeat(of, units.counts[flat, 3]) << 2 * SHIFT | units.links_of(flat))
             at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
             times = np.diff(np.append(at, len(keys)))
-            held = np.bincount(keys[at] >> 2 * SHIFT, minlength=len(texts))
-            pairs = keys[at] & (1 << 2 * SHIFT) - 1
-            groups = ["".join([units.groups[i] for i in p.tolist()])[:-1] if good else "" for p, good in zip(placed, ok.tolist(), strict=True)]
-            return [*counts[:, :4].T, groups, list_array(pairs, held, pa.int64()), list_array(times.astype(np.int32), held, pa.int32())]
+            keys = keys[at]
+            held = np.bincount(keys >> 2 * SHIFT, minlength=len(texts))
+            groups = [units.text_of(p)[:-1] if good else b"" for p, good in zip(placed, ok.tolist(), strict=True)]
+            written = [hashlib.sha256(g).hexdigest() if g else "" for g in groups] if digest else [g.decode() for g in groups]
+            return [*counts[:, :4].T, written, list_array(keys & (1 << 2 * SHIFT) - 1, held, pa.int64()), list_array(times.astype(np.int32), held, pa.int32())]
 
         return f
 
-    return map_text(docs, [id_col], "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>", make, text_col, as_bytes=False, most=3 << 20)
+    return map_text(docs, [id_col], f"n_a long, n_b long, n_groups long, n_links long, {'groups_sha256' if digest else 'groups'} string, pairs array<long>, times array<int>", make, text_col, as_bytes=False, most=1 << 20)
 
 
 def pair_counts(held: DataFrame) -> DataFrame:
@@ -349,7 +349,6 @@ def alignment(docs: DataFrame, first: str | None = None, second: str | None = No
     spelled by their tokens have zeros and '' as groups_sha256. Repeated rows and null ids are rows as any.
     Other columns are not read; no rows give none. A text is one row and never cut.
     """
-    got = aligned(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), first, second, "id", "text")
-    held = saved(got.select("id", "n_a", "n_b", "n_groups", "n_links", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "pairs", "times"), compression="zstd")
+    held = saved(aligned(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), first, second, "id", "text", True), compression="zstd")
     out = rated(held, pair_counts(held), most)
     return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -105,9 +105,9 @@ def test_units_forgotten_and_met_again(tools):
         for t, p in zip(texts, placed, strict=True):
             want = plain(t, tools)
             counts = units.counts[p].sum(0)
-            assert (counts[4] == len(p)) == (want is not None)
+            assert (counts[5] == len(p)) == (want is not None)
             if want:
-                assert counts[:4].tolist() == [len(x) for x in want] and "".join(units.groups[i] for i in p) == ";".join(want[2]) + ";"
+                assert counts[:4].tolist() == [len(x) for x in want] and units.text_of(p).decode() == ";".join(want[2]) + ";"
         assert len(tool.now.index) <= 80
 
 
