@@ -50,12 +50,7 @@ class Matrix:
         """score, key and second of each row of ``have`` for each query."""
         if len(have) and have.shape[1] != self.vectors.shape[1]:
             raise ValueError(f"vectors of {have.shape[1]} and {self.vectors.shape[1]} components")
-        each = have @ self.vectors.T
-        if len(self.start) == len(self.vectors):
-            key = np.round(each, 9)
-            return each, key, key
-        score = np.maximum.reduceat(each, self.start, 1)
-        return score, np.round(score, 9), np.round(each[:, self.start], 9)
+        return reduced(have @ self.vectors.T, self.start)
 
 
 def numbered(queries: DataFrame) -> DataFrame:
@@ -79,21 +74,37 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Best:
-    """The ``k`` best rows of each query among all that were offered."""
+    """The ``k`` best rows of each query among all that were offered; with ``once``, of each path only its best row."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.worst = k, np.full(n, -np.inf)
+    def __init__(self, n: int, k: int, once: bool = False):
+        self.k, self.once, self.worst = k, once, np.full(n, -np.inf)
         self.kept = {"col": np.zeros(0, np.int64), "pos": np.zeros(0, np.int64), "id": np.zeros(0, object), "path": np.zeros(0, object), "score": np.zeros(0), "key": np.zeros(0), "second": np.zeros(0)}
 
-    def offer(self, score: np.ndarray, key: np.ndarray, second: np.ndarray, pos: np.ndarray, names, allowed: np.ndarray | None = None) -> None:
-        """Arrays of rows x queries; ``names(rows)`` gives the ids and paths of some rows."""
+    def offer(self, score: np.ndarray, key: np.ndarray, second: np.ndarray, pos: np.ndarray, ids: pa.Array, paths: pa.Array, allowed: np.ndarray | None = None) -> None:
+        """Arrays of rows x queries, and the rows' places, ids and paths."""
         n = len(key)
-        if not n:
+        if not n or not key.shape[1]:
             return
-        least = self.worst if n <= self.k else np.maximum(self.worst, np.partition(key if allowed is None else np.where(allowed, key, -np.inf), n - self.k, 0)[n - self.k])
-        hit = key >= least
+        if (pos[1:] < pos[:-1]).any():
+            by = np.argsort(pos, kind="stable")
+            score, key, second, pos = score[by], key[by], second[by], pos[by]
+            ids, paths = ids.take(pa.array(by)), paths.take(pa.array(by))
+            allowed = allowed if allowed is None else allowed[by]
+        seen = np.zeros(n, bool)  # rows whose path an earlier row of these has
+        if self.once:
+            _, first = np.unique(paths.dictionary_encode().indices.to_numpy(zero_copy_only=False), return_index=True)
+            seen[:] = True
+            seen[first] = False
+        usable = key if allowed is None else np.where(allowed, key, -np.inf)
+        least, single = self.worst, usable[~seen] if seen.any() else usable
+        if len(single) > self.k:
+            least = np.maximum(least, np.partition(single, len(single) - self.k, 0)[len(single) - self.k])
+        hit = usable >= least
         if allowed is not None:
             hit &= allowed
+        equal = hit & (key == least) & (second == least)  # of equal rows the first k suffice
+        if equal.any():
+            hit &= ~equal | (np.cumsum(equal & ~seen[:, None], 0) <= self.k)
         row, col = np.nonzero(hit)
         if not len(row):
             return
@@ -101,24 +112,48 @@ class Best:
         both = {"col": col, "pos": pos[row], "score": score[row, col], "key": key[row, col], "second": second[row, col]}
         both = {c: np.concatenate((old[c], v)) for c, v in both.items()}
         order = np.lexsort((both["pos"], -both["second"], -both["key"], both["col"]))
+        if self.once:
+            path = np.concatenate((old["path"], paths.take(pa.array(row)).to_numpy(zero_copy_only=False)))
+            code = pa.array(path[order], pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            _, first = np.unique(both["col"][order] * (len(order) + 1) + code, return_index=True)
+            order = order[np.sort(first)]
         cols = both["col"][order]
         begun = np.flatnonzero(np.concatenate(([True], cols[1:] != cols[:-1])))
         rank = np.arange(len(cols)) - np.repeat(begun, np.diff(np.append(begun, len(cols))))
-        order = order[rank < self.k]
-        ids, paths = np.empty(len(order), object), np.empty(len(order), object)
+        order, rank = order[rank < self.k], rank[rank < self.k]
+        id_, path = np.empty(len(order), object), np.empty(len(order), object)
         new = order >= len(old["col"])
-        ids[~new], paths[~new] = old["id"][order[~new]], old["path"][order[~new]]
-        ids[new], paths[new] = names(row[order[new] - len(old["col"])])
-        self.kept = {c: v[order] for c, v in both.items()} | {"id": ids, "path": paths}
-        last = np.flatnonzero(rank[rank < self.k] == self.k - 1)
+        id_[~new], path[~new] = old["id"][order[~new]], old["path"][order[~new]]
+        take = pa.array(row[order[new] - len(old["col"])])
+        id_[new], path[new] = ids.take(take).to_numpy(zero_copy_only=False), paths.take(take).to_numpy(zero_copy_only=False)
+        self.kept = {c: v[order] for c, v in both.items()} | {"id": id_, "path": path}
+        last = np.flatnonzero(rank == self.k - 1)
         self.worst[self.kept["col"][last]] = self.kept["key"][last]
 
     def batch(self, q: np.ndarray) -> pa.RecordBatch:
         x = self.kept
-        arrays = [pa.array(q[x["col"]]), pa.array(x["pos"]), pa.array(x["id"], pa.string()), pa.array(x["path"], pa.string()), pa.array(x["score"]), pa.array(x["key"]), pa.array(x["second"])]
+        arrays = [pa.array(q[x["col"]], pa.int64()), pa.array(x["pos"]), pa.array(x["id"], pa.string()), pa.array(x["path"], pa.string()), pa.array(x["score"]), pa.array(x["key"]), pa.array(x["second"])]
         return pa.RecordBatch.from_arrays(arrays, names=["q", "corpus_pos", "image_id", "image_path", "score", "key", "second"])
 
 
+def reduced(each: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of rows x phrasings to score, key and second of rows x queries, whose phrasings begin at ``start``."""
+    if len(start) == each.shape[1]:
+        key = np.round(each, 9)
+        return each, key, key
+    score = np.maximum.reduceat(each, start, 1)
+    return score, np.round(score, 9), np.round(each[:, start], 9)
+
+
+def cut(found: DataFrame, asked: DataFrame, k: int, once: bool = False) -> DataFrame:
+    """The ranked frame of what tasks have found for the queries ``asked`` (q, query_id)."""
+    order = [F.desc("key"), F.desc("second"), F.asc("corpus_pos")]
+    if once:
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("q", "image_path").orderBy(*order))).where("n = 1")
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k)
+    return best.join(asked.select("q", "query_id"), "q").select(*RANKED)
+
+
 def _offer(best: Best, m: Matrix, have: np.ndarray, pos: np.ndarray, ids: pa.Array, paths: pa.Array, least: float | None, skip_self: bool) -> None:
     """``have`` against all of ``m``, some rows at a time."""
     own = {name: i for i, name in enumerate(m.name)} if skip_self else {}
@@ -132,11 +167,7 @@ def _offer(best: Best, m: Matrix, have: np.ndarray, pos: np.ndarray, ids: pa.Arr
                 allowed = np.ones(score.shape, bool) if allowed is None else allowed
                 allowed[tuple(np.array(mine).T)] = False
 
-        def names(rows, at=at):
-            take = pa.array(rows + at)
-            return ids.take(take).to_numpy(zero_copy_only=False), paths.take(take).to_numpy(zero_copy_only=False)
-
-        best.offer(score, key, second, pos[at : at + step], names, allowed)
+        best.offer(score, key, second, pos[at : at + step], ids.slice(at, len(score)), paths.slice(at, len(score)), allowed)
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, least: float | None = None, skip_self: bool = False) -> DataFrame:
@@ -146,29 +177,28 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, least: float | None =
     as its batches pass, so that only those leave it. More queries are packed into
     blocks, which meet blocks of the corpus bucket by bucket. ``least`` drops lower scores before the cut;
     ``skip_self`` drops rows whose image_id is the query's id. Rows without a vector, or with null components, take no part.
+    Where queries have phrasings (query_pos), a path that several rows have is listed once, with the best of them.
     """
-    asked = numbered(queries)
+    asked, once = numbered(queries), "query_pos" in queries.columns
     have = corpus.select(F.col("corpus_pos").cast("long"), F.col("image_id").cast("string"), F.col("image_path").cast("string"), F.col("embedding"))
     n, numbers = asked.agg(F.coalesce(F.sum(F.size("vectors")), F.lit(0)), F.coalesce(F.sum(F.size(F.flatten("vectors"))), F.lit(0))).first()
     if n <= MOST_BROADCAST and numbers <= MOST_NUMBERS:
-        found = have.mapInArrow(_broadcast_search(asked, k, least, skip_self), _FOUND)
+        found = have.mapInArrow(_broadcast_search(asked, k, least, skip_self, once), _FOUND)
     else:
-        found = _block_search(have, asked, k, least, skip_self)
-    order = Window.partitionBy("q").orderBy(F.desc("key"), F.desc("second"), "corpus_pos")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.join(asked.select("q", "query_id"), "q").select(*RANKED)
+        found = _block_search(have, asked, k, least, skip_self, once)
+    return cut(found, asked, k, once)
 
 
 def _held(asked: DataFrame) -> Matrix:
     return Matrix.of([tuple(r) for r in asked.select("q", "name", "vectors").orderBy("q").collect()])
 
 
-def _broadcast_search(asked: DataFrame, k: int, least: float | None, skip_self: bool):
+def _broadcast_search(asked: DataFrame, k: int, least: float | None, skip_self: bool, once: bool):
     held = asked.sparkSession.sparkContext.broadcast(_held(asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        best = Best(len(m.q), k)
+        best = Best(len(m.q), k, once)
         for b in batches:
             rows, have = _vectors(b.column(3))
             take = pa.array(rows)
@@ -179,7 +209,7 @@ def _broadcast_search(asked: DataFrame, k: int, least: float | None, skip_self:
     return run
 
 
-def _block_search(have: DataFrame, asked: DataFrame, k: int, least: float | None, skip_self: bool) -> DataFrame:
+def _block_search(have: DataFrame, asked: DataFrame, k: int, least: float | None, skip_self: bool, once: bool) -> DataFrame:
     def corpus_blocks(batches):
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
@@ -223,7 +253,7 @@ def _block_search(have: DataFrame, asked: DataFrame, k: int, least: float | None
                 if len(flat) % own.shape[1]:
                     raise ValueError("vectors of the corpus and of queries differ in length")
                 m = Matrix(np.frombuffer(q, np.int64), names, flat.reshape(-1, own.shape[1]), start)
-                best = Best(len(m.q), k)
+                best = Best(len(m.q), k, once)
                 _offer(best, m, own, pos, pa.array(ids, pa.string()), pa.array(paths, pa.string()), least, skip_self)
                 yield best.batch(m.q)
 

@@ -30,13 +30,14 @@ def max_merge(expanded: DataFrame, k: int) -> DataFrame:
     """One ranking from those of several phrasings: ``expanded`` is ranked, with query_pos, the phrasing's place.
 
     Each image_path keeps its greatest score, and the item of the first phrasing
-    that reached it; equal scores come in the order in which paths were first seen.
+    that reached it; equal scores (to nine places) come in the order in which paths were first seen. Where rankings
+    are of the whole corpus, searches of phrasings (query_pos) give the same from each document's scores alone.
     """
     positive_int("k", k)
     first = F.struct("query_pos", "rank")
-    best = F.struct(F.col("score"), (-F.col("query_pos")).alias("q"), (-F.col("rank")).alias("r"))
+    best = F.struct(F.round("score", 9).alias("s"), (-F.col("query_pos")).alias("q"), (-F.col("rank")).alias("r"))
     merged = expanded.groupBy("query_id", "image_path").agg(F.max("score").alias("score"), F.max_by("image_id", best).alias("image_id"), F.min(first).alias("seen"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "seen")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "seen")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*RANKED)
 
 

@@ -1,45 +1,56 @@
-"""BM25 and TF-IDF search on postings tables."""
+"""BM25 and TF-IDF search on an index of documents' terms, scored where the documents are."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, tokens
-from ..storage import checkpoint, spread
-from .rank import ranked
+from ..storage import checkpoint, saved, spread
+from . import blocks
+from .rank import whole
 
 #: The usual parameters of Okapi BM25, and the share of the mean idf that replaces a negative one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries are searched in parts of up to so many phrasings, and of up to so many of their (phrasing, term) pairs on average.
+MOST_PHRASINGS, MOST_TERMS = 4096, 500_000
 
 
 @dataclass
 class Postings:
-    """An index as tables: (corpus_pos, term, tf, weight) and (term, df, idf); build it once and search it often."""
+    """An index as tables: a row a document (corpus_pos, image_id, image_path, dl, terms, tf, weight: arrays side by side), and (term, df, idf).
+
+    Build it once and search it often.
+    """
 
     corpus: DataFrame
-    postings: DataFrame
+    rows: DataFrame
     terms: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(corpus_pos, term, tf, weight)."""
+        each = F.arrays_zip(F.col("terms").alias("term"), "tf", "weight")
+        return self.rows.select("corpus_pos", F.inline(each)).toDF("corpus_pos", "term", "tf", "weight")
+
     def persist(self) -> Postings:
-        self.postings.persist()
+        self.rows.persist()
         self.terms.persist()
         return self
 
     def write(self, folder: str) -> None:
-        """As Parquet, bucket-free but sorted by term within files, so that a search for few terms skips row groups."""
-        for name, df in (("corpus", self.corpus), ("terms", self.terms), ("postings", self.postings.sortWithinPartitions("term"))):
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        for name in ("corpus", "rows", "terms"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
     @staticmethod
     def read(spark, folder: str) -> Postings:
-        return Postings(*(spark.read.parquet(f"{folder}/{n}") for n in ("corpus", "postings", "terms")))
-
-
-#: Up to so many different (query, term) pairs are broadcast in a search.
-MOST_TERMS = 500_000
+        return Postings(*(spark.read.parquet(f"{folder}/{n}") for n in ("corpus", "rows", "terms")))
 
 
 def _let(value: Column, f) -> Column:
@@ -58,70 +69,149 @@ def counted(terms: Column) -> Column:
     return _let(F.sort_array(terms), runs)
 
 
-def _vectors(corpus: DataFrame, terms: Column) -> DataFrame:
-    """(corpus_pos, dl, tf): each document's terms with their counts, in one row.
+def _rows(corpus: DataFrame, terms: Column) -> DataFrame:
+    """(corpus_pos, image_id, image_path, dl, terms, tf): each document's distinct terms and their counts, side by side in one row.
 
-    Terms are counted inside the row, so no token is shuffled. The rows are then
-    dealt by document and kept: later counts, norms and sums per query and document
-    stay where they are, and no text is read twice.
+    Terms are counted inside the row, so no token is shuffled, and stored, so that no text is read twice.
     """
-    kept = checkpoint(spread(corpus).select("corpus_pos", counted(terms).alias("tf")).repartition("corpus_pos"))
-    return kept.withColumn("dl", F.aggregate("tf", F.lit(0).cast("bigint"), lambda n, x: n + x["tf"]))
-
-
-def _query_terms(queries: DataFrame, terms: Column) -> tuple[DataFrame, bool]:
-    """(query_id, term, qtf), and whether there are few enough to be broadcast."""
-    q = queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    return q, q.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-
-
-def _scores(index: Postings, q: DataFrame, few: bool) -> DataFrame:
-    """Sums of query weight ``q`` times posting weight. Few query terms go to the postings, which then need no shuffle; more are met by term."""
-    return index.postings.join(F.broadcast(q) if few else q, "term").groupBy("query_id", "corpus_pos").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+    n = F.col("counted")
+    kept = spread(corpus).select("corpus_pos", "image_id", "image_path", counted(terms).alias("counted"))
+    return saved(kept.select("corpus_pos", "image_id", "image_path", F.aggregate(n["tf"], F.lit(0).cast("bigint"), lambda t, x: t + x).alias("dl"), n["term"].alias("terms"), n["tf"].alias("tf")))
 
 
 def bm25_index(corpus: DataFrame, text: str = "caption") -> Postings:
-    """Postings whose weight is a term's whole part of a document's score; term counts and the vocabulary are kept as they are made."""
-    v = _vectors(corpus, tokens(F.coalesce(F.col(text), F.lit(""))))
+    """An index whose weights are a term's whole part of a document's score; counts and the vocabulary are kept as they are made."""
+    v = _rows(corpus, tokens(F.coalesce(F.col(text), F.lit(""))))
     n, mean_dl = v.agg(F.count("*").cast("double"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-    df = v.select(F.explode("tf.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = v.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = checkpoint(df.select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.avg("raw")).first()[0]
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
-    each = v.select("corpus_pos", "dl", F.inline("tf"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean_dl or 1.0)))
-    return Postings(corpus, each.select("corpus_pos", "term", "tf", part.alias("weight")), terms)
+    part = F.transform("tf", lambda x: x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(mean_dl or 1.0))))
+    return Postings(corpus, v.withColumn("weight", part), terms)
 
 
 def bm25_search(index: Postings, queries: DataFrame, k: int | None, text: str = "search_query") -> DataFrame:
-    """Ranked frame of all queries; whole where ``k`` is None. Queries without tokens have no rows; those without matches get the first rows at 0."""
+    """Ranked frame of all queries; whole where ``k`` is None. Queries without tokens have no rows; those without matches get the first rows at 0.
+
+    With query_pos, rows of a query_id are phrasings of it: an image_path counts once, with its
+    greatest score, and equal scores come in the order of the first phrasing that has tokens.
+    """
     asked = queries.where(F.size(tokens(F.col(text))) > 0)
-    q, few = _query_terms(asked, tokens(F.col(text)))
-    q = q.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q"))
-    return ranked(lambda only: _scores(index, only(q), few), asked, index.corpus, k)
+    q = _asked_terms(asked, tokens(F.col(text)))
+    return _search(index, asked, q.join(index.terms, "term").select("query_id", "query_pos", "term", (F.col("qtf") * F.col("idf")).alias("q")), k)
 
 
 def tfidf_index(corpus: DataFrame, text: str = "caption") -> Postings:
-    """Postings of words and word pairs with smooth idf, each document's weights of length one once they meet their term's idf.
+    """An index of words and word pairs with smooth idf, each document's weights of length one once they meet their term's idf.
 
-    A posting's weight is its count over its document's norm; the idf comes with the
+    A weight is a count over its document's norm; the idf comes with the
     query's terms, so that the postings never meet the vocabulary as a whole. Only norms
     need that: counts go to the terms, and their squares come back.
     """
-    v = _vectors(corpus, grams(F.coalesce(F.col(text), F.lit(""))))
+    v = _rows(corpus, grams(F.coalesce(F.col(text), F.lit(""))))
     n = v.count()
-    each = v.select("corpus_pos", F.inline("tf"))
+    each = v.select("corpus_pos", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("corpus_pos", F.col("x.terms").alias("term"), "x.tf")
     terms = checkpoint(each.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
     square = F.col("tf") * F.col("idf")
     norm = each.join(terms, "term").groupBy("corpus_pos").agg(F.sqrt(F.sum(square * square)).alias("norm"))
-    kept = checkpoint(v.join(norm, "corpus_pos").select("corpus_pos", "norm", "tf"))
-    return Postings(corpus, kept.select("corpus_pos", "norm", F.inline("tf")).select("corpus_pos", "term", "tf", (F.col("tf") / F.col("norm")).alias("weight")), terms)
+    kept = saved(v.join(norm, "corpus_pos", "left"))
+    return Postings(corpus, kept.withColumn("weight", F.transform("tf", lambda x: x / F.col("norm"))).drop("norm"), terms)
 
 
 def tfidf_search(index: Postings, queries: DataFrame, k: int | None, text: str = "search_query") -> DataFrame:
     """As ``bm25_search``, by the cosine; a query without known terms has the first rows at 0."""
-    q, few = _query_terms(queries, grams(F.col(text)))
-    q = q.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "idf")
-    norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = q.join(norm, "query_id").select("query_id", "term", (F.col("w") / F.col("norm") * F.col("idf")).alias("q"))
-    return ranked(lambda only: _scores(index, only(q), few), queries, index.corpus, k)
+    q = _asked_terms(queries, grams(F.col(text)))
+    q = q.join(index.terms, "term").select("query_id", "query_pos", "term", (F.col("qtf") * F.col("idf")).alias("w"), "idf")
+    norm = q.groupBy("query_id", "query_pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return _search(index, queries, q.join(norm, ["query_id", "query_pos"]).select("query_id", "query_pos", "term", (F.col("w") / F.col("norm") * F.col("idf")).alias("q")), k)
+
+
+def _place(queries: DataFrame) -> Column:
+    return F.col("query_pos").cast("int") if "query_pos" in queries.columns else F.lit(0)
+
+
+def _asked_terms(queries: DataFrame, terms: Column) -> DataFrame:
+    """(query_id, query_pos, term, qtf)."""
+    return queries.select("query_id", _place(queries).alias("query_pos"), F.explode(terms).alias("term")).groupBy("query_id", "query_pos", "term").agg(F.count("*").alias("qtf"))
+
+
+@dataclass
+class _Held:
+    """Queries as tasks hold them: numbers ``q``, where each one's phrasings begin, and for each distinct term the phrasings that have it, with weights."""
+
+    q: np.ndarray
+    start: np.ndarray
+    n: int
+    terms: pa.Array
+    begin: np.ndarray
+    phrasing: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(asked: list[tuple], terms: pa.Table) -> _Held:
+        """asked: (q, places) in order of q; terms: q, query_pos, term, q weight."""
+        start = np.cumsum([0, *[len(p) for _, p in asked]])
+        at = {(q, x): s + i for (q, places), s in zip(asked, start.tolist(), strict=False) for i, x in enumerate(places)}
+        rows = sorted(zip(terms.column("term").to_pylist(), map(at.__getitem__, zip(terms.column("n").to_pylist(), terms.column("query_pos").to_pylist(), strict=True)), terms.column("q").to_pylist(), strict=True))
+        words = list(dict.fromkeys(r[0] for r in rows))
+        number = {w: i for i, w in enumerate(words)}
+        of = np.array([number[r[0]] for r in rows], np.int64)
+        return _Held(np.array([q for q, _ in asked], np.int64), start[:-1], int(start[-1]), pa.array(words, pa.string()), np.searchsorted(of, np.arange(len(words) + 1)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64))
+
+    def scores(self, terms: pa.Array, weight: np.ndarray, of: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, scores of rows x phrasings) of ``n`` rows; ``terms`` with their weights and rows ``of``, in order."""
+        ids = pc.fill_null(pc.index_in(terms, value_set=self.terms), -1).to_numpy(zero_copy_only=False)
+        hit = ids >= 0
+        ids, weight, of = ids[hit], weight[hit], of[hit]
+        step = max(1, blocks.PRODUCTS // max(1, self.n))
+        for at in range(0, n, step):
+            lo, hi = np.searchsorted(of, [at, at + step])
+            size = min(step, n - at)
+            i = ids[lo:hi]
+            many = self.begin[i + 1] - self.begin[i]
+            ends = np.cumsum(many)
+            entry = np.repeat(self.begin[i] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
+            cell = np.repeat(of[lo:hi] - at, many) * self.n + self.phrasing[entry]
+            yield at, np.bincount(cell, np.repeat(weight[lo:hi], many) * self.weight[entry], size * self.n).reshape(size, self.n)
+
+
+def _search(index: Postings, queries: DataFrame, q: DataFrame, k: int | None) -> DataFrame:
+    """The best rows by the sum of query weight ``q`` times weight.
+
+    Tasks hold the queries' terms, score each document where its terms are, zeros included, and keep the k best of
+    each query as rows pass, so nothing but those is shuffled. More queries than tasks can hold are taken in parts, a pass each.
+    """
+    if k is None:
+        sums = index.postings.join(q, "term").groupBy("query_id", "corpus_pos").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+        return whole(sums, queries, index.corpus)
+    once = "query_pos" in queries.columns
+    asked = queries.groupBy("query_id").agg(F.array_sort(F.collect_set(_place(queries))).alias("places"))
+    asked = checkpoint(asked.select(F.monotonically_increasing_id().alias("q"), "query_id", "places"))
+    each = checkpoint(q.join(asked.select(F.col("q").alias("n"), "query_id"), "query_id").select("n", "query_pos", "term", "q"))
+    size, phrasings = each.count(), asked.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // MOST_TERMS), -(-phrasings // MOST_PHRASINGS))
+    found = None
+    for part in range(parts):
+        mine = lambda c: F.lit(True) if parts == 1 else F.pmod(F.xxhash64(c), F.lit(parts)) == part  # noqa: B023, E731
+        one = index.rows.select("corpus_pos", "image_id", "image_path", "terms", "weight").mapInArrow(_scored(asked.where(mine("q")), each.where(mine("n")), k, once), blocks._FOUND)
+        found = one if found is None else found.unionByName(one)
+    return blocks.cut(found, asked, k, once)
+
+
+def _scored(asked: DataFrame, each: DataFrame, k: int, once: bool):
+    held = asked.sparkSession.sparkContext.broadcast(_Held.of([tuple(r) for r in asked.select("q", "places").orderBy("q").collect()], each.toArrow()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = held.value
+        best = blocks.Best(len(h.q), k, once)
+        for b in batches if h.n else ():
+            terms, weight = b.column(3), b.column(4).flatten().to_numpy(zero_copy_only=False)
+            pos = b.column(0).to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(b.num_rows), np.diff(terms.offsets.to_numpy()))
+            for at, scores in h.scores(terms.flatten(), weight, of, b.num_rows):
+                n = len(scores)
+                best.offer(*blocks.reduced(scores, h.start), pos[at : at + n], b.column(1).slice(at, n), b.column(2).slice(at, n))
+        yield best.batch(h.q)
+
+    return run

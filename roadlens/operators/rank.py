@@ -1,14 +1,10 @@
-"""Ranked frames: (query_id, rank, image_id, image_path, score) and what every search needs to make them."""
+"""Ranked frames: (query_id, rank, image_id, image_path, score) and how rows become them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import checkpoint
-
 RANKED = ("query_id", "rank", "image_id", "image_path", "score")
 
 
@@ -23,52 +19,10 @@ def top_k(scored: DataFrame, k: int | None, tie: str = "corpus_pos", digits: int
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select(*RANKED)
 
 
-#: Up to so many first rows of a corpus are broadcast to fill rankings up.
-MOST_FIRST = 100_000
-
-
-def ranked(scores: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], queries: DataFrame, corpus: DataFrame, k: int | None) -> DataFrame:
-    """The ranked frame of a search that scores only what it matches, as if it scored all of ``corpus``, the rest at 0.
-
-    ``scores(only)`` gives (query_id, corpus_pos, score) of the matches; ``only`` limits
-    frames with a query_id to the queries asked for. Zeros matter only where
-    positive scores run out, so the k best positive ones come first and are kept.
-    Only queries that are left short are then scored again, with their other matches. Of
-    the corpus in order, the first k + n rows hold k that a query with n matches does not match.
-    """
-    every = scores(lambda q: q)
-    if k is None:
-        rest = queries.select("query_id").distinct().crossJoin(corpus.select("corpus_pos")).join(every, ["query_id", "corpus_pos"], "left")
-        return _named(rest.withColumn("score", F.coalesce("score", F.lit(0.0))), corpus, None)
-    positive = F.round("score", 9) > 0
-    best = checkpoint(_cut(every.where(positive), k))
-    n = best.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = checkpoint(queries.select("query_id").distinct().join(n, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id"))
-    if short.isEmpty():
-        return _named(best, corpus, k)
-    few = short.limit(MOST_FIRST + 1).count() <= MOST_FIRST
-    ask = F.broadcast(short) if few else short
-    matched = checkpoint(scores(lambda q: q.join(ask, "query_id", "left_semi")))
-    need = k + (matched.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
-    first = corpus.select("corpus_pos")
-    if need <= MOST_FIRST:
-        first = F.broadcast(first.orderBy("corpus_pos").limit(need))
-    zeros = short.crossJoin(first).join(matched.select("query_id", "corpus_pos"), ["query_id", "corpus_pos"], "left_anti").withColumn("score", F.lit(0.0))
-    filled = _cut(matched.unionByName(zeros), k)
-    return _named(best.join(ask, "query_id", "left_anti").unionByName(filled), corpus, k)
-
-
-def _cut(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "corpus_pos")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "corpus_pos", "score", "rank")
-
-
-def _named(scored: DataFrame, corpus: DataFrame, k: int | None) -> DataFrame:
-    """(query_id, corpus_pos, score), ranked, with what the corpus has of each row."""
-    if "rank" not in scored.columns:
-        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "corpus_pos")
-        scored = scored.withColumn("rank", F.row_number().over(order))
-    return scored.join(corpus.select("corpus_pos", "image_id", "image_path"), "corpus_pos").select(*RANKED)
+def whole(scores: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Every row of ``corpus``, ranked for each query: at its score (query_id, corpus_pos, score), else at 0. Its size is the product of both."""
+    rest = queries.select("query_id").distinct().crossJoin(corpus.select("corpus_pos", "image_id", "image_path")).join(scores, ["query_id", "corpus_pos"], "left")
+    return top_k(rest.withColumn("score", F.coalesce("score", F.lit(0.0))), None)
 
 
 def at_least(scored: DataFrame, least: float) -> DataFrame:

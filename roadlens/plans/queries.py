@@ -289,16 +289,15 @@ def rrf_hybrid(spark, sf_dir):
     return shown(fusion.rrf(semantic(spark, sf_dir, 20), lexical_ranked(spark, sf_dir, 20), 20))
 
 
-@query(f"""WITH {_bm25(20, asked_sql="SELECT item_id * 10 + p AS query_id, CASE p WHEN 0 THEN text ELSE array_to_string(list_slice(string_split(text, ' '), p * 4 - 3, p * 4), ' ') END AS text FROM benchmark, (VALUES (0), (1), (2)) v(p)")},
-    m AS (SELECT query_id // 10 AS query_id, image_path, max(score) AS score, arg_max(image_id, score) AS image_id, min((query_id % 10) * 1000 + rank) AS seen FROM lex GROUP BY 1, 2)
+@query(f"""WITH {_bm25(None, asked_sql="SELECT item_id * 10 + p AS query_id, CASE p WHEN 0 THEN text ELSE array_to_string(list_slice(string_split(text, ' '), p * 4 - 3, p * 4), ' ') END AS text FROM benchmark, (VALUES (0), (1), (2)) v(p)")},
+    m AS (SELECT query_id // 10 AS query_id, image_path, max(score) AS score, arg_max(image_id, score) AS image_id, min((query_id % 10) * 1000000000 + rank) AS seen FROM lex GROUP BY 1, 2)
     SELECT query_id, rank, image_id, image_path, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen)::INT AS rank FROM m) WHERE rank <= 10""")
 def multi_query_max(spark, sf_dir):
     """Three phrasings of each query: all of it, its first four words and its next four."""
     words = F.split("display_query", " ")
-    q = asked(spark, sf_dir).select("query_id", F.posexplode(F.array(F.col("display_query"), F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 4), " "))).alias("query_pos", "search_query"))
-    found = lexical.bm25_search(lexical.bm25_index(corpus(spark, sf_dir)), q.select(F.struct("query_id", "query_pos").alias("query_id"), "search_query"), 20)
-    split = found.withColumn("query_pos", F.col("query_id.query_pos")).withColumn("query_id", F.col("query_id.query_id")).withColumn("score", F.round("score", 9))
-    return shown(fusion.max_merge(split, 10))
+    phrasings = F.array(F.col("display_query"), F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 4), " "))
+    b = retrieval.Bm25(lexical.bm25_index(corpus(spark, sf_dir)))
+    return shown(retrieval.retrieve(b, asked(spark, sf_dir).withColumn("expanded", phrasings), 10, expanded=True))
 
 
 _RERANK = """rr AS (SELECT s.query_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.rank > 5, CASE WHEN s.rank <= 5 THEN s.rank END, CASE WHEN s.rank > 5 THEN l.rank END NULLS LAST, s.rank)::INT AS rank, s.image_id, s.image_path, s.score

@@ -18,7 +18,10 @@ from ..storage import checkpoint
 
 
 class Backend(Protocol):
-    """All queries (query_id, search_query, ...) to a ranked frame of at most k rows each, or of the whole corpus for None."""
+    """All queries (query_id, search_query, ...) to a ranked frame of at most k rows each, or of the whole corpus for None.
+
+    One with ``merges`` takes rows with query_pos as phrasings of their query, merged over the whole corpus.
+    """
 
     def search(self, queries: DataFrame, k: int | None) -> DataFrame: ...
 
@@ -30,6 +33,7 @@ def _cut_at(k: int | None) -> int | None:
 @dataclass
 class Bm25:
     index: lexical.Postings
+    merges = True
 
     def search(self, queries: DataFrame, k: int | None) -> DataFrame:
         return lexical.bm25_search(self.index, queries, _cut_at(k))
@@ -38,6 +42,7 @@ class Bm25:
 @dataclass
 class TfIdf:
     index: lexical.Postings
+    merges = True
 
     def search(self, queries: DataFrame, k: int | None) -> DataFrame:
         return lexical.tfidf_search(self.index, queries, _cut_at(k))
@@ -50,9 +55,10 @@ class Embeddings:
     corpus: DataFrame
     encode: Callable[[DataFrame], DataFrame]
     least: float | None = None
+    merges = True
 
     def search(self, queries: DataFrame, k: int | None) -> DataFrame:
-        q = self.encode(queries).select("query_id", "vector")
+        q = self.encode(queries).select("query_id", "vector", *[c for c in queries.columns if c == "query_pos"])
         return vectors.embedding_search(self.corpus, q, _cut_at(k), self.least)
 
 
@@ -92,16 +98,20 @@ def backend(name: str, corpus: DataFrame, load: Callable[[], vectors.Embedder] |
 def retrieve(b: Backend, queries: DataFrame, k: int, expanded: bool = False, depth: int | None = None) -> DataFrame:
     """Ranked frame of ``queries``; blank ones fail in the job.
 
-    With ``expanded``, queries have an array of phrasings: each searches all of the
-    corpus, or only its ``depth`` best rows, and the rankings are merged. A phrasing
-    is keyed by its query and its place. Without, search texts with CJK
-    characters fail, since captions are English.
+    With ``expanded``, queries have an array of phrasings. A path's score is its greatest over all of
+    them; equal ones come in the first phrasing's order. Of rows that share a path the best one counts. Back ends that merge need no rankings
+    for that. With ``depth``, or a back end that doesn't, each phrasing gives its ``depth`` best rows, and these rankings are
+    merged. Without ``expanded``, search texts with CJK characters fail, since captions are English.
     """
     positive_int("k", k)
     q = require(queries, F.length(F.trim("search_query")) > 0, "the query must not be blank")
     if not expanded:
         return b.search(require(q, ~has_cjk(F.col("search_query")), "expand queries that are not English"), k)
     each = q.select("query_id", F.posexplode("expanded").alias("query_pos", "search_query")).where(F.length(F.trim("search_query")) > 0)
+    if depth is None and getattr(b, "merges", False):
+        return b.search(each, k)
+    if depth is None:
+        raise ValueError("this back end merges rankings of a given depth")
     each = each.select(F.struct("query_id", "query_pos").alias("query_id"), "search_query")
     found = b.search(each, depth).withColumn("query_pos", F.col("query_id.query_pos")).withColumn("query_id", F.col("query_id.query_id"))
     return fusion.max_merge(found, k)
