@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import checkpoint, ensure_checkpoint_dir  # noqa: F401  checkpoint is used by the operators
+from ..storage import checkpoint, ensure_checkpoint_dir, saved  # noqa: F401  used by the operators
 
 #: One slice of an Arrow batch holds about so many bytes of text, or one row that is longer.
 SLICE_BYTES = 4 << 20
@@ -27,14 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, **options: str) -> DataFrame:
-    """``df`` as Parquet in the shared checkpoint folder, which takes less room than a checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def pack(a: np.ndarray) -> bytes:
     """An array's bytes by planes, compressed."""
     import zstandard
