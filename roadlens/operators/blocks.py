@@ -306,13 +306,16 @@ def _counted(have: DataFrame, asked: DataFrame, keys: DataFrame, skip_self: bool
 
     def run(batches):
         m, bounds, pos, key, second = held.value
+        known = np.unique(pos)  # places as numbers that are exact in floating point: odd those of wanted rows, even what lies between
+        coded = lambda x: 2 * np.searchsorted(known, x, "left") + (known[np.minimum(np.searchsorted(known, x, "left"), len(known) - 1)] == x)
+        pos = coded(pos) if len(pos) else pos
         own = {name: i for i, name in enumerate(m.name)} if skip_self else {}
         count = np.zeros(len(key), np.int64)
         several = len(m.start) != len(m.vectors)
         step = max(1, PRODUCTS // max(1, len(m.vectors)))
         for b in batches if len(key) else ():
             rows, vectors = _vectors(b.column(2))
-            place, ids = b.column(0).to_numpy(zero_copy_only=False)[rows], b.column(1).take(pa.array(rows))
+            place, ids = coded(b.column(0).to_numpy(zero_copy_only=False)[rows]), b.column(1).take(pa.array(rows))
             for at in range(0, len(rows), step):
                 _, k, s = m.keys(vectors[at : at + step])
                 p = place[at : at + step]

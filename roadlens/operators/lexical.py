@@ -69,26 +69,40 @@ def counted(terms: Column) -> Column:
     return _let(F.sort_array(terms), runs)
 
 
-def _rows(corpus: DataFrame, terms: Column) -> DataFrame:
+def term_rows(corpus: DataFrame, terms: Column) -> DataFrame:
     """(corpus_pos, image_id, image_path, dl, terms, tf): each document's distinct terms and their counts, side by side in one row.
 
-    Terms are counted inside the row, so no token is shuffled, and stored, so that no text is read twice.
+    Terms are counted inside the row, so no token is shuffled.
     """
     n = F.col("counted")
-    kept = spread(corpus).select("corpus_pos", "image_id", "image_path", counted(terms).alias("counted"))
-    return saved(kept.select("corpus_pos", "image_id", "image_path", F.aggregate(n["tf"], F.lit(0).cast("bigint"), lambda t, x: t + x).alias("dl"), n["term"].alias("terms"), n["tf"].alias("tf")))
+    kept = corpus.select("corpus_pos", "image_id", "image_path", counted(terms).alias("counted"))
+    return kept.select("corpus_pos", "image_id", "image_path", F.aggregate(n["tf"], F.lit(0).cast("bigint"), lambda t, x: t + x).alias("dl"), n["term"].alias("terms"), n["tf"].alias("tf"))
+
+
+def bm25_terms(text: str = "caption") -> Column:
+    return tokens(F.coalesce(F.col(text), F.lit("")))
 
 
 def bm25_index(corpus: DataFrame, text: str = "caption") -> Postings:
     """An index whose weights are a term's whole part of a document's score; counts and the vocabulary are kept as they are made."""
-    v = _rows(corpus, tokens(F.coalesce(F.col(text), F.lit(""))))
-    n, mean_dl = v.agg(F.count("*").cast("double"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-    df = v.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = checkpoint(df.select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    v = saved(term_rows(spread(corpus), bm25_terms(text)))
+    n, total = v.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return bm25_weighed(corpus, v, document_counts(v), n, total)
+
+
+def document_counts(rows: DataFrame) -> DataFrame:
+    """(term, df): in how many of the index rows each term is."""
+    return rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def bm25_weighed(corpus: DataFrame, rows: DataFrame, df: DataFrame, n: int, total: int) -> Postings:
+    """An index of stored rows (``term_rows``) from their statistics: (term, df), their number and the sum of their lengths."""
+    raw = checkpoint(df.select("term", "df", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.avg("raw")).first()[0]
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
+    mean_dl = total / n if n else 0.0
     part = F.transform("tf", lambda x: x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(mean_dl or 1.0))))
-    return Postings(corpus, v.withColumn("weight", part), terms)
+    return Postings(corpus, rows.withColumn("weight", part), terms)
 
 
 def bm25_search(index: Postings, queries: DataFrame, k: int | None, text: str = "search_query") -> DataFrame:
@@ -109,7 +123,7 @@ def tfidf_index(corpus: DataFrame, text: str = "caption") -> Postings:
     query's terms, so that the postings never meet the vocabulary as a whole. Only norms
     need that: counts go to the terms, and their squares come back.
     """
-    v = _rows(corpus, grams(F.coalesce(F.col(text), F.lit(""))))
+    v = saved(term_rows(spread(corpus), grams(F.coalesce(F.col(text), F.lit("")))))
     n = v.count()
     each = v.select("corpus_pos", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("corpus_pos", F.col("x.terms").alias("term"), "x.tf")
     terms = checkpoint(each.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))

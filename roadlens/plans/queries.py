@@ -20,6 +20,7 @@ from ..sources.captions import as_corpus, read_captions
 from ..sources.queries import parse_queries
 from ..sources.sinks import placed, placed_parts, report
 from ..storage import checkpoint, ensure_checkpoint_dir
+from ..streaming import captioning, ingest
 from . import retrieval
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -626,15 +627,51 @@ def expand_udf_fake(spark, sf_dir):
 @query("""SELECT image_path, NOT bad AS success, CASE WHEN NOT bad THEN 'Describe the scene. ' || image_path END AS caption, CASE WHEN bad THEN 'ValueError: unreadable' END AS error
     FROM (SELECT source || '/' || doc_id || '.jpg' AS image_path, source = 'src1' AS bad FROM documents)""")
 def caption_udf_fake(spark, sf_dir):
-    def load():
-        def infer(path: str, prompt: str) -> str:
-            if path.startswith("src1/"):
-                raise ValueError("unreadable")
-            return f"{prompt} {path}"
+    return vectors.caption(corpus(spark, sf_dir), _captioner).select("image_path", "success", "caption", "error")
+
+
+def _captioner():
+    def infer(path: str, prompt: str) -> str:
+        if path.startswith("src1/"):
+            raise ValueError("unreadable")
+        return f"{prompt} {path}"
+
+    return infer
+
 
-        return infer
+# streams, over files written from the tables
 
-    return vectors.caption(corpus(spark, sf_dir), load).select("image_path", "success", "caption", "error")
+_ARRIVED = """arrived AS (SELECT doc_id, doc_id % 2 AS batch, source || '/' || doc_id || '.jpg' AS image_path, trim(text, ' \t\n\r') AS caption FROM documents WHERE trim(text, ' \t\n\r') <> ''),
+    new AS (SELECT * FROM arrived QUALIFY row_number() OVER (PARTITION BY caption ORDER BY batch, image_path) = 1),
+    live AS (SELECT row_number() OVER (ORDER BY batch, image_path) AS corpus_pos, image_path, caption FROM new)"""
+
+
+@query(
+    f"WITH {_bm25(10, src='SELECT corpus_pos, caption FROM live')}".replace(_CORPUS + ",", _ARRIVED + ", corpus AS (SELECT corpus_pos, regexp_extract(image_path, '([^/]*)[.]jpg$', 1) AS image_id, image_path FROM live),", 1)
+    + " SELECT query_id, rank, image_id, image_path, round(score, 6) AS score FROM lex"
+)
+def live_index_topk(spark, sf_dir):
+    """All documents arrive as caption lines in two batches, each content once; the index of both is searched."""
+    folder = _folder(spark, "live")
+    c = corpus(spark, sf_dir).select("image_path", F.lit(True).alias("success"), F.col("caption"), "corpus_pos")
+    for part in (0, 1):
+        sinks.append_captions(c.where(F.col("corpus_pos") % 2 == part).drop("corpus_pos"), f"{folder}/in")
+        ingest.append_captions_to(f"{folder}/index", ingest.caption_stream(spark, f"{folder}/in", 1_000_000), f"{folder}/state").awaitTermination()
+    return shown(lexical.bm25_search(ingest.live_index(spark, f"{folder}/index"), asked(spark, sf_dir), 10))
+
+
+@query("""SELECT image_path, source <> 'src1' AS success, CASE WHEN source <> 'src1' THEN 'Describe the scene. ' || image_path END AS caption, CASE WHEN source = 'src1' THEN 'ValueError: unreadable' END AS error
+    FROM (SELECT source || '/' || doc_id || '.jpg' AS image_path, source FROM documents)""")
+def resumed_captions(spark, sf_dir):
+    """Images are captioned by two runs of a stream that share their paths; the second has only what the first has not stored."""
+    folder = _folder(spark, "captioned")
+    c = corpus(spark, sf_dir).select("image_path", "corpus_pos")
+    c.where(F.col("corpus_pos") % 2 == 0).select("image_path").write.mode("append").json(f"{folder}/in")
+    for run in (0, 1):
+        captioning.caption_stream_to(f"{folder}/out", captioning.path_stream(spark, f"{folder}/in", 1_000_000), _captioner, f"{folder}/state{run}").awaitTermination()
+        if not run:
+            c.select("image_path").write.mode("append").json(f"{folder}/in")
+    return captioning.stored(spark, f"{folder}/out").select("image_path", "success", "caption", "error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,6 @@ from roadlens.operators import lexical, vectors
 from roadlens.sources import captions as cs
 from roadlens.sources import queries as qs
 from roadlens.sources import sinks
-from roadlens.streaming import ingest
 
 
 def put(path, value):
@@ -144,16 +143,6 @@ def test_index_round_trip(spark, tmp_path):
     assert sorted(map(tuple, lexical.bm25_search(lexical.Postings.read(spark, f"{tmp_path}/ix"), q, 3).collect())) == sorted(map(tuple, lexical.bm25_search(index, q, 3).collect()))
 
 
-def test_stream_appends_each_caption_once(spark, tmp_path):
-    put(f"{tmp_path}/in/1.json", "\n".join(map(json.dumps, [{"image_path": "/a.jpg", "success": True, "caption": "red car"}, {"image_path": "/b.jpg", "success": True, "caption": "red car"}])))
-    run = lambda: ingest.append_postings(ingest.caption_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    run()
-    put(f"{tmp_path}/in/2.json", json.dumps({"image_path": "/c.jpg", "success": True, "caption": "bus"}) + "\n" + json.dumps({"image_path": "/d.jpg", "success": True, "caption": "red car"}))
-    run()
-    assert sorted(x.caption for x in spark.read.parquet(f"{tmp_path}/out/corpus").collect()) == ["bus", "red car"]
-    assert sorted(x.term for x in spark.read.parquet(f"{tmp_path}/out/postings").collect()) == ["bus", "car", "red"]
-
-
 def test_folders_are_cleared_and_written(spark, tmp_path):
     src = put(f"{tmp_path}/a/1.jpg", "x")
     put(f"{tmp_path}/out/rain/hybrid/old.jpg", "x")
