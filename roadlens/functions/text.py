@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,20 +114,51 @@ def expanded_queries(raw: Column, expected: int) -> Column:
     return F.when(F.size(first) >= expected, F.slice(first, 1, expected))
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Accented letters up to U+024F and the single ASCII letter under each."""
-    src, dst = [], []
-    for c in map(chr, range(0xC0, 0x250)):
+def _class(points: list[int]) -> str:
+    """A character class of code points, as ranges."""
+    out: list[list[int]] = []
+    for i in points:
+        if out and out[-1][1] == i - 1:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
+@lru_cache(2)
+def _letters(end: int) -> tuple[str, str, dict[str, str], list[int]]:
+    """What compatibility decomposition without combining marks makes of each character before ``end``, by rule from Unicode's own table.
+
+    Characters that become one, and those characters; those that become several, by character; and the marks that go.
+    Syllables of hangul, which fall into letters by arithmetic, and private planes stay.
+    """
+    src, dst, longer, marks = [], [], {}, []
+    for i in range(0x80, end):
+        c = chr(i)
+        if 0xAC00 <= i < 0xF900:
+            continue
+        if unicodedata.combining(c):
+            marks.append(i)
+            continue
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if base != c and len(base) == 1 and base.isascii():
+        if len(base) == 1 and base != c:
             src.append(c)
             dst.append(base)
-    return "".join(src), "".join(dst)
+        elif base != c:
+            longer[c] = base
+    return "".join(src), "".join(dst), longer, marks
 
 
 def without_accents(text: Column) -> Column:
-    src, dst = _plain_letters()
-    return F.regexp_replace(F.translate(text, src, dst), "[\\u0300-\\u036f]", "")
+    """``text`` with each character in its compatibility decomposition, less combining marks: accents and ligatures go."""
+    few_src, few_dst, few_longer, _ = _letters(0x300)
+    src, dst, longer, marks = _letters(0x2FA20)
+    one = F.regexp_replace(F.translate(text, src, dst), _class(marks), "")
+    table = F.map_from_arrays(F.lit(list(longer)), F.lit(list(longer.values())))
+    parts = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    every = F.when(one.rlike(_class(sorted(map(ord, longer)))), parts).otherwise(one)
+    # Latin text, which is most, needs the small table only
+    return F.when(text.rlike(r"[^\x00-\x{2ff}]|" + _class(sorted(map(ord, few_longer)))), every).otherwise(F.translate(text, few_src, few_dst))
 
 
 def grams(text: Column) -> Column:

@@ -141,16 +141,27 @@ def strict_dedup_recall(corpus: DataFrame, truth: DataFrame, backends: dict[str,
     return out
 
 
-def frozen_hybrid(frozen: DataFrame, view: lexical.Postings, queries: DataFrame, top_k: int = 20, freeze_top_n: int = 5, lexical_top_n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The frozen ranking with its tail reranked by BM25 over the lexical view, and the manifest against the frozen one."""
+def _strict(frozen: DataFrame, queries: DataFrame, asked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Both, failing in the job where a query has no frozen row or a frozen row no query.
+
+    ``asked`` (query_id) names the queries of the frozen report, where some of its lists are empty.
+    """
+    have = (frozen if asked is None else asked).select("query_id").distinct()
+    return dedup.lookup(frozen, queries.select("query_id").distinct(), "query_id", "query of a frozen ranking"), dedup.lookup(queries, have, "query_id", "frozen ranking of query")
+
+
+def frozen_hybrid(frozen: DataFrame, view: lexical.Postings, queries: DataFrame, top_k: int = 20, freeze_top_n: int = 5, lexical_top_n: int = 10, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The frozen ranking with its tail reranked by BM25 over the lexical view, and the manifest against the frozen one. Queries and frozen rows must match (``_strict``)."""
+    frozen, queries = _strict(frozen, queries, asked)
     frozen, lex = checkpoint(frozen), lexical.bm25_search(view, queries, max(top_k, lexical_top_n))
     hybrid = checkpoint(fusion.tail_rerank(frozen.select(*RANKED), lex, freeze_top_n, top_k, lexical_top_n))
     return hybrid, compare.comparison_manifest(queries, frozen.where(F.col("rank") <= top_k), hybrid)
 
 
-def frozen_gate(frozen: DataFrame, view: lexical.Postings, queries: DataFrame, candidate_top_k: int = 20, semantic_top_n: int = 10, lexical_top_n: int = 8, output_max_k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The frozen ranking's top that BM25 over the lexical view supports, and its manifest."""
+def frozen_gate(frozen: DataFrame, view: lexical.Postings, queries: DataFrame, candidate_top_k: int = 20, semantic_top_n: int = 10, lexical_top_n: int = 8, output_max_k: int = 10, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The frozen ranking's top that BM25 over the lexical view supports, and its manifest. Queries and frozen rows must match (``_strict``)."""
     fixed_gate(candidate_top_k, semantic_top_n, lexical_top_n, output_max_k)
+    frozen, queries = _strict(frozen, queries, asked)
     frozen, lex = checkpoint(frozen), checkpoint(lexical.bm25_search(view, queries, lexical_top_n))
     kept = fusion.rank_gate(frozen.select(*RANKED), lex, candidate_top_k, semantic_top_n, lexical_top_n, output_max_k)
     return kept, compare.filter_manifest(queries, frozen, lex, kept, candidate_top_k, semantic_top_n, lexical_top_n)

@@ -232,3 +232,15 @@ def test_whole_groups_are_numbered_by_ranges(spark):
 def test_counted_terms(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), ([],), (["c"],)], "t array<string>")
     assert [[tuple(y) for y in x.n] for x in df.select(lexical.counted(F.col("t")).alias("n")).collect()] == [[("a", 1), ("b", 2)], [], [("c", 1)]]
+
+
+def test_an_embedder_is_loaded_from_a_file(spark, tmp_path):
+    script = f"{tmp_path}/model.py"
+    with open(script, "w") as f:
+        f.write("class Two:\n    def __init__(self, model_name_or_path, torch_dtype):\n        self.n = float(len(model_name_or_path)), float(torch_dtype == 'float16')\n"
+                "    def process(self, inputs, normalize=True):\n        return [[*self.n, float(len(x['text']))] for x in inputs]\n")
+    df = spark.createDataFrame([("ab",), ("",)], "t string")
+    got = vectors.embed(df, "t", vectors.load_embedder(script, "four", "float16", "Two"))
+    assert sorted(x.embedding for x in got.collect()) == [[4.0, 1.0, 0.0], [4.0, 1.0, 2.0]]
+    with pytest.raises(Exception, match="No such file|no embedder"):
+        vectors.embed(df, "t", vectors.load_embedder(f"{tmp_path}/none.py", "x")).collect()

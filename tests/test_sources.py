@@ -96,6 +96,13 @@ def test_reports_go_round(spark, tmp_path):
     assert {x.image_id for x in kept.collect()} <= {"3", "1", "0"}
     with pytest.raises(ValueError):
         retrieval.frozen_gate(frozen, view, q, output_max_k=5)
+    two = spark.createDataFrame([(0, "rain", "rain"), (9, "car", "car")], "query_id bigint, display_query string, search_query string")
+    with pytest.raises(Exception, match="frozen ranking of query not found: 9"):
+        retrieval.frozen_gate(frozen.withColumn("query_id", F.lit(0).cast("bigint")), view, two)[0].collect()
+    with pytest.raises(Exception, match="query of a frozen ranking not found: 9"):
+        retrieval.frozen_gate(frozen.withColumn("query_id", F.lit(9).cast("bigint")), view, two.where("query_id = 0"))[0].collect()
+    listed = spark.createDataFrame([(0,), (9,)], "query_id bigint")
+    assert retrieval.frozen_gate(frozen.withColumn("query_id", F.lit(0).cast("bigint")), view, two, asked=listed)[1].count() == 2
     from roadlens.operators.evaluate import recall_rows
 
     sinks.write_csv(recall_rows(r, q), f"{tmp_path}/csv")

@@ -75,3 +75,15 @@ def test_other_guards():
     for f, a in ((g.int_list, ("",)), (g.int_list, ("1,0",)), (g.backend_list, ("faiss",)), (g.query_text, (" ",)), (g.one_image, ("p", "b")), (g.rerank_bounds, (6, 5, 1)), (g.rerank_bounds, (-1, 5, 1)), (g.fixed_gate, (20, 10, 8, 9))):
         with pytest.raises(ValueError):
             f(*a)
+
+
+def test_accents_and_ligatures(spark):
+    import unicodedata
+
+    texts = ["Tiếng Việt ﬁre café", "Ǆ ½ ㎏ Å ẞ İi", "한국어 가", "ｆｕｌｌ ＷＩＤＴＨ", "plain", None, "e\u0301 a\u0323\u0302", "𝐁old 𝔸", "؁ أ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [x.a for x in df.select(tx.without_accents(F.col("t")).alias("a")).collect()]
+    plain = lambda s: s and "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    assert [g and unicodedata.normalize("NFD", g) for g in got] == [p and unicodedata.normalize("NFD", p) for p in map(plain, texts)]
+    words = df.where("t like 'Ti%'").select(tx.grams(F.col("t")).alias("g")).first().g
+    assert words[:4] == ["tieng", "viet", "fire", "cafe"]
