@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import grams, tokens
 from ..storage import checkpoint, saved, spread
-from . import blocks
+from . import blocks, stored
 from .rank import whole
 
 #: The usual parameters of Okapi BM25, and the share of the mean idf that replaces a negative one.
@@ -32,6 +32,8 @@ class Postings:
     corpus: DataFrame
     rows: DataFrame
     terms: DataFrame
+    #: The folder of its blocks, if it was read from one.
+    blocks: str | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -45,12 +47,14 @@ class Postings:
         return self
 
     def write(self, folder: str) -> None:
+        """As Parquet: its tables, and its postings once more as blocks (``stored``), from which searches of an index that is read are answered."""
         for name in ("corpus", "rows", "terms"):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        stored.write_blocks(self.rows, f"{folder}/blocks")
 
     @staticmethod
     def read(spark, folder: str) -> Postings:
-        return Postings(*(spark.read.parquet(f"{folder}/{n}") for n in ("corpus", "rows", "terms")))
+        return Postings(*(spark.read.parquet(f"{folder}/{n}") for n in ("corpus", "rows", "terms")), f"{folder}/blocks")
 
 
 def _let(value: Column, f) -> Column:
@@ -195,6 +199,7 @@ def _search(index: Postings, queries: DataFrame, q: DataFrame, k: int | None) ->
 
     Tasks hold the queries' terms, score each document where its terms are, zeros included, and keep the k best of
     each query as rows pass, so nothing but those is shuffled. More queries than tasks can hold are taken in parts, a pass each.
+    An index that was read from disk is asked for the blocks that can matter instead.
     """
     if k is None:
         sums = index.postings.join(q, "term").groupBy("query_id", "corpus_pos").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
@@ -203,6 +208,23 @@ def _search(index: Postings, queries: DataFrame, q: DataFrame, k: int | None) ->
     asked = queries.groupBy("query_id").agg(F.array_sort(F.collect_set(_place(queries))).alias("places"))
     asked = checkpoint(asked.select(F.monotonically_increasing_id().alias("q"), "query_id", "places"))
     each = checkpoint(q.join(asked.select(F.col("q").alias("n"), "query_id"), "query_id").select("n", "query_pos", "term", "q"))
+    if index.blocks and not once:
+        terms = [r.term for r in each.select("term").distinct().limit(stored.MOST_NAMED + 1).collect()]
+        if len(terms) <= stored.MOST_NAMED:
+            return _from_blocks(index, asked, each, terms, k)
+    return _from_rows(index, asked, each, k, once)
+
+
+def _from_blocks(index: Postings, asked: DataFrame, each: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """From the blocks that can matter; queries with fewer than ``k`` positive scores, which zeros fill up, from the rows."""
+    found, short = stored.search(stored.Blocks(index.blocks, each.select(F.col("n").alias("q"), "term", F.col("q").alias("w")), terms), asked, index.corpus, k)
+    short = checkpoint(short)
+    if short.isEmpty():
+        return found
+    return found.unionByName(_from_rows(index, asked.join(short, "q", "left_semi"), each.join(short.withColumnRenamed("q", "n"), "n", "left_semi"), k, False))
+
+
+def _from_rows(index: Postings, asked: DataFrame, each: DataFrame, k: int, once: bool) -> DataFrame:
     size, phrasings = each.count(), asked.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     parts = max(1, -(-size // MOST_TERMS), -(-phrasings // MOST_PHRASINGS))
     found = None

@@ -227,6 +227,14 @@ def bm25_batch_topk(spark, sf_dir):
     return shown(lexical_ranked(spark, sf_dir, 20))
 
 
+@query(f"WITH {_bm25(10)} {_SHOW} FROM lex")
+def stored_index_topk(spark, sf_dir):
+    """An index written and read again, which answers from its blocks."""
+    folder = _folder(spark, "index")
+    lexical.bm25_index(corpus(spark, sf_dir)).write(folder)
+    return shown(lexical.bm25_search(lexical.Postings.read(spark, folder), asked(spark, sf_dir), 10))
+
+
 _VIEW = "SELECT c.corpus_pos, v.bm25_text AS caption FROM corpus c LEFT JOIN (" + _view("caption", "corpus", "corpus_pos") + ") v ON v.corpus_pos = c.corpus_pos"
 
 

@@ -80,3 +80,37 @@ def test_hybrid_needs_a_depth(frames):
     with pytest.raises(ValueError, match="depth"):
         retrieval.retrieve(b, queries, 3, expanded=True)
     assert retrieval.retrieve(b, queries, 3, expanded=True, depth=20).count() > 0
+
+
+def test_a_stored_index_reads_the_blocks_that_matter(spark, tmp_path, monkeypatch):
+    """A common word everywhere and rare ones in a few stretches: most ranges can't reach the tenth score."""
+    from roadlens.operators import stored
+
+    r = random.Random(3)
+    texts = []
+    for i in range(4000):
+        words = ["road", *(r.choice(WORDS) for _ in range(r.randint(1, 30)))]
+        texts.append(" ".join(words + ["tram"] * (3 if i % 1000 < 9 else 0) + ["comet"] * (i == 77)))
+    corpus = spark.createDataFrame([(i * 3, str(i), f"p/{i}.jpg", t) for i, t in enumerate(texts)], "corpus_pos bigint, image_id string, image_path string, caption string").repartition(6)
+    monkeypatch.setattr(stored, "RANGE", 100)
+    index = lexical.bm25_index(corpus)
+    index.write(f"{tmp_path}/ix")
+    back = lexical.Postings.read(spark, f"{tmp_path}/ix")
+    ask = ["tram on a road", "road tram tram night", "comet", "road", "zebra", "???", "dog bus"]
+    queries = spark.createDataFrame(list(enumerate(ask)), "query_id bigint, search_query string")
+    for k in (1, 10, 60):
+        assert listed(lexical.bm25_search(back, queries, k)) == listed(lexical.bm25_search(index, queries, k))
+    tf = lexical.tfidf_index(corpus.limit(500))
+    tf.write(f"{tmp_path}/tf")
+    assert listed(lexical.tfidf_search(lexical.Postings.read(spark, f"{tmp_path}/tf"), queries, 5)) == listed(lexical.tfidf_search(tf, queries, 5))
+    # rows read for the first query: its blocks in the ranges that are needed, of all that its terms have
+    terms = index.terms.where("term in ('tram', 'road')").select(F.lit(0).cast("bigint").alias("q"), "term", F.col("idf").alias("w"))
+    blocks = stored.Blocks(f"{tmp_path}/ix/blocks", terms, ["tram", "road"])
+    seeds, rest, _ = stored.needed(blocks, 10)
+    every = blocks.scan(spark).count()
+    read = blocks.scan(spark).join(seeds.select("q", "range").union(rest), "range").count()
+    assert every >= 44 and read <= every / 4
+    plan = blocks.bounds()._jdf.queryExecution().executedPlan().toString()
+    assert "pos:array" not in plan and "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    monkeypatch.setattr(stored, "MOST_NAMED", 1)
+    assert listed(lexical.bm25_search(back, queries, 10)) == listed(lexical.bm25_search(index, queries, 10))
