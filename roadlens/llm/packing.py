@@ -100,8 +100,8 @@ def best_fit(
     filled bins a shard. Capacities must be positive.
 
     Null and non-positive lengths get one row with length 0 and no bin. Repeated
-    rows are packed each. The hash takes a row number too, so that copies spread;
-    a checkpoint keeps it the same when tasks run again. An empty table gives an
+    rows are packed each: they are counted, and the hash takes each one's number among its equals too, so that copies
+    spread. So the result depends on the rows alone, not on how they lie in files. An empty table gives an
     empty result.
     """
     caps = sorted(set(capacities))
@@ -109,7 +109,8 @@ def best_fit(
         raise ValueError("capacities must be positive")
     top = caps[-1]
     n = F.greatest(F.coalesce(col(length_col).cast("long"), F.lit(0)), F.lit(0))
-    src = checkpoint(lengths.select(col(id_col).alias("id"), n.alias("n"), F.xxhash64(col(id_col), F.monotonically_increasing_id()).alias("h")))
+    equal = lengths.select(col(id_col).alias("id"), n.alias("n")).groupBy("id", "n").agg(F.count("*").alias("c"))
+    src = checkpoint(equal.select("id", "n", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("k")).select("id", "n", F.xxhash64("id", "n", "k").alias("h")))
     total = src.agg(F.sum(F.greatest(F.ceil(F.col("n") / top), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-total // shard_rows))
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / top), F.lit(1)) - 1), lambda k: F.struct(k.cast("int").alias("piece"), (k * top).alias("start")))

@@ -17,7 +17,7 @@ from .hnsw import nearest
 from .minmax_dedup import near_duplicates
 from .packing import best_fit, word_lengths
 from .simhash_dedup import near_fingerprints
-from .url_filter import TRACKING, judge_urls
+from .url_filter import ENTITIES, TRACKING, judge_urls
 
 #: The rules of op1.
 RULES = (
@@ -151,19 +151,28 @@ def _op1_sql() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[0]))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in ordered) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in ordered) + " END"
+    decoded = "regexp_extract(tag, '(?is)(?:href\\s*=\\s*|url\\s*=\\s*)[\"'']?([^\"''\\s>]+)', 1)"
+    for entity, char in ENTITIES:
+        decoded = f"replace({decoded}, '{entity}', '{char}')"
+    walk = r"list_reduce(string_split(path, '/')[2:], lambda done, x: CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END, '')"
+    plain = _address("target")["path"]
     return rf"""WITH RECURSIVE parts AS (SELECT page_id, url, html, coalesce({page['host']}, '') AS host, coalesce({page['path']}, '') AS path, {page['key']} AS key, {page['address']} AS address FROM pages),
     judged AS (SELECT *, {verdict} AS own FROM (SELECT *, {rule} AS rule FROM parts)),
     tags AS (SELECT address AS u, url, host, path, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM parts),
-    named AS (SELECT u, url, host, path, regexp_extract(tag, '(?is)(?:href\s*=\s*|url\s*=\s*)["'']?([^"''\s>]+)', 1) AS t FROM tags
+    named AS (SELECT u, url, host, path, {decoded} AS t FROM tags
       WHERE regexp_matches(tag, '(?i)rel\s*=\s*(["''][^"''>]*\bcanonical\b|canonical)|http-equiv\s*=\s*["'']?refresh')),
     sites AS (SELECT *, regexp_extract(url, '(?s)^(.*?://)', 1) || host AS site FROM named WHERE t <> '' AND NOT starts_with(t, '#')),
     targets AS (SELECT u, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN site || t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t
       WHEN starts_with(t, '?') THEN site || path || t ELSE site || regexp_replace(path, '(?s)[^/]*$', '') || CASE WHEN path = '' THEN '/' ELSE '' END || t END AS target FROM sites),
-    told AS (SELECT u, {to['address']} AS v, {to['key']} AS k FROM targets WHERE contains(target, '://')),
+    pathed AS (SELECT u, target, {plain} AS path FROM targets WHERE contains(target, '://')),
+    dotless AS (SELECT u, CASE WHEN regexp_matches(path, '(^|/)\.\.?(/|$)') THEN regexp_extract(target, '(?s)^(.*?://[^/?#]*)', 1) || {walk} || CASE WHEN regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END
+      || regexp_extract(target, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) ELSE target END AS target FROM pathed),
+    told AS (SELECT u, {to['address']} AS v, {to['key']} AS k, {to['host']} AS host, {to['path']} AS path FROM dotless),
     links AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM told UNION ALL SELECT v, k FROM told UNION ALL SELECT address, key FROM parts) WHERE u <> v),
     nodes AS (SELECT key AS node FROM parts WHERE key IS NOT NULL UNION SELECT u FROM links UNION SELECT v FROM links), {_REACH},
     alias AS (SELECT a AS key, min(b) AS alias FROM reach GROUP BY a),
-    ruled AS (SELECT alias, bool_or(own = 'allow') AS allowed FROM judged JOIN alias USING (key) WHERE own IS NOT NULL GROUP BY alias)
+    addressed AS (SELECT key, own FROM judged UNION ALL SELECT k, {verdict} FROM (SELECT k, {rule} AS rule FROM told)),
+    ruled AS (SELECT alias, bool_or(own = 'allow') AS allowed FROM addressed JOIN alias USING (key) WHERE own IS NOT NULL GROUP BY alias)
     SELECT page_id, host, path, rule, coalesce(own, CASE WHEN allowed THEN 'allow' WHEN NOT allowed THEN 'block' END, 'allow') AS verdict, alias
     FROM judged LEFT JOIN alias USING (key) LEFT JOIN ruled USING (alias)"""
 

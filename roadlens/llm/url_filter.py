@@ -13,6 +13,8 @@ from .components import components
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that only track where a visit came from.
 TRACKING = "ref|fbclid|gclid|utm_[a-z]+"
+#: Entities in addresses, and what they stand for, in the order in which they are replaced.
+ENTITIES = (("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
 
 def _rest(url: Column) -> Column:
@@ -63,7 +65,7 @@ def declared_links(html: Column, base: Column) -> Column:
     """Addresses that a page names as canonical or refreshes to, made absolute by the page's own.
 
     ``canonical`` may be any of rel's words. Those that start with / are on the page's own site, with ? on its path, all others
-    in its path's folder; . and .. are not resolved.
+    in its path's folder; . and .. are resolved. Of entities, those of & and / are decoded.
     """
     tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)rel\s*=\s*([\"'][^\"'>]*\bcanonical\b|canonical)|http-equiv\s*=\s*[\"']?refresh"))
     target = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)(?:href\s*=\s*|url\s*=\s*)[\"']?([^\"'\s>]+)", 1))
@@ -71,7 +73,25 @@ def declared_links(html: Column, base: Column) -> Column:
     page = F.concat(site, path_of(base))
     folder = F.concat(site, F.regexp_replace(path_of(base), r"(?s)[^/]*$", ""), F.when(path_of(base) == "", "/").otherwise(""))
     full = lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(site, x)).when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), x).when(x.startswith("?"), F.concat(page, x)).otherwise(F.concat(folder, x))
-    return F.filter(F.transform(F.filter(target, lambda x: (x != "") & ~x.startswith("#")), full), lambda x: x.contains("://"))
+    target = F.transform(target, _decoded)
+    return F.transform(F.filter(F.transform(F.filter(target, lambda x: (x != "") & ~x.startswith("#")), full), lambda x: x.contains("://")), _without_dots)
+
+
+def _decoded(x: Column) -> Column:
+    for entity, char in ENTITIES:
+        x = F.replace(x, F.lit(entity), F.lit(char))
+    return x
+
+
+def _without_dots(url: Column) -> Column:
+    """``url`` with . and .. resolved in its path, the latter at most up to the host; paths without them stay as they are."""
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    tail = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    parts = F.split(path_of(url), "/")
+    steps = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    walked = F.aggregate(steps, F.lit(""), lambda done, x: F.when(x == ".", done).when(x == "..", F.regexp_replace(done, r"/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x)))
+    slash = F.when(path_of(url).rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path_of(url).rlike(r"(^|/)\.\.?(/|$)"), F.concat(head, walked, slash, tail)).otherwise(url)
 
 
 def judge_urls(
@@ -89,7 +109,7 @@ def judge_urls(
     its aliases: the urls connected with it, over any number of steps, by canonical
     links and refreshes that pages declare, by ``edges`` (src, dst: urls of redirects),
     or by the edge from each address to its canonical one, which a site redirects it
-    to. An allow rule on any alias comes first, then a block rule,
+    to. Rules are judged on every address of a link, also where no page has it. An allow rule on any alias comes first, then a block rule,
     then ``default``. ``alias`` names the component by its smallest address.
 
     Null urls and those without :// have empty host and path, no alias and the
@@ -112,7 +132,8 @@ def judge_urls(
     links = urls.select(address(F.col("url")).alias("u"), alias_key(F.col("url")).alias("v"))
     if told is not None:
         links = links.union(told.select(address(F.col("src")), address(F.col("dst"))))
-    ruled = judged.where("r is not null and key is not null").groupBy("key").agg(F.max(F.col("r.verdict") == "allow").alias("allowed"))
+    every = urls.select(alias_key(F.col("url")).alias("key"), rule_for(host_of(F.col("url")), path_of(F.col("url")), rules).alias("r"))
+    ruled = every.where("r is not null and key is not null").groupBy("key").agg(F.max(F.col("r.verdict") == "allow").alias("allowed"))
     named = components(links).withColumnRenamed("label", "alias")
     ruled = ruled.join(named, ruled.key == named.node, "left").groupBy(F.coalesce("alias", "key").alias("alias")).agg(F.max("allowed").alias("allowed"))
     judged = judged.join(named, judged.key == named.node, "left").withColumn("alias", F.coalesce("alias", "key"))

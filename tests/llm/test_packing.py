@@ -124,3 +124,10 @@ def test_the_query_against_plain_lists(spark, sf_dir):
     plain = plain_best_fit([x.length for x in got], caps, 16.0, 32768.0)
     assert sorted(map(sorted, plain)) == sorted(bins.values())
     assert all(got[i].capacity == min(c for c in caps if c >= sum(got[j].length for j in has)) for has in bins.values() for i in has)
+
+
+def test_shards_don_t_depend_on_how_rows_lie_in_files(spark):
+    rows = [(i % 400 if i % 7 else None, i % 90) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, length long")
+    packed = lambda d: sorted((tuple(x) for x in best_fit(d, (64, 128), shard_rows=300).collect()), key=repr)
+    assert packed(df) == packed(df.repartition(13, "length")) == packed(df.orderBy("length").coalesce(1))

@@ -93,3 +93,33 @@ def test_relative_links_and_lists_of_rel(spark):
         (8, "http://x.org/other", "", 0),
     ]
     assert {k: v[3] for k, v in judged(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "allow"}
+
+
+def test_rules_on_targets_that_no_page_has_dots_and_entities(spark):
+    """The same by SQL, on pages whose links have dot segments and entities."""
+    import duckdb
+
+    from roadlens.llm.queries import oracle_sql
+
+    rows = [
+        (1, "http://v.org/1", LINK % "http://v.net/fr/9", 0),  # blocked, though no row has that address
+        (2, "http://w.org/a/b/c", LINK % "../q", 0),
+        (3, "http://w.org/a/q", LINK % "http://w.net/es/1", 0),
+        (4, "http://z.org/p", LINK % "http://z.org/r?a=1&amp;b=2", 0),
+        (5, "http://z.org/r?b=2&a=1", LINK % "http:&#x2F;&#47;y.net/x/./../fr/..//../fr/k", 0),
+        (6, "http://u.org/a/", LINK % "/../../s/t/..", 0),
+        (7, "http://u.org/s/", LINK % "http://u.net/fr/", 0),
+        (8, "http://u.org/n", LINK % "./.", 0),
+        (9, "http://u.org/", LINK % "http://example.com/fr/../en/", 0),
+        (10, "http://t.org/...", LINK % "http://t.org/..b/.c", 0),
+        (11, "http://t.org/..b/.c", LINK % "http://t.net/es/..", 0),
+        (12, "http://t.org/long", "<link rel=canonical href=/" + "x/../" * 3000 + "..b/.c>", 0),
+        (13, "http://q.org/", LINK % "http://www.example.com/en/1", 0),
+        (14, "http://q.org", LINK % "http://v.net/fr/8", 0),
+    ]
+    got = {k: v[3] for k, v in judged(spark, rows).items()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 9}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [r[:3] for r in rows])
+    assert {x[0]: x[4] for x in con.sql(oracle_sql()["op1_url_alias_filter"]).fetchall()} == got
