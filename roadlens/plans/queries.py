@@ -530,6 +530,27 @@ def caption_lines_scan(spark, sf_dir):
     return read_captions(spark, folder, lines=True).select("image_id", "image_path", F.md5("caption").alias("caption_md5"))
 
 
+@query("""SELECT doc_id::VARCHAR AS image_id, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS corpus_pos, md5(trim(text, ' \t\n\r')) AS caption_md5
+    FROM documents QUALIFY trim(text, ' \t\n\r') <> ''""")
+def captions_split_scan(spark, sf_dir):
+    """Sixteen JSON documents, each of which tasks share by bytes."""
+    folder = _folder(spark, "documents")
+    one = F.to_json(F.struct("image_path", F.lit(True).alias("success"), "caption"))
+    rows = corpus(spark, sf_dir).select((F.col("corpus_pos") % 16).alias("g"), F.col("corpus_pos").alias("at"), F.concat(F.lit(", "), one).alias("value"))
+    ends = spark.range(16).select(F.col("id").alias("g"), F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit('{"summary": {}, "results": [{"image_path": "none", "success": false}').alias("value")), F.struct(F.lit(2**62).alias("at"), F.lit("]}").alias("value")))).alias("x")).select("g", "x.*")
+    rows.unionByName(ends).repartition("g").sortWithinPartitions("g", "at").select("g", "value").write.partitionBy("g").text(folder)
+    return read_captions(spark, folder, split=True).select("image_id", "corpus_pos", F.md5("caption").alias("caption_md5"))
+
+
+@query(SQL["caption_batch_summary"])
+def observed_summary(spark, sf_dir):
+    """The summary of caption rows, observed in the pass that writes them."""
+    d = _t(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("image_path"), (F.col("lang") != "de").alias("success"), (F.col("n_chars") / 1000.0).alias("inference_seconds"), F.col("text").alias("caption"))
+    told = sinks.write_captions(rows, _folder(spark, "observed"))
+    return spark.createDataFrame([tuple(told.values())], "total_images bigint, success_images bigint, failed_images bigint, average_inference_seconds double")
+
+
 @query(f"SELECT doc_id::VARCHAR AS image_id, md5(bm25_text) AS view_md5 FROM ({_view('text', 'documents', 'doc_id')}) WHERE bm25_text <> ''")
 def lexical_view_file(spark, sf_dir):
     """The lexical view written as caption rows and read as a corpus."""

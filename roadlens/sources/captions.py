@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import one_image
@@ -30,16 +30,19 @@ def as_corpus(rows: DataFrame, source: Column) -> DataFrame:
     return kept.select("corpus_pos", stem(path).alias("image_id"), path.alias("image_path"), text.alias("caption"), source.alias("source_result_file"))
 
 
-def read_captions(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+def read_captions(spark: SparkSession, path: str, lines: bool | None = None, split: bool = False) -> DataFrame:
     """Corpus of caption result files: one JSON document each with a list ``results``, or JSON ``lines`` of its elements (default: by the name ``.jsonl``).
 
-    A document is one task's work, lines are split: large inputs should be lines.
+    A document is one task's work, unless it is read ``split``: then it is cut at the key image_path, which must
+    lead each element, so that tasks share it by bytes, as they share lines. Elements that don't fit fail the job.
     corpus_pos is the place in the list; lists of several files share places, which
     ties then leave to the path.
     """
     if path.endswith(".jsonl") if lines is None else lines:
         rows = spark.read.schema(CAPTION_ROW).json(path).select("*", F.monotonically_increasing_id().alias("corpus_pos"), F.col("_metadata.file_path").alias("file"))
         return as_corpus(rows, F.col("file"))
+    if split:
+        return as_corpus(_elements(spark, path), F.col("file"))
     files = spark.read.schema(CAPTION_FILE).option("multiLine", True).json(path).select("results", F.col("_metadata.file_path").alias("file"))
     # inside the generator: a filter before it would give way to the one that the generator implies
     results = F.coalesce("results", F.raise_error(F.lit("a caption file must have a list named results")))
@@ -47,6 +50,25 @@ def read_captions(spark: SparkSession, path: str, lines: bool | None = None) ->
     return as_corpus(rows.withColumn("corpus_pos", F.col("pos").cast("bigint")), F.col("file"))
 
 
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    """file, corpus_pos and the fields of each element of the ``results`` of documents, read as text between two keys.
+
+    Within a JSON string the key's quotes have backslashes before them, so that the bytes of the key are the key.
+    Places are counted by split: each split's elements come after those of the splits before it.
+    """
+    key = '"image_path"'
+    text = spark.read.option("lineSep", key).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    splits = text.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = text.join(splits.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    # what comes before the first key is no element
+    placed = placed.withColumn("corpus_pos", F.col("before") + F.col("i") - F.col("first") - 1)
+    placed = placed.withColumn("value", F.when(F.col("corpus_pos") >= 0, F.col("value"))).where("value is not null")
+    placed = require(placed, F.col("value").isNull() | F.col("value").rlike(r"\{\s*$|\]\s*(,[^\[\]]*)?\}\s*$"), "image_path must lead each element of results")
+    one = F.from_json(F.concat(F.lit("{" + key), F.col("value")), "image_path string, success string, inference_seconds double, caption string, error string", {"mode": "FAILFAST"})
+    return placed.select("file", "corpus_pos", one.alias("r")).select("file", "corpus_pos", "r.*")
+
+
 def migrated(corpus: DataFrame, existing: DataFrame, root: str, marker: str = "/input/raw/") -> DataFrame:
     """``corpus`` with paths that ``existing`` (image_path) lacks moved under ``root``, where the moved path exists.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import dir_name, file_name
@@ -36,6 +36,17 @@ def append_captions(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").json(folder)
 
 
+def write_captions(rows: DataFrame, folder: str, seconds: str = "inference_seconds") -> dict:
+    """As ``append_captions``; returns what ``evaluate.caption_summary`` says of ``rows``, observed as they are written."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    seen = Observation()
+    told = rows.observe(seen, F.count(F.lit(1)).alias("total_images"), F.count_if(ok).alias("success_images"), F.sum(F.when(ok, F.col(seconds))).alias("seconds"), F.count(F.when(ok, F.col(seconds))).alias("timed"))
+    append_captions(told, folder)
+    x = seen.get
+    mean = round(x["seconds"] / x["timed"], 6) if x["timed"] else None
+    return {"total_images": x["total_images"], "success_images": x["success_images"], "failed_images": x["total_images"] - x["success_images"], "average_inference_seconds": mean or None}
+
+
 def write_csv(df: DataFrame, folder: str, columns: tuple[str, ...] | None = None) -> None:
     (df.select(*columns) if columns else df).write.mode("overwrite").option("header", True).csv(folder)
 

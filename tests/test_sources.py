@@ -204,3 +204,34 @@ def test_prompts_and_expansion(spark):
             vectors.expand(q.withColumn("display_query", F.lit(text)), good, many).collect()
     with pytest.raises(ValueError):
         vectors.expand(q, good, 1)
+
+
+def test_one_json_document_is_shared_by_tasks(spark, tmp_path):
+    nasty = ['a "image_path": "x"', 'b}, {"image_path"', "c\\", "d\n]}", "é😀 \"image_path\"", "{", "  "]
+    results = [{"image_path": f"/p/{i}.jpg", "success": i % 11 > 0, "inference_seconds": i / 8, "caption": nasty[i % 7] + f" {i}" * (i % 7 < 6), "error": None} for i in range(400)]
+    for n, indent in ((0, 2), (1, None)):
+        put(f"{tmp_path}/in/{n}.json", json.dumps({"summary": {"total_images": 400}, "results": results[n:]}, indent=indent, ensure_ascii=n == 0))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = cs.read_captions(spark, f"{tmp_path}/in", split=True)
+        assert got.rdd.getNumPartitions() > 20 or got.count()
+        rows = sorted(map(tuple, got.collect()))
+        put(f"{tmp_path}/bad.json", json.dumps({"results": [{"success": True, "image_path": f"/{i}.jpg", "caption": "x"} for i in range(3)]}))
+        with pytest.raises(Exception, match="must lead"):
+            cs.read_captions(spark, f"{tmp_path}/bad.json", split=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert rows == sorted(map(tuple, cs.read_captions(spark, f"{tmp_path}/in").collect())) and len(rows) > 600
+
+
+def test_a_summary_is_observed_as_rows_are_written(spark, tmp_path):
+    from roadlens.operators import evaluate
+
+    rows = spark.createDataFrame([("/1", True, 1.5, "a", None), ("/2", True, None, "b", None), ("/3", False, 9.0, None, "x"), ("/4", None, 2.0, None, "y"), ("/5", True, 0.25, "c", None)], "image_path string, success boolean, inference_seconds double, caption string, error string")
+    told = sinks.write_captions(rows, f"{tmp_path}/out")
+    assert told == evaluate.caption_summary(rows).first().asDict() and told["average_inference_seconds"] == 0.875
+    assert spark.read.json(f"{tmp_path}/out").count() == 5
+    assert sinks.write_captions(rows.limit(0), f"{tmp_path}/none") == {"total_images": 0, "success_images": 0, "failed_images": 0, "average_inference_seconds": None}
