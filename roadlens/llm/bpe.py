@@ -270,7 +270,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     ``special``: the strings of added tokens become those tokens, as the
     vocabulary's own library has it; else they are ordinary text. Null and empty
     texts have no ids. A long text is one row and never cut; rows pass in slices
-    of bounded bytes. Other columns are not read.
+    of bounded bytes. Repeated rows and null ids are rows as any, no rows give none. Other columns are not read.
     """
     path = path or default_vocabulary()
 

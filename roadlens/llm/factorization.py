@@ -169,7 +169,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "t
 
     Inputs are the text and the claimed length (missing or null: the text's own);
     never ids, labels, language or source. Null and empty texts get the score of
-    a text without words. Whole texts count; equal rows get equal scores.
+    a text without words. Whole texts count; equal rows get equal scores, no rows give none.
     """
 
     def make():

@@ -114,7 +114,7 @@ def judge_urls(
 
     Null urls and those without :// have empty host and path, no alias and the
     default verdict, or that of a rule for the empty host. A null html declares
-    nothing. Repeated rows each get their row. Other columns are not read. Nothing
+    nothing. Repeated rows each get their row; no rows give none. Other columns are not read. Nothing
     is broadcast, no Python runs; all sides of an address meet in plain joins and
     are reduced before they are shuffled.
     """

@@ -1,4 +1,6 @@
 import corpus_pipeline as cp
+import pytest
+from pyspark.sql import functions as F
 from roadlens.llm import decision_list, factorization, pii
 
 from .test_minmax_dedup import brute
@@ -57,3 +59,36 @@ def test_the_run_and_odd_rows(spark, sf_dir, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/e/labels.parquet")
     assert cp.run(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_a_stopped_run_resumes(spark, sf_dir, tmp_path, monkeypatch):
+    """Stages that are whole are not run again; one that was lost is."""
+    ran = []
+
+    def stage(name):
+        def f(spark, docs, sf_dir):
+            ran.append(name)
+            if name == "c" and ran.count("c") == 1:
+                raise RuntimeError("lost")
+            return docs.where(f"doc_id % {2 + len(name)} >= 0")
+
+        return name, f
+
+    monkeypatch.setattr(cp, "STAGES", [stage(n) for n in "abcde"])
+    with pytest.raises(RuntimeError):
+        cp.run(spark, sf_dir, f"{tmp_path}/stages")
+    assert cp.run(spark, sf_dir, f"{tmp_path}/stages").count() == 200
+    assert ran == ["a", "b", "c", "c", "d", "e"]
+
+
+def test_columns_with_the_names_of_the_operators_own(spark, sf_dir, monkeypatch):
+    """The PII stage keeps them, and its texts equal those without them."""
+    monkeypatch.setattr(pii, "train", lambda x, y: pii.Network.fresh())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50).cache()
+    own = ["__id", "__text", "__label", "__n", "__t", "__h", "c0"]
+    more = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(own)])
+    got = cp.personal_data(spark, more, sf_dir)
+    assert got.columns == more.columns
+    rows = got.collect()
+    assert all(x[c] == i for x in rows for i, c in enumerate(own))
+    assert {(x.doc_id, x.text, x.n_chars) for x in rows} == {(x.doc_id, x.text, x.n_chars) for x in cp.personal_data(spark, docs, sf_dir).collect()}
