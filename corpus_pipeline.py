@@ -83,14 +83,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all documents, each written to the shared folder and read again as the next one's input."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages over all documents, each written to the shared folder and read again as the next one's input.
+
+    ``folder``: where they are written, by default a new one. A run that names the folder of one that was
+    stopped goes on after the last stage that is whole there. Folders stay until they are deleted, since the result is read from the last.
+    """
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = folder or f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{i}")
-            docs = spark.read.parquet(f"{folder}/{i}")
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        if not _whole(spark, f"{folder}/{i}"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return docs
+
+
+def _whole(spark: SparkSession, folder: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
