@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from .rank import whole
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries are searched in parts of up to so many phrasings, and of up to so many of their (phrasing, term) pairs on average.
 MOST_PHRASINGS, MOST_TERMS = 4096, 500_000
+#: Tasks hold the idf of up to so many terms while norms are made.
+MOST_IDF = 1_000_000
 
 
 @dataclass
@@ -125,18 +128,59 @@ def tfidf_index(corpus: DataFrame, text: str = "caption") -> Postings:
 
     A weight is a count over its document's norm; the idf comes with the
     query's terms, so that the postings never meet the vocabulary as a whole. Only norms
-    need that: counts go to the terms, and their squares come back.
+    need that: see ``_norms``.
     """
     v = saved(term_rows(spread(corpus), grams(F.coalesce(F.col(text), F.lit("")))))
     n = v.count()
-    each = v.select("corpus_pos", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("corpus_pos", F.col("x.terms").alias("term"), "x.tf")
-    terms = checkpoint(each.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
-    square = F.col("tf") * F.col("idf")
-    norm = each.join(terms, "term").groupBy("corpus_pos").agg(F.sqrt(F.sum(square * square)).alias("norm"))
-    kept = saved(v.join(norm, "corpus_pos", "left"))
+    df = document_counts(v)
+    terms = checkpoint(df.select("term", "df", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    kept = saved(_norms(v, terms, n))
     return Postings(corpus, kept.withColumn("weight", F.transform("tf", lambda x: x / F.col("norm"))).drop("norm"), terms)
 
 
+def _norms(rows: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """``rows`` with norm: the length of each document's vector of counts times idf.
+
+    Tasks hold the idf of the most frequent terms, as many as MOST_IDF allows, and add up what these
+    give where the document is. Where all others occur in one document, theirs is known too, and nothing is shuffled. Otherwise
+    only the postings of those others go to their terms, and their sums come back.
+    """
+    cuts = [2**i for i in range(40)]
+    over = terms.agg(*[F.count_if(F.col("df") > c).alias(f"n{c}") for c in cuts]).first()
+    cut = next(c for c in cuts if over[f"n{c}"] <= MOST_IDF)
+    single = math.log((1.0 + n) / 2) + 1 if cut == 1 else None
+    frequent = terms.where(F.col("df") > cut).select("term", "idf").toArrow()
+    held = rows.sparkSession.sparkContext.broadcast((frequent.column("term").combine_chunks(), frequent.column("idf").to_numpy()))
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields]
+    out = ", ".join(f"{c} {t}" for c, t in zip(rows.columns, kinds, strict=True)) + ", own double, rest array<struct<term:string,tf:bigint>>"
+    t, f = rows.columns.index("terms"), rows.columns.index("tf")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, idf = held.value
+        for b in batches:
+            ends = b.column(t).offsets.to_numpy() - b.column(t).offsets[0].as_py()
+            flat, tf = b.column(t).flatten(), b.column(f).flatten().to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy(zero_copy_only=False) if len(words) else np.full(len(flat), -1)
+            known = at >= 0
+            each = np.zeros(len(flat))
+            each[known] = idf[at[known]]
+            rest = np.flatnonzero(~known)
+            if single is not None:
+                each[rest], rest = single, rest[:0]
+            own = np.add.reduceat(np.append((tf * each) ** 2, 0.0), ends[:-1]) * (ends[1:] > ends[:-1]) if len(ends) > 1 else np.zeros(0)
+            struct = pa.StructArray.from_arrays([flat.take(pa.array(rest)), pa.array(tf[rest])], ["term", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, ends).astype(np.int32)), struct)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), lists], names=[*b.schema.names, "own", "rest"])
+
+    seen = rows.mapInArrow(run, out)
+    if single is not None:
+        return seen.select(*rows.columns, F.sqrt("own").alias("norm"))
+    seen = saved(seen)
+    square = F.col("tf") * F.col("idf")
+    far = seen.select("corpus_pos", F.inline("rest")).join(terms, "term").groupBy("corpus_pos").agg(F.sum(square * square).alias("far"))
+    return seen.join(far, "corpus_pos", "left").select(*rows.columns, F.sqrt(F.col("own") + F.coalesce("far", F.lit(0.0))).alias("norm"))
+
+
 def tfidf_search(index: Postings, queries: DataFrame, k: int | None, text: str = "search_query") -> DataFrame:
     """As ``bm25_search``, by the cosine; a query without known terms has the first rows at 0."""
     q = _asked_terms(queries, grams(F.col(text)))

@@ -67,6 +67,16 @@ def test_queries_in_parts_and_blocks_of_rows(frames, monkeypatch):
     assert listed(lexical.bm25_search(index, queries, 30)) == want
 
 
+def test_norms_with_few_terms_held(frames, monkeypatch):
+    corpus, _ = frames
+    rows = lambda: {x.corpus_pos: [round(w, 12) for w in x.weight] for x in lexical.tfidf_index(corpus).rows.select("corpus_pos", "weight").collect()}
+    want = rows()
+    assert len(want) == 115 and any(want.values())
+    for most in (60, 5, 0):
+        monkeypatch.setattr(lexical, "MOST_IDF", most)
+        assert rows() == want
+
+
 def test_only_the_best_rows_leave_a_task(frames):
     corpus, queries = frames
     got = lexical.bm25_search(lexical.bm25_index(corpus), queries, 3)

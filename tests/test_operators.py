@@ -113,8 +113,8 @@ def test_bm25_where_matches_score_nothing_or_less(spark):
 def test_tfidf_of_equal_texts_is_one(spark):
     index = lexical.tfidf_index(corpus(spark, CAPTIONS))
     got = lexical.tfidf_search(index, asked(spark, ["Red bús", "zzz"]), 3).collect()
-    first = [x for x in got if x.query_id == 0]
-    assert [x.image_id for x in sorted(first, key=lambda x: x.rank)][:2] == ["5", "6"] and abs(first[0].score - 1) < 1e-9
+    first = sorted((x for x in got if x.query_id == 0), key=lambda x: x.rank)
+    assert [x.image_id for x in first][:2] == ["5", "6"] and abs(first[0].score - 1) < 1e-9
     assert [x.image_id for x in sorted((x for x in got if x.query_id == 1), key=lambda x: x.rank)] == ["0", "1", "2"]
 
 
