@@ -155,8 +155,10 @@ def without_accents(text: Column) -> Column:
     src, dst, longer, marks = _letters(0x2FA20)
     one = F.regexp_replace(F.translate(text, src, dst), _class(marks), "")
     table = F.map_from_arrays(F.lit(list(longer)), F.lit(list(longer.values())))
-    parts = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    every = F.when(one.rlike(_class(sorted(map(ord, longer)))), parts).otherwise(one)
+    several = _class(sorted(map(ord, longer)))
+    # each different one that the text has is replaced throughout; there are few in a text
+    found = F.array_distinct(F.regexp_extract_all(one, F.lit(several), F.lit(0)))
+    every = F.when(one.rlike(several), F.aggregate(found, one, lambda done, c: F.replace(done, c, F.element_at(table, c)))).otherwise(one)
     # Latin text, which is most, needs the small table only
     return F.when(text.rlike(r"[^\x00-\x{2ff}]|" + _class(sorted(map(ord, few_longer)))), every).otherwise(F.translate(text, few_src, few_dst))
 

@@ -277,12 +277,15 @@ def ranks(corpus: DataFrame, queries: DataFrame, wanted: DataFrame, skip_self: b
 
     def keyed(batches):
         for b in batches:
-            out = []
-            for q, pos, vectors, v in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if v is not None and None not in v:
-                    _, key, second = Matrix.of([(q, "", vectors)]).keys(np.array([v], np.float64))
-                    out.append((q, pos, float(key[0, 0]), float(second[0, 0])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["q", "corpus_pos", "key", "second"])
+            rows, have = _vectors(b.column(3))
+            lists = b.column(2).take(pa.array(rows))
+            many, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            of = np.repeat(np.arange(len(rows)), many)
+            each = np.einsum("ij,ij->i", flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), have.shape[1] if len(flat) else 0), have[of])
+            start = np.cumsum(many) - many
+            key = np.round(np.maximum.reduceat(each, start), 9) if len(rows) else each
+            second = np.round(each[start], 9) if len(rows) else each
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(key), pa.array(second)], names=["q", "corpus_pos", "key", "second"])
 
     keys = checkpoint(scored.mapInArrow(keyed, "q long, corpus_pos long, key double, second double"))
     n, q_many = keys.groupBy("q").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
