@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -154,7 +155,7 @@ def without_accents(text: Column) -> Column:
     few_src, few_dst, few_longer, _ = _letters(0x300)
     src, dst, longer, marks = _letters(0x2FA20)
     one = F.regexp_replace(F.translate(text, src, dst), _class(marks), "")
-    table = F.map_from_arrays(F.lit(list(longer)), F.lit(list(longer.values())))
+    table = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
     several = _class(sorted(map(ord, longer)))
     # each different one that the text has is replaced throughout; there are few in a text
     found = F.array_distinct(F.regexp_extract_all(one, F.lit(several), F.lit(0)))
