@@ -116,14 +116,14 @@ def expanded_queries(raw: Column, expected: int) -> Column:
 
 
 def _class(points: list[int]) -> str:
-    """A character class of code points, as ranges."""
+    """A character class of code points from 0x80 on, as ranges; ASCII is ruled out by one comparison."""
     out: list[list[int]] = []
     for i in points:
         if out and out[-1][1] == i - 1:
             out[-1][1] = i
         else:
             out.append([i, i])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+    return r"[\x{80}-\x{10ffff}&&[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]]"
 
 
 @lru_cache(2)
