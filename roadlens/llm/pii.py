@@ -82,20 +82,37 @@ _ADDED = {
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9]){12,18}"),
     "phone": re.compile(r"[+(]?[0-9][\x20().0-9-]*[0-9]"),
-    "secret": re.compile(r"[A-Za-z0-9_+]{16,128}"),
+    "secret": re.compile(r"[A-Za-z0-9_+/-]+(?:\.[A-Za-z0-9_+/-]+)*={0,2}"),
 }
-#: Runs of the characters that a secret is made of.
-_RUN = re.compile(r"[A-Za-z0-9_+]+")
+#: What a piece of a span is grown to, by kind: each from its first place on, so that long runs take linear time. Cards and ips are never longer than a window.
+_RUNS = {
+    "email": re.compile(r"(?<![^\s@])[^\s@]++@[^\s@]++"),
+    "phone": re.compile(r"[+(]?[0-9](?:[\x20().-]*+[0-9])*+"),
+    "secret": re.compile(r"[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+={0,2}"),
+}
+_SEPARATOR = re.compile(r"[/.=-]+")
+
+
+def _scrambled(s: str, bare: str) -> bool:
+    """Whether a run with separators is no path, date or name: small and capital letters and digits, which change places often between separators."""
+    sort = lambda c: "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "_"
+    parts = [[sort(c) for c in p] for p in _SEPARATOR.split(s)]
+    changes = sum(a != b for p in parts for a, b in zip(p, p[1:], strict=False))
+    return {"0", "a", "A"} <= {c for p in parts for c in p} and 4 * changes >= len(bare)
 
 
 def acceptable(kind: str, s: str) -> bool:
-    """The exact check on what the network adds, wider than the base patterns."""
+    """The exact check on what the network adds, wider than the base patterns. No kind but cards, ips and phones is limited in length.
+
+    A secret has 16 characters or more besides separators (``/ . - =``: base64 keys, signed tokens).
+    """
     if not _ADDED[kind].fullmatch(s):
         return False
     digits = _NOT_DIGIT.sub("", s)
     if kind == "secret":
-        letters = {c.lower() for c in s if c.isalpha()}
-        return len(digits) >= 2 and len(letters) >= 2 and len(set(s)) >= 7
+        bare = _SEPARATOR.sub("", s)
+        mixed = len(bare) >= 16 and len(digits) >= 2 and len({c.lower() for c in bare if c.isalpha()}) >= 2 and len(set(bare)) >= 7
+        return mixed and (len(bare) == len(s) or _scrambled(s, bare))
     if kind == "ip":
         return all(int(p) <= 255 for p in s.split("."))
     if kind == "card":
@@ -236,7 +253,7 @@ class Network:
         return float((z - gold).mean()), g
 
 
-def train(x: np.ndarray, y: np.ndarray, updates: int = 220, batch: int = 96, rate: float = 0.02, seed: int = 4) -> Network:
+def train(x: np.ndarray, y: np.ndarray, updates: int = 260, batch: int = 96, rate: float = 0.02, seed: int = 4) -> Network:
     """Adam on shuffled windows of codes ``x`` and tags ``y``."""
     net, rng = Network.fresh(), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -286,8 +303,12 @@ def _invented(rng: np.random.Generator) -> tuple[str | None, str, str]:
     if kind == "secret":
         name = one("", "", "key", "password", "token", "secret", "api_key", "pwd", "Bearer", "auth")
         name += one("=", " = ", ": ", " ", '="', ' = "') if name else ""
-        form = rng.integers(0, 4)
+        form = one(0, 1, 2, 3, 0, 1, 2, 3, 4, 5)
         n = int(rng.integers(16, 49))
+        if form > 3:
+            mixed = low + up + digits
+            s = some(mixed + "+/", n + 4) + one("", "=", "==") if form == 4 else ".".join(some(mixed + "-_", int(rng.integers(8, 33))) for _ in range(3))
+            return kind, s if acceptable(kind, s) else some(mixed, 8) + "/9aB" + some(mixed, 16) + "4kQ", name
         s = some(digits + low[:6], n) if form == 0 else some(up + digits, n) if form == 1 else some(low + up + digits, n) if form == 2 else some(up, 4) + some(up + digits, 16)
         return kind, s if acceptable(kind, s) else s[:-3] + "7a9", name
     n, y = rng.integers(1, 1000), rng.integers(1900, 2100)
@@ -318,7 +339,7 @@ def labelled_windows(t: str, seed: int):
     for h in hits.tolist():
         start = max(0, h * LENGTH - int(rng.integers(0, LENGTH)))
         part = t[start : start + LENGTH]
-        if not any(acceptable("secret", m.group()) for m in _RUN.finditer(part)):
+        if not any(acceptable("secret", m.group()) for m in _RUNS["secret"].finditer(part)):
             yield _marked(t, [s for s in spans if s[1] < start + LENGTH and s[2] > start], start)
 
 
@@ -414,12 +435,12 @@ def reconcile(candidates: dict[tuple[int, int, str], float]) -> list[tuple[str,
 def find_all(texts: list[str], net: Network) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text.
 
-    The network tags overlapping windows. Spans from all windows of a text, less
-    those that a window's edge cuts, are weighed by how far their tags lead, summed over
-    windows. A secret takes in the whole run of its characters. Spans that pass the exact
-    check and overlap no base span are reconciled over the whole text and added. Every
-    span of up to WINDOW - STRIDE characters lies inside some window; a longer one is
-    found only where a window's offset allows it.
+    The network tags overlapping windows. Spans from all windows of a text are weighed
+    by how far their tags lead, summed over windows. A secret takes in the whole run of
+    its characters. Of other kinds every span of up to WINDOW - STRIDE characters lies inside
+    some window; pieces that a window's edge cuts count for the run of their kind's
+    characters if that is longer. Spans that pass the exact check and overlap no base
+    span are reconciled over the whole text and added, however long they are.
     """
     base = [base_spans(t) for t in texts]
     where = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
@@ -441,9 +462,8 @@ def find_all(texts: list[str], net: Network) -> list[tuple[list, list]]:
                 q = p + 1
                 while q < WINDOW and tags[q] == tags[p] + 1:
                     q += 1
-                if (p == 0 and s > 0) or (q == WINDOW and s + q < len(texts[i])):
-                    continue
-                key = (s + p, s + q, TAGGED[int(tags[p] - 1) // 2])
+                cut = (p == 0 and s > 0) or (q == WINDOW and s + q < len(texts[i]))
+                key = (s + p, s + q, TAGGED[int(tags[p] - 1) // 2], cut)
                 votes[i][key] = votes[i].get(key, 0.0) + float(lead[r, p:q].mean())
     out = []
     for t, b, v in zip(texts, base, votes, strict=True):
@@ -452,23 +472,34 @@ def find_all(texts: list[str], net: Network) -> list[tuple[list, list]]:
     return out
 
 
-def _fitting(t: str, base: list, votes: dict[tuple[int, int, str], float]) -> dict[tuple[int, int, str], float]:
-    """The candidates that pass the exact check and overlap no base span, secrets grown to their runs."""
+def _fitting(t: str, base: list, votes: dict[tuple[int, int, str, bool], float]) -> dict[tuple[int, int, str], float]:
+    """The candidates that pass the exact check and overlap no base span: secrets, and pieces cut by a window's edge, grown to their runs.
+
+    Each span is checked once, however many windows vote for it.
+    """
     taken = sorted((x, y) for _, x, y in base)
     starts, upto = [x for x, _ in taken], np.maximum.accumulate([y for _, y in taken]) if taken else []
-    runs = [m.span() for m in _RUN.finditer(t)] if any(k == "secret" for _, _, k in votes) else []
-    heads = [a for a, _ in runs]
+    runs: dict = {}
     out: dict = {}
-    for (x, y, k), w in votes.items():
-        if k == "secret":
-            at = bisect_right(heads, (x + y) // 2) - 1
-            if at < 0 or runs[at][1] <= (x + y) // 2:
+    passed: dict = {}
+    for (x, y, k, cut), w in votes.items():
+        if k == "secret" or cut:
+            if k not in _RUNS:
+                continue
+            if k not in runs:
+                runs[k] = [m.span() for m in _RUNS[k].finditer(t)]
+            at = bisect_right(runs[k], (x + y) // 2, key=lambda r: r[0]) - 1
+            if at < 0 or runs[k][at][1] <= (x + y) // 2:
+                continue
+            x, y = runs[k][at]
+            if k != "secret" and y - x <= WINDOW - STRIDE:
                 continue
-            x, y = runs[at]
-        before = bisect_right(starts, y - 1)
-        if (before and upto[before - 1] > x) or y - x > 2 * WINDOW or not acceptable(k, t[x:y]):
-            continue
-        out[x, y, k] = out.get((x, y, k), 0.0) + w
+        key = (x, y, k)
+        if key not in passed:
+            before = bisect_right(starts, y - 1)
+            passed[key] = not (before and upto[before - 1] > x) and acceptable(k, t[x:y])
+        if passed[key]:
+            out[key] = out.get(key, 0.0) + w
     return out
 
 

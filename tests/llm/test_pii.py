@@ -113,11 +113,52 @@ def test_held_out_spans_of_all_kinds(net):
 
 def test_refused_candidates_do_not_push_out_others():
     t = "call (555) 201-4433 now"
-    votes = {(4, 23, "phone"): 9.0, (5, 19, "phone"): 2.0}
+    votes = {(4, 23, "phone", False): 9.0, (5, 19, "phone", False): 2.0}
     assert pii.reconcile(pii._fitting(t, [], votes)) == [("phone", 5, 19)]
     assert pii._fitting(t, [("ip", 0, 6)], votes) == {}
 
 
+def _random(alphabet, n, seed):
+    r = random.Random(seed)
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+def test_secrets_of_all_lengths_and_with_separators(net):
+    """Forms that training does not make: lengths far over a window's, base64 over many windows, signed tokens."""
+    import string
+
+    plain, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    secrets = [_random(plain, n, n) for n in (40, 97, 126, 129, 300, 5000)] + [_random(b64, n, n) + "==" for n in (42, 200, 2000)]
+    secrets += [f"eyJhbGciOiJIUzI1NiJ9.{_random(plain + '-_', n, n)}7a.{_random(plain + '-_', 43, n + 1)}9" for n in (60, 400)]
+    texts = [f"inger thond of the {s} an of" for s in secrets]
+    want = [("secret", 19, 19 + len(s)) for s in secrets]
+    found = [w in spans for w, (_, spans) in zip(want, pii.find_all(texts, net), strict=True)]
+    assert all(pii.acceptable("secret", s) for s in secrets) and all(found), found
+    for s in ("archive/2024-01-17/part-00012.json", "example.org/a/b-c/d17/index.html", "550e8400-e29b-41d4-a716-446655440000", "2024-01-02-03-04-05-06-07", "Chapter-12/Section-14.2.1", "v1.2.3-alpha.17+build.2024"):
+        assert not pii.acceptable("secret", s), s
+
+
+def test_pieces_cut_by_windows_grow_to_long_spans():
+    t = "to é" + "x" * 400 + "@host.org now"
+    piece, name = (380, 410, "email", True), (3, 413, "email")
+    assert pii._fitting(t, [], {piece: 1.0, (385, 412, "email", True): 2.0}) == {name: 3.0}
+    assert pii._fitting("é1@host.org x", [], {(0, 5, "email", True): 1.0}) == {}
+    assert pii._fitting(t, [("email", 5, 413)], {piece: 1.0}) == {}
+    phone = "(211)" + " " * 120 + "301-1234"
+    assert pii._fitting("a " + phone + " b", [], {(100, 130, "phone", True): 1.5}) == {(2, 2 + len(phone), "phone"): 1.5}
+
+
+def test_growing_takes_linear_time(net):
+    import time
+
+    began = time.process_time()
+    for t in ("x/" * 500_000, "a" * 1_000_000, "1." * 500_000, "a@" * 300_000, "+1-" * 300_000, "1 " * 500_000, "é@" * 300_000):
+        for k in pii._RUNS:
+            votes = {(i, i + 40, k, True): 1.0 for i in range(0, len(t) - 40, 32)}
+            pii._fitting(t, [], votes)
+    assert time.process_time() - began < 60
+
+
 def test_the_query_against_plain_patterns(spark, sf_dir):
     import hashlib
 
