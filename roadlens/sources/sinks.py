@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dir_name, file_name
 from ..storage import checkpoint
+from .folders import copy_folders
 
 #: The columns of the recall tables.
 PERCENTILE_COLUMNS = ("query", "backend", "percent", "candidate_count", "gt_count", "recalled_gt_count", "recall")
@@ -60,54 +61,6 @@ def placed(ranked: DataFrame, queries: DataFrame, part: str) -> DataFrame:
     return ranked.join(last, "query_id").select("query_id", "query_dir", F.lit(part).alias("part"), "rank", F.col("image_path").alias("source_path"), F.concat_ws("/", "query_dir", F.lit(part), rank).alias("target"))
 
 
-def copy_placed(rows: DataFrame, base: str, strict: bool = False) -> DataFrame:
-    """Copies files on the workers and returns (target, status): copied or missing. ``strict`` makes a missing source an error.
-
-    ``base`` and the sources must be on a file system that all workers mount.
-    """
-
-    def run(parts):
-        import os
-        import shutil
-
-        import pandas as pd
-
-        for part in parts:
-            out = []
-            for src, target in zip(part["source_path"], part["target"], strict=True):
-                if not os.path.isfile(src):
-                    if strict:
-                        raise FileNotFoundError(src)
-                    out.append((target, "missing"))
-                    continue
-                dest = os.path.join(base, target)
-                os.makedirs(os.path.dirname(dest), exist_ok=True)
-                shutil.copy2(src, dest)
-                out.append((target, "copied"))
-            yield pd.DataFrame(out, columns=["target", "status"])
-
-    return rows.select("source_path", "target").mapInPandas(run, "target string, status string")
-
-
-def clear_folders(folders: DataFrame, base: str) -> None:
-    """Deletes the folders (one column, relative to ``base``) that are there, on the workers."""
-    name = folders.columns[0]
-
-    def run(parts):
-        import os
-        import shutil
-
-        for part in parts:
-            for folder in part[name]:
-                inside = os.path.normpath(folder)
-                if inside in (".", "..") or os.path.isabs(inside) or inside.startswith("../"):
-                    raise ValueError(f"not a folder below the base: {folder!r}")
-                shutil.rmtree(os.path.join(base, inside), ignore_errors=True)
-            yield part
-
-    folders.distinct().mapInPandas(run, folders.schema).write.format("noop").mode("overwrite").save()
-
-
 def placed_parts(parts: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
     """``placed`` for each named ranking, in one frame."""
     out = None
@@ -118,13 +71,16 @@ def placed_parts(parts: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
 
 
 def organize(parts: dict[str, DataFrame], queries: DataFrame, base: str, strict: bool = False) -> DataFrame:
-    """Writes a folder a query with a folder for each ranking of ``parts``, after clearing those that were there; returns the manifest with status.
+    """Writes a folder a query with a folder for each ranking of ``parts``, in place of those that were there; returns the manifest with status.
 
-    Missing sources are left out with status missing; ``strict`` makes them an error.
+    Missing sources are left out with status missing; ``strict`` makes them an error, which leaves all folders as they were (``copy_folders``).
     """
     rows = checkpoint(placed_parts(parts, queries))
-    clear_folders(queries.select(dir_name(F.col("display_query")).alias("query_dir")), base)
-    return rows.join(checkpoint(copy_placed(rows, base, strict)), "target")
+    none = F.lit(None).cast("string")
+    folders = queries.select(dir_name(F.col("display_query")).alias("folder"), none.alias("source_path"), none.alias("target"))
+    status = copy_folders(folders.union(rows.select("query_dir", "source_path", "target")), base, strict)
+    same = (rows["target"] == status["target"]) & rows["source_path"].eqNullSafe(status["source_path"])
+    return rows.join(status, same).select(rows["*"], "status")
 
 
 def sample_manifest(issues: DataFrame, sampled: DataFrame) -> DataFrame:
@@ -144,10 +100,13 @@ def sample_manifest(issues: DataFrame, sampled: DataFrame) -> DataFrame:
 
 
 def copy_samples(manifest: DataFrame, base: str) -> DataFrame:
-    """Copies the samples of a manifest below ``base``, after clearing the folders of its issues that have frames."""
-    manifest = checkpoint(manifest)
-    clear_folders(manifest.where("status = 'ok'").select("issue"), base)
-    return checkpoint(copy_placed(manifest.select(F.explode("samples").alias("s")).select("s.source_path", "s.target"), base, strict=True))
+    """Copies the samples of a manifest below ``base``, in place of the folders of its issues that have frames; a missing source fails and changes nothing."""
+    none = F.lit(None).cast("string")
+    # the issue's own row names its folder, also where nothing was drawn
+    own = F.struct(none.alias("source_path"), none.alias("target"))
+    each = F.concat(F.array(own), F.transform("samples", lambda s: F.struct(s["source_path"].alias("source_path"), s["target"].alias("target"))))
+    rows = manifest.where("status = 'ok'").select(F.col("issue").alias("folder"), F.inline(each))
+    return copy_folders(rows, base, strict=True).select("target", "status")
 
 
 def write_lexical_view(view: DataFrame, folder: str) -> None:

@@ -9,6 +9,7 @@ from roadlens.operators import lexical, vectors
 from roadlens.sources import captions as cs
 from roadlens.sources import queries as qs
 from roadlens.sources import sinks
+from roadlens.sources.folders import _Writer, _Written, copy_folders
 
 
 def put(path, value):
@@ -115,11 +116,12 @@ def test_copies_are_placed(spark, tmp_path):
     r = spark.createDataFrame([(0, 1, "1", src, 1.0), (0, 2, "2", f"{tmp_path}/a/none.jpg", 0.5)], "query_id bigint, rank int, image_id string, image_path string, score double")
     q = spark.createDataFrame([(0, "rain/ now", "rain")], "query_id bigint, display_query string, search_query string")
     placed = sinks.placed(r, q, "hybrid")
-    got = {(x.target, x.status) for x in sinks.copy_placed(placed, f"{tmp_path}/out").collect()}
+    rows = placed.withColumnRenamed("query_dir", "folder")
+    got = {(x.target, x.status) for x in copy_folders(rows, f"{tmp_path}/out").collect()}
     assert got == {("rain_ now/hybrid/01_1.jpg", "copied"), ("rain_ now/hybrid/02_none.jpg", "missing")}
     assert os.path.isfile(f"{tmp_path}/out/rain_ now/hybrid/01_1.jpg")
     with pytest.raises(Exception, match="none.jpg"):
-        sinks.copy_placed(placed, f"{tmp_path}/out", strict=True).collect()
+        copy_folders(rows, f"{tmp_path}/out", strict=True).collect()
 
 
 def test_flows(spark):
@@ -160,10 +162,74 @@ def test_folders_are_cleared_and_written(spark, tmp_path):
     assert {(x.part, x["rank"], x.status) for x in got.collect()} == {("embedding", 1, "copied"), ("embedding", 2, "missing"), ("hybrid", 1, "copied")}
     assert os.listdir(f"{tmp_path}/out/rain/hybrid") == ["01_1.jpg"] and os.path.isfile(f"{tmp_path}/out/other/keep.jpg")
     with pytest.raises(Exception, match="not a folder"):
-        sinks.clear_folders(spark.createDataFrame([("../a",)], "d string"), f"{tmp_path}/out")
+        copy_folders(spark.createDataFrame([("../a", None, None)], "folder string, source_path string, target string"), f"{tmp_path}/out")
     assert os.path.isfile(src)
 
 
+def tree(base):
+    return {os.path.relpath(os.path.join(d, f), base): open(os.path.join(d, f)).read() for d, _, fs in os.walk(base) for f in fs}
+
+
+def test_a_failed_write_leaves_all_folders_as_they_were(spark, tmp_path):
+    base = f"{tmp_path}/out"
+    for n in range(30):
+        put(f"{tmp_path}/src/{n}.jpg", f"new {n}")
+        put(f"{base}/d{n}/old.jpg", "old")
+    before = tree(base)
+    ddl = "folder string, source_path string, target string"
+    rows = [(f"d{n}", f"{tmp_path}/src/{n}.jpg", f"d{n}/x/{n}.jpg") for n in range(30)]
+    bad = spark.createDataFrame([*rows, ("d7", f"{tmp_path}/src/none.jpg", "d7/y.jpg")], ddl)
+    with pytest.raises(Exception, match="none.jpg"):
+        copy_folders(bad, base, strict=True)
+    assert tree(base) == before and not [d for d in os.listdir(base) if d.startswith("_")]
+    for folder, target in (("d1", "d1/../d2/a.jpg"), ("d1", "d2/a.jpg"), ("d1/a", "d1/a/b.jpg"), ("..", "../x.jpg")):
+        with pytest.raises(Exception, match="not a f"):
+            copy_folders(spark.createDataFrame([*rows, (folder, f"{tmp_path}/src/1.jpg", target)], ddl), base)
+    assert tree(base) == before
+    # rows of each folder, repeated and null ones among them, with one that gets nothing; by URI as by path
+    more = [*rows[:20], rows[3], ("d20", None, None), ("d21", None, "d21/z.jpg"), ("new", f"file://{tmp_path}/src/5.jpg", "new/5.jpg"), ("tie", f"{tmp_path}/src/1.jpg", "tie/t.jpg"), ("tie", f"{tmp_path}/src/2.jpg", "tie/t.jpg")]
+    got = copy_folders(spark.createDataFrame(more, ddl).repartition(5), f"file://{base}")
+    assert sorted((x.target, x.status) for x in got.collect()) == sorted([(r[2], "copied") for r in rows[:20]] + [("d21/z.jpg", "missing"), ("new/5.jpg", "copied"), ("tie/t.jpg", "copied"), ("tie/t.jpg", "copied")])
+    want = {f"d{n}/x/{n}.jpg": f"new {n}" for n in range(20)} | {f"d{n}/old.jpg": "old" for n in range(22, 30)} | {"new/5.jpg": "new 5", "tie/t.jpg": "new 2"}
+    assert tree(base) == want
+    assert copy_folders(spark.createDataFrame([], ddl), base).count() == 0 and tree(base) == want
+
+
+def test_commits_take_one_attempt_and_undo_a_half(spark, tmp_path, monkeypatch):
+    """A task that ran twice, and a commit that fails half way and is aborted."""
+    base, status = f"{tmp_path}/out", f"{tmp_path}/status"
+    row = lambda n: type("R", (), {"folder": f"d{n}", "source_path": put(f"{tmp_path}/s/{n}.jpg", f"new {n}"), "target": f"d{n}/{n}.jpg"})
+    for n in range(3):
+        put(f"{base}/d{n}/old.jpg", "old")
+    w = _Writer(base, status, True)
+    w.write(iter([row(0)]))  # lost, and done again
+    told = [w.write(iter([row(0)])), w.write(iter([row(1)])), None]
+    w.commit(told)
+    assert tree(base) == {"d0/0.jpg": "new 0", "d1/1.jpg": "new 1", "d2/old.jpg": "old"}
+    assert sorted(os.listdir(status)) == sorted(f"{m.attempt}.parquet" for m in told[:2])
+    again = _Writer(base, status, True)
+    with pytest.raises(ValueError, match="several tasks"):
+        again.commit([_Written("a", ["d0"]), _Written("b", ["d0"])])
+    from roadlens.sources import folders
+
+    move, seen = folders._move, []
+
+    def failing(fs, old, new):
+        seen.append(new)
+        if new.endswith("/out/d2"):
+            raise OSError("lost")
+        move(fs, old, new)
+
+    third = again.write(iter([row(2)]))
+    monkeypatch.setattr(folders, "_move", failing)
+    with pytest.raises(OSError):
+        again.commit([third])
+    assert not os.path.exists(f"{base}/d2")
+    monkeypatch.setattr(folders, "_move", move)
+    again.abort([third])
+    assert tree(base) == {"d0/0.jpg": "new 0", "d1/1.jpg": "new 1", "d2/old.jpg": "old"} and sorted(os.listdir(base)) == ["d0", "d1", "d2"]
+
+
 def test_issue_samples(spark, tmp_path):
     from roadlens.operators.sample import stratified_sample
 
