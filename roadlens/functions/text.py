@@ -150,6 +150,13 @@ def _letters(end: int) -> tuple[str, str, dict[str, str], list[int]]:
     return "".join(src), "".join(dst), longer, marks
 
 
+@lru_cache(1)
+def plain_letters() -> dict[str, str]:
+    """What ``without_accents`` makes of each character that it changes."""
+    src, dst, longer, marks = _letters(0x2FA20)
+    return dict(zip(src, dst, strict=True)) | longer | dict.fromkeys(map(chr, marks), "")
+
+
 def without_accents(text: Column) -> Column:
     """``text`` with each character in its compatibility decomposition, less combining marks: accents and ligatures go."""
     few_src, few_dst, few_longer, _ = _letters(0x300)

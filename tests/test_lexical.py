@@ -124,3 +124,39 @@ def test_a_stored_index_reads_the_blocks_that_matter(spark, tmp_path, monkeypatc
     assert "pos:array" not in plan and "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     monkeypatch.setattr(stored, "MOST_NAMED", 1)
     assert listed(lexical.bm25_search(back, queries, 10)) == listed(lexical.bm25_search(index, queries, 10))
+
+
+def test_hashed_grams_are_those_of_the_column_function(spark):
+    """Their equality, counts and order of magnitude: odd letters, white space and line ends inside a text, and texts side by side."""
+    from roadlens.functions.text import grams as by_column
+    from roadlens.operators.grams import Grams
+
+    texts = ["Tiếng Việt ﬁre café", "Ǆ ½½ ㎏ Å ẞß İi", "한국어 가나 中文字", "ｆｕｌｌ ＷＩＤＴＨ", "ΟΔΟΣ ΟΔΟΣ σας", "", "\n", "red\nbus\n\nred bus a_b", "a b c", "x1 ١٢ ⅷⅷ éé 🚌bus", "red bus"] + [f"w{i} W{i % 7}" for i in range(300)]
+    named = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", by_column(F.col("t")).alias("g")).orderBy("i").collect()
+    for hashes in (Grams().of(texts), [Grams().of([t])[0] for t in texts]):
+        number = {}
+        assert [len(h) for h in hashes] == [len(x.g) for x in named]
+        for x, h in zip(named, hashes, strict=True):
+            for term, v in zip(x.g, h.tolist(), strict=True):
+                assert number.setdefault(term, v) == v
+        assert len(set(number.values())) == len(number)
+
+
+def test_norms_of_packed_postings_in_many_groups(frames, monkeypatch):
+    """Against plain sums, with none, few or all terms held and a group for every few postings; also joined instead of broadcast. No strings are shuffled."""
+    import math
+    from collections import Counter
+
+    from roadlens.operators import grams
+
+    corpus, _ = frames
+    texts = {x.corpus_pos: x.caption.split() for x in corpus.collect()}
+    count = {p: Counter(w + [" ".join(x) for x in zip(w, w[1:])]) for p, w in texts.items()}
+    df = Counter(t for c in count.values() for t in c)
+    want = {p: round(math.sqrt(sum((n * (math.log(116 / (1 + df[t])) + 1)) ** 2 for t, n in c.items())), 9) for p, c in count.items()}
+    for held, size, norms in ((0, 7, 0), (9, 50, 10**6), (10**6, 10**6, 0)):
+        monkeypatch.setattr(grams, "POSTINGS", size)
+        monkeypatch.setattr(grams, "MOST_NORMS", norms)
+        rows, terms = grams.index(corpus, "caption", held)
+        assert {x.corpus_pos: round(x.norm, 9) for x in rows.select("corpus_pos", "norm").collect()} == want
+        assert sorted(x.df for x in terms.collect()) == sorted(df.values()) and dict(terms.dtypes)["term"] == "bigint"
