@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +35,33 @@ def write_blocks(rows: DataFrame, folder: str, width: int | None = None) -> None
     term and range, so that filters on them skip row groups and pages of a folder's files.
     """
     n = rows.count()
-    dealt = saved(rows.select("corpus_pos", "terms", "weight").repartitionByRange(max(1, math.ceil(n / (width or RANGE))), "corpus_pos").withColumn("range", F.spark_partition_id()))
-    each = dealt.select("range", "corpus_pos", F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("weight").alias("w"))).alias("x"))
-    each = each.select("range", "corpus_pos", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
-    blocks = each.groupBy("term", "range").agg(F.max("w").alias("most"), F.min("w").alias("least"), F.array_sort(F.collect_list(F.struct("corpus_pos", "w"))).alias("all"))
-    blocks = blocks.select("term", "range", "most", "least", F.col("all.corpus_pos").alias("pos"), F.col("all.w").alias("weight"), _bucket().alias("bucket"))
+    dealt = rows.select(F.col("corpus_pos").cast("long"), "terms", "weight").repartitionByRange(max(1, math.ceil(n / (width or RANGE))), "corpus_pos")
+    blocks = saved(dealt.mapInArrow(_packed, "term string, range int, most double, least double, pos array<bigint>, weight array<double>").withColumn("bucket", _bucket()))
     blocks.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a partition's rows, which are a range: they are made where the rows are, so that no posting is shuffled by itself."""
+    kept = [b for b in batches if b.num_rows]
+    if not kept:
+        return
+    terms = pa.chunked_array([b.column(1).flatten() for b in kept]).combine_chunks().dictionary_encode()
+    weight = np.concatenate([b.column(2).flatten().to_numpy(zero_copy_only=False) for b in kept])
+    pos = np.concatenate([np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(b.column(1).offsets.to_numpy())) for b in kept])
+    code = terms.indices.to_numpy(zero_copy_only=False)
+    if not len(code):
+        return
+    order = np.lexsort((pos, code))
+    weight, starts = weight[order], np.flatnonzero(np.diff(code[order], prepend=-1))
+    ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+    lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pos[order], weight))
+    n = len(starts)
+    yield pa.RecordBatch.from_arrays(
+        [terms.dictionary, pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(np.maximum.reduceat(weight, starts)), pa.array(np.minimum.reduceat(weight, starts)), *lists],
+        names=["term", "range", "most", "least", "pos", "weight"],
+    )
+
+
 @dataclass
 class Blocks:
     """Blocks for queries (q, term, w: a weight): what the scan reads is limited to the queries' terms, their folders and the columns that are used."""

@@ -160,3 +160,21 @@ def test_norms_of_packed_postings_in_many_groups(frames, monkeypatch):
         rows, terms = grams.index(corpus, "caption", held)
         assert {x.corpus_pos: round(x.norm, 9) for x in rows.select("corpus_pos", "norm").collect()} == want
         assert sorted(x.df for x in terms.collect()) == sorted(df.values()) and dict(terms.dtypes)["term"] == "bigint"
+
+
+def test_blocks_are_made_where_a_range_is(spark, frames, tmp_path, monkeypatch):
+    """Each of a range's postings is in one block of its term, without a shuffle of single postings."""
+    from roadlens.operators import stored
+
+    corpus, _ = frames
+    monkeypatch.setattr(stored, "RANGE", 20)
+    index = lexical.bm25_index(corpus)
+    plans, write = [], stored.saved
+    monkeypatch.setattr(stored, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    stored.write_blocks(index.rows, f"{tmp_path}/b")
+    assert "Generate" not in plans[0] and "Aggregate" not in plans[0] and plans[0].count("Exchange") == 1
+    got = spark.read.parquet(f"{tmp_path}/b").collect()
+    want = sorted((x.term, x.corpus_pos, x.weight) for x in index.postings.collect())
+    assert sorted((x.term, p, w) for x in got for p, w in zip(x.pos, x.weight, strict=True)) == want
+    assert len({(x.term, x.range) for x in got}) == len(got) and len({x.range for x in got}) > 3
+    assert all(x.most == max(x.weight) and x.least == min(x.weight) and x.pos == sorted(x.pos) for x in got)
