@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,17 +53,18 @@ def embed(df: DataFrame, text: str, load: Callable[[], Embedder], instruction: s
     """``df`` with ``out``: the vectors that the embedder makes of ``text``, ``batch`` texts at a time. Null texts are empty ones."""
     size = max(1, batch)
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for part in parts:
-            texts, rows = part.fillna("").tolist(), []
-            for i in range(0, len(texts), size):
-                got = model.process([{"text": t, "instruction": instruction} for t in texts[i : i + size]], normalize=True)
-                if len(got) != len(texts[i : i + size]) or any(not hasattr(v, "__len__") for v in got):
+            rows = []
+            for i in range(0, len(part), size):  # of an Arrow batch, which is held as it came, only these texts are made strings
+                texts = [t or "" for t in part.slice(i, size).to_pylist()]
+                got = model.process([{"text": t, "instruction": instruction} for t in texts], normalize=True)
+                if len(got) != len(texts) or any(not hasattr(v, "__len__") for v in got):
                     raise ValueError("an embedder must return one vector for each text")
-                rows += [[float(x) for x in v] for v in got]
-            yield pd.Series(rows, dtype=object)
+                rows.append(pa.array([[float(x) for x in v] for v in got], pa.list_(pa.float32())))
+            yield pa.concat_arrays(rows) if rows else pa.array([], pa.list_(pa.float32()))
 
     return df.withColumn(out, run(F.col(text)))
 

@@ -244,3 +244,19 @@ def test_an_embedder_is_loaded_from_a_file(spark, tmp_path):
     assert sorted(x.embedding for x in got.collect()) == [[4.0, 1.0, 0.0], [4.0, 1.0, 2.0]]
     with pytest.raises(Exception, match="No such file|no embedder"):
         vectors.embed(df, "t", vectors.load_embedder(f"{tmp_path}/none.py", "x")).collect()
+
+
+def test_an_embedder_gets_its_texts_from_arrow_some_at_a_time(spark):
+    """No batch becomes a pandas series of strings; sizes that don't divide a batch, null texts and empty frames."""
+    from pyspark.util import PythonEvalType
+
+    class Sizes:
+        def process(self, inputs, normalize=True):
+            assert len(inputs) <= 3 and all(isinstance(x["text"], str) for x in inputs)
+            return [[float(len(x["text"])), float(len(inputs))] for x in inputs]
+
+    df = spark.createDataFrame([(i, None if i == 5 else "x" * i) for i in range(10)], "i int, t string").coalesce(1)
+    got = vectors.embed(df, "t", Sizes, batch=3)
+    assert f"], {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in got._jdf.queryExecution().executedPlan().toString()
+    assert [x.embedding[0] for x in got.orderBy("i").collect()] == [0, 1, 2, 3, 4, 0, 6, 7, 8, 9] and dict(got.dtypes)["embedding"] == "array<float>"
+    assert vectors.embed(df.where("i > 99"), "t", Sizes).collect() == []
