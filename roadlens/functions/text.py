@@ -53,6 +53,14 @@ def lexical_text(caption: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(every, lambda t: ~t.isin(*STOPWORDS))), " ")
 
 
+def lexical_source(caption: Column) -> Column:
+    """A text with the same lexical tokens: the caption itself where ``normalized`` replaces nothing but white space and asterisks, else its lexical text.
+
+    All but headings that it replaces have a digit.
+    """
+    return F.when(caption.rlike(_LINES + r"\d|" + HEADING), lexical_text(caption)).otherwise(caption)
+
+
 def has_cjk(text: Column) -> Column:
     """Whether a text has Han, kana or hangul."""
     return text.rlike("[\\u4e00-\\u9fff\\u3040-\\u30ff\\uac00-\\ud7af]")

@@ -240,8 +240,7 @@ _VIEW = "SELECT c.corpus_pos, v.bm25_text AS caption FROM corpus c LEFT JOIN ("
 
 @query(f"WITH {_bm25(10, src=_VIEW)} {_SHOW} FROM lex")
 def bm25_lexical_view_topk(spark, sf_dir):
-    view = retrieval.lexical_view(corpus(spark, sf_dir))
-    return shown(lexical.bm25_search(lexical.bm25_index(view), asked(spark, sf_dir), 10))
+    return shown(lexical.bm25_search(lexical.bm25_view_index(corpus(spark, sf_dir)), asked(spark, sf_dir), 10))
 
 
 @query(f"WITH {_sem(10)} {_SHOW} FROM sem")
@@ -614,14 +613,14 @@ def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FROZEN}, {_RERANK} {_SHOW} FROM rr")
 def frozen_hybrid(spark, sf_dir):
     """The frozen ranking's first five, then the rest by the view's support."""
-    view = lexical.bm25_index(retrieval.lexical_view(corpus(spark, sf_dir)))
+    view = lexical.bm25_view_index(corpus(spark, sf_dir))
     return shown(retrieval.frozen_hybrid(_frozen(spark, sf_dir), view, asked(spark, sf_dir))[0])
 
 
 @query(f"WITH {_FROZEN}, {_GATED} {_SHOW} FROM gated")
 def frozen_gate(spark, sf_dir):
     """The frozen ranking's first ten that are among the view's first eight."""
-    view = lexical.bm25_index(retrieval.lexical_view(corpus(spark, sf_dir)))
+    view = lexical.bm25_view_index(corpus(spark, sf_dir))
     return shown(retrieval.frozen_gate(_frozen(spark, sf_dir), view, asked(spark, sf_dir))[0])
 
 

@@ -193,3 +193,44 @@ def test_scoring_takes_some_terms_at_a_time(spark, frames, monkeypatch):
     monkeypatch.setattr(lexical._Held, "scores", lambda self, terms, *a: seen.append(len(terms)) or scores(self, terms, *a))
     assert best() == want and len(want) == 12
     assert len(seen) > 5 and max(seen) <= 20
+
+
+def test_the_view_index_scores_as_an_index_of_the_lexical_view(spark):
+    """Captions with headings, plates, times, stopwords, repeats, CJK and odd letters; its terms are hashes that no string term is made for."""
+    texts = [
+        "## Lighting: a red bus, the red road", "  - **Overall**\nbus over 东京 东京塔 road", "plate AB123C at 2024-01-02 03:04:05 on ch07, x1 y", "٣ bus ab٣ red", "K9 Kilo İstanbul ΟΔΟΣ café ﬁre",
+        "the a an", "", None, "bus*road**red\u00a0night\u3000dog", "main road\nmain: road\nMAIN – bus", "red bus\nbackground\nred bus", "spatial and lighting. dog", "\n\nlighting dog", "kilo", "2 bus", "İmmediate: dog Immediate: dog",
+    ]
+    corpus = spark.createDataFrame([(i, str(i), f"p/{i}.jpg", t) for i, t in enumerate(texts)], "corpus_pos bigint, image_id string, image_path string, caption string")
+    ask = ["red bus", "东京 road", "2024 ab123c x1 y 9 kilo", "lighting overall main background dog", "the", "???", "stanbul caf re i immediate ab"]
+    queries = spark.createDataFrame(list(enumerate(ask)), "query_id bigint, search_query string")
+    index, plain = lexical.bm25_view_index(corpus), lexical.bm25_index(retrieval.lexical_view(corpus))
+    assert dict(index.rows.dtypes)["terms"] == "array<bigint>" and dict(index.terms.dtypes)["term"] == "bigint"
+    for k in (3, 20, None):
+        assert listed(lexical.bm25_search(index, queries, k)) == listed(lexical.bm25_search(plain, queries, k))
+    stats = lambda x: sorted((t.df, round(t.idf, 9)) for t in x.terms.collect())
+    sizes = lambda x: {r.corpus_pos: (r.dl, len(r.terms), [round(w, 12) for w in sorted(r.weight)]) for r in x.rows.collect()}
+    assert stats(index) == stats(plain) and sizes(index) == sizes(plain)
+
+
+def test_searches_weigh_only_what_they_look_up(frames):
+    """No weight of a whole row is made in the plan of a search; with the same scores as by stored weights."""
+    from dataclasses import replace
+
+    corpus, queries = frames
+    for index, search in ((lexical.bm25_index(corpus), lexical.bm25_search), (lexical.tfidf_index(corpus), lexical.tfidf_search)):
+        got = search(index, queries, 30)
+        assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+        assert listed(got) == listed(search(replace(index, rule=None), queries, 30))
+
+
+def test_places_of_hashes_in_a_table():
+    import numpy as np
+    from roadlens.operators.grams import _Lookup
+
+    r = np.random.default_rng(4)
+    for n in (0, 1, 2, 5000):
+        known = np.unique(np.append(r.integers(0, 2**64, n, dtype=np.uint64), np.array([2**64 - 1], np.uint64)[: n % 2]))
+        x = np.concatenate((known[::2], r.integers(0, 2**64, 99, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)))
+        at, here = _Lookup(known)(x.view(np.int64))
+        assert (here == np.isin(x, known)).all() and (known[at[here]] == x[here]).all()
