@@ -25,6 +25,8 @@ BUCKETS, BLOCK = 64, 1024
 PRODUCTS = 2_000_000
 #: Up to so many rows of ground truth are broadcast to be counted against.
 MOST_WANTED = 2_000_000
+#: Tasks give their counts so many at a time.
+COUNTS = 100_000
 _FOUND = "q long, corpus_pos long, image_id string, image_path string, score double, key double, second double"
 
 
@@ -305,20 +307,22 @@ def _counted(have: DataFrame, asked: DataFrame, keys: DataFrame, skip_self: bool
     q, pos, key, second = (ordered.column(c).to_numpy() for c in ("q", "corpus_pos", "key", "second"))
     m = _held(asked.join(keys.select("q").distinct(), "q", "left_semi"))
     bounds = np.append(np.searchsorted(q, m.q), len(q))
-    held = spark.sparkContext.broadcast((m, bounds, pos, key, second))
+    several = len(m.start) != len(m.vectors)
+    # places as short numbers that are exact in floating point: odd those of wanted rows, even what lies between; single phrasings need no second
+    known = np.unique(pos)
+    places = (2 * np.searchsorted(known, pos) + 1).astype(np.int32)
+    held = spark.sparkContext.broadcast((m, bounds, known, places, key, second if several else None))
 
     def run(batches):
-        m, bounds, pos, key, second = held.value
-        known = np.unique(pos)  # places as numbers that are exact in floating point: odd those of wanted rows, even what lies between
-        coded = lambda x: 2 * np.searchsorted(known, x, "left") + (known[np.minimum(np.searchsorted(known, x, "left"), len(known) - 1)] == x)
-        pos = coded(pos) if len(pos) else pos
+        m, bounds, known, places, key, second = held.value
         own = {name: i for i, name in enumerate(m.name)} if skip_self else {}
         count = np.zeros(len(key), np.int64)
-        several = len(m.start) != len(m.vectors)
         step = max(1, PRODUCTS // max(1, len(m.vectors)))
         for b in batches if len(key) else ():
             rows, vectors = _vectors(b.column(2))
-            place, ids = coded(b.column(0).to_numpy(zero_copy_only=False)[rows]), b.column(1).take(pa.array(rows))
+            place, ids = b.column(0).to_numpy(zero_copy_only=False)[rows], b.column(1).take(pa.array(rows))
+            before = np.searchsorted(known, place)
+            place = 2 * before + (known[np.minimum(before, len(known) - 1)] == place)
             for at in range(0, len(rows), step):
                 _, k, s = m.keys(vectors[at : at + step])
                 p = place[at : at + step]
@@ -328,10 +332,11 @@ def _counted(have: DataFrame, asked: DataFrame, keys: DataFrame, skip_self: bool
                             k[i, own[x]] = -np.inf
                 for j in range(len(m.q)):
                     lo, hi = bounds[j], bounds[j + 1]
-                    to = _between(k[:, j], s[:, j], p, key[lo:hi], second[lo:hi], pos[lo:hi], several)
+                    to = _between(k[:, j], s[:, j], p, key[lo:hi], second[lo:hi] if several else None, places[lo:hi], several)
                     count[lo:hi] += np.bincount(to, minlength=hi - lo + 1)[: hi - lo]
-        t = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(count[t])], names=["t", "n"])
+        for at in range(0, len(count), COUNTS):
+            t = np.flatnonzero(count[at : at + COUNTS]) + at
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(count[t])], names=["t", "n"])
 
     sums = have.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
     table = spark.createDataFrame(ordered.select(["q", "corpus_pos"]).append_column("t", pa.array(np.arange(len(q), dtype=np.int64)))) if len(q) else keys.select("q", "corpus_pos", F.lit(0).cast("long").alias("t"))

@@ -79,3 +79,24 @@ def test_struct_ids(frames):
     _, asked, corpus, queries = frames
     got = blocks.nearest(corpus, queries.withColumn("query_id", F.struct("query_id", "query_pos")), 2)
     assert got.count() == 2 * len(asked)
+
+
+def test_wanted_rows_take_few_bytes_in_tasks(spark, monkeypatch):
+    """A score and a short place each, and counts given some at a time; ranks as by sorting."""
+    import pickle
+
+    from pyspark import SparkContext
+
+    r = np.random.default_rng(2)
+    have = r.integers(-2, 3, (3000, 4)).astype(float)
+    corpus = spark.createDataFrame([(i * 10**10, str(i), v.tolist()) for i, v in enumerate(have)], "corpus_pos long, image_id string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, have[i].tolist()) for i in range(3)], "query_id long, vector array<double>")
+    wanted = spark.range(3).toDF("query_id").crossJoin(corpus.select("corpus_pos"))
+    sizes, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sizes.append(len(pickle.dumps(value))) or broadcast(self, value))
+    monkeypatch.setattr(blocks, "COUNTS", 700, raising=False)
+    got = {(x.query_id, x.corpus_pos): x["rank"] for x in blocks.ranks(corpus, queries, wanted).collect()}
+    assert max(sizes) < 9000 * 12 + 3000 * 8 + 5000
+    for i in range(3):
+        order = sorted(range(3000), key=lambda j: (-(have[j] @ have[i]), j))
+        assert [got[i, j * 10**10] for j in order] == list(range(1, 3001))
