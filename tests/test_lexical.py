@@ -234,3 +234,14 @@ def test_places_of_hashes_in_a_table():
         x = np.concatenate((known[::2], r.integers(0, 2**64, 99, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)))
         at, here = _Lookup(known)(x.view(np.int64))
         assert (here == np.isin(x, known)).all() and (known[at[here]] == x[here]).all()
+
+
+def test_the_frozen_flows_index_the_view_by_hashes(spark, sf_dir, monkeypatch):
+    from roadlens.plans import queries as engine
+
+    def strings(*_):
+        raise AssertionError("string terms were counted")
+
+    monkeypatch.setattr(lexical, "term_rows", strings)
+    rows = engine.frozen_hybrid(spark, sf_dir).collect()
+    assert {x["rank"] for x in rows} == set(range(1, 21)) and len(rows) == 20 * engine.asked(spark, sf_dir).count()
