@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, col, crc_mod, mix64, pack, saved, slices, unpack
+from .common import col, crc_mod, mix64, pack, saved, slices, unpack
 
 #: The token after the last word of every text; it also stands before the first. No word has a space.
 END = b" "
@@ -81,6 +81,15 @@ class Model:
         common = x < RARE
         return np.where(common, self.root[np.where(common, x, 0)], self.rare)
 
+    def reached(self, words: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose ``order`` nearest words are a hot context, and that context."""
+        live, at = np.arange(len(words[0])), np.zeros(len(words[0]), np.int64)
+        for m in range(order):
+            w = words[m][live]
+            to = find(self.child, np.where((w > 0) & (w < RARE), at * self.width + w, -1))
+            live, at = live[to >= 0], self.child_at[to[to >= 0]]
+        return live, at
+
     def walk(self, words: list[np.ndarray], x: np.ndarray, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For contexts (nearest word first) and next words: the longest hot context, its order, the next word's probability by the
         longest hot state over that at the root, and how often that state was seen."""
@@ -111,25 +120,54 @@ def find(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == k, i, -1)
 
 
-class WordNumbers(dict):
-    """Numbers of byte words, kept for those seen last."""
+class WordNumbers:
+    """Numbers of words by their hashes."""
 
-    def __init__(self, hashes: np.ndarray, most: int = 400_000):
+    def __init__(self, hashes: np.ndarray):
         self.sorted = np.argsort(hashes, kind="stable")
-        self.hashes, self.most = hashes[self.sorted], most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = np.uint64(_hash(word))
-        i = int(np.searchsorted(self.hashes, h))
-        known = i < len(self.hashes) and self.hashes[i] == h
-        n = self[word] = int(self.sorted[i]) + 1 if known else RARE | int(h) >> 24
-        return n
-
-
-def _sequences(batch: pa.RecordBatch, at: int) -> list[list[bytes]]:
-    return [t.lower().split() + [END] for t in batch.column(at).cast(pa.binary()).to_pylist()]
+        self.hashes = hashes[self.sorted]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        u, at = np.unique(h, return_inverse=True)
+        i = find(self.hashes, u)
+        return np.where(i >= 0, self.sorted[i] + 1, RARE | (u >> np.uint64(24)).astype(np.int64))[at]
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer words, in bytes, are hashed one at a time.
+_LONG = 64
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, END after each text's last, and tokens of each text."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = texts.buffers()[2]
+    lower = (raw.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if raw is not None else b"").lower()
+    ends = ends - ends[0]
+    data = np.frombuffer(lower + bytes(8), np.uint8)
+    inside = ~_SPACE[data]
+    inside[len(lower) :] = False
+    begins, finishes = inside.copy(), inside[: len(lower)].copy()
+    begins[1:] &= ~inside[:-1]
+    begins[ends] = inside[ends]
+    finishes &= ~inside[1 : len(lower) + 1]
+    finishes[ends[ends > 0] - 1] = inside[ends[ends > 0] - 1]
+    start = np.flatnonzero(begins)
+    size = np.flatnonzero(finishes) + 1 - start
+    h = mix64(size.astype(np.uint64) * _STEP)
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    live = np.flatnonzero(size <= _LONG)
+    for done in range(0, _LONG, 8):
+        live = live[size[live] > done]
+        h[live] = mix64(h[live] * _STEP ^ eights[start[live] + done] & _BYTES[np.minimum(size[live] - done, 8)])
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = _hash(lower[start[i] : start[i] + size[i]])
+    n = np.diff(np.searchsorted(start, ends))
+    out = np.full(len(h) + len(n), _hash(END), np.uint64)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+    return out, n + 1
 
 
 def _source(docs: DataFrame, train: Column | None, text_col: str, *more: Column) -> DataFrame:
@@ -155,16 +193,12 @@ def word_counts(docs: DataFrame, train: Column | None = None, text_col: str = "t
             rows = [[i, _differences(k[cut[i] : cut[i + 1]]), pack(c[cut[i] : cut[i + 1]]), every * (i == 0)] for i in some]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["s", "keys", "counts", "every"])
 
-        hashes = WordHash()
         for b in slices(batches, 1):
-            trained = b.column(0).to_pylist()
-            words = []
-            for seq, yes in zip(_sequences(b, 1), trained, strict=True):
-                every += len(seq)
-                if yes:
-                    words += seq
-            if words:
-                held.append(np.unique(hashes.of(words), return_counts=True))
+            words, n = _words(b.column(1))
+            every += len(words)
+            words = words[np.repeat(b.column(0).to_numpy(zero_copy_only=False), n)]
+            if len(words):
+                held.append(np.unique(words, return_counts=True))
                 if sum(len(k) for k, _ in held) > most:
                     held[:] = [_summed(*zip(*held, strict=True))]
                     if len(held[0][0]) > most:
@@ -183,15 +217,14 @@ def word_counts(docs: DataFrame, train: Column | None = None, text_col: str = "t
 
 def _first(batch: pa.RecordBatch, at: int, numbers: WordNumbers, depth: int):
     """Of all texts of a batch in one array: next words, contexts (nearest word first), and tokens of each text."""
-    seqs = _sequences(batch, at)
-    n = np.fromiter(map(len, seqs), np.int64, len(seqs))
-    x = np.fromiter(map(numbers.__getitem__, (w for s in seqs for w in s)), np.int64, int(n.sum()))
+    hashes, n = _words(batch.column(at))
+    x = numbers.of(hashes)
     place = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
     words = []
     for m in range(1, depth + 1):
         w = np.zeros_like(x)
         w[m:] = x[:-m]
-        words.append(np.where(place >= m, w, np.where(place == m - 1, numbers[END], 0)))
+        words.append(np.where(place >= m, w, np.where(place == m - 1, 1, 0)))
     return x, words, n
 
 
@@ -288,11 +321,11 @@ def _hot_counts(docs: DataFrame, train, text_col: str, model: Model, base: int,
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([_differences(a) for a, _ in parts], pa.binary()), pa.array([pack(b) for _, b in parts], pa.binary())], names=["s", "keys", "counts"])
 
         for b in slices(batches, 0):
-            x, words, n = _first(b, 0, numbers, model.depth)
-            at, deep, _, _ = model.walk(words, x, model.root_of(x))
-            some = (deep == order) & (x < RARE)
-            if some.any():
-                held.append(np.unique(at[some] * model.width + x[some], return_counts=True))
+            x, words, _ = _first(b, 0, numbers, order)
+            some, at = model.reached(words, order)
+            some, at = some[x[some] < RARE], at[x[some] < RARE]
+            if len(some):
+                held.append(np.unique(at * model.width + x[some], return_counts=True))
             if sum(len(k) for k, _ in held) > 1_000_000:
                 held[:] = [_summed(*zip(*held, strict=True))]
                 if len(held[0][0]) > 1_000_000:
@@ -401,6 +434,15 @@ def _shortened(w: np.ndarray) -> np.ndarray:
     return np.where(w >= RARE, RARE | w & _SHORT, w)
 
 
+def _alike(s: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Keys in whose order places lie by segment, and there by their nearest words as far as 64 bits tell, so that they pack well."""
+    left = 64 - max(1, int(s.max(initial=0)).bit_length())
+    number = lambda w, bits: np.where(w < RARE, np.minimum(w, (1 << bits) - 1), 1 << bits | w >> 40 - bits & (1 << bits) - 1)
+    one = min(24, left // 2 - 1)
+    two = left - one - 2
+    return s.astype(np.uint64) << np.uint64(left) | number(near, one).astype(np.uint64) << np.uint64(two + 1) | number(far, two).astype(np.uint64)
+
+
 #: Sums come back in whole multiples of one over this.
 _FINE = 1 << 24
 _PLACES = "s int, slice long, own binary, w1 binary, w2 binary, w3 binary, w4 binary, x binary, doc binary"
@@ -462,7 +504,7 @@ def score(docs: DataFrame, model: Model, train: Column | None = None, id_col: st
             rows = [[number % segments, number, pickle.dumps((b.column(0).to_pylist(), n, *sums)), *[b""] * 6]]
             at = np.flatnonzero(dealt)
             s = (mix64(seg[at]) % np.uint64(segments)).astype(np.int32)
-            perm = np.lexsort((words[min(1, m.depth - 1)][at], words[0][at], s))
+            perm = np.argsort(_alike(s, words[0][at], words[min(1, m.depth - 1)][at]))
             at, s = at[perm], s[perm]
             doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)[at]
             doc = doc * np.uint32(2) + trained[doc]

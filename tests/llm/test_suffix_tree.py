@@ -171,3 +171,26 @@ def test_the_query_against_the_plain_tree(spark, sf_dir):
     check(got, rows, plain)
     assert all(x.held_out != trained(x.doc_id) and x.train_tokens == plain.n for x in got)
     assert all(math.isclose(x.gain * x.n_tokens, x.score - x.base_score, rel_tol=1e-9, abs_tol=1e-9) for x in got)
+
+
+def test_words_are_hashed_by_arrays():
+    import sys
+
+    import pyarrow as pa
+
+    r = random.Random(2)
+    letters = [*"aBé漢", " ", "\n", "\x1c", "\x85", " ", "\t", "\x0b", "\f", "\r", "\0"]
+    texts = ["", " ", "x" * 200, "X" * 200 + " y", *("".join(r.choice(letters) for _ in range(r.randrange(80))) for _ in range(400)), "", ""]
+    for some in (pa.array(texts), pa.array(texts).slice(2, 90), pa.array(texts[::-1], pa.large_string()), pa.array([], pa.string()), pa.array(["", ""])):
+        h, n = st._words(some)
+        want = [t.encode().lower().split() + [b" "] for t in some.to_pylist()]
+        assert n.tolist() == [len(w) for w in want]
+        of = dict(zip((w for s in want for w in s), h.tolist(), strict=True))
+        assert [of[w] for s in want for w in s] == h.tolist() and len(set(of.values())) == len(of)
+    # numbers of new words take no call of a function each
+    batch = pa.record_batch({"t": [" ".join(f"word{i}" for i in range(20_000))]})
+    calls = []
+    sys.setprofile(lambda _, event, __: calls.append(event))
+    x, _, n = st._first(batch, 0, st.WordNumbers(np.array([st._hash(st.END)], np.uint64)), 4)
+    sys.setprofile(None)
+    assert len(set(x.tolist())) == 20_001 and n.tolist() == [20_001] and len(calls) < 2_000
