@@ -57,18 +57,25 @@ class Features:
         self.hash = WordHash()
 
     def of(self, texts: list[bytes], n_chars: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat, values, counts = [], [], []
+        flat, counts = [], []
         base = BUCKETS + STEPS * np.arange(N_STATS)
         for t, c in zip(texts, n_chars, strict=True):
             words = t.lower().split()
             some = list(set(words))
             ids = np.unique(self.hash.of(some) % np.uint64(BUCKETS)).astype(np.int32)
             flat += [ids, (base + statistics(t, words, len(some), c)).astype(np.int32)]
-            values += [np.full(len(ids), 1 / np.sqrt(max(len(ids), 1)), np.float32), np.full(N_STATS, 0.3, np.float32)]
             counts.append(len(ids) + N_STATS)
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64)
-        return np.concatenate(flat), np.concatenate(values), np.array(counts, np.int64)
+        counts = np.array(counts, np.int64)
+        return np.concatenate(flat), values_of(counts), counts
+
+
+def values_of(counts: np.ndarray) -> np.ndarray:
+    """The values of documents with so many features: words share one, statistics, which come last, have 0.3."""
+    words = counts - N_STATS
+    each = np.stack([1 / np.sqrt(np.maximum(words, 1)), np.full(len(counts), 0.3)], 1).astype(np.float32)
+    return np.repeat(each.ravel(), np.stack([words, np.full(len(counts), N_STATS)], 1).ravel())
 
 
 @dataclass
@@ -140,7 +147,8 @@ def _inputs(docs: DataFrame, text_col: str, chars_col: str | None, keep: list[st
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, where=None, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", label_col: str = "quality", max_values: int = 20_000_000) -> Machine:
     """A machine from at most ``max_rows`` rows of as many labelled ids, and at most ``max_values`` of their feature values.
 
-    Both bound what the driver gathers: 12 bytes a row to count its values, then 8 a value. Rows come by hash of their id.
+    Both bound what the driver gathers: 12 bytes a row to count its values, then 2 a value, the feature's number; what
+    it is worth follows from the row's count. Rows come by hash of their id.
     """
     some = labelled_sample(docs, labels, max_rows, where, id_col, label_col)
     some = some.withColumn("__h", F.xxhash64(col(id_col)))
@@ -149,19 +157,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, where=None,
         features = Features()
 
         def f(texts, batch):
-            ids, x, counts = features.of(texts, batch.column(2).to_pylist())
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            return [[ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], [x[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]]
+            ids, _, counts = features.of(texts, batch.column(2).to_pylist())
+            ids, ends = ids.astype("<u2"), np.concatenate(([0], np.cumsum(counts)))
+            return [[ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]]
 
         return f
 
-    got = map_text(_inputs(some, text_col, chars_col, ["__label", "__h"]), ["__label", "__h", "__n"], "i binary, x binary", make, "__t").drop("__n")
-    got = checkpoint(got.orderBy("__h", "i", "x", "__label").limit(max_rows))
-    sizes = got.select("__h", "i", "x", "__label", F.expr("length(i) div 4").alias("n")).orderBy("__h", "i", "x", "__label").select("n").toPandas().n.to_numpy(np.int64)
-    got = got.orderBy("__h", "i", "x", "__label").limit(int(np.searchsorted(np.cumsum(sizes), max_values, "right"))).toPandas()
+    got = map_text(_inputs(some, text_col, chars_col, ["__label", "__h"]), ["__label", "__h", "__n"], "i binary", make, "__t").drop("__n")
+    got = checkpoint(got.orderBy("__h", "i", "__label").limit(max_rows))
+    sizes = got.select("__h", "i", "__label", F.expr("length(i) div 2").alias("n")).orderBy("__h", "i", "__label").select("n").toPandas().n.to_numpy(np.int64)
+    got = got.orderBy("__h", "i", "__label").limit(int(np.searchsorted(np.cumsum(sizes), max_values, "right"))).toPandas()
     got = got.sort_values(["__h", "i"], kind="stable")
-    counts = np.array([len(b) // 4 for b in got.i], np.int64)
-    return train(np.frombuffer(b"".join(got.i), np.int32), np.frombuffer(b"".join(got.x), np.float32), counts, got["__label"].to_numpy(np.float64))
+    counts = np.array([len(b) // 2 for b in got.i], np.int64)
+    return train(np.frombuffer(b"".join(got.i), "<u2"), values_of(counts), counts, got["__label"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text", chars_col: str | None = "n_chars", out: str = "score") -> DataFrame:

@@ -67,3 +67,17 @@ def test_the_query(spark, sf_dir):
     flipped = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, y in labels.items()], "doc_id long, quality int")
     m = fm.fit(docs, flipped, where=lambda c: ~fm.held_out(c))
     assert {x.doc_id: x.score for x in fm.score(docs, m, ["doc_id"]).collect()} == {x.doc_id: x.score for x in got}
+
+
+def test_the_driver_gathers_two_bytes_a_value(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 300}" for j in range(200))) for i in range(60)], "doc_id long, text string")
+    got, whole = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: got.append(whole(self)) or got[-1])
+    assert fm.fit(df, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")).trained
+    _, x, counts = fm.Features().of([t.text.encode() for t in df.collect()], [None] * 60)
+    values = [f[c].map(len).sum() for f in got for c in f.columns if f[c].dtype == object]
+    assert sum(values) == 2 * counts.sum() > 20_000
+    one = counts[0] - fm.N_STATS
+    assert np.allclose(x[:one], one**-0.5) and np.allclose(x[one : counts[0]], 0.3)

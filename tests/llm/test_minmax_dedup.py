@@ -107,3 +107,20 @@ def test_near_copies_that_repeat_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = [tuple(x) for x in near_duplicates(df, 3, 85).collect()]
     assert len(got) == len(rows) and set(got) == brute(rows, 3, 85)
+
+
+def test_few_edges_take_few_tasks(spark, monkeypatch):
+    from roadlens.llm import components as c
+
+    seen, plain = [], c.checkpoint
+    monkeypatch.setattr(c, "checkpoint", lambda df: seen.append(plain(df)) or seen[-1])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = c.components(spark.createDataFrame([(i, i + 1) for i in range(30) if i % 10], "u long, v long"))
+        assert {tuple(x) for x in got.collect()} == {(i, i // 10 * 10 + 1 if i % 10 else i - 9) for i in range(1, 31)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(seen) > 3 and max(df.rdd.getNumPartitions() for df in seen[1:]) <= spark.sparkContext.defaultParallelism
