@@ -20,6 +20,8 @@ STOPWORDS = ("the", "a", "an", "this", "that", "with", "and", "from", "into", "o
 TIMESTAMP = r"\b\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\b"
 CHANNEL = r"\bch\d+\b"
 PLATE = r"\b[一-鿿]?[A-Z]{1,3}[A-Z0-9]*\d[A-Z0-9]*\b"
+#: The same plates for Java, which never goes back in a word: letters, then letters and digits of which one at least is a digit.
+_PLATE = r"\b[一-鿿]?[A-Z]++(?:[0-9][A-Z0-9]*+(?:\d[A-Z0-9]*+)?|\d[A-Z0-9]*+)\b"
 _TERM = "|".join(HEADINGS)
 #: A list or title mark, heading words, and then a colon, dash, full stop or the end of the line.
 HEADING = (
@@ -36,15 +38,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def normalized(caption: Column) -> Column:
-    """A caption without time stamps, channel names, plates, heading words and asterisks, its white space single."""
+def _without_marks(caption: Column) -> Column:
+    """A caption in lower case without time stamps, channel names, plates and heading words."""
     x = F.lower(caption)
     x = F.regexp_replace(x, _U + TIMESTAMP, " ")
     x = F.regexp_replace(x, _UI + CHANNEL, " ")
-    x = F.regexp_replace(x, _UI + PLATE, " ")
-    x = F.regexp_replace(x, _LINES + HEADING, " ")
-    x = F.regexp_replace(F.replace(x, F.lit("*"), F.lit(" ")), _U + r"\s+", " ")
-    return F.trim(x)
+    x = F.regexp_replace(x, _UI + _PLATE, " ")
+    return F.regexp_replace(x, _LINES + HEADING, " ")
+
+
+def normalized(caption: Column) -> Column:
+    """A caption without time stamps, channel names, plates, heading words and asterisks, its white space single."""
+    return F.trim(F.regexp_replace(F.replace(_without_marks(caption), F.lit("*"), F.lit(" ")), _U + r"\s+", " "))
 
 
 def lexical_text(caption: Column) -> Column:
@@ -54,11 +59,11 @@ def lexical_text(caption: Column) -> Column:
 
 
 def lexical_source(caption: Column) -> Column:
-    """A text with the same lexical tokens: the caption itself where ``normalized`` replaces nothing but white space and asterisks, else its lexical text.
+    """A text with the same lexical tokens: the caption itself where ``normalized`` replaces nothing but white space and asterisks, else the caption with all else replaced.
 
     All but headings that it replaces have a digit.
     """
-    return F.when(caption.rlike(_LINES + r"\d|" + HEADING), lexical_text(caption)).otherwise(caption)
+    return F.when(caption.rlike(_LINES + r"\d|" + HEADING), _without_marks(caption)).otherwise(caption)
 
 
 def has_cjk(text: Column) -> Column:

@@ -245,3 +245,43 @@ def test_the_frozen_flows_index_the_view_by_hashes(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(lexical, "term_rows", strings)
     rows = engine.frozen_hybrid(spark, sf_dir).collect()
     assert {x["rank"] for x in rows} == set(range(1, 21)) and len(rows) == 20 * engine.asked(spark, sf_dir).count()
+
+
+def test_hashed_rows_are_stored_and_searched_packed(frames):
+    """A row's terms are one binary value in what is stored and what searches read; arrays are made only of rows that are asked for, with the same scores."""
+    from dataclasses import replace
+
+    import numpy as np
+
+    corpus, queries = frames
+    corpus = corpus.withColumn("caption", F.when(F.col("corpus_pos") % 7 == 3, "").otherwise(F.col("caption")))
+    for index, search in ((lexical.bm25_view_index(corpus), lexical.bm25_search), (lexical.tfidf_index(corpus), lexical.tfidf_search)):
+        assert dict(index.packed.dtypes)["terms"] == dict(index.packed.dtypes)["tf"] == "binary"
+        rows = {x.corpus_pos: x for x in index.rows.collect()}
+        packed = index.packed.collect()
+        assert len(packed) == len(rows) == corpus.count()
+        for x in packed:
+            assert rows[x.corpus_pos].terms == np.frombuffer(x.terms, np.int64).tolist() and rows[x.corpus_pos].tf == np.frombuffer(x.tf, np.int32).tolist()
+        got = search(index, queries, 30)
+        assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert listed(got) == listed(search(replace(index, packed=None), queries, 30))
+
+
+def test_sums_of_norms_are_passed_on_packed(spark, monkeypatch):
+    """Nearly each document has terms in nearly each group, so no row is made of a document in a group: a bucket of documents gets one from each."""
+    import math
+
+    from roadlens.operators import grams
+
+    words = [[f"w{(i * 7 + j * j) % 90}" for j in range(30)] for i in range(60)]
+    corpus = spark.createDataFrame([(i * 3 - 50, str(i), "p", " ".join(w)) for i, w in enumerate(words)], "corpus_pos bigint, image_id string, image_path string, caption string")
+    monkeypatch.setattr(grams, "POSTINGS", 100)
+    rows = grams.counted(corpus.select("corpus_pos", "caption"), "caption", packed=True).localCheckpoint()
+    terms = grams.document_counts(rows, 60 * 59).localCheckpoint()
+    assert terms.where("df = 1").count() < terms.count()
+    got = grams.norms(rows, terms, 60, 0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "HashAggregate" not in plan
+    df = {x.term: x.df for x in terms.collect()}
+    plain = {x.corpus_pos: math.sqrt(sum((n * (math.log(61 / (1 + df[t])) + 1)) ** 2 for t, n in zip(x.terms, x.tf, strict=True))) for x in grams.unpacked(rows).collect()}
+    assert {x.corpus_pos: round(x.norm, 9) for x in got.collect()} == {k: round(v, 9) for k, v in plain.items()}

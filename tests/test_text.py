@@ -87,3 +87,14 @@ def test_accents_and_ligatures(spark):
     assert [g and unicodedata.normalize("NFD", g) for g in got] == [p and unicodedata.normalize("NFD", p) for p in map(plain, texts)]
     words = df.where("t like 'Ti%'").select(tx.grams(F.col("t")).alias("g")).first().g
     assert words[:4] == ["tieng", "viet", "fire", "cafe"]
+
+
+def test_plates_are_those_of_the_pattern(spark):
+    """The form for Java, which never goes back in a word, replaces what the plain pattern does; also odd digits, letters that fold to ASCII, and marks."""
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("aBkKſ09٣京-_é\u0301 \n") for _ in range(r.randint(1, 14))) for _ in range(20_000)] + ["ab" * 40, "京ab1", "京京ab1", "ab1٣", "ab٣1", "1ab", "a1é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain, own = (F.regexp_replace("t", tx._UI + p, "<>") for p in (tx.PLATE, tx._PLATE))
+    assert df.where(plain != own).count() == 0 and df.where(own != F.col("t")).count() > 1000
